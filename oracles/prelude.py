@@ -5,7 +5,7 @@ window per client instead of time slots, lookups are plain SQL joins.
 """
 
 from weblens.functions import fixed_values as fv
-from weblens.sources.event_log import CONDITION, ERROR_LINE, SELECT_LIST, STEPS
+from weblens.sources.event_log import CONDITION, ERROR_LINE, SELECT_LIST, STEPS, T0
 
 
 def lit(text: str) -> str:
@@ -26,7 +26,7 @@ SITE_HOSTS = ["site.ru"]
 
 _steps = ", ".join(f"({s},{d})" for s, d in STEPS)
 REQUESTS = f"""
-ev AS (SELECT event_id AS e, user_id AS u, event_type AS t, CAST(floor(value) AS BIGINT) AS v, CAST(floor(epoch(ts)) AS BIGINT) AS t0 FROM events),
+ev AS (SELECT event_id AS e, user_id AS u, event_type AS t, CAST(floor(value) AS BIGINT) AS v, {T0} AS t0 FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t_raw FROM events)),
 st AS (SELECT * FROM (VALUES {_steps}) AS x(step, dt)),
 requests AS (SELECT {SELECT_LIST} FROM ev CROSS JOIN st WHERE {CONDITION})"""
 
@@ -139,8 +139,11 @@ vs AS (SELECT vm.* EXCLUDE (grp, sub, mon_name, by_name, n_addr, first_any, firs
    WHEN fam_cat={lit(fv.SCRIPT)} AND grp='robots' THEN fam ELSE sub END AS subgroup
   FROM vm)"""
 
-FIELDS = """
-rg AS (SELECT rq.*, vs."group", vs.subgroup, vs.channel, vs.fam, vs.fam_cat, vs.fam_verified, vs.ua_browser, vs.asn, vs.cc, vs.nettype FROM rq JOIN vs USING (vid))"""
+SEGMENT = """CASE WHEN regexp_full_match(s,'\\d+|[0-9a-fA-F]{16,}|[0-9a-fA-F-]{32,36}') THEN '*' WHEN regexp_full_match(s,'[A-Za-z_-]{1,8}\\d+[A-Za-z]?') THEN regexp_replace(s,'\\d+[A-Za-z]?$','*') ELSE s END"""
+TPL = f"array_to_string([{SEGMENT} FOR s IN string_split(base,'/')], '/')"
+FIELDS = f"""
+rg0 AS (SELECT rq.*, vs."group", vs.subgroup, vs.channel, vs.fam, vs.fam_cat, vs.fam_verified, vs.ua_browser, vs.asn, vs.cc, vs.nettype FROM rq JOIN vs USING (vid)),
+rg AS (SELECT *, {TPL} AS tpl FROM rg0)"""
 
 # successive stages of the prelude
 STAGES = {
@@ -170,4 +173,11 @@ def plain_counts(text: str) -> str:
     return text
 
 
-ERROR_LINES = f"error_lines AS (SELECT event_id AS line_no, {ERROR_LINE} AS line FROM events WHERE event_type='error')"
+ERROR_LINES = f"""
+el0 AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t_raw FROM events WHERE event_type='error'),
+el1 AS (SELECT *, {T0} AS t0 FROM el0),
+el2 AS (SELECT *, make_timestamp(t0*1000000) AS lt FROM el1),
+error_lines AS (SELECT event_id AS line_no, {ERROR_LINE} AS line FROM el2),
+el AS (SELECT line_no, CAST(epoch(strptime(line[1:19], '%Y/%m/%d %H:%M:%S')) AS BIGINT) AS ts, regexp_extract(line, '\\[(\\w+)\\]', 1) AS level,
+  split_part(regexp_extract(line, '\\d+#\\d+: (?:\\*\\d+ )?(.*)$', 1), ', client:', 1) AS msg, regexp_extract(line, ', client: ([^,"]*)', 1) AS client,
+  regexp_extract(line, ', request: "([^",]*)"', 1) AS request, regexp_extract(line, ', host: "([^",]*)"', 1) AS host FROM error_lines)"""

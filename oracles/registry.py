@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["core"]
+MODULES = ["core", "series"]
 
 
 def oracle_sql():

@@ -5,9 +5,12 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weblens.functions import paths
 from weblens.operators import groups, network, requests, sessions
 from weblens.plans.store import stored
+from weblens.sources.access_log import parse_error
 from weblens.sources.event_log import error_lines_from_events, requests_from_events
 
 SITE_HOSTS = ["site.ru"]
@@ -79,6 +82,15 @@ class WebLog:
         """Visits with base groups and monitors, utilities and impostors told apart."""
         return groups.regroup(groups.base_group(self.visits_described), groups.monitor_addresses(self.log, self.ua_dim))
 
+    @cached_property
+    def error_log(self) -> DataFrame:
+        return parse_error(self.error_lines)
+
+    @cached_property
+    def rq_tpl(self) -> DataFrame:
+        """Requests with the simple template of their address."""
+        return self.rq.withColumn("tpl", paths.simple_template(F.col("base")))
+
     @cached_property
     def people(self) -> DataFrame:
         return self.visits.where("group = 'people'")

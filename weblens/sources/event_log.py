@@ -65,6 +65,10 @@ SELECT_LIST = """
    ELSE concat('https://site.ru/catalog/item-', CAST(v%40 AS VARCHAR(9)), '/') END AS ref
 """
 
+# every third day the day's errors fall into two minutes of each half-day: outages
+T0 = """CASE WHEN event_type='error' AND CAST(floor(t_raw / 86400) AS BIGINT) % 3 = 0
+  THEN t_raw - t_raw % 43200 + CAST(floor((t_raw % 43200) / 360) AS BIGINT) ELSE t_raw END"""
+
 CONDITION = """
   step=0 OR (step=1 AND u%5<>0) OR (step=2 AND e%7=0) OR (step=3 AND t='signup') OR (step=4 AND t='purchase')
   OR (step=5 AND t='purchase' AND v%3<>0) OR (step=6 AND u%50=0) OR (step=7 AND u%25=3 AND e%2=0)
@@ -75,8 +79,8 @@ CONDITION = """
 """
 
 ERROR_LINE = """
-  concat(CAST(year(ts) AS VARCHAR(4)), '/', lpad(CAST(month(ts) AS VARCHAR(2)), 2, '0'), '/', lpad(CAST(day(ts) AS VARCHAR(2)), 2, '0'), ' ',
-   lpad(CAST(hour(ts) AS VARCHAR(2)), 2, '0'), ':', lpad(CAST(minute(ts) AS VARCHAR(2)), 2, '0'), ':', lpad(CAST(CAST(floor(second(ts)) AS INT) AS VARCHAR(2)), 2, '0'),
+  concat(CAST(year(lt) AS VARCHAR(4)), '/', lpad(CAST(month(lt) AS VARCHAR(2)), 2, '0'), '/', lpad(CAST(day(lt) AS VARCHAR(2)), 2, '0'), ' ',
+   lpad(CAST(hour(lt) AS VARCHAR(2)), 2, '0'), ':', lpad(CAST(minute(lt) AS VARCHAR(2)), 2, '0'), ':', lpad(CAST(CAST(floor(second(lt)) AS INT) AS VARCHAR(2)), 2, '0'),
    ' [', CASE WHEN event_id%5=0 THEN 'warn' ELSE 'error' END, '] ', CAST(100+event_id%7 AS VARCHAR(9)), '#0: *', CAST(event_id AS VARCHAR(12)), ' ',
    CASE event_id%8 WHEN 0 THEN 'upstream timed out (110: Connection timed out) while reading response header from upstream'
     WHEN 1 THEN 'connect() failed (111: Connection refused) while connecting to upstream'
@@ -93,12 +97,17 @@ ERROR_LINE = """
 def requests_from_events(events: DataFrame) -> DataFrame:
     """Requests with the columns of a parsed access log; one row in, at most nineteen rows out."""
     steps = ", ".join(f"struct({s} AS step, {d} AS dt)" for s, d in STEPS)
-    base = events.selectExpr(
-        "event_id AS e", "user_id AS u", "event_type AS t", "CAST(floor(value) AS BIGINT) AS v",
-        "unix_timestamp(CAST(ts AS TIMESTAMP)) AS t0", f"inline(array({steps}))")
+    base = _timed(events).selectExpr(
+        "event_id AS e", "user_id AS u", "event_type AS t", "CAST(floor(value) AS BIGINT) AS v", "t0",
+        f"inline(array({steps}))")
     return base.where(CONDITION).selectExpr(*_split_top_level(SELECT_LIST))
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    raw = events.selectExpr("*", "unix_timestamp(CAST(ts AS TIMESTAMP)) AS t_raw")
+    return raw.selectExpr("event_id", "user_id", "event_type", "value", f"{T0} AS t0")
+
+
 def _split_top_level(select_list: str) -> list[str]:
     """Split a SELECT list at commas outside brackets and quotes, for selectExpr."""
     items, depth, quoted, current = [], 0, False, ""
@@ -115,5 +124,5 @@ def _split_top_level(select_list: str) -> list[str]:
 
 def error_lines_from_events(events: DataFrame) -> DataFrame:
     """nginx error-log lines, one per 'error' event."""
-    lines = events.where("event_type = 'error'")
+    lines = _timed(events.where("event_type = 'error'")).selectExpr("*", "timestamp_seconds(t0) AS lt")
     return lines.selectExpr("event_id AS line_no", f"{ERROR_LINE} AS line")
