@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["core", "series"]
+MODULES = ["core", "series", "errors"]
 
 
 def oracle_sql():

@@ -83,8 +83,8 @@ SQL = {
     "s02_parse_access": sql("requests", "SELECT req_id, ts, ip, vhost, method, base, query, status, bytes, ref, ua FROM requests"),
     "s03_parse_error": plain_counts(f"WITH {ERROR_LINES} SELECT line_no, ts, level, msg, client, request, host FROM el"),
     "s04_sniff": "SELECT 'site.ru-access.log' AS src, 'access:combined' AS kind UNION ALL SELECT 'site.ru-error.log', 'error:nginx'",
-    "s05_file_inventory": sql("requests", """SELECT 'site.ru-access.log' AS src, count(*) AS lines, min(ts) AS first_ts, max(ts) AS last_ts, '+0300' AS tz_offset, CAST(0 AS BIGINT) AS unparsed FROM requests
-        UNION ALL SELECT 'site.ru-error.log', count(*), NULL, NULL, NULL, count(*) FROM events WHERE event_type='error'"""),
+    "s05_file_inventory": sql("requests", """, x AS (SELECT req_id % 3 AS k, ts, true AS good FROM requests UNION ALL SELECT event_id % 3, NULL, false FROM events WHERE event_type='error')
+        SELECT concat('part-', CAST(k AS VARCHAR)) AS src, count(*) AS lines, min(ts) AS first_ts, max(ts) AS last_ts, '+0300' AS tz_offset, count_if(NOT good) AS unparsed FROM x GROUP BY k"""),
     "s06_hour_gaps": sql("requests", """, h AS (SELECT DISTINCT ts // 3600 AS hour_no FROM requests WHERE vhost='shop.site.ru')
         SELECT g AS hour_no FROM (SELECT unnest(range((SELECT min(hour_no) FROM h), (SELECT max(hour_no)+1 FROM h))) AS g) WHERE g NOT IN (SELECT hour_no FROM h)"""),
     "s07_drop_overlaps": sql("requests", _FILES + """ SELECT src, count(*) AS lines, CAST(sum(bytes) AS BIGINT) AS bytes FROM two t

@@ -290,3 +290,83 @@ SENSITIVE = [
 TRANSFER = [r"/restore\.php$", r"\.(tar\.gz|tgz|tar|zip)\.\d+$"]
 BACKUP_SEARCH_MIN_PATHS, BACKUP_MANY_IPS = 2, 3
 SELF_CHECK = r"^/bitrix/admin/site_checker\.php$|^/bitrix/site_check_exec\.php$|^/bitrix/tools/check_|^/wp-cron\.php$"
+
+# --- fixed values: address forms -------------------------------------------------------
+PAGE_EXTENSIONS = "php php3 php4 php5 php7 php8 phtml html htm shtml xhtml asp aspx jsp jspx cfm cgi pl do action".split()
+TLD_TAILS = ("ru com net org su info io by kz ua uz biz pro online site store shop me tv club рф de eu uk us co app dev").split()
+FILE_GROUPS_BY_EXTENSION = [
+    ("images", "jpg jpeg jpe jfif png apng webp gif svg svgz avif bmp tif tiff ico cur heic heif"),
+    ("video and sound", "mp4 m4v webm mov avi mkv wmv flv mpg mpeg 3gp ogv mp3 ogg oga wav m4a aac flac opus m3u8 ts"),
+    ("fonts", "woff woff2 ttf otf eot"),
+    ("styles and scripts", "css js mjs cjs jsx tsx wasm"),
+    ("source maps", "map"),
+    ("documents", "pdf doc docx xls xlsx xlsm ppt pptx rtf odt ods odp txt md epub djvu fb2 mobi csv tsv"),
+    ("archives", "zip rar 7z gz tgz tar bz2 xz lz lzma zst z cab iso"),
+    ("widget data", "xml json jsonld geojson yml yaml ics vcf kml kmz gpx"),
+    ("3d and graphics", "glb gltf obj fbx usdz stl psd ai eps cdr dwg dxf sketch fig"),
+    ("programs", "exe msi dmg pkg apk aab ipa deb rpm appimage jar war bin run"),
+    ("databases and dumps", "sql sqlite sqlite3 sqlitedb db mdb accdb dump bak old orig swp save backup"),
+    ("configs", "env ini conf config cfg toml properties htaccess htpasswd py rb sh bash ps1 bat java c cpp go rs sln lock "
+                "log pem key crt p12 pfx tfstate tfvars hcl"),
+    ("other files", "swf torrent dat xsl xslt"),
+]
+WELL_KNOWN_STANDARD = (
+    r"^/\.well-known/(security\.txt|assetlinks\.json|apple-app-site-association|change-password|traffic-advice"
+    r"|passkey-endpoints|openid-configuration|oauth-authorization-server|oauth-protected-resource|jwks\.json|webfinger"
+    r"|host-meta(\.json)?|nodeinfo|dnt-policy\.txt|gpc\.json|ai-plugin\.json|mcp\.json|agent\.json|openai-plugin\.json"
+    r"|matrix/.*|caldav|carddav|mta-sts\.txt|pki-validation/.*|apple-developer-merchantid-domain-association"
+    r"|keybase\.txt|nostr\.json|did\.json|ucp|privacy-sandbox-attestations\.json|related-website-set\.json|tdmrep\.json"
+    r"|api-catalog|resourcesync|timezone|stun-key|credentials\.json)$")
+FILE_GROUPS_BY_ADDRESS = [
+    ("for robots", r"^/(robots\.txt|[\w-]*sitemap[\w.-]*\.xml(\.gz)?|sitemap/.*|llms(-full)?\.txt|ai\.txt|ads\.txt"
+                   r"|app-ads\.txt|humans\.txt|security\.txt)$"),
+    ("ownership proofs", r"(^/yandex_[0-9a-f]+\.html$|^/google[0-9a-f]+\.html$|^/\.well-known/acme-challenge/"
+                         r"|^/BingSiteAuth\.xml$|^/mailru-domain[\w-]*\.html$)"),
+    ("service (.well-known)", WELL_KNOWN_STANDARD),
+    ("feeds and exports", r"(/export/|/feeds?(/|\.xml$|$)|/rss(/|\.xml$|$)|yandex[\w-]*\.xml$|google[\w-]*\.xml$)"),
+    ("icons and manifest", r"(favicon[\w.-]*\.(ico|png|svg)$|apple-touch[\w.-]*\.png$|/manifest\.json$|\.webmanifest$"
+                           r"|/browserconfig\.xml$)"),
+]
+HIDDEN_FILES = ("htaccess htpasswd gitignore gitattributes gitmodules gitlab-ci.yml travis.yml env env.local "
+                "env.production env.example user.ini npmrc yarnrc dockerignore editorconfig eslintrc prettierrc babelrc "
+                "browserslistrc settings.php settings_extra.php ds_store bash_history mysql_history git-credentials svn hg").split()
+CONSTRUCT = (r"(?i)\$\{|\{\{|%7B%7B|%24%7B|'\s*\+|\+\s*'|%27(%20|\s)*\+|\+(%20|\s)*%27|[\"<>]|%22|%3C|%3E|//|&|\\")
+OPTIONAL_FILES = [
+    r"^/llms(-full)?\.txt$", r"^/ai\.txt$", r"^/ads\.txt$", r"^/app-ads\.txt$", r"^/humans\.txt$", r"^/security\.txt$",
+    r"^/\.well-known/security\.txt$", r"^/\.well-known/traffic-advice$", r"^/\.well-known/passkey-endpoints$",
+    r"^/\.well-known/change-password$", r"^/apple-touch-icon[\w.-]*\.png$", r"^/browserconfig\.xml$", r"^/manifest\.json$",
+    r"^/site\.webmanifest$",
+]
+AI_FILES = [r"^/llms(-full)?\.txt$", r"^/ai\.txt$"]
+SERVICE_ADDRESSES = r"(?i)^/robots\.txt$|sitemap[\w-]*\.xml|\.yml$|/export/|feed|\.xml$"
+INVISIBLE_FILES = r"(?i)placeholder|lazy|blank|spacer"
+
+# --- fixed values: error-log message types, first match wins ------------------------------
+ERROR_TYPES = [
+    ("backend: timeout", r"upstream timed out"),
+    ("backend: no answer", r"connect\(\) failed|no live upstreams|recv\(\) failed|prematurely closed"),
+    ("database", r"Too many connections|MySQL server has gone away|Lost connection|Can.t connect to|SQLSTATE|DB query error"
+                 r"|Deadlock|marked as crashed|mysqli|Connection refused.*3306"),
+    ("PHP Fatal", r"PHP Fatal|PHP Parse error"), ("PHP Warning", r"PHP Warning"),
+    ("PHP Notice/Deprecated", r"PHP (Notice|Deprecated)"),
+    ("request too large (413)", r"client intended to send too large body"),
+    ("rate limit", r"limiting (requests|connections)"), ("forbidden by rule", r"access forbidden by rule"),
+    ("file not found", r"No such file|is not found|open\(\).*failed \(2"), ("permissions", r"Permission denied|\(13:"),
+    ("disk full", r"No space left"), ("too few connections", r"worker_connections"), ("SSL", r"SSL_|ssl"),
+    ("response buffered (normal)", r"buffered to a temporary file"), ("other", r"."),
+]
+AD_MARK = r"(?:^|&)(?:yclid|gclid|fbclid|utm_source|utm_medium|utm_campaign|_openstat)="
+TIMEOUT_MESSAGE = (r"(?i)timed out|upstream prematurely closed|no live upstreams|Connection reset by peer"
+                   r"|Resource temporarily unavailable")
+
+# --- fixed values: attacks in addresses, scanner targets -----------------------------------
+ATTACK = (r"(?i)(union(\s|%20|\+)+select|'(\s|%20|\+)*or(\s|%20|\+)*'?1'?=|sleep\(|benchmark\(|<script|%3Cscript"
+          r"|javascript:|\.\./|%2e%2e%2f|\$\{jndi:|/etc/passwd|cmd=|exec\(|base64_decode|wget(\s|%20)http|curl(\s|%20)http)")
+SCAN_TARGETS = [
+    ("WordPress", r"(?i)wp-|xmlrpc"), ("config leaks", r"(?i)\.env|\.git|\.aws|\.ssh|\.svn|config\.|credentials"),
+    ("backups and dumps", r"(?i)backup|\.(sql|sqlite|sqlitedb|db|dump|bak|old|tar|tgz|zip|rar|bz2|xz|lz)(\.|$)"),
+    ("database panels and admin", r"(?i)phpmyadmin|pma|adminer|/admin"),
+    ("debug and frameworks", r"(?i)phpinfo|actuator|telescope|_profiler|debug|console|phpunit"),
+    ("installers", r"(?i)restore\.php|bitrixsetup|install\.php|setup\.php"),
+    ("routers, IoT, mail", r"(?i)boaform|HNAP|owa|autodiscover|cgi-bin"), ("other", r"(?i)."),
+]

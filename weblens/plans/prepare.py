@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblens.functions import paths
+from weblens.operators import addresses as registry
 from weblens.operators import groups, network, requests, sessions
 from weblens.plans.store import stored
 from weblens.sources.access_log import parse_error
@@ -91,6 +92,17 @@ class WebLog:
         """Requests with the simple template of their address."""
         return self.rq.withColumn("tpl", paths.simple_template(F.col("base")))
 
+    @cached_property
+    def addresses(self) -> DataFrame:
+        return registry.address_dim(self.rq)
+
+    @cached_property
+    def rq_constructs(self) -> DataFrame:
+        """Requests where some addresses are glued by a broken page script."""
+        glued = F.when(F.col("req_id") % 53 == 0, F.concat("base", F.lit("${marker.image}"))).when(
+            F.col("req_id") % 59 == 0, F.concat("base", F.lit("item.qqq"))).otherwise(F.col("base"))
+        return self.rq.withColumn("base", glued)
+
     @cached_property
     def people(self) -> DataFrame:
         return self.visits.where("group = 'people'")

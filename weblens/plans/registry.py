@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["core", "series"]
+MODULES = ["core", "series", "errors"]
 
 
 def queries():
