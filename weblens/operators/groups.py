@@ -18,9 +18,11 @@ def describe(visits: DataFrame, uas: DataFrame, ips: DataFrame) -> DataFrame:
     return rows.withColumn("fam_verified", C.family_verified(F.col("fam"), F.col("asn")))
 
 
-def _pair(group, subgroup):
-    sub = subgroup if not isinstance(subgroup, str) else F.lit(subgroup)
-    return F.struct(F.lit(group).alias("group"), sub.alias("subgroup"))
+# group and subgroup by rule, first match wins
+BASE_RULES = [
+    (fv.OWN, "staff"), (fv.OWN, "monitoring"), (fv.BOTS, "fake robots"), (fv.ROBOTS, "known"), (fv.ROBOTS, "unknown"),
+    (fv.BOTS, "explicit (not a browser)"), (fv.BOTS, "masked: loads no resources"), (fv.PEOPLE, ""),
+]
 
 
 def base_group(visits: DataFrame, staff_ips: DataFrame | None = None, rhythm_clients: DataFrame | None = None) -> DataFrame:
@@ -36,18 +38,12 @@ def base_group(visits: DataFrame, staff_ips: DataFrame | None = None, rhythm_cli
     declared = F.col("fam") != ""
     named = ~F.col("fam_cat").isin(fv.SCRIPT, fv.OTHER_BOTS)
     loads_nothing = (F.col("n_static") == 0) & (F.col("n_pages") >= 1) & (F.col("n_embedded") == 0)
-    verdict = (
-        F.when(staff, _pair(fv.OWN, "staff"))
-        .when(rhythm, _pair(fv.OWN, "monitoring"))
-        .when(declared & (F.col("fam_verified") == "no"), _pair(fv.BOTS, "fake robots"))
-        .when(declared & named, _pair(fv.ROBOTS, "known"))
-        .when(declared, _pair(fv.ROBOTS, "unknown"))
-        .when(~F.col("ua_browser") | (F.col("n_head") == F.col("n_req")), _pair(fv.BOTS, "explicit (not a browser)"))
-        .when(loads_nothing, _pair(fv.BOTS, "masked: loads no resources"))
-        .otherwise(_pair(fv.PEOPLE, ""))
-    )
-    return rows.withColumn("_g", verdict).withColumn("group", F.col("_g.group")).withColumn(
-        "subgroup", F.col("_g.subgroup")).drop("_g", "_staff", "_rhythm")
+    rule = (
+        F.when(staff, 0).when(rhythm, 1).when(declared & (F.col("fam_verified") == "no"), 2).when(declared & named, 3).when(declared, 4)
+        .when(~F.col("ua_browser") | (F.col("n_head") == F.col("n_req")), 5).when(loads_nothing, 6).otherwise(7))
+    rows = rows.withColumn("_rule", rule)
+    return rows.withColumn("group", C.pick(F.col("_rule"), [g for g, _ in BASE_RULES])).withColumn(
+        "subgroup", C.pick(F.col("_rule"), [s for _, s in BASE_RULES])).drop("_rule", "_staff", "_rhythm")
 
 
 def monitor_addresses(rq: DataFrame, uas: DataFrame) -> DataFrame:
@@ -72,14 +68,9 @@ def regroup(visits: DataFrame, addresses: DataFrame, probing_clients: DataFrame
     script = (F.col("fam_cat") == fv.SCRIPT) & (F.col("fam") != "") & group.isin(fv.ROBOTS, fv.UTILITIES)
     util = F.when(F.col("fam") == "Scripts: other", C.product_name(F.col("ua"))).otherwise(F.col("fam"))
     name = F.coalesce("monitor_name", C.product_name(F.col("ua")))
-    verdict = (
-        F.when(spy, _pair(fv.BOTS, "scheduled recon"))
-        .when(by_name & few, _pair(fv.MONITORS, name))
-        .when(rhythm, _pair(fv.MONITORS, F.when(by_name, name).otherwise("unnamed monitoring")))
-        .when(by_name, _pair(fv.BOTS, "poses as monitoring"))
-        .when(no_ua, _pair(fv.BOTS, "no user agent"))
-        .when(script, _pair(fv.UTILITIES, util))
-        .otherwise(F.struct(group.alias("group"), sub.alias("subgroup")))
-    )
-    return rows.withColumn("_g", verdict).withColumn("group", F.col("_g.group")).withColumn(
-        "subgroup", F.col("_g.subgroup")).drop("_g", "_probing", "n_addr")
+    rule = (F.when(spy, 0).when(by_name & few, 1).when(rhythm & by_name, 2).when(rhythm, 3).when(by_name, 4).when(no_ua, 5).when(script, 6).otherwise(7))
+    rows, no = rows.withColumn("_rule", rule), F.col("_rule")
+    new_group = F.coalesce(C.pick(no, [fv.BOTS, fv.MONITORS, fv.MONITORS, fv.MONITORS, fv.BOTS, fv.BOTS, fv.UTILITIES, None]), group)
+    new_sub = (F.when(no == 0, "scheduled recon").when(no.isin(1, 2), name).when(no == 3, "unnamed monitoring").when(no == 4, "poses as monitoring")
+               .when(no == 5, "no user agent").when(no == 6, util).otherwise(sub))
+    return rows.withColumn("subgroup", new_sub).withColumn("group", new_group).drop("_rule", "_probing", "n_addr")

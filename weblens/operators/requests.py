@@ -30,14 +30,14 @@ def ua_dim(clients: DataFrame) -> DataFrame:
     The ordered family patterns run once per distinct user agent, not per request.
     """
     ua = F.col("ua")
-    dim = clients.select("ua").distinct().withColumn("_f", C.robot_family(ua))
-    old = ua.rlike(fv.UA_OLD)
+    fams = [("", ""), *[(f, c) for _, f, c in fv.ROBOT_FAMILIES]]
+    dim = clients.select("ua").distinct().withColumn("_no", C.robot_family_no(ua)).withColumn("ua_old", ua.rlike(fv.UA_OLD))
     return dim.select(
         "ua",
-        F.col("_f.fam").alias("fam"),
-        F.col("_f.fam_cat").alias("fam_cat"),
-        (ua.rlike(fv.UA_BROWSER) & ~ua.rlike(fv.UA_NOT_BROWSER) & ~old & (F.col("_f.fam") == "")).alias("ua_browser"),
-        old.alias("ua_old"),
+        C.pick(F.col("_no"), [f for f, _ in fams]).alias("fam"),
+        C.pick(F.col("_no"), [c for _, c in fams]).alias("fam_cat"),
+        (ua.rlike(fv.UA_BROWSER) & ~ua.rlike(fv.UA_NOT_BROWSER) & ~F.col("ua_old") & (F.col("_no") == 0)).alias("ua_browser"),
+        "ua_old",
         ua.rlike(fv.UA_MOBILE).alias("ua_mobile"),
         ua.rlike(fv.UA_WEBVIEW).alias("ua_webview"),
         C.monitor_name(ua).alias("monitor_name"),

@@ -107,9 +107,9 @@ def fold_visits(slots: DataFrame, gap: int = fv.VISIT_GAP) -> DataFrame:
         .withColumn("day", C.log_day(F.col("start")))
         .withColumn("hour", C.log_hour(F.col("start")))
         .withColumn("weekday", F.pmod(F.floor(F.col("start") / 86400) + 3, F.lit(7)).cast("int"))
-        .withColumn("_c", C.channel(F.col("entry_ref_host"), F.col("entry_ref_internal"), F.col("entry_query"), F.col("entry_ref")))
-        .withColumn("channel", F.col("_c.channel"))
-        .withColumn("channel_sub", F.col("_c.channel_sub"))
+        .withColumn("_c", C.channel_no(F.col("entry_ref_host"), F.col("entry_ref_internal"), F.col("entry_query"), F.col("entry_ref")))
+        .withColumn("channel", C.pick(F.col("_c"), C.CHANNELS))
+        .withColumn("channel_sub", C.channel_source(F.col("_c"), F.col("entry_ref_host"), F.col("entry_query")))
         .drop("_c", "_any", "_page")
     )
 

@@ -41,15 +41,27 @@ class WebLog:
         return _PREPARED[key]
 
     def store(self) -> "WebLog":
-        """Write requests, visits and requests-with-visit; later tables read them."""
+        """Write requests, the dimensions, visits and requests-with-visit; later tables read them.
+
+        The dimensions are cut too: a filter on them would otherwise be pushed below
+        their distinct and run the patterns on every request.
+        """
         self.log = stored(self.spark, self.log, "log")
+        self.ua_dim = stored(self.spark, self.ua_dim, "user-agents")
+        self.ip_dim = stored(self.spark, self.ip_dim, "ips")
+        self.visits_raw = stored(self.spark, self.visits_raw, "visits-raw")
         self.visits = stored(self.spark, self.visits, "visits")
         self.rq = stored(self.spark, self.rq, "requests")
+        self.addresses = stored(self.spark, self.addresses, "addresses")
+        if self.error_lines is not None:
+            self.error_log = stored(self.spark, self.error_log, "errors")
         return self
 
     @classmethod
     def from_events(cls, spark: SparkSession, sf_dir: str) -> "WebLog":
         events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        if len(events.inputFiles()) < spark.sparkContext.defaultParallelism:  # a few small files: use every core
+            events = events.repartition(spark.sparkContext.defaultParallelism)
         ranges = spark.createDataFrame(EVENT_LOG_RANGES, "range_start long, range_end long, asn int, org string, cc string")
         return cls(spark, requests_from_events(events), ranges, SITE_HOSTS, error_lines_from_events(events))
 
@@ -103,6 +115,10 @@ class WebLog:
             F.col("req_id") % 59 == 0, F.concat("base", F.lit("item.qqq"))).otherwise(F.col("base"))
         return self.rq.withColumn("base", glued)
 
+    @cached_property
+    def construct_addresses(self) -> DataFrame:
+        return stored(self.spark, registry.address_dim(self.rq_constructs), "construct-addresses")
+
     @cached_property
     def people(self) -> DataFrame:
         return self.visits.where("group = 'people'")

@@ -17,7 +17,7 @@ QUERIES = {
     "p08_address_form": _log(lambda w: A.address_form(w.log)),
     "p09_address_registry": _log(_dim),
     "p10_probe_addresses": _log(lambda w: A.probe_addresses(_dim(w))),
-    "p12_constructs": _log(lambda w: A.constructs(w.rq_constructs, A.address_dim(w.rq_constructs)).drop("last_day")),
+    "p12_constructs": _log(lambda w: A.constructs(w.rq_constructs, w.construct_addresses).drop("last_day")),
     "p22_error_types": _log(lambda w: w.error_log.select("line_no", E.errlog_type(F.col("msg")).alias("type"))),
     "p25_owner_origin_state": _log(lambda w: w.rq.groupBy(
         E.who().alias("who"), E.origin().alias("origin"), E.state(F.col("status")).alias("state")).agg(F.count(F.lit(1)).alias("n"))),
@@ -45,7 +45,7 @@ QUERIES = {
     "a23_error_journal": _log(lambda w: E.error_journal(w.rq)),
     "a23_error_summary": _log(lambda w: E.error_summary(w.rq)),
     "a24_slowness": _log(lambda w: E.slowness(w.rq, w.error_log, 1).fillna(-1, ["aborted_pct"])),
-    "a75_unknown_extensions": _log(lambda w: A.unknown_extensions(A.address_dim(w.rq_constructs))),
+    "a75_unknown_extensions": _log(lambda w: A.unknown_extensions(w.construct_addresses)),
     "j23_slash_twins": _log(lambda w: E.slash_twins(w.rq)),
     "k02_top_values": _log(lambda w: ranking.top_values(w.rq, ["group"], F.col("base"), "top_pages", 5)),
     "k04_code_rollup": _log(lambda w: ranking.code_rollup(w.rq, ["base"])),

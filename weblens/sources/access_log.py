@@ -16,6 +16,7 @@ from weblens.functions import columns as C
 _HEAD = (r'^\uFEFF?(\S+) \S+ (\S+)(?: ([A-Za-z0-9.:-]+))? \[(\d\d/\w\w\w/\d{4}:\d\d:\d\d:\d\d) ([+-]\d{4})\] "(.*?)" (\d{3}) (\d+|-)')
 COMBINED = _HEAD + r' "(.*?)" "(.*?)"(.*)$'
 COMMON = _HEAD + r"\s*$"
+ACCESS = _HEAD + r'(?: "(.*?)" "(.*?)"(.*)|\s*)$'  # either of the two
 NGINX_ERROR = r"^\uFEFF?(\d{4}/\d\d/\d\d \d\d:\d\d:\d\d) \[(\w+)\] \d+#\d+: (?:\*\d+ )?(.*)$"
 APACHE_ERROR = r"^\uFEFF?\[\w{3} (\w{3} \d\d \d\d:\d\d:\d\d)(?:\.\d+)? (\d{4})\] \[([\w:]+)\] (.*)$"
 SITE_IN_NAME = r"(?i)((?:[a-z0-9-]+\.)+[a-z]{2,})(?=[._-](?:access|error|ssl))"
@@ -60,24 +61,22 @@ def _log_time(text: Column, fmt: str) -> Column:
 
 def parse_access(lines: DataFrame) -> DataFrame:
     """Access lines (``line`` plus any other columns) to request columns; lines of other formats are dropped."""
-    line = F.col("line")
-    combined = line.rlike(COMBINED)
-    part = lambda i: F.when(combined, F.regexp_extract(line, COMBINED, i)).otherwise(F.regexp_extract(line, COMMON, i) if i < 9 else F.lit(""))
-    fields = F.struct(*[part(i).alias(f"g{i}") for i in range(1, 12)])
-    rows = lines.where(combined | line.rlike(COMMON)).withColumn("_f", fields)
-    request = F.split("_f.g6", " ")
+    parts = F.split(F.regexp_replace("line", ACCESS, "\u0001".join(f"${i}" for i in range(1, 12))), "\u0001")
+    rows = lines.withColumn("_f", F.explode(F.when(F.size(parts) == 11, F.array(parts))))
+    field = lambda i: F.col("_f")[i - 1]
+    request = F.split(field(6), " ")
     words = F.size(request)
-    url = F.when(words.isin(2, 3), request[1]).otherwise(F.substring("_f.g6", 1, 300))
-    rows = rows.withColumn("_url", F.split(url, r"\?", 2)).withColumn("ts", _log_time(F.col("_f.g4"), "dd/MMM/yyyy:HH:mm:ss"))
+    url = F.when(words.isin(2, 3), request[1]).otherwise(F.substring(field(6), 1, 300))
+    rows = rows.withColumn("_url", F.split(url, r"\?", 2)).withColumn("ts", _log_time(field(4), "dd/MMM/yyyy:HH:mm:ss"))
     cut = lambda c, name: F.substring(c, 1, LIMITS[name]).alias(name)
     keep = [c for c in lines.columns if c != "line"]
     return rows.where(F.col("ts").isNotNull()).select(
-        *keep, "ts", F.col("_f.g5").alias("tz_offset"), F.col("_f.g1").alias("ip"), F.col("_f.g2").alias("user"),
-        F.lower("_f.g3").alias("vhost"), cut(F.when(words.isin(2, 3), request[0]).otherwise("-"), "method"),
+        *keep, "ts", field(5).alias("tz_offset"), field(1).alias("ip"), field(2).alias("user"),
+        F.lower(field(3)).alias("vhost"), cut(F.when(words.isin(2, 3), request[0]).otherwise("-"), "method"),
         cut(F.col("_url")[0], "base"), cut(F.coalesce(F.try_element_at("_url", F.lit(2)), F.lit("")), "query"),
-        cut(F.when(words == 3, request[2]).otherwise(""), "proto"), F.col("_f.g7").cast("int").alias("status"),
-        F.when(F.col("_f.g8") == "-", 0).otherwise(F.col("_f.g8").try_cast("long")).alias("bytes"),
-        cut(F.col("_f.g9"), "ref"), cut(F.col("_f.g10"), "ua"), cut(F.trim("_f.g11"), "tail"))
+        cut(F.when(words == 3, request[2]).otherwise(""), "proto"), field(7).cast("int").alias("status"),
+        F.when(field(8) == "-", 0).otherwise(field(8).try_cast("long")).alias("bytes"),
+        cut(field(9), "ref"), cut(field(10), "ua"), cut(F.trim(field(11)), "tail"))
 
 
 def parse_error(lines: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ The SELECT list is plain ANSI SQL and grows linearly with ``events``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 # (step, seconds after the event)
@@ -103,6 +105,11 @@ def requests_from_events(events: DataFrame) -> DataFrame:
     return base.where(CONDITION).selectExpr(*_split_top_level(SELECT_LIST))
 
 
+def _spark(text: str) -> str:
+    """ANSI VARCHAR(n) casts as Spark strings."""
+    return re.sub(r"VARCHAR\(\d+\)", "STRING", text)
+
+
 def _timed(events: DataFrame) -> DataFrame:
     raw = events.selectExpr("*", "unix_timestamp(CAST(ts AS TIMESTAMP)) AS t_raw")
     return raw.selectExpr("event_id", "user_id", "event_type", "value", f"{T0} AS t0")
@@ -111,7 +118,7 @@ def _timed(events: DataFrame) -> DataFrame:
 def _split_top_level(select_list: str) -> list[str]:
     """Split a SELECT list at commas outside brackets and quotes, for selectExpr."""
     items, depth, quoted, current = [], 0, False, ""
-    for ch in select_list:
+    for ch in _spark(select_list):
         quoted ^= ch == "'"
         depth += 0 if quoted else {"(": 1, ")": -1}.get(ch, 0)
         if ch == "," and depth == 0 and not quoted:
@@ -125,4 +132,4 @@ def _split_top_level(select_list: str) -> list[str]:
 def error_lines_from_events(events: DataFrame) -> DataFrame:
     """nginx error-log lines, one per 'error' event."""
     lines = _timed(events.where("event_type = 'error'")).selectExpr("*", "timestamp_seconds(t0) AS lt")
-    return lines.selectExpr("event_id AS line_no", f"{ERROR_LINE} AS line")
+    return lines.selectExpr("event_id AS line_no", f"{_spark(ERROR_LINE)} AS line")
