@@ -21,7 +21,7 @@ SQL = {
     "w01_sessionize": sql("sessions", "SELECT req_id, vid FROM rq"),
     "w02_w03_page_flags": sql("sessions", "SELECT req_id, is_dup, is_redirect_hop, is_page FROM rq"),
     "w05_p13_visits": sql("visits", """SELECT vid, ip, ua, host_site, "start", "end", n_req, n_pages, n_pages_raw, n_dup, n_redirect, n_static, bytes, n_post, n_head,
-        n_err4, n_err5, dur, entry, entry_query, entry_status, entry_ref, entry_ref_host, entry_ref_internal, channel, channel_sub, day, hour, weekday FROM vs"""),
+        n_err4, n_err5, n_goal, n_conv, dur, entry, entry_query, entry_status, entry_ref, entry_ref_host, entry_ref_internal, channel, channel_sub, day, hour, weekday FROM vs"""),
     "w06_returning": sql("visits", """, f AS (SELECT ip, "start" > min("start") OVER (PARTITION BY ip) AS is_returning FROM vs)
         SELECT is_returning, count(*) AS visits, count(DISTINCT ip) AS ips FROM f GROUP BY 1"""),
     "r01_r02_groups": sql("visits", 'SELECT vid, "group", subgroup, fam_verified, nettype FROM vs'),
@@ -35,7 +35,7 @@ SQL = {
     "j04_requests_by_group": sql("grouped", 'SELECT "group", subgroup, channel, count(*) AS requests, CAST(sum(bytes) AS BIGINT) AS bytes FROM rg GROUP BY 1,2,3'),
     "a01_group_totals": sql("visits", """SELECT "group", subgroup, count(*) AS visits, count(DISTINCT ip) AS ips, CAST(sum(n_req) AS BIGINT) AS requests,
         CAST(sum(bytes) AS BIGINT) AS bytes FROM vs GROUP BY 1,2"""),
-    "a02_daily_activity": sql("visits", f", x AS (SELECT *, 0 AS n_goal FROM vs) SELECT day, {_daily} FROM x GROUP BY GROUPING SETS ((day), ())"),
-    "a03_channels": sql("visits", """SELECT channel, count(*) AS visits, count(DISTINCT ip) AS ips, CAST(0 AS BIGINT) AS leads,
-        round(count(*) / sum(count(*)) OVER (), 6) AS share, CAST(0 AS DOUBLE) AS conversion FROM vs WHERE "group"='people' GROUP BY channel"""),
+    "a02_daily_activity": sql("visits", f"SELECT day, {_daily} FROM vs GROUP BY GROUPING SETS ((day), ())"),
+    "a03_channels": sql("visits", """SELECT channel, count(*) AS visits, count(DISTINCT ip) AS ips, CAST(sum(n_goal) AS BIGINT) AS leads,
+        round(count(*) / sum(count(*)) OVER (), 6) AS share, round(sum(n_goal)/count(*),6) AS conversion FROM vs WHERE "group"='people' GROUP BY channel"""),
 }

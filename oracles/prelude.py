@@ -5,6 +5,7 @@ window per client instead of time slots, lookups are plain SQL joins.
 """
 
 from weblens.functions import fixed_values as fv
+from weblens.operators.goals import FORM_HINT, FORM_NAME, RULE_200, RULE_3XX
 from weblens.sources.event_log import CONDITION, ERROR_LINE, SELECT_LIST, STEPS, T0
 
 
@@ -53,6 +54,18 @@ rf AS (SELECT r.*, ext IN {_static} AS is_static,
   method IN ('GET','HEAD') AND NOT (ext IN {_static}) AS page_raw
   FROM rf0 r)"""
 
+SEGMENT = """CASE WHEN regexp_full_match(s,'\\d+|[0-9a-fA-F]{16,}|[0-9a-fA-F-]{32,36}') THEN '*' WHEN regexp_full_match(s,'[A-Za-z_-]{1,8}\\d+[A-Za-z]?') THEN regexp_replace(s,'\\d+[A-Za-z]?$','*') ELSE s END"""
+TPL = f"array_to_string([{SEGMENT} FOR s IN string_split(base,'/')], '/')"
+
+GOALS = f"""
+gp AS (SELECT rf.*, concat({TPL}, CASE WHEN regexp_matches(query, {lit(FORM_NAME)}) THEN concat('?form=', regexp_extract(query, {lit(FORM_NAME)}, 1)) ELSE '' END) AS gkey FROM rf WHERE method='POST' AND ref_internal),
+gg AS (SELECT gkey, count(*) AS posts, count(DISTINCT ip) AS ips, count_if(status BETWEEN 200 AND 399)/count(*) AS oks, count_if(status IN (302,303)) AS r3, count_if(status IN (301,308))/count(*) AS r301, min(ts) AS first_ts, max(ts) AS last_ts
+  FROM gp JOIN ua_dim USING (ua) WHERE ua_browser GROUP BY gkey HAVING count(*)>=3),
+goals AS (SELECT gkey, posts, ips, first_ts, last_ts, CASE WHEN oks<0.5 THEN 'no goal: does not accept POST' WHEN r301>=0.5 THEN 'no goal: redirected (301)'
+  WHEN r3>=greatest(2,0.1*posts) AND (regexp_matches(gkey,{lit(FORM_HINT)}) OR (ends_with(gkey,'.php') AND r3>=0.3*posts AND ips>=5)) THEN {lit(RULE_3XX)}
+  WHEN regexp_matches(gkey,{lit(FORM_HINT)}) THEN {lit(RULE_200)} ELSE 'no goal: background address' END AS rule FROM gg),
+gr_ AS (SELECT gp.req_id AS grid, gp.gkey AS goal, CASE WHEN rule={lit(RULE_3XX)} THEN status IN (302,303) ELSE status=200 END AS goal_success FROM gp JOIN goals USING (gkey) WHERE rule LIKE 'goal%' AND host_site)"""
+
 SESSIONS = """
 se0 AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY ip, ua, host_site ORDER BY ts, req_id) <= 1800 THEN 0 ELSE 1 END AS is_new FROM rf),
 se1 AS (SELECT *, sum(is_new) OVER (PARTITION BY ip, ua, host_site ORDER BY ts, req_id) AS visit_no FROM se0),
@@ -62,15 +75,15 @@ pg AS (SELECT req_id AS rid, ts - lag(ts) OVER w <= 5 AND lag(base) OVER w = bas
   FROM se WHERE page_raw WINDOW w AS (PARTITION BY ip, ua, host_site, visit_no ORDER BY ts, req_id)),
 rq AS (SELECT se.* EXCLUDE (is_new, visit_no, rp), md5(concat_ws('|', ip, ua, CASE WHEN host_site THEN 'true' ELSE 'false' END, CAST(vstart AS VARCHAR))) AS vid,
   page_raw AND coalesce(dup, false) AS is_dup, page_raw AND coalesce(red, false) AS is_redirect_hop,
-  page_raw AND NOT coalesce(dup, false) AND NOT coalesce(red, false) AS is_page
-  FROM se LEFT JOIN pg ON se.req_id = pg.rid)"""
+  page_raw AND NOT coalesce(dup, false) AND NOT coalesce(red, false) AS is_page, coalesce(goal,'') AS goal, coalesce(goal_success,false) AS goal_success
+  FROM se LEFT JOIN pg ON se.req_id = pg.rid LEFT JOIN gr_ ON se.req_id = gr_.grid)"""
 
 _hi = lambda c: f"coalesce({c}, 0)"
 VISITS0 = """
 vf AS (SELECT vid, ip, ua, host_site, min(ts) AS "start", max(ts) AS "end", count(*) AS n_req, count_if(is_page) AS n_pages,
   count_if(is_page)+count_if(is_dup)+count_if(is_redirect_hop) AS n_pages_raw, count_if(is_dup) AS n_dup, count_if(is_redirect_hop) AS n_redirect,
   count_if(is_static) AS n_static, CAST(sum(bytes) AS BIGINT) AS bytes, count_if(method='POST') AS n_post, count_if(method='HEAD') AS n_head,
-  count_if(status BETWEEN 400 AND 499) AS n_err4, count_if(status>=500) AS n_err5, max(ts)-min(ts) AS dur,
+  count_if(status BETWEEN 400 AND 499) AS n_err4, count_if(status>=500) AS n_err5, count_if(goal<>'') AS n_goal, count_if(goal_success) AS n_conv, max(ts)-min(ts) AS dur,
   min(ts*1000000000+req_id) AS first_any, min(ts*1000000000+req_id) FILTER (WHERE is_page) AS first_page
   FROM rq GROUP BY vid, ip, ua, host_site),
 ve AS (SELECT vf.*, r.base AS entry, r.query AS entry_query, r.status AS entry_status, r.ref AS entry_ref, r.ref_host AS entry_ref_host, r.ref_internal AS entry_ref_internal
@@ -139,8 +152,6 @@ vs AS (SELECT vm.* EXCLUDE (grp, sub, mon_name, by_name, n_addr, first_any, firs
    WHEN fam_cat={lit(fv.SCRIPT)} AND grp='robots' THEN fam ELSE sub END AS subgroup
   FROM vm)"""
 
-SEGMENT = """CASE WHEN regexp_full_match(s,'\\d+|[0-9a-fA-F]{16,}|[0-9a-fA-F-]{32,36}') THEN '*' WHEN regexp_full_match(s,'[A-Za-z_-]{1,8}\\d+[A-Za-z]?') THEN regexp_replace(s,'\\d+[A-Za-z]?$','*') ELSE s END"""
-TPL = f"array_to_string([{SEGMENT} FOR s IN string_split(base,'/')], '/')"
 FIELDS = f"""
 rg0 AS (SELECT rq.*, vs."group", vs.subgroup, vs.channel, vs.fam, vs.fam_cat, vs.fam_verified, vs.ua_browser, vs.asn, vs.cc, vs.nettype FROM rq JOIN vs USING (vid)),
 rg AS (SELECT *, {TPL} AS tpl FROM rg0)"""
@@ -149,9 +160,9 @@ rg AS (SELECT *, {TPL} AS tpl FROM rg0)"""
 STAGES = {
     "requests": [REQUESTS],
     "features": [REQUESTS, FEATURES],
-    "sessions": [REQUESTS, FEATURES, SESSIONS],
-    "visits": [REQUESTS, UA, FEATURES, SESSIONS, VISITS0, IP_DIM, VISITS],
-    "grouped": [REQUESTS, UA, FEATURES, SESSIONS, VISITS0, IP_DIM, VISITS, FIELDS],
+    "sessions": [REQUESTS, UA, FEATURES, GOALS, SESSIONS],
+    "visits": [REQUESTS, UA, FEATURES, GOALS, SESSIONS, VISITS0, IP_DIM, VISITS],
+    "grouped": [REQUESTS, UA, FEATURES, GOALS, SESSIONS, VISITS0, IP_DIM, VISITS, FIELDS],
 }
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["core", "series", "errors"]
+MODULES = ["core", "series", "errors", "marketing"]
 
 
 def oracle_sql():

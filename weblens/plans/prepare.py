@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weblens.functions import paths
 from weblens.operators import addresses as registry
+from weblens.operators import goals as form_goals
 from weblens.operators import groups, network, requests, sessions
 from weblens.plans.store import stored
 from weblens.sources.access_log import parse_error
@@ -49,6 +50,7 @@ class WebLog:
         self.log = stored(self.spark, self.log, "log")
         self.ua_dim = stored(self.spark, self.ua_dim, "user-agents")
         self.ip_dim = stored(self.spark, self.ip_dim, "ips")
+        self.goals = stored(self.spark, self.goals, "goals")
         self.visits_raw = stored(self.spark, self.visits_raw, "visits-raw")
         self.visits = stored(self.spark, self.visits, "visits")
         self.rq = stored(self.spark, self.rq, "requests")
@@ -80,7 +82,11 @@ class WebLog:
     @cached_property
     def marked(self) -> DataFrame:
         """Requests with cleaned page flags."""
-        return sessions.mark_pages(self.features)
+        return sessions.mark_pages(form_goals.mark_goals(self.features, self.goals))
+
+    @cached_property
+    def goals(self) -> DataFrame:
+        return form_goals.form_goals(self.features, self.ua_dim)
 
     @cached_property
     def visits_raw(self) -> DataFrame:

@@ -38,7 +38,7 @@ QUERIES = {
     "p18_impossible_ua": _log(lambda w: w.ua_dim.select("ua", C.impossible_ua(F.col("ua"), F.lit(2024)).alias("impossible"))),
     "w01_sessionize": _log(lambda w: sessions.with_visit(w.marked, w.visits_raw).select("req_id", "vid")),
     "w02_w03_page_flags": _log(lambda w: w.marked.select("req_id", "is_dup", "is_redirect_hop", "is_page")),
-    "w05_p13_visits": _log(lambda w: w.visits_raw.drop("n_embedded", "n_goal", "n_conv")),
+    "w05_p13_visits": _log(lambda w: w.visits_raw.drop("n_embedded")),
     "w06_returning": _log(lambda w: sessions.returning(w.visits_raw).groupBy("is_returning").agg(
         F.count(F.lit(1)).alias("visits"), F.count_distinct("ip").alias("ips"))),
     "r01_r02_groups": _log(lambda w: w.visits.select("vid", "group", "subgroup", "fam_verified", "nettype")),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["core", "series", "errors"]
+MODULES = ["core", "series", "errors", "marketing"]
 
 
 def queries():
