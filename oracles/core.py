@@ -12,8 +12,7 @@ SQL = {
     "p01_p02_p05_request_features": sql("features", """SELECT req_id, ext, is_static, ref_host, ref_internal, ref_path, host_site, day, hour,
         regexp_extract(base, '^(/[^/?]*/?)', 1) AS section FROM rf"""),
     "p03_p04_user_agents": f"WITH {REQUESTS},{UA} SELECT ua, fam, fam_cat, ua_browser, ua_old, ua_mobile, ua_webview FROM ua_dim",
-    "p17_j01_ip_networks": f"""WITH {REQUESTS},{IP_DIM} SELECT d.ip, d.asn, d.org, d.cc, d.nettype, coalesce(r.range_start, -1) AS net_first, coalesce(r.range_end, -1) AS net_last
-        FROM ip_dim d LEFT JOIN ip_ranges r ON d.asn = r.asn AND d.org = r.org""",
+    "p17_j01_ip_networks": f"WITH {REQUESTS},{IP_DIM} SELECT ip, asn, org, cc, nettype, net_first, net_last FROM ip_dim",
     "p18_impossible_ua": f"""WITH {REQUESTS} SELECT ua, regexp_matches(ua, 'Windows 9[58]|Win 9x|Windows NT 4\\.0')
         OR coalesce(TRY_CAST(nullif(regexp_extract(ua, '(?:iPhone|CPU) OS (\\d+)_', 1),'') AS INT) < 7, false)
         OR coalesce(TRY_CAST(nullif(regexp_extract(ua, 'Gecko/(20\\d\\d)\\d\\d\\d\\d\\b', 1),'') AS INT) > 2024, false) AS impossible

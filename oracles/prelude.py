@@ -118,10 +118,10 @@ def channel_sql(h, internal, q, ref):
 RANGES = """
 ip_ranges AS (SELECT * FROM (VALUES
   (167772160,167837695,13238,'YANDEX LLC','RU'), (167837696,167903231,15169,'Google LLC','US'), (167903232,167968767,8359,'MTS PJSC','RU'),
-  (167968768,168034303,24940,'Hetzner Online GmbH','DE'), (168034304,168034403,25513,'MGTS','RU'), (168034404,168034450,64500,'Example Access','KZ')) AS x(range_start, range_end, asn, org, cc))"""
+  (167968768,168034303,24940,'Hetzner Online GmbH','DE'), (168034304,168034403,15169,'Google LLC','US'), (168034404,168034450,13238,'YANDEX LLC','RU')) AS x(range_start, range_end, asn, org, cc))"""
 
 IP_DIM = f"""{RANGES},
-ip_dim AS (SELECT i.ip, coalesce(r.asn,0) AS asn, coalesce(r.org,'') AS org, coalesce(r.cc,'') AS cc,
+ip_dim AS (SELECT i.ip, coalesce(r.asn,0) AS asn, coalesce(r.org,'') AS org, coalesce(r.cc,'') AS cc, coalesce(r.range_start,-1) AS net_first, coalesce(r.range_end,-1) AS net_last,
   CASE WHEN coalesce(r.asn,0)=0 THEN {lit(fv.NET_UNKNOWN)} WHEN r.asn IN {in_list(fv.RELAY_ASN)} THEN {lit(fv.NET_RELAY)} WHEN r.asn IN {in_list(fv.MOBILE_ASN)} THEN {lit(fv.NET_MOBILE)}
    WHEN regexp_matches(r.org, {lit(fv.BANK_ORG)}) THEN {lit(fv.NET_BANK)} WHEN r.asn={fv.YANDEX_ASN} THEN {lit(fv.NET_YANDEX)}
    WHEN r.asn IN {in_list(fv.CLOUD_ASN)} OR regexp_matches(r.org, {lit(fv.HOSTING_ORG)}) THEN CASE WHEN r.org<>'' THEN concat({lit(fv.NET_DC + ' (')}, r.org, ')') ELSE {lit(fv.NET_DC)} END

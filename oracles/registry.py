@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["core", "series", "errors", "marketing"]
+MODULES = ["core", "series", "errors", "marketing", "security"]
 
 
 def oracle_sql():

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblens.functions import paths
+from weblens.marts import security
 from weblens.operators import addresses as registry
 from weblens.operators import goals as form_goals
 from weblens.operators import groups, network, requests, sessions
@@ -20,7 +21,7 @@ SITE_HOSTS = ["site.ru"]
 EVENT_LOG_RANGES = [
     (167772160, 167837695, 13238, "YANDEX LLC", "RU"), (167837696, 167903231, 15169, "Google LLC", "US"),
     (167903232, 167968767, 8359, "MTS PJSC", "RU"), (167968768, 168034303, 24940, "Hetzner Online GmbH", "DE"),
-    (168034304, 168034403, 25513, "MGTS", "RU"), (168034404, 168034450, 64500, "Example Access", "KZ"),
+    (168034304, 168034403, 15169, "Google LLC", "US"), (168034404, 168034450, 13238, "YANDEX LLC", "RU"),
 ]
 VISIT_ATTRIBUTES = ["group", "subgroup", "channel", "fam", "fam_cat", "fam_verified", "ua_browser", "asn", "cc", "nettype"]
 
@@ -30,6 +31,8 @@ _PREPARED: dict = {}
 class WebLog:
     """Lazy tables of one log: every property is a DataFrame, nothing runs until an action."""
 
+    admin = r"^/admin/"
+
     def __init__(self, spark: SparkSession, log: DataFrame, ranges: DataFrame, site_hosts=SITE_HOSTS, error_lines: DataFrame | None = None):
         self.spark, self.log, self.ranges, self.site_hosts, self.error_lines = spark, log, ranges, list(site_hosts), error_lines
 
@@ -121,6 +124,19 @@ class WebLog:
             F.col("req_id") % 59 == 0, F.concat("base", F.lit("item.qqq"))).otherwise(F.col("base"))
         return self.rq.withColumn("base", glued)
 
+    @cached_property
+    def probes(self) -> DataFrame:
+        """Addresses that count as probes on every table."""
+        return registry.probe_addresses(self.addresses)
+
+    @cached_property
+    def staff(self) -> DataFrame:
+        return security.staff_ips(self.rq, self.admin)
+
+    @cached_property
+    def rq_attacks(self) -> DataFrame:
+        return security.with_attack(self.rq, self.site_hosts)
+
     @cached_property
     def construct_addresses(self) -> DataFrame:
         return stored(self.spark, registry.address_dim(self.rq_constructs), "construct-addresses")

