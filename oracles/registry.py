@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["core", "series", "errors", "marketing", "security"]
+MODULES = ["core", "series", "errors", "marketing", "security", "rules"]
 
 
 def oracle_sql():

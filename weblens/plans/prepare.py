@@ -13,6 +13,7 @@ from weblens.operators import addresses as registry
 from weblens.operators import goals as form_goals
 from weblens.operators import groups, network, requests, sessions
 from weblens.plans.store import stored
+from weblens.rules import scanners
 from weblens.sources.access_log import parse_error
 from weblens.sources.event_log import error_lines_from_events, requests_from_events
 
@@ -129,6 +130,10 @@ class WebLog:
         """Addresses that count as probes on every table."""
         return registry.probe_addresses(self.addresses)
 
+    @cached_property
+    def probe_strength(self) -> DataFrame:
+        return stored(self.spark, scanners.probe_dim(self.addresses), "probe-strength")
+
     @cached_property
     def staff(self) -> DataFrame:
         return security.staff_ips(self.rq, self.admin)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["core", "series", "errors", "marketing", "security"]
+MODULES = ["core", "series", "errors", "marketing", "security", "rules"]
 
 
 def queries():

