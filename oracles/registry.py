@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["core", "series", "errors", "marketing", "security", "rules"]
+MODULES = ["core", "series", "errors", "marketing", "security", "rules", "cases"]
 
 
 def oracle_sql():

@@ -11,7 +11,7 @@ from weblens.functions import paths
 from weblens.marts import security
 from weblens.operators import addresses as registry
 from weblens.operators import goals as form_goals
-from weblens.operators import groups, network, requests, sessions
+from weblens.operators import groups, network, requests, series, sessions
 from weblens.plans.store import stored
 from weblens.rules import scanners
 from weblens.sources.access_log import parse_error
@@ -130,13 +130,27 @@ class WebLog:
         """Addresses that count as probes on every table."""
         return registry.probe_addresses(self.addresses)
 
+    @cached_property
+    def outages(self) -> DataFrame:
+        return stored(self.spark, series.outages(self.rq, self.error_log), "outages")
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        from weblens.plans.queries_cases import _findings
+        return stored(self.spark, _findings(self), "findings")
+
+    @cached_property
+    def cases(self) -> DataFrame:
+        from weblens.plans.queries_cases import _cases
+        return stored(self.spark, _cases(self), "cases")
+
     @cached_property
     def probe_strength(self) -> DataFrame:
         return stored(self.spark, scanners.probe_dim(self.addresses), "probe-strength")
 
     @cached_property
     def staff(self) -> DataFrame:
-        return security.staff_ips(self.rq, self.admin)
+        return stored(self.spark, security.staff_ips(self.rq, self.admin), "staff")
 
     @cached_property
     def rq_attacks(self) -> DataFrame:

@@ -27,8 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/weblens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write a table under a fresh path and read it back, which cuts the lineage."""
-    path = f"{shared_folder(spark)}/weblens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
