@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,16 +52,20 @@ class WebLog:
         The dimensions are cut too: a filter on them would otherwise be pushed below
         their distinct and run the patterns on every request.
         """
-        self.log = stored(self.spark, self.log, "log")
-        self.ua_dim = stored(self.spark, self.ua_dim, "user-agents")
-        self.ip_dim = stored(self.spark, self.ip_dim, "ips")
-        self.goals = stored(self.spark, self.goals, "goals")
-        self.visits_raw = stored(self.spark, self.visits_raw, "visits-raw")
-        self.visits = stored(self.spark, self.visits, "visits")
-        self.rq = stored(self.spark, self.rq, "requests")
-        self.addresses = stored(self.spark, self.addresses, "addresses")
-        if self.error_lines is not None:
-            self.error_log = stored(self.spark, self.error_log, "errors")
+        save = lambda name, label: setattr(self, name, stored(self.spark, getattr(self, name), label))
+        save("log", "log")
+        with ThreadPoolExecutor(2) as side:  # independent jobs share the cluster
+            waits = [side.submit(save, "ip_dim", "ips")]
+            if self.error_lines is not None:
+                waits.append(side.submit(save, "error_log", "errors"))
+            save("ua_dim", "user-agents")
+            save("goals", "goals")
+            save("visits_raw", "visits-raw")
+            for w in waits:
+                w.result()
+        save("visits", "visits")
+        save("rq", "requests")
+        save("addresses", "addresses")
         return self
 
     @classmethod

@@ -155,12 +155,12 @@ QUERIES = {
     "r25_signature_hits": _log(_hits),
     "r25_signature_summary": _log(lambda w: signatures.signature_summary(_hits(w))),
     "r20_ip_features": _log(_features),
-    "r22_cases": _log(lambda w: w.cases),
+    "r22_cases": _log(_cases),
     "r23_ip_verdicts": _log(_verdicts),
     "r24_signatures": _log(lambda w: K.signatures(w.cases, w.visits, K.case_key(B.ip_profile(w.visits)))),
     "j22_case_mates": _log(lambda w: K.case_mates(K.case_key(B.ip_profile(w.visits)))),
     "j18_operators": _log(_operators),
-    "r31_findings": _log(lambda w: w.findings),
+    "r31_findings": _log(_findings),
     "r27_calibrated": _log(lambda w: D.calibrate(w.findings, w.people.agg(F.count(F.lit(1))).scalar())),
     "r28_alarms": _log(lambda w: D.alarms(w.findings, w.addresses.where("probe <> ''").select("base")).groupBy("severity", "before_alarm").agg(F.count(F.lit(1)).alias("n"))),
     "r29_coverage": _log(lambda w: D.coverage(w.findings, w.spark.createDataFrame(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from weblens.functions import columns as C
 from weblens.marts import overview
-from weblens.operators import network, sessions
+from weblens.operators import groups, network, requests, sessions
 from weblens.plans.prepare import WebLog
 
 
@@ -29,19 +29,24 @@ def _operator(w):
     return network.net_operator(w.ip_dim, cidrs, asns)
 
 
+def _grouped(w):
+    base = groups.base_group(groups.describe(w.visits_raw, w.ua_dim, w.ip_dim))
+    return groups.regroup(base, groups.monitor_addresses(w.log, w.ua_dim))
+
+
 QUERIES = {
     "p01_p02_p05_request_features": _log(lambda w: w.features.select(
         "req_id", "ext", "is_static", "ref_host", "ref_internal", "ref_path", "host_site", "day", "hour",
         C.section(F.col("base")).alias("section"))),
-    "p03_p04_user_agents": _log(lambda w: w.ua_dim.drop("monitor_name")),
-    "p17_j01_ip_networks": _log(lambda w: w.ip_dim),
+    "p03_p04_user_agents": _log(lambda w: requests.ua_dim(w.log).drop("monitor_name")),
+    "p17_j01_ip_networks": _log(lambda w: network.ip_dim(w.log, w.ranges, w.ranges)),
     "p18_impossible_ua": _log(lambda w: w.ua_dim.select("ua", C.impossible_ua(F.col("ua"), F.lit(2024)).alias("impossible"))),
     "w01_sessionize": _log(lambda w: sessions.with_visit(w.marked, w.visits_raw).select("req_id", "vid")),
     "w02_w03_page_flags": _log(lambda w: w.marked.select("req_id", "is_dup", "is_redirect_hop", "is_page")),
-    "w05_p13_visits": _log(lambda w: w.visits_raw.drop("n_embedded")),
+    "w05_p13_visits": _log(lambda w: sessions.fold_visits(sessions.fold_slots(w.marked)).drop("n_embedded")),
     "w06_returning": _log(lambda w: sessions.returning(w.visits_raw).groupBy("is_returning").agg(
         F.count(F.lit(1)).alias("visits"), F.count_distinct("ip").alias("ips"))),
-    "r01_r02_groups": _log(lambda w: w.visits.select("vid", "group", "subgroup", "fam_verified", "nettype")),
+    "r01_r02_groups": _log(lambda w: _grouped(w).select("vid", "group", "subgroup", "fam_verified", "nettype")),
     "j02_net_operator": _log(_operator),
     "j03_verify_robots": _log(_verify),
     "j04_requests_by_group": _log(lambda w: w.rq.groupBy("group", "subgroup", "channel").agg(

@@ -15,7 +15,7 @@ _sources = lambda w: E.error_sources(w.rq, paths.simple_template)
 
 QUERIES = {
     "p08_address_form": _log(lambda w: A.address_form(w.log)),
-    "p09_address_registry": _log(_dim),
+    "p09_address_registry": _log(lambda w: A.address_dim(w.rq)),
     "p10_probe_addresses": _log(lambda w: A.probe_addresses(_dim(w))),
     "p12_constructs": _log(lambda w: A.constructs(w.rq_constructs, w.construct_addresses).drop("last_day")),
     "p22_error_types": _log(lambda w: w.error_log.select("line_no", E.errlog_type(F.col("msg")).alias("type"))),

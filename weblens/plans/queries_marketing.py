@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from weblens.functions import ads
 from weblens.marts import marketing as M
+from weblens.operators.goals import form_goals
 from weblens.plans.queries_core import _log
 
 _ad = lambda w: M.ad_visits(w.visits)
@@ -23,7 +24,7 @@ QUERIES = {
         "kind", ads.placement_type(F.col("ref_host"), F.lit("context")))),
     "p16_phrase_labels": _log(lambda w: _adp(w).groupBy(ads.phrase_label(F.col("phrase")).alias("label")).agg(F.count(F.lit(1)).alias("n"))),
     "p16_region_names": _log(_regions),
-    "r15_form_goals": _log(lambda w: w.goals),
+    "r15_form_goals": _log(lambda w: form_goals(w.features, w.ua_dim)),
     "a52_visit_metrics": _log(lambda w: M.visit_metrics(w.people, "channel", "channel_sub")),
     "a53_cuts": _log(lambda w: M.cuts(w.people)),
     "a53_entry_pages": _log(lambda w: M.visit_metrics(w.people, "entry")),

@@ -22,7 +22,7 @@ QUERIES = {
     "p19_has_pd": _log(lambda w: _pd_queries(w).select("query", personal.has_pd(F.col("query")).alias("has_pd"))),
     "p20_mask_query": _log(lambda w: _pd_queries(w).select("query", personal.mask_query(F.col("query")).alias("masked"))),
     "p21_external_link": _log(lambda w: _pd_queries(w).where(personal.external_link(F.col("query"), w.site_hosts))),
-    "r14_staff_ips": _log(lambda w: w.staff),
+    "r14_staff_ips": _log(lambda w: S.staff_ips(w.rq, w.admin)),
     "r21_ip_profile": _log(lambda w: B.ip_profile(w.visits)),
     "a25_heat": _log(lambda w: S.heat(w.rq)),
     "a26_peaks": _log(lambda w: S.peaks(w.rq)),

@@ -40,7 +40,7 @@ def _outages(w):
 
 QUERIES = {
     "s02_parse_access": _log(lambda w: access_log.parse_access(access_log.access_lines(w.log)).drop("tail", "user", "proto", "tz_offset")),
-    "s03_parse_error": _log(lambda w: w.error_log.select("line_no", "ts", "level", "msg", "client", "request", "host")),
+    "s03_parse_error": _log(lambda w: access_log.parse_error(w.error_lines).select("line_no", "ts", "level", "msg", "client", "request", "host")),
     "s04_sniff": _log(lambda w: access_log.sniff(_lines(w), 1000)),
     "s05_file_inventory": _log(lambda w: access_log.file_inventory(
         _lines(w).withColumn("src", F.concat(F.lit("part-"), (F.col("line_no") % 3).cast("string"))))),
