@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["core", "series", "errors", "marketing", "security", "rules", "cases"]
+MODULES = ["core", "series", "errors", "marketing", "security", "rules", "cases", "structure"]
 
 
 def oracle_sql():

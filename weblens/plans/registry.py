@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["core", "series", "errors", "marketing", "security", "rules", "cases"]
+MODULES = ["core", "series", "errors", "marketing", "security", "rules", "cases", "structure", "streaming"]
 
 
 def queries():

@@ -81,9 +81,9 @@ def finish_gov(visits: DataFrame) -> DataFrame:
     return rows.withColumn("subgroup", F.when(F.col("gov_was") != "", "government robots").otherwise(F.col("subgroup")))
 
 
-def mark_web_archive(visits: DataFrame, asns=ARCHIVE_ASN) -> DataFrame:
+def mark_web_archive(visits: DataFrame, asns=ARCHIVE_ASN, min_requests: int = ARCHIVE_MIN_REQUESTS) -> DataFrame:
     """A page saved by a web archive: one page and its files in a short burst from the archive's network."""
-    cond = (F.col("asn").isin(asns) & (F.col("fam") == "") & (F.col("n_pages") == 1) & (F.col("n_req") >= ARCHIVE_MIN_REQUESTS)
+    cond = (F.col("asn").isin(asns) & (F.col("fam") == "") & (F.col("n_pages") == 1) & (F.col("n_req") >= min_requests)
             & (F.col("dur") <= ARCHIVE_SECONDS) & (F.col("group") != fv.OWN))
     rows = relabel(visits, cond, fv.ROBOTS, "known")
     return rows.withColumn("fam", F.when(cond, "Web archive: page save").otherwise(F.col("fam"))).withColumn(
