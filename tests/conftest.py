@@ -9,8 +9,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = (SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-               .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
+    session = (SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false")
+               .config("spark.driver.memory", "4g").config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
                .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
@@ -43,4 +43,4 @@ def weblog(spark):
 
     ranges = spark.createDataFrame([(167772160, 167837695, 13238, "YANDEX LLC", "RU"), (167903232, 167968767, 8359, "MTS PJSC", "RU")],
                                    "range_start long, range_end long, asn int, org string, cc string")
-    return lambda log: WebLog(spark, log, ranges, ["site.ru"])
+    return lambda log: WebLog(spark, log, ranges, ["site.ru"]).store()

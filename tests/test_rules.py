@@ -55,7 +55,7 @@ def form_rows():
         rows += page_with_assets(T0 + i * 5000, ip, "/contacts/") + [(T0 + i * 5000 + 30, ip, "/contacts/send/", {"method": "POST", "status": 302, "ref": "https://site.ru/contacts/"}),
                                                                (T0 + i * 5000 + 31, ip, "/thanks/", {"query": "success=1", "ref": "https://site.ru/contacts/"})]
     rows += [(T0 + 100, "8.8.8.1", "/broken/x", {"status": 404}), (T0 + 101, "8.8.8.1", "/a.css"), (T0 + 110, "8.8.8.1", "/contacts/send/", {"method": "POST", "status": 302, "ref": "https://site.ru/"})]
-    rows += [(T0 + 200, "8.8.8.2", "/contacts/send/", {"method": "POST", "status": 302, "ref": "https://site.ru/contacts/"})]
+    rows += [(T0 + 200, "8.8.8.2", "/contacts/send/", {"method": "POST", "status": 302, "ref": "https://site.ru/other/"})]
     return rows
 
 
