@@ -85,9 +85,11 @@ def mark_web_archive(visits: DataFrame, asns=ARCHIVE_ASN, min_requests: int = AR
     """A page saved by a web archive: one page and its files in a short burst from the archive's network."""
     cond = (F.col("asn").isin(asns) & (F.col("fam") == "") & (F.col("n_pages") == 1) & (F.col("n_req") >= min_requests)
             & (F.col("dur") <= ARCHIVE_SECONDS) & (F.col("group") != fv.OWN))
-    rows = relabel(visits, cond, fv.ROBOTS, "known")
-    return rows.withColumn("fam", F.when(cond, "Web archive: page save").otherwise(F.col("fam"))).withColumn(
-        "fam_cat", F.when(cond, fv.WEB_ARCHIVE).otherwise(F.col("fam_cat"))).withColumn("fam_verified", F.when(cond, "yes").otherwise(F.col("fam_verified")))
+    hit = F.col("_hit")  # fixed first: the columns it reads are overwritten below
+    rows = relabel(visits.withColumn("_hit", F.coalesce(cond, F.lit(False))), hit, fv.ROBOTS, "known")
+    for name, value in (("fam", "Web archive: page save"), ("fam_cat", fv.WEB_ARCHIVE), ("fam_verified", "yes")):
+        rows = rows.withColumn(name, F.when(hit, value).otherwise(F.col(name)))
+    return rows.drop("_hit")
 
 
 def ip_sets(visits: DataFrame, rendered: DataFrame) -> DataFrame:
