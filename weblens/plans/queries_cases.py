@@ -133,6 +133,11 @@ def _snapshot(w):
     return w.spark.read.parquet(path).groupBy("run_id", "mart").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _evidence(w):
+    spam = stored(w.spark, forms.mark_form_spam(w.visits, w.rq), "spam")
+    return components.spam_evidence(spam).groupBy("kind", "strength").agg(F.count_distinct("ip").alias("ips"), F.count_distinct("value").alias("signs"))
+
+
 def _operators(w):
     spam = stored(w.spark, forms.mark_form_spam(w.visits, w.rq), "spam")
     return components.operator_summary(components.link_operators(w.spark, components.spam_evidence(spam), spam), spam)
@@ -159,6 +164,7 @@ QUERIES = {
     "r23_ip_verdicts": _log(_verdicts),
     "r24_signatures": _log(lambda w: K.signatures(w.cases, w.visits, K.case_key(B.ip_profile(w.visits)))),
     "j22_case_mates": _log(lambda w: K.case_mates(K.case_key(B.ip_profile(w.visits)))),
+    "j17_operator_evidence": _log(_evidence),
     "j18_operators": _log(_operators),
     "r31_findings": _log(_findings),
     "r27_calibrated": _log(lambda w: D.calibrate(w.findings, w.people.agg(F.count(F.lit(1))).scalar())),
