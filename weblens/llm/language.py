@@ -40,8 +40,8 @@ def ngrams(points: np.ndarray, orders: int, buckets: int) -> Iterator[np.ndarray
 
 
 def blocks(batch: pa.RecordBatch, orders: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for part in T.slices(batch, "text", BLOCK):
-        points, at = code_points(part.column("text").to_pylist(), orders)
+    for part in T.slices(batch, "__text", BLOCK):
+        points, at = code_points(part.column("__text").to_pylist(), orders)
         yield part, points, at
 
 
@@ -83,7 +83,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order
             yield pa.record_batch([pa.array([name]), pa.array([rows], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["lang", "rows", "counts"])
 
     schema = "lang string, rows long, counts binary"
-    known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    known = docs.select(F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("lang")).where("__text is not null and lang is not null")
     partial = known.mapInArrow(count, schema)
     found = partial.repartition("lang").sortWithinPartitions("lang").mapInArrow(add, schema).limit(max_languages + 1).collect()
     if len(found) > max_languages:
@@ -110,7 +110,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id
         for batch in batches:
             for part, points, at in blocks(batch, orders):
                 sums = np.tile(prior, (part.num_rows, 1))
-                found = has_letter(part.column("text").to_pylist())
+                found = has_letter(part.column("__text").to_pylist())
                 if len(languages):
                     for n, bins in enumerate(ngrams(points, orders, buckets)):
                         bins = np.append(bins, np.zeros(orders - 1, bins.dtype))
@@ -125,8 +125,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id
                     names = np.where(found, np.array(languages, object)[best], UNDETERMINED)
                 else:
                     score, names = np.zeros(part.num_rows), np.full(part.num_rows, UNDETERMINED, object)
-                yield pa.record_batch([*(part.column(c) for c in ("id", *keep)), pa.array(names, pa.string()), pa.array(score)], names=["id", *keep, "lang_pred", "score"])
+                yield pa.record_batch([*(part.column(c) for c in ("__id", *keep)), pa.array(names, pa.string()), pa.array(score)], names=["__id", *keep, "lang_pred", "score"])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([f"id {kinds[id_col]}", *(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep).mapInArrow(go, schema).withColumnRenamed("id", id_col)
+    schema = ", ".join([f"__id {kinds[id_col]}", *(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"])
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *keep).mapInArrow(go, schema).withColumnRenamed("__id", id_col)

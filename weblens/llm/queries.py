@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from weblens.llm import language, packing, secret_scan, simhash, substrings
 
 
@@ -48,4 +49,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_best_fit_packing, op6_simhash, op9_language, op10_secrets)}
+QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {}

@@ -105,20 +105,20 @@ def scan(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = RATIO, le
         coder = encoding(vocabulary)
         shortest = min(least, ACCESS_LENGTH, 24)
         for batch in batches:
-            for part in T.slices(batch, "text"):
-                runs = long_runs(*T.buffer(part.column("text")), shortest)
-                texts = part.column("text").to_pylist()
+            for part in T.slices(batch, "__text"):
+                runs = long_runs(*T.buffer(part.column("__text")), shortest)
+                texts = part.column("__text").to_pylist()
                 found = [spans(t, ratio, least, coder, r) if t else [] for t, r in zip(texts, runs, strict=True)]
                 rows = [[{"kind": KINDS[k], "start": a, "past": b} for a, k, b in f] for f in found]
                 kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("past", pa.int32())]))
-                columns = [*(part.column(c) for c in ("id", *keep)), pa.array(rows, kind)]
+                columns = [*(part.column(c) for c in ("__id", *keep)), pa.array(rows, kind)]
                 if with_text:
                     columns.append(pa.array([redact(t, f) if f else t for t, f in zip(texts, found, strict=True)], pa.string()))
-                yield pa.record_batch(columns, names=["id", *keep, "spans", *["redacted_text"] * with_text])
+                yield pa.record_batch(columns, names=["__id", *keep, "spans", *["redacted_text"] * with_text])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([f"id {kinds[id_col]}", *(f"`{c}` {kinds[c]}" for c in keep), "spans array<struct<kind:string,start:int,past:int>>", *["redacted_text string"] * with_text])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep).mapInArrow(go, schema).withColumnRenamed("id", id_col)
+    schema = ", ".join([f"__id {kinds[id_col]}", *(f"`{c}` {kinds[c]}" for c in keep), "spans array<struct<kind:string,start:int,past:int>>", *["redacted_text string"] * with_text])
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *keep).mapInArrow(go, schema).withColumnRenamed("__id", id_col)
 
 
 def redact(text: str, found: list[tuple[int, int, int]]) -> str:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weblens.llm import text as T
@@ -23,37 +23,41 @@ from weblens.llm.shared import partitions, saved
 SEED = 42
 #: Pairs of trie nodes that are expanded at once, and pairs of leaves below which a pair of nodes is compared leaf by leaf.
 FRONT, LEAVES = 1 << 16, 16
-
-
-def fingerprint(text: bytes, width: int) -> int:
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.append(0, ends[: len(words) - width] + 1).tolist()
-    ends, votes, digest = ends[width - 1 :].tolist(), np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for low in range(0, len(starts), 1 << 14):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[low : low + (1 << 14)], ends[low : low + (1 << 14)], strict=True)], "<u8")
-        votes += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(starts), bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fingerprint (long, the 64 bits) of every row. Null text counts as empty: fingerprint 0."""
+#: For a similarity: 64-bit words of a long fingerprint, its views, and the words (its last ones) and standard deviations of the check.
+WORDS, VIEWS, VIEW_BITS, VIEW_ERRORS, CHECKS, SLACK = 8, 16, 32, 2, 4, 1.5
+
+
+def fingerprint(text: bytes, width: int, words: int = 1) -> np.ndarray:
+    """The 64 bits of XXH64, and with more words 64 more each from a bijection of it."""
+    parts = text.lower().split()
+    votes, count = np.zeros((words, 64), np.int64), max(1, len(parts) - width + 1)
+    if parts:
+        joined = b" ".join(parts)
+        past = np.cumsum([len(w) + 1 for w in parts])
+        starts, ends = np.append(0, past[: count - 1]).tolist(), (past[min(width, len(parts)) - 1 :] - 1).tolist()
+        digest = xxhash.xxh64_intdigest
+        for low in range(0, count, 1 << 14):
+            hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[low : low + (1 << 14)], ends[low : low + (1 << 14)], strict=True)], np.uint64)
+            for k in range(words):
+                own = T.mix(hashes + np.uint64(k * T.BYTE_BASE & (1 << 64) - 1)) if k else hashes
+                votes[k] += np.unpackbits(own.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return np.packbits(2 * votes > count, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def fingerprints(docs: DataFrame, width: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, bits (array of `words` longs, 64 bits each) of every row. Null text counts as empty: bits 0."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in T.slices(whole, "text"):
                 data, at = T.buffer(batch.column("text"))
                 raw = data.tobytes()
-                bits = np.array([fingerprint(raw[a:b], width) for a, b in zip(at, at[1:], strict=False)], np.uint64)
-                yield pa.record_batch([batch.column("id"), pa.array(bits.view(np.int64))], names=["id", "fingerprint"])
+                bits = np.array([fingerprint(raw[a:b], width, words) for a, b in zip(at, at[1:], strict=False)], np.uint64).reshape(-1)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * words, pa.int32()), pa.array(bits.view(np.int64)))
+                yield pa.record_batch([batch.column("id"), bits], names=["id", "bits"])
 
     id_type = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(go, f"id {id_type}, fingerprint long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(go, f"id {id_type}, bits array<long>")
 
 
 class Forest:
@@ -74,8 +78,24 @@ class Forest:
                 self.root = up
 
 
-def trie_join(codes: np.ndarray, group: np.ndarray, lead: int, errors: int) -> Forest:
-    """Links all pairs of one group whose codes differ in at most `errors` bits. codes: distinct in a group, sorted by group and code; the group fixes the first `lead` bits."""
+def _leaf_pairs(a: np.ndarray, a_past: np.ndarray, b: np.ndarray, b_past: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of leaves of pairs of nodes, some at a time."""
+    n = (a_past - a) * (b_past - b)
+    for k in np.flatnonzero(n > LEAVES):
+        for x in range(a[k], a_past[k]):
+            yield np.full(b_past[k] - b[k], x), np.arange(b[k], b_past[k])
+    few = n <= LEAVES
+    a, b, wide, n = a[few], b[few], (b_past - b)[few], n[few]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    wide = np.repeat(wide, n)
+    yield np.repeat(a, n) + at // wide, np.repeat(b, n) + at % wide
+
+
+def trie_join(codes: np.ndarray, group: np.ndarray, lead: int, errors: int, depth_past: int = 64, checks: np.ndarray | None = None, total: int = 0) -> Forest:
+    """Links all pairs of one group whose codes differ in at most `errors` bits, and their checks in at most `total`.
+
+    codes: sorted by group and code, their first depth_past bits count, and the group fixes the first `lead` of these.
+    """
     forest = Forest(len(codes))
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(codes) else np.zeros(0, np.int64)
     past = np.append(first[1:], len(codes))
@@ -88,16 +108,14 @@ def trie_join(codes: np.ndarray, group: np.ndarray, lead: int, errors: int) -> F
         if pairs.shape[1] > FRONT:
             stack += [(depth, x) for x in np.array_split(pairs, -(-pairs.shape[1] // FRONT), axis=1)]
             continue
-        a, a_past, b, b_past, errs = pairs
-        leaves = (a_past - a) * (b_past - b)
-        small = (leaves <= LEAVES) | (depth == 64)
-        if small.any():
-            n = leaves[small]
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            wide = np.repeat((b_past - b)[small], n)
-            x, y = np.repeat(a[small], n) + at // wide, np.repeat(b[small], n) + at % wide
+        small = ((pairs[1] - pairs[0]) * (pairs[3] - pairs[2]) <= LEAVES) | (depth == depth_past)
+        for x, y in _leaf_pairs(*pairs[:4, small]):
             near = (x < y) & (np.bitwise_count(codes[x] ^ codes[y]) <= errors)
-            forest.link(x[near], y[near])
+            x, y = x[near], y[near]
+            if checks is not None and len(x):
+                near = np.bitwise_count(checks[x] ^ checks[y]).sum(1) <= total
+                x, y = x[near], y[near]
+            forest.link(x, y)
         if small.all():
             continue
         a, a_past, b, b_past, errs = pairs[:, ~small]
@@ -106,9 +124,9 @@ def trie_join(codes: np.ndarray, group: np.ndarray, lead: int, errors: int) -> F
             ones[depth] = np.append(0, np.cumsum(bit.astype(np.int64)))
         count = ones[depth]
         a_mid, b_mid = a_past - (count[a_past] - count[a]), b_past - (count[b_past] - count[b])
-        same = a == b
+        apart = a != b
         children = [(a, a_mid, b, b_mid, errs), (a_mid, a_past, b_mid, b_past, errs), (a, a_mid, b_mid, b_past, errs + 1)]
-        children.append(tuple(x[~same] for x in (a_mid, a_past, b, b_mid, errs + 1)))
+        children.append(tuple(x[apart] for x in (a_mid, a_past, b, b_mid, errs + 1)))
         for child in children:
             child = np.stack(child)
             live = (child[0] < child[1]) & (child[2] < child[3]) & (child[4] <= errors)
@@ -117,62 +135,82 @@ def trie_join(codes: np.ndarray, group: np.ndarray, lead: int, errors: int) -> F
     return forest
 
 
-def links(prints: DataFrame, errors: int = 4) -> DataFrame:
-    """a, b: links that connect what fingerprints within the budget connect. prints: node, fingerprint, distinct by fingerprint."""
-    edges = [64 * i // (errors + 1) for i in range(errors + 2)]
+def links(prints: DataFrame, views: list[Column], bits: int = 64, errors: int = 4, total: int | None = None) -> DataFrame:
+    """a, b: links that connect what is near in any view. prints: node, bits; views: longs of which the low `bits` bits are a code."""
+    edges = [bits * i // (errors + 1) for i in range(errors + 2)]
     lead = min(b - a for a, b in zip(edges, edges[1:], strict=False))
-    spark = prints.sparkSession
-    f = F.col("fingerprint")
-    turned = F.array(*[F.struct(F.lit(i).alias("turn"), (F.shiftleft(f, e).bitwiseOR(F.shiftrightunsigned(f, 64 - e)) if e else f).alias("code")) for i, e in enumerate(edges[:-1])])
-    rows = prints.select("node", F.explode(turned).alias("x")).select("node", "x.turn", "x.code", F.shiftrightunsigned("x.code", 64 - lead).alias("block"))
-    rows = rows.repartition(partitions(spark), "turn", "block").sortWithinPartitions("turn", "block")
-
-    def join(nodes: list, codes: list, groups: list) -> pa.RecordBatch:
-        node, code, group = (np.concatenate(x) for x in (nodes, codes, groups))
+
+    def turn(code: Column, e: int) -> Column:
+        """The code, rotated so that bit e leads, in the high bits of a long."""
+        high = F.shiftleft(code, 64 - bits + e)
+        low = F.shiftleft(F.shiftrightunsigned(F.shiftleft(code, 64 - bits), 64 - e), 64 - bits) if e else F.lit(0)
+        return high.bitwiseOR(low)
+
+    turned = F.array(*[F.struct(F.lit(k * len(edges) + i).alias("turn"), turn(v, e).alias("code")) for k, v in enumerate(views) for i, e in enumerate(edges[:-1])])
+    checks = F.slice("bits", -CHECKS, CHECKS) if total is not None else F.lit(None).cast("array<long>")
+    rows = prints.select("node", checks.alias("checks"), F.explode(turned).alias("x")).select("node", "checks", "x.turn", "x.code", F.shiftrightunsigned("x.code", 64 - lead).alias("block"))
+    rows = rows.repartition(partitions(prints.sparkSession), "turn", "block").sortWithinPartitions("turn", "block")
+
+    def join(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        node, code, group, check = (np.concatenate(x) for x in held)
         order = np.lexsort((code, group))
         node = node[order]
-        root = trie_join(code[order], group[order], lead, errors).root
+        root = trie_join(code[order], group[order], lead, errors, bits, check[order] if total is not None else None, total or 0).root
         met = np.flatnonzero(root != np.arange(len(root)))
         return pa.record_batch([pa.array(node[met]), pa.array(node[root[met]])], names=["a", "b"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole groups, about 100,000 rows at once."""
-        held: list[list] = [[], [], []]
+        held: list[list] = [[], [], [], []]
         for batch in batches:
-            node, turn, block = (batch.column(c).to_numpy() for c in ("node", "turn", "block"))
-            code = batch.column("code").to_numpy().view(np.uint64)
-            group = (turn.astype(np.int64) << lead) | block
+            if not batch.num_rows:
+                continue
+            node, turns, block = (batch.column(c).to_numpy() for c in ("node", "turn", "block"))
+            group = (turns.astype(np.int64) << lead) | block
+            check = batch.column("checks").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1) if total is not None else node
+            new = [node, batch.column("code").to_numpy().view(np.uint64), group, check]
             if sum(map(len, held[0])) > 100_000:
-                last = held[2][-1][-1]
-                more = int(np.argmax(group != last)) if (group != last).any() else len(group)
-                for h, x in zip(held, (node, code, group), strict=True):
+                other = group != held[2][-1][-1]
+                more = int(np.argmax(other)) if other.any() else len(group)
+                for h, x in zip(held, new, strict=True):
                     h.append(x[:more])
                 if more == len(group):
                     continue
-                yield join(*held)
-                held = [[], [], []]
-                node, code, group = node[more:], code[more:], group[more:]
-            for h, x in zip(held, (node, code, group), strict=True):
+                yield join(held)
+                held, new = [[], [], [], []], [x[more:] for x in new]
+            for h, x in zip(held, new, strict=True):
                 h.append(x)
         if held[0]:
-            yield join(*held)
+            yield join(held)
 
     return rows.mapInArrow(go, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, errors: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: the id (integer), fingerprint (long), component_id (smallest id reachable through links, itself included).
+def near_duplicates(docs: DataFrame, width: int = 4, errors: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: the id (integer), fingerprint (long, 64 bits), component_id (smallest id reachable through links, itself included).
 
     Texts are lower-cased (A-Z), words are `[^\\x20\\x09-\\x0D]+`; fewer than `width` words are one shingle, none give fingerprint 0, which links like any other.
-    Rows that repeat an id stay rows, and all fingerprints of one id connect. A null id has a fingerprint, links with nothing and has a null component. Other
-    columns are ignored.
+    Fingerprints link at `errors` or fewer differing bits. With `similarity`, a Jaccard similarity of shingles, texts also link that seem at least so similar from WORDS x
+    64 bits: the groups found so far are represented by one text each, these meet in VIEWS codes of VIEW_BITS bits with VIEW_ERRORS errors, and pairs whose last CHECKS x 64
+    bits differ in no more than that similarity lets expect (and SLACK standard deviations) link.
+    Rows that repeat an id stay rows, and all fingerprints of one id connect. A null id has a fingerprint, links with nothing and has a null component. Other columns are
+    ignored.
     """
-    prints = saved(fingerprints(docs, width, id_col, text_col).withColumn("id", F.col("id").cast("long")))
+    words = WORDS if similarity is not None else 1
+    prints = saved(fingerprints(docs, width, words, id_col, text_col).select(F.col("id").cast("long"), F.col("bits")[0].alias("fingerprint"), "bits"))
     named = prints.where("id is not null")
-    nodes = saved(named.groupBy("fingerprint").agg(F.min("id").alias("node")))
+    nodes = saved(named.groupBy("fingerprint").agg(F.min_by("bits", "id").alias("bits"), F.min("id").alias("node")))
     equal = named.join(nodes, "fingerprint").select("id", "node")
-    repeated = equal.distinct().groupBy("id").agg(F.min("node").alias("m"), F.max("node").alias("node")).where("m <> node").select("m", "node")
-    found = components(links(nodes, errors).union(repeated))
-    names = nodes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
+    repeated = equal.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
+    found = saved(links(nodes, [F.col("fingerprint")], 64, errors).union(repeated))
+    groups = components(found)
+    if similarity is not None:
+        kept = nodes.join(groups.where("node <> component").select("node"), "node", "left_anti")
+        angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+        n = CHECKS * 64
+        total = int(n * angle + SLACK * np.sqrt(n * angle * (1 - angle)))
+        views = [F.shiftrightunsigned(F.col("bits")[k * VIEW_BITS // 64], k * VIEW_BITS % 64) for k in range(VIEWS)]
+        groups = components(found.union(links(kept, views, VIEW_BITS, VIEW_ERRORS, total)))
+    names = nodes.join(groups, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
     out = prints.join(names, "fingerprint", "left").select("id", "fingerprint", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     return out.withColumnRenamed("id", id_col)

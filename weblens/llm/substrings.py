@@ -20,6 +20,7 @@ from weblens.llm.shared import dealt, partitions, saved
 
 RUN_WORDS = 1 << 20
 DIRECTORY, WINDOWS, MARKS = 0, 1, 2
+SPANS = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
 EXCHANGE = "key long, kind int, run long, payload binary, more binary"
 
 
@@ -57,9 +58,9 @@ def _count_runs(width: int, bits: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, hashes, held = [], [], [], 0
         for whole in batches:
-            for batch in T.slices(whole, "text"):
-                h, _, _, n = T.words(*T.buffer(batch.column("text")))
-                keys.append([batch.column(k).to_numpy() for k in ("a", "b")])
+            for batch in T.slices(whole, "__text"):
+                h, _, _, n = T.words(*T.buffer(batch.column("__text")))
+                keys.append([batch.column(k).to_numpy() for k in ("__a", "__b")])
                 counts.append(n)
                 hashes.append(h)
                 held += len(h)
@@ -138,58 +139,61 @@ def _merge(width: int):
             docs, count = np.unique(doc, return_counts=True)
             cuts = np.append(0, np.cumsum(count)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (begin, end)]
-            yield pa.record_batch([pa.array(a[docs]), pa.array(b[docs]), *lists], names=["a", "b", "first", "past"])
+            yield pa.record_batch([pa.array(a[docs]), pa.array(b[docs]), *lists], names=["__a", "__b", "__first", "__past"])
 
     return go
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and two hashes of both that stand for the row: repeated rows have equal ones."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """__id, __text, two hashes of both that stand for the row (repeated rows have equal ones), and the columns of keep."""
     i, t = F.col(id_col), F.col(text_col)
-    return docs.select(i.alias("id"), t.alias("text"), F.xxhash64(i, t, F.lit(1)).alias("a"), F.xxhash64(F.lit(2), t, i).alias("b"))
+    return docs.select(i.alias("__id"), t.alias("__text"), F.xxhash64(i, t, F.lit(1)).alias("__a"), F.xxhash64(F.lit(2), t, i).alias("__b"), *keep)
 
 
 def repeated_spans(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Intervals [first, past) of words to remove: a, b (hashes of the row, see keyed), first, past (arrays). Documents without such words have no row.
+    """Intervals [first, past) of words to remove: __a, __b (hashes of the row, see keyed), __first, __past (arrays). Documents without such words have no row.
 
     Null and empty texts have no window. Repeated rows are documents of their own, so their windows occur more than once.
     """
     spark = docs.sparkSession
     bits = max(8, (4 * partitions(spark) - 1).bit_length())
-    runs = keyed(docs, id_col, text_col).select("a", "b", "text").mapInArrow(_count_runs(width, bits), EXCHANGE)
+    runs = keyed(docs, id_col, text_col).select("__a", "__b", "__text").mapInArrow(_count_runs(width, bits), EXCHANGE)
     met = dealt(runs, "key").mapInArrow(_meet(bits), EXCHANGE)
-    spans = dealt(met, "run").mapInArrow(_merge(width), "a long, b long, first array<int>, past array<int>")
-    return saved(spans).dropDuplicates(["a", "b"])
-
-
-def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in T.slices(whole, "text"):
-            texts, first, past = (batch.column(c).to_pylist() for c in ("text", "first", "past"))
-            kept, total, removed = [], [], []
-            for t, lows, highs in zip(texts, first, past, strict=True):
-                w = (t or "").encode().split()
-                total.append(len(w))
-                removed.append(sum(highs) - sum(lows) if lows else 0)
-                if lows:
-                    ends = [0, *highs]
-                    w = [x for low, high in zip(ends, [*lows, len(w)], strict=True) for x in w[low:high]]
-                kept.append(b" ".join(w).decode())
-            spans = [None if a is None else list(zip(a, b, strict=True)) for a, b in zip(first, past, strict=True)]
-            kind = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
-            spans = pa.array([None if s is None else [{"first": a, "past": b} for a, b in s] for s in spans], kind)
-            yield pa.record_batch([batch.column("id"), batch.column("a"), batch.column("b"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), spans],
-                                  names=["id", "a", "b", "n_words", "n_removed", "kept_text", "spans"])
-
-
-def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: the id, n_words, n_removed, kept_text (kept words joined by one space), spans (array of first, past; null if none).
+    spans = dealt(met, "run").mapInArrow(_merge(width), "__a long, __b long, __first array<int>, __past array<int>")
+    return saved(spans).dropDuplicates(["__a", "__b"])
+
+
+def _cut_words(keep: tuple[str, ...], with_text: bool):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in T.slices(whole, "__text"):
+                texts, first, past = (batch.column(c).to_pylist() for c in ("__text", "__first", "__past"))
+                kept, total, removed, spans = [], [], [], []
+                for t, lows, highs in zip(texts, first, past, strict=True):
+                    w = (t or "").encode().split()
+                    total.append(len(w))
+                    removed.append(sum(highs) - sum(lows) if lows else 0)
+                    if lows:
+                        w = [x for low, high in zip([0, *highs], [*lows, len(w)], strict=True) for x in w[low:high]]
+                    kept.append(b" ".join(w).decode())
+                    spans.append([{"first": a, "past": b} for a, b in zip(lows, highs, strict=True)] if lows else None)
+                columns = [batch.column(c) for c in ("__id", *["__text"] * with_text, *keep)]
+                columns += [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, SPANS)]
+                yield pa.record_batch(columns, names=["__id", *["__text"] * with_text, *keep, "n_words", "n_removed", "kept_text", "spans"])
+
+    return go
+
+
+def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """Per row of docs: the id, with_text: the text as it was, the columns of `keep`, n_words, n_removed, kept_text (kept words joined by one space), spans (array of first, past in words; null if none).
 
     Null text: no words, kept_text ''. All copies of a passage go, the first too. Rows repeated with id and text get one row each. A null id stays null. Other
-    columns are ignored, whatever their names.
+    columns are ignored, whatever their names; those of `keep` must not have the names above.
     """
-    id_type = dict(docs.dtypes)[id_col]
+    kinds = dict(docs.dtypes)
     spans = repeated_spans(docs, width, id_col, text_col)
-    joined = keyed(docs, id_col, text_col).join(spans, ["a", "b"], "left").select("id", "text", "a", "b", "first", "past")
-    schema = f"id {id_type}, a long, b long, n_words long, n_removed long, kept_text string, spans array<struct<first:int,past:int>>"
-    return joined.mapInArrow(_cut_words, schema).drop("a", "b").withColumnRenamed("id", id_col)
+    joined = keyed(docs, id_col, text_col, keep).join(spans, ["__a", "__b"], "left").select("__id", "__text", *keep, "__first", "__past")
+    own = [f"__id {kinds[id_col]}", *["__text string"] * with_text, *(f"`{c}` {kinds[c]}" for c in keep)]
+    schema = ", ".join([*own, "n_words long, n_removed long, kept_text string, spans array<struct<first:int,past:int>>"])
+    cut = joined.mapInArrow(_cut_words(tuple(keep), with_text), schema).withColumnRenamed("__id", id_col)
+    return cut.withColumnRenamed("__text", text_col) if with_text else cut
