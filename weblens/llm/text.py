@@ -144,7 +144,7 @@ def inside(counts: np.ndarray, width: int) -> np.ndarray:
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of equal length as compressed planes of bytes."""
-    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in arrays]
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in arrays]
     raw = b"".join(planes)
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True) if raw else b""
 
