@@ -86,8 +86,8 @@ def _cut(data: np.ndarray, at: np.ndarray, low: int) -> int:
     return end
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of every word, and the number of words of each text."""
+def words(data: np.ndarray, at: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of every word, and the number of words of each text. breaks: bytes inside words at which a new word begins."""
     hashes, firsts, ends, low = [], [], [], 0
     while low < len(data):
         high = _cut(data, at, low)
@@ -99,6 +99,10 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         edges = at[np.searchsorted(at, low, "right") : np.searchsorted(at, high)] - low
         first[edges] = inside[edges]
         last[edges - 1] = inside[edges - 1]
+        if breaks is not None:
+            more = np.flatnonzero(breaks[low:high] & inside)
+            first[more] = True
+            last[more[more > 0] - 1] |= inside[more[more > 0] - 1]
         a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
         power, inverse = powers(BYTE_BASE, len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
