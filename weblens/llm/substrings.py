@@ -191,8 +191,9 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     columns are ignored, whatever their names; those of `keep` must not have the names above.
     """
     kinds = dict(docs.dtypes)
+    # spans grow with the texts, so they are never broadcast, and the plan is the same at any size
     spans = repeated_spans(docs, width, id_col, text_col)
-    joined = keyed(docs, id_col, text_col, keep).join(spans, ["__a", "__b"], "left").select("__id", "__text", *keep, "__first", "__past")
+    joined = keyed(docs, id_col, text_col, keep).join(spans.hint("merge"), ["__a", "__b"], "left").select("__id", "__text", *keep, "__first", "__past")
     own = [f"__id {kinds[id_col]}", *["__text string"] * with_text, *(f"`{c}` {kinds[c]}" for c in keep)]
     schema = ", ".join([*own, "n_words long, n_removed long, kept_text string, spans array<struct<first:int,past:int>>"])
     cut = joined.mapInArrow(_cut_words(tuple(keep), with_text), schema).withColumnRenamed("__id", id_col)
