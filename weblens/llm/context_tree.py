@@ -45,7 +45,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     for k in range(8):
         low = low * (x + k)
     z = x + 8
-    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(low)
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) - np.log(low)
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:

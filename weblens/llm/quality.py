@@ -169,8 +169,10 @@ def rate(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, thresho
     rows = saved(describe(docs, id_col, text_col))
     statistics = [F.expr(e).cast("double").alias(c) for c, (e, _) in STATISTICS.items()]
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where("id is not null and label is not null")
-    sample = rows.join(known, "id").select(F.xxhash64("id").alias("h"), "id", "label", *statistics).orderBy("h", "id", "label").limit(most_rows)
-    found = sample.drop("h", "id").toPandas()
+    # the lowest hashes: a share of all that leaves about as many as wanted, so no task sends more than its part of them
+    sample = rows.join(known, "id").select((F.shiftrightunsigned(F.xxhash64("id"), 11) / 2.0**53).alias("h"), "id", "label", *statistics)
+    share = min(1.0, most_rows / max(1, sample.count()))
+    found = sample.where(F.col("h") <= share).orderBy("h", "id", "label").limit(most_rows).drop("h", "id").toPandas()
     x, y = found[list(STATISTICS)].to_numpy(float).reshape(-1, len(STATISTICS)), found["label"].to_numpy(float)
     model = spark.sparkContext.broadcast(grow(x, y, [m for _, m in STATISTICS.values()]))  # at most TREES x 2**(DEPTH + 1) nodes
     names = [c for c, _ in rows.dtypes]
