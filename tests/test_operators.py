@@ -154,3 +154,29 @@ def test_impossible_browsers_and_decoding(spark):
     assert {r.ua: r.x for r in rows} == uas
     decoded = spark.createDataFrame([("/.%65nv+x%zz",)], "p string").select(C.decode_path(F.col("p")).alias("d")).first().d
     assert decoded == "/.env+x%zz"
+
+
+def test_labels_settle_on_a_long_chain(spark):
+    from weblens.operators.components import connect
+
+    nodes = [f"n{k:03d}" for k in range(200)]
+    links = spark.createDataFrame([(n, f"h{k + d}") for k, n in enumerate(nodes) for d in (0, 1)], "node string, hub string")
+    labels = connect(spark, spark.createDataFrame([(n,) for n in nodes], "node string"), links)
+    assert {r.label for r in labels.collect()} == {"n000"}
+
+
+def test_regions_climb_to_any_depth(spark):
+    from weblens.functions.ads import region_names
+
+    regions = spark.createDataFrame([("c1", "top", "c0", 2), ("c0", "world", None, 1), *[(f"c{k}", f"r{k}", f"c{k - 1}", 9) for k in range(2, 15)], ("x", "x", "y", 9), ("y", "y", "x", 9)], "code string, name string, parent string, level int")
+    got = {r.region: (r.name, r.area) for r in region_names(spark, spark.createDataFrame([("c14",), ("x",), ("q",)], "region string"), regions).collect()}
+    assert got == {"c14": ("r14", "top"), "x": ("x", ""), "q": ("", "")}
+
+
+def test_log_fields_are_whole_unless_limits_are_given(spark):
+    from weblens.sources import access_log as A
+
+    line = '1.1.1.1 - - [01/Jan/2024:00:00:01 +0300] "GET /' + "a" * 900 + "?" + "q" * 1500 + ' HTTP/1.1" 200 5 "-" "' + "u" * 700 + '"'
+    rows = spark.createDataFrame([(line,)], "line string")
+    whole, cut = A.parse_access(rows).first(), A.parse_access(rows, A.LIMITS).first()
+    assert (len(whole.base), len(whole.query), len(whole.ua)) == (901, 1500, 700) and (len(cut.base), len(cut.query), len(cut.ua)) == (500, 1000, 400)

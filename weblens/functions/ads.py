@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weblens.plans.store import stored
+
 # fixed values: names of packed call-tracking parts, placement domains, phrase labels
 TRACKING_PARTS = {"c": "cid", "gb": "gid", "ad": "aid", "ph": "pid", "st": "source_type", "pt": "position_type", "s": "source",
                   "dt": "device", "reg": "region"}
@@ -61,17 +63,22 @@ def phrase_label(phrase: Column) -> Column:
             .when(p == "", "(phrase not given)").otherwise(p))
 
 
-def region_names(spark, codes: DataFrame, regions: DataFrame, depth: int = 8) -> DataFrame:
+def region_names(spark, codes: DataFrame, regions: DataFrame) -> DataFrame:
     """Name and parent area (nearest ancestor of level 2) of region codes by walking the hierarchy.
 
-    ``regions`` has code, name, parent, level; the walk is a fixed number of joins on a dimension.
+    ``regions`` has code, name, parent, level; the walk goes up until no code has an ancestor left, at most once for each region (a
+    circle of parents ends there).
     """
     step = regions.select(F.col("code").alias("_c"), F.col("name").alias("_n"), F.col("parent").alias("_p"), F.col("level").alias("_l"))
     rows = codes.select("region").distinct().join(regions.select(F.col("code").alias("region"), "name"), "region", "left")
     rows = rows.withColumn("_at", F.col("region")).withColumn("area", F.lit(None).cast("string"))
-    for _ in range(depth):
+    rows = stored(spark, rows, "regions")
+    for _ in range(regions.count() + 1):
         rows = rows.join(step, F.col("_at") == F.col("_c"), "left")
         rows = rows.withColumn("area", F.coalesce("area", F.when(F.col("_l") == 2, F.col("_n"))))
         rows = rows.withColumn("_at", F.when(F.col("area").isNull(), F.col("_p"))).drop("_c", "_n", "_p", "_l")
+        rows = stored(spark, rows, "regions")
+        if rows.where("_at IS NOT NULL").isEmpty():
+            break
     return rows.select("region", F.coalesce("name", F.lit("")).alias("name"),
                        F.coalesce(F.when(F.col("area") != F.col("name"), F.col("area")), F.lit("")).alias("area"))

@@ -28,7 +28,7 @@ def simple_template(base: Column) -> Column:
     return F.array_join(segments(base), "/")
 
 
-def path_templates(spark, addresses: DataFrame, popular: DataFrame, min_children: int = 30, max_depth: int = 8) -> DataFrame:
+def path_templates(spark, addresses: DataFrame, popular: DataFrame, min_children: int = 30) -> DataFrame:
     """base -> template: a parent with many different children collapses them into '*', level by level.
 
     ``popular`` holds the addresses asked by at least two IPs.  Only distinct
@@ -36,7 +36,7 @@ def path_templates(spark, addresses: DataFrame, popular: DataFrame, min_children
     """
     rows = addresses.select("base").distinct().join(popular.select("base").distinct().withColumn("good", F.lit(True)), "base", "left")
     rows = stored(spark, rows.withColumn("seg", segments(F.col("base"))), "templates")
-    deepest = min(max_depth, rows.agg(F.max(F.size("seg")).alias("d")).first().d - 1)
+    deepest = (rows.agg(F.max(F.size("seg")).alias("d")).first().d or 1) - 1
     for depth in range(2, deepest + 1):
         here = F.element_at("seg", depth + 1)
         rows = rows.withColumn("_parent", F.array_join(F.slice("seg", 1, depth), "/"))

@@ -100,12 +100,13 @@ def file_types(rq: DataFrame) -> DataFrame:
     return by.withColumn("traffic_pct", F.round(F.col("bytes") / rq.agg(F.sum("bytes")).scalar() * 100, 4))
 
 
-def heavy_files(rq: DataFrame, top: int = 200) -> DataFrame:
+def heavy_files(rq: DataFrame, top: int | None = None) -> DataFrame:
+    """Traffic of every static file, or of the ``top`` by bytes."""
     rows = rq.where("is_static AND status = 200")
     by = rows.groupBy("base").agg(
         F.count(F.lit(1)).alias("requests"), F.sum("bytes").alias("bytes"), F.round(F.avg("bytes"), 4).alias("mean_bytes"),
         count_if(F.col("ref_internal")).alias("from_site"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
-    return by.orderBy(F.desc("bytes"), "base").limit(top)
+    return by if top is None else by.orderBy(F.desc("bytes"), "base").limit(top)
 
 
 def hotlinks(rq: DataFrame) -> DataFrame:

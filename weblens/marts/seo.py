@@ -9,6 +9,7 @@ from weblens.functions import columns as C
 from weblens.functions import fixed_values as fv
 from weblens.operators.ranking import top_values
 from weblens.operators.series import count_if
+from weblens.operators.sessions import SLOT
 
 # fixed values: robot family -> engine; files made for robots; addresses that are not site pages
 ENGINES = {"YandexBot": "Yandex", "YandexRenderResourcesBot": "Yandex", "YandexImages": "Yandex", "Googlebot": "Google",
@@ -55,8 +56,8 @@ def redirect_outcome(rq: DataFrame, files: str = ROBOT_FILES, seconds: int = 60,
     time block) and blocks borrow the rows of the next one, so a robot that makes a
     third of the traffic is not a single partition.
     """
-    block = F.floor(F.col("ts") / 600)
-    borrowed = F.array_compact(F.array(block, F.when(F.col("ts") < block * 600 + seconds + 1, block - 1)))
+    block = F.floor(F.col("ts") / SLOT)
+    borrowed = F.array_compact(F.array(block, F.when(F.col("ts") < block * SLOT + seconds + 1, block - 1)))
     # only clients that ever got a 3xx on such a file
     wanted = rq.where(F.col("base").rlike(files) & F.col("status").between(300, 399)).select("ip", "ua").distinct()
     rows = rq.join(wanted, ["ip", "ua"], "left_semi").withColumn("blk", F.explode(borrowed))
@@ -72,8 +73,8 @@ def redirect_outcome(rq: DataFrame, files: str = ROBOT_FILES, seconds: int = 60,
         "req_id", "ts", "base", "fam", "fam_verified", "status", F.coalesce("same_client", F.lit("")).alias("same_client"))
     left = own.where("same_client = '' AND fam_verified = 'yes' AND fam <> ''").select("req_id", "ts", "base", "fam")
     pool = rq.where(F.col("base").rlike(files) & (F.col("fam_verified") == "yes") & ~F.col("status").between(300, 399)).select(
-        F.col("ts").alias("t2"), F.col("req_id").alias("r2"), F.col("status").alias("s2"), "base", "fam").withColumn("blk", F.floor(F.col("t2") / 600))
-    near = left.withColumn("blk", F.explode(F.array_distinct(F.array(block, F.floor((F.col("ts") + seconds) / 600)))))
+        F.col("ts").alias("t2"), F.col("req_id").alias("r2"), F.col("status").alias("s2"), "base", "fam").withColumn("blk", F.floor(F.col("t2") / SLOT))
+    near = left.withColumn("blk", F.explode(F.array_distinct(F.array(block, F.floor((F.col("ts") + seconds) / SLOT)))))
     later = near.join(pool, ["fam", "base", "blk"]).where((F.col("t2") >= F.col("ts")) & (F.col("t2") - F.col("ts") <= seconds))
     other = later.groupBy("req_id").agg(F.min_by("s2", F.struct("t2", "r2")).alias("s2")).select("req_id", verdict(F.col("s2")).alias("same_robot"))
     return own.join(other, "req_id", "left").select(

@@ -12,6 +12,7 @@ from weblens.functions.ads import decode_plus
 from weblens.functions.columns import decode_path
 from weblens.operators.ranking import top_values
 from weblens.operators.series import count_if
+from weblens.operators.sessions import SLOT
 
 # fixed values: facet words, facet keys, service keys; attack values in parameters; key shapes; address kinds
 FACET_WORDS = {
@@ -41,7 +42,7 @@ PURPOSE = {"cart": r"(?i)/(cart|basket|korzina|checkout|order)", "cabinet": r"(?
 TOP_CHANNELS = [fv.CH_ADS, fv.CH_SEARCH, fv.CH_DIRECT, fv.CH_MAPS, fv.CH_LINKS, fv.CH_INTERNAL]
 
 
-def top_pages(rq: DataFrame, addresses: DataFrame, by: Column, n: int = 500, existing_only: bool = True) -> DataFrame:
+def top_pages(rq: DataFrame, addresses: DataFrame, by: Column, n: int | None = None, existing_only: bool = True) -> DataFrame:
     """Pages, sections or templates by visits of people, with errors, leads sent from them and channels.
 
     Rows are reduced to one per (unit, address, visit) before anything is counted twice.
@@ -57,7 +58,7 @@ def top_pages(rq: DataFrame, addresses: DataFrame, by: Column, n: int = 500, exi
         *[count_if(F.col("channel") == c).alias("ch_" + c.replace(" ", "_")) for c in TOP_CHANNELS], count_if(~known).alias("ch_other"))
     t = t.where("ok > 0") if existing_only else t
     t = t.join(per.groupBy("unit").agg(F.count_distinct("base").alias("addresses")), "unit")
-    return t.orderBy(F.desc("visits"), "unit").limit(n)
+    return t if n is None else t.orderBy(F.desc("visits"), "unit").limit(n)
 
 
 def leads_by_page(rq: DataFrame) -> DataFrame:
@@ -338,7 +339,7 @@ def embedded_templates(rq: DataFrame, min_share: float = 0.85, min_hits: int = 2
 
     The previous request matters only within seconds: rows are spread over (visit, slot) and slots borrow a few seconds.
     """
-    borrow = F.array_compact(F.array(F.col("slot"), F.when(F.col("ts") >= (F.col("slot") + 1) * 600 - seconds, F.col("slot") + 1)))
+    borrow = F.array_compact(F.array(F.col("slot"), F.when(F.col("ts") >= (F.col("slot") + 1) * SLOT - seconds, F.col("slot") + 1)))
     rows = rq.select("vid", "slot", "ts", "req_id", "tpl", "method", "is_static", "ua_browser", "ref_internal").withColumn("blk", F.explode(borrow))
     gap = F.col("ts") - F.lag("ts").over(Window.partitionBy("vid", "blk").orderBy("ts", "req_id"))
     rows = rows.withColumn("soon", F.coalesce(gap <= seconds, F.lit(False)) & F.col("ref_internal")).where((F.col("blk") == F.col("slot")) & (F.col("method") == "GET") & ~F.col("is_static") & F.col("ua_browser"))

@@ -81,10 +81,12 @@ def real_addresses(addresses: DataFrame) -> DataFrame:
     return addresses.where(F.col("for_people") & (F.col("probe") != "strong")).select("base")
 
 
-def unknown_extensions(addresses: DataFrame, min_requests: int = 3, top: int = 30) -> DataFrame:
+def unknown_extensions(addresses: DataFrame, min_requests: int = 3, top: int | None = None) -> DataFrame:
+    """Extensions of unknown kind by requests: all, or the ``top``."""
     rows = addresses.where(F.col("unknown_ext") & (F.col("probe") == "") & (F.col("existence") != "missing"))
     by = rows.groupBy("extension").agg(F.sum("requests").alias("requests"), F.count(F.lit(1)).alias("addresses"), F.min("base").alias("example"))
-    return by.where(F.col("requests") >= min_requests).orderBy(F.desc("requests"), "extension").limit(top)
+    often = by.where(F.col("requests") >= min_requests)
+    return often if top is None else often.orderBy(F.desc("requests"), "extension").limit(top)
 
 
 def constructs(rq: DataFrame, addresses: DataFrame) -> DataFrame:

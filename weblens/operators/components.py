@@ -14,26 +14,28 @@ from weblens.rules.forms import SPAM_SIGNS, entry_path
 WAVE = 7200  # fixed value: sends within two hours are one wave
 
 
-def connect(spark, nodes: DataFrame, links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connect(spark, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, hub) links -> node, label: the smallest node of its component.
 
     Nodes that share a hub are connected through it, so a group of n members costs n
-    links.  Labels travel node -> hub -> node until nothing changes; each round is
-    written out.
+    links.  Labels travel node -> hub -> node, then every node takes the label of its
+    label's node, so a chain halves each round; it ends when nothing changes.  Each
+    round is written out.
     """
     links = stored(spark, links.select("node", "hub").distinct(), "links")
     labels = stored(spark, nodes.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    for _ in range(max_rounds):
+    while True:
         at_hub = links.join(labels, "node").groupBy("hub").agg(F.min("label").alias("hub_label"))
         offered = salted_lookup(links, at_hub, "hub", F.xxhash64("node")).groupBy("node").agg(F.min("hub_label").alias("offer"))
-        moved = labels.join(offered, "node", "left").select(
-            "node", F.least("label", F.coalesce("offer", "label")).alias("label"), (F.col("offer") < F.col("label")).alias("changed"))
-        moved = stored(spark, moved, "labels")
+        nearer = stored(spark, labels.join(offered, "node", "left").select(
+            "node", F.least("label", F.coalesce("offer", "label")).alias("label"), (F.col("offer") < F.col("label")).alias("changed")), "labels")
+        beyond = nearer.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+        jumped = salted_lookup(nearer, beyond, "label", F.xxhash64("node"))
+        moved = stored(spark, jumped.select("node", F.least("label", F.coalesce("beyond", "label")).alias("label"), "changed"), "labels")
         changed = moved.where("changed").limit(1).count()
         labels = moved.select("node", "label")
         if not changed:
             return labels
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def spam_evidence(visits: DataFrame, human_direct_max: int = 5) -> DataFrame:
@@ -77,7 +79,7 @@ def waves_within(members: DataFrame, sends: DataFrame, key: str) -> DataFrame:
     return rows.join(runs.select(key, "blk", "run"), [key, "blk"]).select("node", F.concat_ws("|", F.lit("wave"), F.col(key), F.col("run").cast("string")).alias("hub")).distinct()
 
 
-def link_operators(spark, evidence: DataFrame, visits: DataFrame, max_rounds: int = 20) -> DataFrame:
+def link_operators(spark, evidence: DataFrame, visits: DataFrame) -> DataFrame:
     """ip -> operator label: strong evidence first, then groups that share a medium sign and one more, to a fix-point."""
     evidence = stored(spark, evidence.withColumnRenamed("ip", "node").withColumn("sign", F.concat_ws("|", "kind", "value")), "evidence")
     nodes = evidence.select("node").distinct()
@@ -85,7 +87,7 @@ def link_operators(spark, evidence: DataFrame, visits: DataFrame, max_rounds: in
     sends = stored(spark, visits.where(F.col("subgroup").startswith("form spam")).select(F.col("ip").alias("node"), F.col("start").alias("t")).distinct(), "sends")
     labels = connect(spark, nodes, strong)
     groups = None
-    for _ in range(max_rounds):
+    while True:  # a round that merges no groups is the last
         held = evidence.where("strength <> 'strong'").join(labels, "node").select("label", "kind", "strength", "sign").distinct()
         medium = held.where("strength = 'medium'").select("label", F.col("kind").alias("m_kind"), F.col("sign").alias("m_sign"))
         second = held.select("label", "kind", "sign")

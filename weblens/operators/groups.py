@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from weblens.functions import columns as C
 from weblens.functions import fixed_values as fv
 from weblens.operators.requests import salted_lookup
+from weblens.operators.sessions import SLOT
 
 
 def describe(visits: DataFrame, uas: DataFrame, ips: DataFrame) -> DataFrame:
     """Attach user agent and network attributes and the authenticity of declared robots."""
-    spread = F.floor(F.col("start") / 600)
+    spread = F.floor(F.col("start") / SLOT)
     rows = salted_lookup(visits, uas, "ua", spread)
     rows = salted_lookup(rows, ips.select("ip", "asn", "org", "cc", "nettype"), "ip", spread)
     return rows.withColumn("fam_verified", C.family_verified(F.col("fam"), F.col("asn")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weblens.functions import columns as C
 from weblens.marts.errors import state
 from weblens.operators.series import count_if
+from weblens.operators.sessions import SLOT
 from weblens.rules.forms import buckets
 
 
@@ -18,7 +19,7 @@ def redirect_ends(rq: DataFrame, seconds: int = 3, hops: int = 5) -> DataFrame:
     over (visit, time slot) and each slot borrows the first seconds of the next one.
     """
     reach = seconds * hops
-    borrowed = F.array_compact(F.array(F.col("slot"), F.when(F.col("ts") <= F.col("slot") * 600 + reach, F.col("slot") - 1)))
+    borrowed = F.array_compact(F.array(F.col("slot"), F.when(F.col("ts") <= F.col("slot") * SLOT + reach, F.col("slot") - 1)))
     rows = rq.select("vid", "slot", "ts", "req_id", "base", "status").withColumn("blk", F.explode(borrowed))
     w = Window.partitionBy("vid", "blk").orderBy("ts", "req_id")
     rows = rows.withColumn("nxt", F.array(*[F.struct(F.lead("ts", k).over(w).alias("ts"), F.lead("base", k).over(w).alias("base"), F.lead("status", k).over(w).alias("status")) for k in range(1, hops + 1)]))
@@ -100,8 +101,8 @@ def in_outages(rq: DataFrame, windows: DataFrame) -> DataFrame:
 
 def trace(rq: DataFrame, experiments: DataFrame, seconds: int = 60) -> DataFrame:
     """Requests of an IP around the time of an experiment (``name, ip, at``)."""
-    around = experiments.select("name", F.col("ip").alias("x_ip"), "at").withColumn("x_blk", buckets(F.col("at") - seconds, F.col("at") + seconds, 600))
-    rows = rq.withColumn("blk", F.floor(F.col("ts") / 600))
+    around = experiments.select("name", F.col("ip").alias("x_ip"), "at").withColumn("x_blk", buckets(F.col("at") - seconds, F.col("at") + seconds, SLOT))
+    rows = rq.withColumn("blk", F.floor(F.col("ts") / SLOT))
     return rows.join(around, (F.col("ip") == F.col("x_ip")) & (F.col("blk") == F.col("x_blk")) & (F.abs(F.col("ts") - F.col("at")) <= seconds)).select(
         "name", "req_id", "ip", "ts", "method", "base", "status")
 
@@ -127,7 +128,7 @@ def call_profile(rq: DataFrame, calls: str, seconds: int = 3, close: int = 2) ->
     """
     call = F.col("method").isin("GET", "POST") & F.col("base").rlike(calls)
     rows = rq.where((F.col("group") == "people") & (F.col("is_page") | call)).withColumn("call", call)
-    borrow = F.array_compact(F.array(F.col("slot"), F.when(F.col("ts") >= (F.col("slot") + 1) * 600 - seconds, F.col("slot") + 1)))
+    borrow = F.array_compact(F.array(F.col("slot"), F.when(F.col("ts") >= (F.col("slot") + 1) * SLOT - max(seconds, close), F.col("slot") + 1)))
     rows = rows.select("vid", "slot", "ts", "req_id", "base", "call").withColumn("blk", F.explode(borrow))
     w = Window.partitionBy("vid", "blk").orderBy("ts", "req_id")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -157,7 +158,7 @@ def list_crawl(requests: DataFrame, minimum: int = 10, share: float = 0.8) -> Da
     """Clients that take files in order: consecutive numbers or one folder. Works on the first request of every (client, file)."""
     first = requests.groupBy("ip", "ua", "base").agg(F.min(F.struct("ts", "req_id")).alias("f"))
     number = F.regexp_extract("base", r"(\d+)\.[A-Za-z0-9]+$", 1).try_cast("long")
-    first = first.withColumn("num", F.coalesce(number, F.lit(-10))).withColumn("slot", F.floor(F.col("f.ts") / 600)).withColumn("dir", F.regexp_replace("base", r"[^/]*$", ""))
+    first = first.withColumn("num", F.coalesce(number, F.lit(-10))).withColumn("slot", F.floor(F.col("f.ts") / SLOT)).withColumn("dir", F.regexp_replace("base", r"[^/]*$", ""))
     ends = first.groupBy("ip", "ua", "slot").agg(F.max_by("num", "f").alias("end"))
     ends = ends.select("ip", "ua", "slot", F.lag("end").over(Window.partitionBy("ip", "ua").orderBy("slot")).alias("carried"))
     w = Window.partitionBy("ip", "ua", "slot").orderBy("f")

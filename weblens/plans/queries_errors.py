@@ -45,7 +45,7 @@ QUERIES = {
     "a23_error_journal": _log(lambda w: E.error_journal(w.rq)),
     "a23_error_summary": _log(lambda w: E.error_summary(w.rq)),
     "a24_slowness": _log(lambda w: E.slowness(w.rq, w.error_log, 1).fillna(-1, ["aborted_pct"])),
-    "a75_unknown_extensions": _log(lambda w: A.unknown_extensions(w.construct_addresses)),
+    "a75_unknown_extensions": _log(lambda w: A.unknown_extensions(w.construct_addresses, top=30)),
     "j23_slash_twins": _log(lambda w: E.slash_twins(w.rq)),
     "k02_top_values": _log(lambda w: ranking.top_values(w.rq, ["group"], F.col("base"), "top_pages", 5)),
     "k04_code_rollup": _log(lambda w: ranking.code_rollup(w.rq, ["base"])),

@@ -30,7 +30,7 @@ QUERIES = {
     "a27_people_load": _log(lambda w: S.people_load(w.rq)),
     "a28_mass_requests": _log(lambda w: S.mass_requests(w.rq, 2)),
     "a29_file_types": _log(lambda w: S.file_types(w.rq)),
-    "a29_heavy_files": _log(lambda w: S.heavy_files(w.rq)),
+    "a29_heavy_files": _log(lambda w: S.heavy_files(w.rq, 200)),
     "a30_hotlinks": _log(lambda w: S.hotlinks(w.rq)),
     "a31_parasites": _log(lambda w: S.parasites(w.rq_tpl, 2)),
     "a31_crawler_traps": _log(lambda w: S.crawler_traps(w.rq_tpl, 3)),

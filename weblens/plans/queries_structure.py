@@ -40,7 +40,7 @@ def _actors(w):
 
 QUERIES = {
     "w04_embedded_templates": _log(lambda w: T.embedded_templates(w.rq_tpl, 0.05, 50)),
-    "a04_top_pages": _log(lambda w: T.top_pages(w.rq_tpl, w.addresses, F.col("base"))),
+    "a04_top_pages": _log(lambda w: T.top_pages(w.rq_tpl, w.addresses, F.col("base"), 500)),
     "a04_top_sections": _log(lambda w: T.top_pages(w.rq_tpl, w.addresses, C.section(F.col("base")), 100, False)),
     "a04_page_types": _log(lambda w: T.top_pages(w.rq_tpl, w.addresses, F.col("tpl"), 200)),
     "a04_leads_by_page": _log(lambda w: T.leads_by_page(w.rq)),

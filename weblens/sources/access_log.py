@@ -20,7 +20,8 @@ ACCESS = _HEAD + r'(?: "(.*?)" "(.*?)"(.*)|\s*)$'  # either of the two
 NGINX_ERROR = r"^\uFEFF?(\d{4}/\d\d/\d\d \d\d:\d\d:\d\d) \[(\w+)\] \d+#\d+: (?:\*\d+ )?(.*)$"
 APACHE_ERROR = r"^\uFEFF?\[\w{3} (\w{3} \d\d \d\d:\d\d:\d\d)(?:\.\d+)? (\d{4})\] \[([\w:]+)\] (.*)$"
 SITE_IN_NAME = r"(?i)((?:[a-z0-9-]+\.)+[a-z]{2,})(?=[._-](?:access|error|ssl))"
-LIMITS = {"method": 12, "base": 500, "query": 1000, "proto": 12, "ref": 500, "ua": 400, "tail": 200}
+LIMITS = {"method": 12, "base": 500, "query": 1000, "proto": 12, "ref": 500, "ua": 400, "tail": 200, "junk": 300}  # optional
+ERROR_LIMITS = {"msg": 600, "client": 600, "server": 600, "request": 400, "upstream": 200, "host": 600, "referrer": 300}  # optional
 
 
 def read_lines(spark: SparkSession, paths) -> DataFrame:
@@ -59,16 +60,20 @@ def _log_time(text: Column, fmt: str) -> Column:
     return F.unix_timestamp(F.try_to_timestamp(text, F.lit(fmt)))
 
 
-def parse_access(lines: DataFrame) -> DataFrame:
-    """Access lines (``line`` plus any other columns) to request columns; lines of other formats are dropped."""
+def parse_access(lines: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """Access lines (``line`` plus any other columns) to request columns; lines of other formats are dropped.
+
+    Fields are whole unless ``limits`` (such as LIMITS) names the most characters of some.
+    """
+    limits = limits or {}
     parts = F.split(F.regexp_replace("line", ACCESS, "\u0001".join(f"${i}" for i in range(1, 12))), "\u0001")
     rows = lines.withColumn("_f", F.explode(F.when(F.size(parts) == 11, F.array(parts))))
     field = lambda i: F.col("_f")[i - 1]
     request = F.split(field(6), " ")
     words = F.size(request)
-    url = F.when(words.isin(2, 3), request[1]).otherwise(F.substring(field(6), 1, 300))
+    url = F.when(words.isin(2, 3), request[1]).otherwise(_first(field(6), limits.get("junk")))
     rows = rows.withColumn("_url", F.split(url, r"\?", 2)).withColumn("ts", _log_time(field(4), "dd/MMM/yyyy:HH:mm:ss"))
-    cut = lambda c, name: F.substring(c, 1, LIMITS[name]).alias(name)
+    cut = lambda c, name: _first(c, limits.get(name)).alias(name)
     keep = [c for c in lines.columns if c != "line"]
     return rows.where(F.col("ts").isNotNull()).select(
         *keep, "ts", field(5).alias("tz_offset"), field(1).alias("ip"), field(2).alias("user"),
@@ -79,8 +84,13 @@ def parse_access(lines: DataFrame) -> DataFrame:
         cut(field(9), "ref"), cut(field(10), "ua"), cut(F.trim(field(11)), "tail"))
 
 
-def parse_error(lines: DataFrame) -> DataFrame:
-    """nginx and Apache error lines to messages with client, request, upstream, host and referrer."""
+def _first(text: Column, characters: int | None) -> Column:
+    return text if characters is None else F.substring(text, 1, characters)
+
+
+def parse_error(lines: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """nginx and Apache error lines to messages with client, request, upstream, host and referrer, whole unless ``limits`` (such as ERROR_LIMITS) says otherwise."""
+    limits = limits or {}
     line = F.col("line")
     nginx = line.rlike(NGINX_ERROR)
     text = F.when(nginx, F.regexp_extract(line, NGINX_ERROR, 3)).otherwise(F.regexp_extract(line, APACHE_ERROR, 4))
@@ -88,11 +98,11 @@ def parse_error(lines: DataFrame) -> DataFrame:
     ts = F.when(nginx, _log_time(F.regexp_extract(line, NGINX_ERROR, 1), "yyyy/MM/dd HH:mm:ss")).otherwise(
         _log_time(apache_time, "yyyy MMM dd HH:mm:ss"))
     level = F.when(nginx, F.regexp_extract(line, NGINX_ERROR, 2)).otherwise(F.regexp_extract(line, APACHE_ERROR, 3))
-    field = lambda name, limit=600: F.substring(F.regexp_extract(text, f', {name}: "?([^",]*)"?', 1), 1, limit).alias(name)
+    field = lambda name: _first(F.regexp_extract(text, f', {name}: "?([^",]*)"?', 1), limits.get(name)).alias(name)
     keep = [c for c in lines.columns if c != "line"]
     return lines.where(nginx | line.rlike(APACHE_ERROR)).select(
-        *keep, ts.alias("ts"), level.alias("level"), F.substring(F.split(text, ", client:")[0], 1, 600).alias("msg"),
-        field("client"), field("server"), field("request", 400), field("upstream", 200), field("host"), field("referrer", 300))
+        *keep, ts.alias("ts"), level.alias("level"), _first(F.split(text, ", client:")[0], limits.get("msg")).alias("msg"),
+        field("client"), field("server"), field("request"), field("upstream"), field("host"), field("referrer"))
 
 
 def line_kind(line: Column) -> Column:

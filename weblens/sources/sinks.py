@@ -17,11 +17,9 @@ def write_prepared(requests: DataFrame, path: str, mode: str = "overwrite") -> N
 
 
 def write_big_csv(rows: DataFrame, path: str, limit: int = ROWS_PER_LIST) -> bool:
-    """Full list as ';' CSV when it is longer than a page; the count stops at the limit."""
-    if rows.limit(limit + 1).count() <= limit:
-        return False
+    """Full list as ';' CSV, and whether it is longer than a page (the count stops at the limit)."""
     rows.write.mode("overwrite").option("sep", ";").option("header", "true").csv(path)
-    return True
+    return rows.limit(limit + 1).count() > limit
 
 
 def read_ip_ranges(spark: SparkSession, path: str, country: bool = False) -> DataFrame:
