@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weblens.llm import chat, context_tree, language, packing, pieces, quality, secret_scan, simhash, substrings, vectors
+from weblens.llm.sql import SQL
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_sentencepiece, op2_substring_dedup, op3_best_fit_packing, op4_embedding_dedup, op5_context_tree, op6_simhash, op7_quality, op8_chat, op9_language, op10_secrets,
 )}
 QUERIES["pipeline"] = corpus_pipeline.run
-SQL: dict[str, str] = {}
+
+__all__ = ["QUERIES", "SQL"]
