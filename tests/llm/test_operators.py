@@ -216,6 +216,35 @@ def test_trie_join_equals_all_pairs():
     assert got.tolist() == [want[i] for i in range(len(codes))]
 
 
+def test_trie_join_of_two_sides_meets_pairs_across():
+    rng = np.random.default_rng(7)
+    codes = rng.integers(0, 1 << 9, 90, dtype=np.uint64) << np.uint64(55)
+    group, side = rng.integers(0, 3, 90), rng.integers(0, 2, 90)
+    side[group == 2] = 0
+    order = np.lexsort((codes, side, group))
+    codes, group, side = codes[order], group[order], side[order]
+    got = simhash.trie_join(codes, group, 0, 1, side=side).root
+    near = (np.bitwise_count(codes[:, None] ^ codes[None]) <= 1) & (group[:, None] == group) & ((side[:, None] != side) | (group == 2))
+    want = brute.reach(range(len(codes)), lambda i: np.flatnonzero(near[i]).tolist())
+    assert got.tolist() == [want[i] for i in range(len(codes))]
+    assert simhash.trie_join(codes[:0], group[:0], 0, 1, side=side[:0]).root.tolist() == []
+
+
+def test_large_blocks_are_dealt_into_pairs_of_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centre = int(rng.integers(0, 1 << 62))
+    codes = sorted({centre ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 12), replace=False)) for _ in range(400)})
+    prints = spark.createDataFrame([(k, [c]) for k, c in enumerate(codes)], "node long, bits array<long>")
+    found = []
+    for chunk in (1 << 14, 7):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        found.append(rows(graph.components(simhash.links(prints, [F.col("bits")[0]])), "node", "component"))
+    assert found[0] == found[1]
+    near = np.bitwise_count(np.array(codes)[:, None] ^ np.array(codes)[None]) <= 4
+    want = brute.reach(range(len(codes)), lambda i: np.flatnonzero(near[i]).tolist())
+    assert dict(found[1]) == {i: want[i] for i in range(len(codes)) if near[i].sum() > 1}
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(200)] + [(500, 501), (501, 501), (None, 3), (700, 650), (650, 701)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}

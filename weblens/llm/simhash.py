@@ -4,6 +4,9 @@ A fingerprint has 64 bits; bit i is 1 if it is set in over half the XXH64 hashes
 differ.  The bits are cut into errors + 1 blocks, one of which must then be equal: for each block the fingerprints are rotated so that it leads, and dealt by its
 value.  Inside, the distinct fingerprints form a binary trie (ranges of a sorted array); pairs of trie nodes go down together, add up differing bits, and are
 dropped when these exceed the budget.  Pairs that meet enter a forest at once; only its edges leave a task.
+
+A block of over CHUNK fingerprints (near copies share most bits) is dealt into chunks by the hash of its rows, and each pair of chunks, one with itself included, is
+a group of its own: it starts at the pair of both chunks' nodes.  So no group holds more than two chunks, and every pair of the block is still met.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from weblens.llm.shared import partitions, saved
 SEED = 42
 #: Pairs of trie nodes that are expanded at once, and pairs of leaves below which a pair of nodes is compared leaf by leaf.
 FRONT, LEAVES = 1 << 16, 16
+#: Fingerprints of a block that are compared in one piece, and the bits that a chunk's number may take in a key.
+CHUNK, CHUNK_BITS = 1 << 14, 20
 #: For a similarity: 64-bit words of a long fingerprint, its views, and the words (its last ones) and standard deviations of the check.
 WORDS, VIEWS, VIEW_BITS, VIEW_ERRORS, CHECKS, SLACK = 8, 16, 32, 2, 4, 1.5
 
@@ -91,18 +96,29 @@ def _leaf_pairs(a: np.ndarray, a_past: np.ndarray, b: np.ndarray, b_past: np.nda
     yield np.repeat(a, n) + at // wide, np.repeat(b, n) + at % wide
 
 
-def trie_join(codes: np.ndarray, group: np.ndarray, lead: int, errors: int, depth_past: int = 64, checks: np.ndarray | None = None, total: int = 0) -> Forest:
+def _nodes(group: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Pairs of nodes to start from: a group with itself, or its side 0 with its side 1 if it has both."""
+    cuts = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (side[1:] != side[:-1]))) if len(group) else np.zeros(0, np.int64)
+    past = np.append(cuts[1:], len(group))
+    other = np.append(group[cuts][1:] == group[cuts][:-1], False) if len(cuts) else np.zeros(0, bool)
+    alone = (side[cuts] == 0) & ~other & (past - cuts > 1)
+    left = np.flatnonzero(other)
+    a, b = np.append(cuts[alone], cuts[left]), np.append(cuts[alone], cuts[left + 1])
+    a_past, b_past = np.append(past[alone], past[left]), np.append(past[alone], past[left + 1])
+    return np.stack([a, a_past, b, b_past, np.zeros_like(a)])
+
+
+def trie_join(
+    codes: np.ndarray, group: np.ndarray, lead: int, errors: int, depth_past: int = 64, checks: np.ndarray | None = None, total: int = 0, side: np.ndarray | None = None
+) -> Forest:
     """Links all pairs of one group whose codes differ in at most `errors` bits, and their checks in at most `total`.
 
-    codes: sorted by group and code, their first depth_past bits count, and the group fixes the first `lead` of these.
+    codes: sorted by group, side and code, their first depth_past bits count, and the group fixes the first `lead` of these.
+    side: of a group with rows on both sides, 0 and 1, only pairs across are met; a group of side 0 is met with itself.
     """
     forest = Forest(len(codes))
-    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(codes) else np.zeros(0, np.int64)
-    past = np.append(first[1:], len(codes))
-    many = past - first > 1
-    first, past = first[many], past[many]
     ones: dict[int, np.ndarray] = {}
-    stack = [(lead, np.stack([first, past, first, past, np.zeros_like(first)]))]
+    stack = [(lead, _nodes(group, np.zeros(len(codes), np.int8) if side is None else side))]
     while stack:
         depth, pairs = stack.pop()
         if pairs.shape[1] > FRONT:
@@ -135,6 +151,21 @@ def trie_join(codes: np.ndarray, group: np.ndarray, lead: int, errors: int, dept
     return forest
 
 
+def _in_chunks(rows: DataFrame, lead: int) -> DataFrame:
+    """key, node, code, side, checks: rows of a block (turn, block) under one key, or under the keys of all pairs of chunks that a row's chunk is part of."""
+    counts = rows.groupBy("turn", "block").count().where(F.col("count") > CHUNK)
+    chunks = F.least(F.ceil(F.col("count") / CHUNK), F.lit((1 << CHUNK_BITS) - 1)).cast("int")
+    hot = saved(counts.select("turn", "block", chunks.alias("chunks")))  # at most turns x 2**lead rows, some 50,000
+    dealt = rows.join(F.broadcast(hot), ["turn", "block"], "left")
+    dealt = dealt.withColumn("chunk", F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), "chunks")).cast("int"))
+    others = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+    dealt = dealt.withColumn("other", F.explode(others))
+    block = F.shiftleft(F.col("turn").cast("long"), lead).bitwiseOR(F.col("block"))
+    low, high = F.least("chunk", "other").cast("long"), F.greatest("chunk", "other").cast("long")
+    key = F.shiftleft(block, 2 * CHUNK_BITS).bitwiseOR(F.shiftleft(low, CHUNK_BITS)).bitwiseOR(high)
+    return dealt.select(key.alias("key"), "node", "code", (F.col("chunk") > F.col("other")).cast("byte").alias("side"), "checks")
+
+
 def links(prints: DataFrame, views: list[Column], bits: int = 64, errors: int = 4, total: int | None = None) -> DataFrame:
     """a, b: links that connect what is near in any view. prints: node, bits; views: longs of which the low `bits` bits are a code."""
     edges = [bits * i // (errors + 1) for i in range(errors + 2)]
@@ -149,35 +180,34 @@ def links(prints: DataFrame, views: list[Column], bits: int = 64, errors: int =
     turned = F.array(*[F.struct(F.lit(k * len(edges) + i).alias("turn"), turn(v, e).alias("code")) for k, v in enumerate(views) for i, e in enumerate(edges[:-1])])
     checks = F.slice("bits", -CHECKS, CHECKS) if total is not None else F.lit(None).cast("array<long>")
     rows = prints.select("node", checks.alias("checks"), F.explode(turned).alias("x")).select("node", "checks", "x.turn", "x.code", F.shiftrightunsigned("x.code", 64 - lead).alias("block"))
-    rows = rows.repartition(partitions(prints.sparkSession), "turn", "block").sortWithinPartitions("turn", "block")
+    rows = _in_chunks(rows, lead).repartition(partitions(prints.sparkSession), "key").sortWithinPartitions("key")
 
     def join(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        node, code, group, check = (np.concatenate(x) for x in held)
-        order = np.lexsort((code, group))
+        key, node, code, side, check = (np.concatenate(x) for x in held)
+        order = np.lexsort((code, side, key))
         node = node[order]
-        root = trie_join(code[order], group[order], lead, errors, bits, check[order] if total is not None else None, total or 0).root
+        root = trie_join(code[order], key[order], lead, errors, bits, check[order] if total is not None else None, total or 0, side[order]).root
         met = np.flatnonzero(root != np.arange(len(root)))
         return pa.record_batch([pa.array(node[met]), pa.array(node[root[met]])], names=["a", "b"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole groups, about 100,000 rows at once."""
-        held: list[list] = [[], [], [], []]
+        held: list[list] = [[], [], [], [], []]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, turns, block = (batch.column(c).to_numpy() for c in ("node", "turn", "block"))
-            group = (turns.astype(np.int64) << lead) | block
+            key, node, side = (batch.column(c).to_numpy() for c in ("key", "node", "side"))
             check = batch.column("checks").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1) if total is not None else node
-            new = [node, batch.column("code").to_numpy().view(np.uint64), group, check]
+            new = [key, node, batch.column("code").to_numpy().view(np.uint64), side, check]
             if sum(map(len, held[0])) > 100_000:
-                other = group != held[2][-1][-1]
-                more = int(np.argmax(other)) if other.any() else len(group)
+                other = key != held[0][-1][-1]
+                more = int(np.argmax(other)) if other.any() else len(key)
                 for h, x in zip(held, new, strict=True):
                     h.append(x[:more])
-                if more == len(group):
+                if more == len(key):
                     continue
                 yield join(held)
-                held, new = [[], [], [], []], [x[more:] for x in new]
+                held, new = [[], [], [], [], []], [x[more:] for x in new]
             for h, x in zip(held, new, strict=True):
                 h.append(x)
         if held[0]:
