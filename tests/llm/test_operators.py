@@ -236,10 +236,11 @@ def test_large_blocks_are_dealt_into_pairs_of_chunks(spark, monkeypatch):
     codes = sorted({centre ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 12), replace=False)) for _ in range(400)})
     prints = spark.createDataFrame([(k, [c]) for k, c in enumerate(codes)], "node long, bits array<long>")
     found = []
-    for chunk in (1 << 14, 7):
+    for chunk, crowd in ((1 << 14, 512), (7, 512), (3, 0)):  # one group, many chunks with one block equal, and with two
         monkeypatch.setattr(simhash, "CHUNK", chunk)
+        monkeypatch.setattr(simhash, "CROWD", crowd)
         found.append(rows(graph.components(simhash.links(prints, [F.col("bits")[0]])), "node", "component"))
-    assert found[0] == found[1]
+    assert found[0] == found[1] == found[2]
     near = np.bitwise_count(np.array(codes)[:, None] ^ np.array(codes)[None]) <= 4
     want = brute.reach(range(len(codes)), lambda i: np.flatnonzero(near[i]).tolist())
     assert dict(found[1]) == {i: want[i] for i in range(len(codes)) if near[i].sum() > 1}

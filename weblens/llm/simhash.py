@@ -1,17 +1,19 @@
 """SimHash near-duplicates by a self-join of binary tries.
 
 A fingerprint has 64 bits; bit i is 1 if it is set in over half the XXH64 hashes of the document's word shingles.  Two fingerprints link if at most `errors` bits
-differ.  The bits are cut into errors + 1 blocks, one of which must then be equal: for each block the fingerprints are rotated so that it leads, and dealt by its
-value.  Inside, the distinct fingerprints form a binary trie (ranges of a sorted array); pairs of trie nodes go down together, add up differing bits, and are
-dropped when these exceed the budget.  Pairs that meet enter a forest at once; only its edges leave a task.
+differ.  The bits are cut into errors + r blocks, r of which must then be equal: for each choice of r blocks the fingerprints are turned so that these lead, and dealt by
+their value.  r is 2 where 1 would leave too many fingerprints of no kinship together.  Inside, the distinct fingerprints form a binary trie (ranges of a sorted
+array); pairs of trie nodes go down together, add up differing bits, and are dropped when these exceed the budget.  Pairs that meet enter a forest at once; only its
+edges leave a task.
 
-A block of over CHUNK fingerprints (near copies share most bits) is dealt into chunks by the hash of its rows, and each pair of chunks, one with itself included, is
-a group of its own: it starts at the pair of both chunks' nodes.  So no group holds more than two chunks, and every pair of the block is still met.
+A value that over CHUNK fingerprints have (near copies share most bits) is dealt into chunks by the hash of its rows, and each pair of chunks, one with itself included, is
+a group of its own: it starts at the pair of both chunks' nodes.  So no group holds more than two chunks, and every pair is still met.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,10 @@ from weblens.llm.shared import partitions, saved
 SEED = 42
 #: Pairs of trie nodes that are expanded at once, and pairs of leaves below which a pair of nodes is compared leaf by leaf.
 FRONT, LEAVES = 1 << 16, 16
-#: Fingerprints of a block that are compared in one piece, and the bits that a chunk's number may take in a key.
-CHUNK, CHUNK_BITS = 1 << 14, 20
+#: Fingerprints that are compared in one piece, and the bits that a chunk's number may take in a key.
+CHUNK, CHUNK_BITS = 1 << 11, 18
+#: Fingerprints that chance may leave together before two blocks must be equal instead of one.
+CROWD = 1 << 9
 #: For a similarity: 64-bit words of a long fingerprint, its views, and the words (its last ones) and standard deviations of the check.
 WORDS, VIEWS, VIEW_BITS, VIEW_ERRORS, CHECKS, SLACK = 8, 16, 32, 2, 4, 1.5
 
@@ -155,8 +159,8 @@ def _in_chunks(rows: DataFrame, lead: int) -> DataFrame:
     """key, node, code, side, checks: rows of a block (turn, block) under one key, or under the keys of all pairs of chunks that a row's chunk is part of."""
     counts = rows.groupBy("turn", "block").count().where(F.col("count") > CHUNK)
     chunks = F.least(F.ceil(F.col("count") / CHUNK), F.lit((1 << CHUNK_BITS) - 1)).cast("int")
-    hot = saved(counts.select("turn", "block", chunks.alias("chunks")))  # at most turns x 2**lead rows, some 50,000
-    dealt = rows.join(F.broadcast(hot), ["turn", "block"], "left")
+    hot = saved(counts.select("turn", "block", chunks.alias("chunks")))
+    dealt = rows.join(hot, ["turn", "block"], "left")
     dealt = dealt.withColumn("chunk", F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), "chunks")).cast("int"))
     others = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
     dealt = dealt.withColumn("other", F.explode(others))
@@ -168,16 +172,24 @@ def _in_chunks(rows: DataFrame, lead: int) -> DataFrame:
 
 def links(prints: DataFrame, views: list[Column], bits: int = 64, errors: int = 4, total: int | None = None) -> DataFrame:
     """a, b: links that connect what is near in any view. prints: node, bits; views: longs of which the low `bits` bits are a code."""
-    edges = [bits * i // (errors + 1) for i in range(errors + 2)]
-    lead = min(b - a for a, b in zip(edges, edges[1:], strict=False))
-
-    def turn(code: Column, e: int) -> Column:
-        """The code, rotated so that bit e leads, in the high bits of a long."""
-        high = F.shiftleft(code, 64 - bits + e)
-        low = F.shiftleft(F.shiftrightunsigned(F.shiftleft(code, 64 - bits), 64 - e), 64 - bits) if e else F.lit(0)
-        return high.bitwiseOR(low)
-
-    turned = F.array(*[F.struct(F.lit(k * len(edges) + i).alias("turn"), turn(v, e).alias("code")) for k, v in enumerate(views) for i, e in enumerate(edges[:-1])])
+    n = prints.count()
+    for equal in (1, 2):
+        edges = [bits * i // (errors + equal) for i in range(errors + equal + 1)]
+        parts = list(pairwise(edges))
+        leads = list(combinations(parts, equal))
+        lead = min(sum(b - a for a, b in chosen) for chosen in leads)
+        if n <= CROWD << lead:
+            break
+
+    def turn(code: Column, chosen: tuple[tuple[int, int], ...]) -> Column:
+        """The code with the chosen parts first, in the high bits of a long."""
+        out, at = F.lit(0).cast("long"), 0
+        for a, b in (*chosen, *(x for x in parts if x not in chosen)):
+            part = F.shiftrightunsigned(F.shiftleft(code, 64 - bits + a), 64 - (b - a))
+            out, at = out.bitwiseOR(F.shiftleft(part, 64 - at - (b - a))), at + b - a
+        return out
+
+    turned = F.array(*[F.struct(F.lit(k * len(leads) + i).alias("turn"), turn(v, e).alias("code")) for k, v in enumerate(views) for i, e in enumerate(leads)])
     checks = F.slice("bits", -CHECKS, CHECKS) if total is not None else F.lit(None).cast("array<long>")
     rows = prints.select("node", checks.alias("checks"), F.explode(turned).alias("x")).select("node", "checks", "x.turn", "x.code", F.shiftrightunsigned("x.code", 64 - lead).alias("block"))
     rows = _in_chunks(rows, lead).repartition(partitions(prints.sparkSession), "key").sortWithinPartitions("key")
@@ -235,7 +247,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, errors: int = 4, similarity
     found = saved(links(nodes, [F.col("fingerprint")], 64, errors).union(repeated))
     groups = components(found)
     if similarity is not None:
-        kept = nodes.join(groups.where("node <> component").select("node"), "node", "left_anti")
+        kept = saved(nodes.join(groups.where("node <> component").select("node"), "node", "left_anti"))
         angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
         n = CHECKS * 64
         total = int(n * angle + SLACK * np.sqrt(n * angle * (1 - angle)))
