@@ -32,7 +32,7 @@ def _recent_404(w):
 QUERIES = {
     "t01_stream_sessions": _log(lambda w: run_to_end(w, live.sessions(log_stream(w)), "t01")),
     "t02_stream_recent_404": _log(lambda w: run_to_end(w, _recent_404(w), "t02").select("req_id", "ip", "path", "ip_404").distinct()),
-    "t03_stream_window_counters": _log(lambda w: run_to_end(w, live.window_counters(log_stream(w)), "t03").drop("addresses")),
-    "t04_stream_sliding_burst": _log(lambda w: run_to_end(w, live.sliding_burst(log_stream(w), minimum=4), "t04")),
-    "t05_stream_minute_alerts": _log(lambda w: run_to_end(w, live.minute_alerts(log_stream(w), 2), "t05")),
+    "t03_stream_window_counters": _log(lambda w: run_to_end(w, live.window_counters(log_stream(w)), "t03").withColumn("window_start", F.unix_timestamp("window_start"))),
+    "t04_stream_sliding_burst": _log(lambda w: run_to_end(w, live.sliding_burst(log_stream(w), minimum=4), "t04").withColumn("window_start", F.unix_timestamp("window_start"))),
+    "t05_stream_minute_alerts": _log(lambda w: run_to_end(w, live.minute_alerts(log_stream(w), 2), "t05").withColumn("minute", F.unix_timestamp("minute"))),
 }
