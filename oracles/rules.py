@@ -1,6 +1,6 @@
 """Check queries for visit rules and interval joins."""
 
-from oracles.errors import PROBE_RX
+from oracles.errors import PROBE_RX, forms as _forms
 from oracles.prelude import ERROR_LINES, in_list, lit, sql
 from oracles.security import _STAFF
 from weblens.functions import fixed_values as fv
@@ -49,7 +49,55 @@ _MARK = "(regexp_matches(query,'(?i)(?:^|&)(success|formresult|result|sent|ok|st
 _OPER = "CASE WHEN ip LIKE '10.2.0.%' AND CAST(split_part(ip,'.',4) AS INT) < 64 THEN 'office' WHEN ip LIKE '10.2.%' THEN 'regional' WHEN asn=24940 THEN 'hoster' WHEN asn=8359 THEN 'mobile' ELSE '' END"
 _HOSTS = """, hd AS (SELECT vhost, count(*) AS requests, count_if(method='GET' AND NOT is_static AND status BETWEEN 200 AND 299) AS pages, CASE vhost WHEN 'site.ru' THEN 'site' WHEN 'shop.site.ru' THEN 'not site' WHEN '10.9.9.9' THEN 'ip' ELSE 'other domain' END AS kind FROM rg GROUP BY vhost)"""
 
+_has = lambda words: f"x IN {in_list(words.split())}"
+_any = lambda folders: "(" + " OR ".join(f"contains(l,{lit(f)})" for f in folders) + ")"
+_kinds = "CASE " + " ".join(f"WHEN x IN {in_list(e)} THEN '{k}'" for k, e in fv.ASSET_KINDS.items()) + " END"
+_named = lambda names: "concat_ws(', ', " + ", ".join(f"CASE WHEN {c} THEN {lit(t)} END" for c, t in names) + ")"
+_FILES = _forms("rg") + f""",
+k0 AS (SELECT base, form='page' AS page, lower(base) AS l, regexp_extract(lower(base),'([^/]*)$',1) AS lf FROM af),
+k1 AS (SELECT *, CASE WHEN ends_with(lf,'.tar.gz') THEN 'tar.gz' ELSE regexp_extract(lf,'\\.([a-z0-9]{{1,10}})$',1) END AS x FROM k0),
+k2 AS (SELECT *, {_has(" ".join(e for _, e in fv.DOWNLOADS))} OR ({_has(fv.DATA_EXTENSIONS)} AND {_any(fv.DATA_FOLDERS)} AND NOT {_any(fv.NOT_DATA_FOLDERS)}) AS dl FROM k1),
+k AS (SELECT base, page, dl, regexp_matches(base,{lit('(?i)' + fv.SERVICE_FILES)}) AS svc, {_SENS} AS sens, {_has(fv.SOUND_AND_VIDEO)} AS av, {_has(fv.PHOTOS)} AS ph, x IN {in_list(fv.PAGE_ASSETS)} AS pa,
+  {_kinds} AS kind, ({_has(fv.CONTENT_IMAGES)} OR dl) AND NOT regexp_matches(l,{lit(fv.DECORATION)}) AS content FROM k2),
+r AS (SELECT rg.*, k.* EXCLUDE (base) FROM rg JOIN k USING (base)),
+fl AS (SELECT vid, bool_or(page) AS hp, bool_or(NOT page AND NOT svc) AS hf, bool_or(sens) AS hs FROM r GROUP BY 1),
+j AS (SELECT vs.* FROM vs JOIN fl USING (vid) WHERE "group"='people' AND NOT hp AND hf AND NOT hs AND n_post=0),
+wp AS (SELECT vs.* FROM vs JOIN fl USING (vid) WHERE "group"='people' AND hp),
+md AS (SELECT median(bytes) AS m FROM r JOIN fl USING (vid) WHERE hp AND kind='images' AND status=200 AND bytes>0),
+f0 AS (SELECT r.*, ref NOT IN ('-','') AS hr, ref_host='other1.example' AS own, status IN (404,410) AS gone FROM r WHERE NOT svc AND vid IN (SELECT vid FROM j)),
+f1 AS (SELECT *, hr AND ref_internal AND NOT own AS inn, hr AND NOT own AND NOT ref_internal AND regexp_matches(ref_host,{lit(fv.REF_SEARCH)}) AS se FROM f0),
+f AS (SELECT *, hr AND NOT own AND NOT inn AND NOT se AS ext_, (dl AND status BETWEEN 200 AND 299) OR (av AND status=200) OR (ph AND status=200 AND bytes>5*(SELECT m FROM md) AND NOT se) AS taken FROM f1),
+c4 AS (SELECT ip, ua, count_if(gone)>=5 AS many FROM f GROUP BY 1,2),
+rp AS (SELECT DISTINCT ip, ua FROM (SELECT ip, ua, count(*) AS n FROM f WHERE status=200 GROUP BY ip, ua, base, day) WHERE n>=3),
+l0 AS (SELECT ip, ua, base, min(ts*100000000+req_id) AS o FROM f WHERE status BETWEEN 200 AND 299 GROUP BY 1,2,3),
+l1 AS (SELECT *, TRY_CAST(regexp_extract(base,'(\\d+)\\.[A-Za-z0-9]+$',1) AS BIGINT) AS num, regexp_replace(base,'[^/]*$','') AS dir FROM l0),
+l2 AS (SELECT *, num - lag(num) OVER (PARTITION BY ip, ua ORDER BY o) AS step, count(*) OVER (PARTITION BY ip, ua, dir) AS in_dir FROM l1),
+lc AS (SELECT ip, ua FROM l2 GROUP BY 1,2 HAVING count(*)>=10 AND (count_if(step=1)/(count(*)-1)>=0.8 OR max(in_dir)/count(*)>=0.8) AND (ip, ua) NOT IN (SELECT (ip, ua) FROM f WHERE pa)),
+ff AS (SELECT vid, count(*) AS n, count_if(gone) AS ng, bool_or(status=403) AS refused, bool_or(taken) AS taken, bool_or(own) AS own, bool_or(inn) AS inn, bool_or(se) AS se, bool_or(ext_) AS ext_,
+  count(DISTINCT ref)=1 AND bool_and(hr) AND count(DISTINCT kind)>=2 AND count(*)=count(DISTINCT base) AND max(ts)-min(ts)<=60 AS one FROM f GROUP BY 1),
+s0 AS (SELECT vid, base, count(*) AS m FROM f WHERE content GROUP BY 1,2), s1 AS (SELECT vid, base FROM s0 JOIN ff USING (vid) WHERE m>=0.8*n),
+s2 AS (SELECT f.base, f.ip, f.ts, count(*) OVER (PARTITION BY f.base ORDER BY f.ts RANGE BETWEEN CURRENT ROW AND 21600 FOLLOWING) AS dense FROM f JOIN s1 USING (vid, base)),
+s3 AS (SELECT base FROM s2 GROUP BY 1 HAVING count(DISTINCT ip)>=20 AND max(dense)<0.5*count(*)),
+fev AS (SELECT j.*, ff.* EXCLUDE (vid), EXISTS (SELECT 1 FROM wp WHERE wp.ip=j.ip AND wp."start"<=j."end"+1800 AND wp."end">=j."start"-1800) AS neighbours,
+  j.ip IN (SELECT ip FROM wp GROUP BY 1 HAVING count(DISTINCT ua)>=3) AND j.hour>=9 AND j.hour<19 AND j.weekday<5 AS office, c4.many, (j.ip, j.ua) IN (SELECT (ip, ua) FROM rp) AS repeats,
+  (j.ip, j.ua) IN (SELECT (ip, ua) FROM lc) AS crawl, j.vid IN (SELECT vid FROM s1 WHERE base IN (SELECT base FROM s3)) AS spread, starts_with(nettype,'data center') OR starts_with(nettype,'Yandex') AS server,
+  nettype IN ('mobile operator','RU access provider','foreign access provider') AS home, regexp_matches(j.ua,'Windows 9[58]|Win 9x|Windows NT 4\\.0') OR coalesce(TRY_CAST(nullif(regexp_extract(j.ua,'(?:iPhone|CPU) OS (\\d+)_',1),'') AS INT)<7, false)
+   OR coalesce(TRY_CAST(nullif(regexp_extract(j.ua,'Gecko/(20\\d\\d)\\d\\d\\d\\d\\b',1),'') AS INT) > (SELECT year(DATE '1970-01-01' + CAST(max("end") // 86400 AS INT)) FROM vs), false) AS imp
+  FROM j JOIN ff USING (vid) JOIN c4 ON c4.ip=j.ip AND c4.ua=j.ua),
+e2 AS (SELECT *, (imp OR crawl OR repeats OR many OR spread) AND NOT neighbours AS b, (neighbours OR office OR one) AND NOT (imp OR crawl OR repeats OR many OR spread OR server) AS p, ng>=1 AND ng>=0.8*n AS missing FROM fev),
+e3 AS (SELECT vid, CASE WHEN imp AND ng=n THEN 'bots|files only: asks for files that do not exist' WHEN imp THEN 'bots|files only: scraper' WHEN own THEN 'own|own systems' WHEN neighbours THEN 'people|'
+  WHEN taken THEN CASE WHEN p THEN 'people|took a document' WHEN crawl OR repeats THEN 'bots|files only: scraper' ELSE 'suspects|took a document' END WHEN se THEN 'people|from image search'
+  WHEN missing THEN CASE WHEN p THEN 'people|old link' WHEN b THEN 'bots|files only: asks for files that do not exist' ELSE 'suspects|' END
+  WHEN inn THEN CASE WHEN p THEN 'people|' WHEN b THEN 'bots|files only: scraper' ELSE 'suspects|' END
+  WHEN ext_ THEN CASE WHEN p THEN 'people|hotlink' WHEN b THEN 'bots|files only: scraper' ELSE 'external_sites|hotlink' END
+  WHEN p THEN 'people|opened a file by a direct link' WHEN b THEN 'bots|files only: scraper' ELSE 'suspects|' END AS v,
+  {_named([("neighbours", "neighbours at the address"), ("office", "office: many browsers, working hours, weekdays"), ("one", "assets of one page"), ("home", "home or mobile network"), ("refused", "closed by the site (403)")])} AS ep,
+  {_named([("imp", "impossible browser version"), ("crawl", "list crawl"), ("repeats", "repeats"), ("many", "many 404"), ("spread", "one file from many IPs"), ("server", "data center"), ("refused", "closed by the site (403)")])} AS eb FROM e2)
+SELECT vs.vid, CASE WHEN v IS NULL THEN "group" ELSE split_part(v,'|',1) END AS "group", CASE WHEN v IS NULL THEN subgroup ELSE split_part(v,'|',2) END AS subgroup, coalesce(ep,'') AS evidence_people, coalesce(eb,'') AS evidence_bot
+FROM vs LEFT JOIN e3 USING (vid)"""
+
 SQL = {
+    "r06_files_only": sql("grouped", _FILES),
     "r03_signatures": sql("grouped", _SIG + " SELECT vid, signature, strong FROM sg WHERE signature IS NOT NULL"),
     "r03_mark_scanners": sql("grouped", _KIND + f""" SELECT vid, CASE WHEN m THEN 'bots' ELSE "group" END AS "group", CASE WHEN m THEN concat(CASE WHEN strong>=10 THEN {lit(scanners.SCANNER)} ELSE kind END, ': ', nm) ELSE subgroup END AS subgroup
         FROM (SELECT vs.vid, vs."group", subgroup, strong, kind, {_names} AS nm, signature IS NOT NULL AND vs."group"='people' AS m FROM vs LEFT JOIN sg USING (vid) LEFT JOIN kk USING (ip, ua))"""),

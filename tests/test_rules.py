@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from weblens.marts import errors, findings
-from weblens.rules import forms, scanners, special
+from weblens.rules import files_only, forms, scanners, special
 from tests.conftest import BROWSER
 
 T0 = 1704067200
@@ -99,3 +99,35 @@ def test_findings_keep_the_worst_and_alarms_can_be_repeated(spark):
     once = findings.alarms(f, none)
     assert {(r.key, r.severity) for r in once.collect()} == {(r.key, r.severity) for r in findings.alarms(once, none).collect()}
     assert once.where("severity = 'alarm'").count() == 1
+
+
+def test_visits_of_files_only(make_log, weblog):
+    agent = lambda n: {"ua": BROWSER.replace("Chrome/120", f"Chrome/12{n}")}
+    direct, future = {}, {"ua": "Mozilla/5.0 (X11; Linux x86_64; rv:109.0) Gecko/20990101 Firefox/115.0"}
+    ref = lambda url: {"ref": url}
+    noon = T0 + 13 * 3600
+    rows = page_with_assets(T0, "7.7.7.1") + [(T0 + 60, "7.7.7.1", "/upload/a.jpg", agent(3))]
+    rows += [(T0, "7.7.7.2", "/docs/a.pdf", direct)]
+    rows += [(T0 + i, "7.7.7.3", f"/img/{i}.jpg", direct) for i in range(12)]
+    rows += [(T0, "7.7.7.4", "/old.jpg", {"status": 404})]
+    rows += [(T0 + i, "7.7.7.5", f"/none-{i}/x.jpg", {"status": 404}) for i in range(6)]
+    rows += [(T0, "7.7.7.6", "/img/one.jpg", ref("https://blog.example/post"))]
+    rows += [(T0, "7.7.7.7", "/img/one.jpg", ref("https://www.google.com/"))]
+    rows += [(T0, "7.7.7.8", "/img/one.jpg", future), (T0, "7.7.7.9", "/img/one.jpg", ref("https://crm.example/"))]
+    rows += [(T0, "7.7.8.1", "/img/one.jpg", ref("https://blog.example/post")), (T0 + 1, "7.7.8.1", "/s.css", ref("https://blog.example/post"))]
+    for n in (1, 2, 3):
+        rows += [(r[0], r[1], r[2], {**(r[3] if len(r) > 3 else {}), **agent(n)}) for r in page_with_assets(T0 + 9 * 3600, "7.7.8.2")]
+    rows += [(noon, "7.7.8.2", "/img/one.jpg", agent(4))]
+    rows += [(T0 + i * 60, "7.7.8.3", "/img/one.jpg", direct) for i in range(3)]
+    rows += [(T0, "7.7.8.4", "/robots.txt", direct), (T0, "7.7.8.5", "/.env.zip", direct), (T0, "7.7.8.6", "/img/big.jpg", {"bytes": 9000})]
+    rows += [(T0, "7.7.8.7", "/img/one.jpg", ref("https://site.ru/page/"))]
+    w = weblog(make_log(rows))
+    v = files_only.mark_files_only(w.visits, w.rq, w.addresses, ["crm.example"]).where("n_pages = 0").cache()
+    scraper, missing = ("bots", "files only: scraper"), ("bots", "files only: asks for files that do not exist")
+    expected = {"7.7.7.1": ("people", ""), "7.7.7.2": ("suspects", "took a document"), "7.7.7.3": scraper, "7.7.7.4": ("suspects", ""), "7.7.7.5": missing,
+                "7.7.7.6": ("external_sites", "hotlink"), "7.7.7.7": ("people", "from image search"), "7.7.7.8": scraper, "7.7.7.9": ("own", "own systems"),
+                "7.7.8.1": ("people", "hotlink"), "7.7.8.2": ("people", "opened a file by a direct link"), "7.7.8.3": scraper, "7.7.8.4": ("people", ""),
+                "7.7.8.5": ("people", ""), "7.7.8.6": ("suspects", "took a document"), "7.7.8.7": ("suspects", "")}
+    found = {r.ip: r for r in v.collect()}
+    assert {ip: (r.group, r.subgroup) for ip, r in found.items()} == expected
+    assert found["7.7.7.3"].evidence_bot == "list crawl" and found["7.7.8.1"].evidence_people == "assets of one page" and found["7.7.8.4"].evidence_bot == ""

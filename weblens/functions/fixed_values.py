@@ -153,6 +153,26 @@ REF_AGGREGATOR = (r"(^|\.)(cian\.ru|avito\.ru|domclick\.ru|realty\.ya\.ru|realty
 CH_ADS, CH_AI, CH_MAIL, CH_INTERNAL = "ads", "ai assistants", "mailings", "internal"
 CH_MAPS, CH_SEARCH, CH_SOCIAL = "maps", "search", "social"
 CH_AGGREGATOR, CH_LABELS, CH_DIRECT, CH_LINKS = "aggregators", "other labels", "direct", "links"
+# what decides a channel: (channel, what is behind it, where to look, pattern); {host}, {engine} and {label} are read from the entry request
+CHANNEL_RULES = [
+    (CH_ADS, "Yandex Direct", "query", r"yclid=|utm_source=(yandex|yd|ya|direct)"),
+    (CH_ADS, "Google Ads", "query", r"gclid=|gbraid=|wbraid=|utm_source=google.*cpc|cpc.*utm_source=google"),
+    (CH_ADS, "VK Ads", "query", r"rb_clickid=|vkclid=|utm_source=(vk|mytarget|vkads)"),
+    (CH_ADS, "Telegram Ads", "query", r"utm_source=(tg|telegram).*cpc|cpc.*utm_source=(tg|telegram)"),
+    (CH_AI, "ChatGPT", "query", r"utm_source=chatgpt\.com"),
+    (CH_MAIL, "", "query", r"utm_medium=(e-?mail|newsletter|rassylka)"),
+    (CH_ADS, "other systems", "query", r"utm_medium=(cpc|cpm|cpa|paid|ppc)"),
+    (CH_INTERNAL, "", "internal", r"yes"),
+    (CH_AI, "{host}", "host", REF_AI),
+    (CH_MAPS, "{host}", "host", REF_MAPS),
+    (CH_MAPS, "{host}", "host and referrer", r"^\S*(yandex|google)\.\S* .*/maps"),
+    (CH_SEARCH, "{engine}", "host", REF_SEARCH),
+    (CH_SOCIAL, "{host}", "host", REF_SOCIAL),
+    (CH_AGGREGATOR, "{host}", "host", REF_AGGREGATOR),
+    (CH_LABELS, "{label}", "query", r"utm_"),
+    (CH_DIRECT, "", "host", r"^$"),
+    (CH_LINKS, "{host}", "host", r""),
+]
 
 # --- fixed values: visit groups -----------------------------------------------
 PEOPLE, ROBOTS, BOTS, MONITORS, UTILITIES = "people", "robots", "bots", "monitors", "utilities"
@@ -280,6 +300,20 @@ ASSET_KINDS = {
     "styles": ["css"], "scripts": ["js", "mjs"], "fonts": ["woff", "woff2", "ttf", "otf", "eot"],
     "images": ["jpg", "jpeg", "png", "gif", "webp", "svg", "avif", "ico", "bmp"],
 }
+# what visits of files only take: downloads by kind, data only in folders of exports
+DOWNLOADS = [
+    ("documents", "pdf doc docx odt rtf xls xlsx ods ppt pptx csv txt"), ("archives", "zip rar 7z tar.gz"),
+    ("drawings", "dwg dxf step stp stl obj skp 3ds psd tif tiff"), ("programs", "exe msi dmg apk iso bin"),
+    ("books", "epub fb2 mobi djvu"), ("contacts", "ics vcf"),
+]
+DATA_EXTENSIONS = "json xml yml"
+DATA_FOLDERS = "/upload/ /export/ /exports/ /download/ /downloads/ /files/ /price/ /prices/".split()
+NOT_DATA_FOLDERS = "/api/ /ajax/ /bitrix/ /wp-json/ /.well-known/".split()
+SOUND_AND_VIDEO, PHOTOS, CONTENT_IMAGES = "mp3 wav mp4 mov webm", "jpg jpeg png webp heic", "jpg jpeg png webp gif avif"
+DECORATION = "logo|icon|sprite|favicon"
+FILES_NEIGHBOURS_MINUTES, FILES_LIST_MIN, FILES_LIST_SHARE, FILES_REPEAT_MIN, FILES_404_MIN, FILES_ALMOST_ALL = 30, 10, 0.8, 3, 5, 0.8
+FILES_OFFICE_BROWSERS, FILES_OFFICE_HOURS, FILES_PHOTO_FACTOR, FILES_ONE_PAGE_KINDS, FILES_ONE_PAGE_SECONDS = 3, (9, 19), 5, 2, 60
+FILES_SAME_IPS_MIN, FILES_SAME_SHARE, FILES_BURST_HOURS, FILES_BURST_SHARE = 20, 0.8, 6, 0.5
 SERVICE_FILES = r"^/(robots\.txt|sitemap[^/]*|favicon[^/]*|apple-touch-icon[^/]*)$"
 SENSITIVE = [
     r"/backups?(/|$|[._-])", r"\.(sql|dump)(\.(gz|zip|bz2|7z))?$", r"\.(bak|wpress|jpa)$",

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from weblens.marts import errors as E
 from weblens.plans.queries_core import _log, _operator
-from weblens.rules import chain, forms, scanners, special
+from weblens.rules import chain, files_only, forms, scanners, special
 
 _label = lambda v: v.select("vid", "group", "subgroup")
 _probes = lambda w: w.probe_strength
@@ -36,6 +36,7 @@ QUERIES = {
     "r03_mark_scanners": _log(lambda w: _label(scanners.mark_scanners(w.visits, w.rq, _probes(w)))),
     "r04_actor_kind": _log(lambda w: scanners.actor_kind(_suspects(w), w.visits, w.rq, _probes(w))),
     "r05_backups": _log(lambda w: _label(scanners.mark_backups(w.visits, w.rq, w.staff, w.admin))),
+    "r06_files_only": _log(lambda w: files_only.mark_files_only(w.visits, w.rq, w.addresses, ["other1.example"]).select("vid", "group", "subgroup", "evidence_people", "evidence_bot")),
     "j19_rendered_static": _log(lambda w: special.rendered_static(w.rq)),
     "r07_unrendered": _log(lambda w: _label(special.mark_unrendered(w.visits, w.rq))),
     "r08_service_checks": _log(lambda w: _label(special.mark_service_checks(w.visits, w.rq, [15169]))),

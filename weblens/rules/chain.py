@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from weblens.plans.store import stored
-from weblens.rules import forms, scanners, special
+from weblens.rules import files_only, forms, scanners, special
 
 
 def apply_rules(spark, visits: DataFrame, rq: DataFrame, addresses: DataFrame, staff: DataFrame, gov_operators: DataFrame,
-                admin: str, service_asns=(), device_agents: str = r"^$", app_agents: str = r"^$") -> DataFrame:
+                admin: str, service_asns=(), device_agents: str = r"^$", app_agents: str = r"^$", own_hosts=()) -> DataFrame:
     """Visits after all rules. The table is cut in the middle and at the end, so later rules do not recompute earlier ones."""
     probes = stored(spark, scanners.probe_dim(addresses), "probe-strength")
     v = special.mark_web_archive(visits)
@@ -18,6 +18,7 @@ def apply_rules(spark, visits: DataFrame, rq: DataFrame, addresses: DataFrame, s
     v = stored(spark, v, "rules-1")
     v = stored(spark, scanners.mark_scanners(v, rq, probes), "rules-2")
     v = stored(spark, scanners.mark_backups(v, rq, staff, admin), "rules-3")
+    v = stored(spark, files_only.mark_files_only(v, rq, addresses, own_hosts), "rules-files")
     v = special.mark_unrendered(v, rq)
     v = special.mark_service_checks(v, rq, list(service_asns) or [0])
     v = special.mark_agents(v, rq, device_agents, app_agents)
