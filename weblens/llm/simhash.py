@@ -29,7 +29,7 @@ SEED = 42
 #: Pairs of trie nodes that are expanded at once, and pairs of leaves below which a pair of nodes is compared leaf by leaf.
 FRONT, LEAVES = 1 << 16, 16
 #: Fingerprints that are compared in one piece, and the bits that a chunk's number may take in a key.
-CHUNK, CHUNK_BITS = 1 << 11, 18
+CHUNK, CHUNK_BITS = 1 << 9, 18
 #: Fingerprints that chance may leave together before two blocks must be equal instead of one.
 CROWD = 1 << 9
 #: For a similarity: 64-bit words of a long fingerprint, its views, and the words (its last ones) and standard deviations of the check.
