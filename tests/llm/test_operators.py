@@ -205,6 +205,33 @@ def test_similar_texts_meet(spark):
     assert right >= 175 and all(x.component_id // 3 == x.doc_id // 3 for x in found)
 
 
+def test_similar_texts_are_those_of_brute_force(spark, monkeypatch):
+    r = random.Random(5)
+    texts, family = {}, 0
+    for shared, own, copies in [(s, o, c) for s in (5, 9, 60, 240) for o in (0.05, 0.08, 0.12, 0.16, 0.2, 0.26) for c in (2, 2, 2, 3)]:
+        base = [f"f{family}w{k}" for k in range(shared)]
+        for c in range(copies):  # one copy in each has words of its own at the end, so equal sizes and subsets both occur
+            tail = [f"f{family}c{c}w{k}" for k in range(round(shared * own / (1 if c else r.choice([1, 2]))))]
+            texts[len(texts)] = " ".join(base + tail)
+        family += 1
+    line = " ".join(f"common{k}" for k in range(12))
+    texts.update({len(texts) + k: line + " " + " ".join(f"x{k}y{j}" for j in range(40)) for k in range(30)})
+    base = [f"hot{k}" for k in range(100)]
+    for _ in range(40):
+        copy = list(base)
+        for at in r.sample(range(100), r.choice([1, 1, 1, 2, 3])):
+            copy[at] = f"new{r.random()}"
+        texts[len(texts)] = " ".join(copy)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for chunk, similarity in ((simhash.CHUNK, 0.75), (16, 0.8), (simhash.CHUNK, 0.85)):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        alike = lambda i: [j for j in sets if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]  # noqa: B023, E731
+        want = brute.reach(sets, alike)
+        got = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs, width=5, similarity=similarity).collect()}
+        assert got == {i: want[i] for i in sets} and 50 < len(set(got.values())) < len(got)
+
+
 def test_trie_join_equals_all_pairs():
     rng = np.random.default_rng(6)
     centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)

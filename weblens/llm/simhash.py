@@ -6,13 +6,18 @@ their value.  r is 2 where 1 would leave too many fingerprints of no kinship tog
 array); pairs of trie nodes go down together, add up differing bits, and are dropped when these exceed the budget.  Pairs that meet enter a forest at once; only its
 edges leave a task.
 
+With a similarity, texts link at that Jaccard similarity of their shingle sets and above, computed exactly.  Candidates come from a join of prefixes: in one order of all
+shingles (of their hashes), two sets of at least that similarity share one among the first `n - ceil(similarity n) + 1` of each.  No link is lost by it.  Candidates whose
+long fingerprints lie far apart are dropped; what candidates connect is compared shingle by shingle.
+
 A value that over CHUNK fingerprints have (near copies share most bits) is dealt into chunks by the hash of its rows, and each pair of chunks, one with itself included, is
 a group of its own: it starts at the pair of both chunks' nodes.  So no group holds more than two chunks, and every pair is still met.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations, pairwise
 
 import numpy as np
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weblens.llm import text as T
 from weblens.llm.graph import components
-from weblens.llm.shared import partitions, saved
+from weblens.llm.shared import dealt, partitions, saved
 
 SEED = 42
 #: Pairs of trie nodes that are expanded at once, and pairs of leaves below which a pair of nodes is compared leaf by leaf.
@@ -32,41 +37,78 @@ FRONT, LEAVES = 1 << 16, 16
 CHUNK, CHUNK_BITS = 1 << 9, 18
 #: Fingerprints that chance may leave together before two blocks must be equal instead of one.
 CROWD = 1 << 9
-#: For a similarity: 64-bit words of a long fingerprint, its views, and the words (its last ones) and standard deviations of the check.
-WORDS, VIEWS, VIEW_BITS, VIEW_ERRORS, CHECKS, SLACK = 8, 16, 32, 2, 4, 1.5
+#: For a similarity: 64-bit words of a long fingerprint, and its differing bits above which two texts cannot be similar (at 0.8, 78 of 512 are expected with a standard
+#: deviation of 8, and 256 with 11 of unrelated texts).
+WORDS, APART = 8, 160
+#: Rows of one shingle of which all pairs are listed, and bytes of text that a chunk of a group of candidates holds.
+LISTED, CHUNK_BYTES = 8, 1 << 23
 
 
-def fingerprint(text: bytes, width: int, words: int = 1) -> np.ndarray:
-    """The 64 bits of XXH64, and with more words 64 more each from a bijection of it."""
+def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of all word shingles, some at a time."""
     parts = text.lower().split()
-    votes, count = np.zeros((words, 64), np.int64), max(1, len(parts) - width + 1)
-    if parts:
-        joined = b" ".join(parts)
-        past = np.cumsum([len(w) + 1 for w in parts])
-        starts, ends = np.append(0, past[: count - 1]).tolist(), (past[min(width, len(parts)) - 1 :] - 1).tolist()
-        digest = xxhash.xxh64_intdigest
-        for low in range(0, count, 1 << 14):
-            hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[low : low + (1 << 14)], ends[low : low + (1 << 14)], strict=True)], np.uint64)
-            for k in range(words):
-                own = T.mix(hashes + np.uint64(k * T.BYTE_BASE & (1 << 64) - 1)) if k else hashes
-                votes[k] += np.unpackbits(own.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    if not parts:
+        return
+    count = max(1, len(parts) - width + 1)
+    joined = b" ".join(parts)
+    past = np.cumsum([len(w) + 1 for w in parts])
+    starts, ends = np.append(0, past[: count - 1]).tolist(), (past[min(width, len(parts)) - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    for low in range(0, count, 1 << 14):
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[low : low + (1 << 14)], ends[low : low + (1 << 14)], strict=True)], np.uint64)
+
+
+def _folded(pieces: list[np.ndarray], words: int) -> np.ndarray:
+    votes, count = np.zeros((words, 64), np.int64), max(1, sum(map(len, pieces)))
+    for hashes in pieces:
+        for k in range(words):
+            own = T.mix(hashes + np.uint64(k * T.BYTE_BASE & (1 << 64) - 1)) if k else hashes
+            votes[k] += np.unpackbits(own.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
     return np.packbits(2 * votes > count, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def fingerprints(docs: DataFrame, width: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, bits (array of `words` longs, 64 bits each) of every row. Null text counts as empty: bits 0."""
+def fingerprint(text: bytes, width: int, words: int = 1) -> np.ndarray:
+    """The 64 bits of XXH64, and with more words 64 more each from a bijection of it."""
+    return _folded(list(shingle_hashes(text, width)), words)
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the distinct shingles in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
+
+
+def fingerprints(docs: DataFrame, width: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+    """id, bits (array of `words` longs, 64 bits each) of every row. Null text counts as empty: bits 0.
+
+    With `similarity` also: same (binary, equal for texts of equal words), prefix (the least hashes of distinct shingles, enough for that similarity). Its bits are of
+    distinct shingles but for the first word, which is the fingerprint.
+    """
+
+    def one(text: bytes) -> tuple[np.ndarray, bytes, np.ndarray]:
+        pieces = list(shingle_hashes(text, width))
+        distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *pieces]))
+        bits = _folded([distinct[k : k + (1 << 14)] for k in range(0, len(distinct), 1 << 14)], words)
+        bits[0] = _folded(pieces, 1)[0]
+        n = len(distinct)
+        return bits, xxhash.xxh3_128_digest(b" ".join(text.lower().split())), distinct[: n - math.ceil(similarity * n - 1e-9) + 1]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in T.slices(whole, "text"):
                 data, at = T.buffer(batch.column("text"))
                 raw = data.tobytes()
-                bits = np.array([fingerprint(raw[a:b], width, words) for a, b in zip(at, at[1:], strict=False)], np.uint64).reshape(-1)
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * words, pa.int32()), pa.array(bits.view(np.int64)))
-                yield pa.record_batch([batch.column("id"), bits], names=["id", "bits"])
+                found = [one(raw[a:b]) if similarity is not None else (fingerprint(raw[a:b], width, words),) for a, b in zip(at, at[1:], strict=False)]
+                bits = np.array([f[0] for f in found], np.uint64).reshape(-1)
+                columns = [batch.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * words, pa.int32()), pa.array(bits.view(np.int64)))]
+                if similarity is not None:
+                    ends = np.cumsum([0, *(len(f[2]) for f in found)])
+                    least = np.concatenate([np.zeros(0, np.uint64), *(f[2] for f in found)]).view(np.int64)
+                    columns += [pa.array([f[1] for f in found], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(least))]
+                yield pa.record_batch(columns, names=["id", "bits", "same", "prefix"][: len(columns)])
 
     id_type = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(go, f"id {id_type}, bits array<long>")
+    more = ", same binary, prefix array<long>" if similarity is not None else ""
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(go, f"id {id_type}, bits array<long>{more}")
 
 
 class Forest:
@@ -171,7 +213,7 @@ def _in_chunks(rows: DataFrame, lead: int) -> DataFrame:
 
 
 def links(prints: DataFrame, views: list[Column], bits: int = 64, errors: int = 4, total: int | None = None) -> DataFrame:
-    """a, b: links that connect what is near in any view. prints: node, bits; views: longs of which the low `bits` bits are a code."""
+    """a, b: links that connect what is near in any view. prints: node, bits; views: longs of which the low `bits` bits are a code; total: most bits in which all of `bits` differ."""
     n = prints.count()
     for equal in (1, 2):
         edges = [bits * i // (errors + equal) for i in range(errors + equal + 1)]
@@ -190,7 +232,7 @@ def links(prints: DataFrame, views: list[Column], bits: int = 64, errors: int =
         return out
 
     turned = F.array(*[F.struct(F.lit(k * len(leads) + i).alias("turn"), turn(v, e).alias("code")) for k, v in enumerate(views) for i, e in enumerate(leads)])
-    checks = F.slice("bits", -CHECKS, CHECKS) if total is not None else F.lit(None).cast("array<long>")
+    checks = F.col("bits") if total is not None else F.lit(None).cast("array<long>")
     rows = prints.select("node", checks.alias("checks"), F.explode(turned).alias("x")).select("node", "checks", "x.turn", "x.code", F.shiftrightunsigned("x.code", 64 - lead).alias("block"))
     rows = _in_chunks(rows, lead).repartition(partitions(prints.sparkSession), "key").sortWithinPartitions("key")
 
@@ -228,31 +270,152 @@ def links(prints: DataFrame, views: list[Column], bits: int = 64, errors: int =
     return rows.mapInArrow(go, "a long, b long")
 
 
+def reached(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Smallest row that links lead to. near(x, left): which rows of left link with x; every row is asked once, for those not reached yet."""
+    root, left = np.arange(n), np.arange(n)
+    while len(left):
+        first, left = left[0], left[1:]
+        front = [first]
+        while front and len(left):
+            hit = near(front.pop(), left)
+            new = left[hit]
+            root[new] = first
+            front += new.tolist()
+            left = left[~hit]
+    return root
+
+
+def same_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Smallest row that pairs of sets of at least that Jaccard similarity lead to; empty sets are alike."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    names, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    ends = np.cumsum(sizes)
+    mark = np.zeros(len(names) + 1, bool)
+
+    def near(x: int, left: np.ndarray) -> np.ndarray:
+        hit = np.minimum(sizes[x], sizes[left]) >= (similarity - 1e-9) * np.maximum(sizes[x], sizes[left])
+        some = left[hit]
+        own = flat[ends[x] - sizes[x] : ends[x]]
+        mark[own] = True
+        both = np.array([np.count_nonzero(mark[flat[ends[y] - sizes[y] : ends[y]]]) for y in some], np.int64)
+        mark[own] = False
+        union = sizes[x] + sizes[some] - both
+        hit[hit] = (union == 0) | (both / np.maximum(union, 1) >= similarity)
+        return hit
+
+    return reached(len(sets), near)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], one: Callable[[pa.Table], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of one `group`: each row's node and its root's."""
+    a, b, rows = [], [], 0
+    for _, parts in T.grouped(batches, "group"):
+        run = pa.Table.from_batches(parts).combine_chunks()
+        node = run.column("node").to_numpy()
+        root = one(run) if len(node) > 1 else np.zeros(1, np.int64)
+        met = np.flatnonzero(root != np.arange(len(root)))
+        a.append(node[met])
+        b.append(node[root[met]])
+        rows += len(met)
+        if rows > 100_000 or len(a) > 10_000:
+            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            a, b, rows = [], [], 0
+    if a:
+        yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
+def _pairs_of_chunks(rows: DataFrame, key: str, weight: Column) -> DataFrame:
+    """rows with `group`: the key's, or if its rows weigh over 1, those of all pairs of chunks that a row's chunk is part of."""
+    heavy = rows.groupBy(key).agg(F.ceil(F.sum(weight)).cast("int").alias("chunks")).where("chunks > 1")
+    rows = rows.join(saved(heavy), key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(SEED)), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return dealt(rows.withColumn("group", F.xxhash64(key, F.least("chunk", "other"), F.greatest("chunk", "other"))).drop("chunks", "chunk", "other"), "group")
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """a, b: links that connect all pairs which share a shingle of their prefixes and differ in at most APART bits. nodes: node, bits, prefix."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All pairs of a shingle of few rows; the rows, with a null b, of one of more."""
+        for _, parts in _runs(batches):
+            key, node = parts
+            cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sizes = np.diff(np.append(cuts, len(key)))
+            few = (sizes > 1) & (sizes <= LISTED)
+            x, y = zip(*(p for p in _leaf_pairs(cuts[few], (cuts + sizes)[few], cuts[few], (cuts + sizes)[few])), strict=True)
+            x, y = np.concatenate(x), np.concatenate(y)
+            pairs = np.unique(np.stack([node[x], node[y]])[:, node[x] < node[y]], axis=1)
+            many = np.repeat(sizes > LISTED, sizes)
+            rows = int(many.sum())
+            a, b = np.append(pairs[0], node[many]), pa.concat_arrays([pa.array(pairs[1]), pa.nulls(rows, pa.int64())])
+            yield pa.record_batch([pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(key[many])]), pa.array(a), b], names=["key", "a", "b"])
+
+    def meet(run: pa.Table) -> np.ndarray:
+        bits = run.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(run.num_rows, -1)
+        return reached(len(bits), lambda x, left: np.bitwise_count(bits[left] ^ bits[x]).sum(1) <= APART)
+
+    rows = dealt(nodes.select(F.explode("prefix").alias("key"), "node"), "key")
+    found = saved(rows.mapInArrow(shared, "key long, a long, b long"))
+    bits = nodes.select("node", "bits")
+    pairs = found.where("b is not null").select("a", "b").distinct()
+    both = pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b")
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    many = found.where("b is null").select("key", F.col("a").alias("node")).join(bits, "node")
+    groups = _pairs_of_chunks(many, "key", F.lit(1 / CHUNK)).select("group", "node", "bits")
+    return both.where(differ <= APART).select("a", "b").union(groups.mapInArrow(lambda batches: _groups(batches, meet), "a long, b long"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """Keys and nodes of rows sorted by key, cut between keys, about 100,000 at once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append((batch.column("key").to_numpy(), batch.column("node").to_numpy()))
+        if sum(len(k) for k, _ in held) > 100_000:
+            key, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(key, key[-1]))
+            held = [(key[cut:], node[cut:])]
+            if cut:
+                yield cut, (key[:cut], node[:cut])
+    if held:
+        key, node = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield len(key), (key, node)
+
+
+def similar(docs: DataFrame, near: DataFrame, width: int, similarity: float) -> DataFrame:
+    """a, b: links that connect all pairs of at least that similarity among what candidates (near: node, component) connect. docs: node, text."""
+    rows = docs.join(near, "node").dropDuplicates(["component", "node", "text"])
+
+    def meet(run: pa.Table) -> np.ndarray:
+        return same_sets([shingle_set((t or "").encode(), width) for t in run.column("text").to_pylist()], similarity)
+
+    groups = _pairs_of_chunks(rows, "component", F.lit(1 / CHUNK) + F.coalesce(F.octet_length("text"), F.lit(0)) / CHUNK_BYTES).select("group", "node", "text")
+    return groups.mapInArrow(lambda batches: _groups(batches, meet), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, errors: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: the id (integer), fingerprint (long, 64 bits), component_id (smallest id reachable through links, itself included).
 
     Texts are lower-cased (A-Z), words are `[^\\x20\\x09-\\x0D]+`; fewer than `width` words are one shingle, none give fingerprint 0, which links like any other.
-    Fingerprints link at `errors` or fewer differing bits. With `similarity`, a Jaccard similarity of shingles, texts also link that seem at least so similar from WORDS x
-    64 bits: the groups found so far are represented by one text each, these meet in VIEWS codes of VIEW_BITS bits with VIEW_ERRORS errors, and pairs whose last CHECKS x 64
-    bits differ in no more than that similarity lets expect (and SLACK standard deviations) link.
-    Rows that repeat an id stay rows, and all fingerprints of one id connect. A null id has a fingerprint, links with nothing and has a null component. Other columns are
+    Fingerprints link at `errors` or fewer differing bits. With `similarity` texts link instead if the Jaccard similarity of their sets of shingles is at least that; two
+    texts without words are alike. Every distinct text is compared, not one of a group.
+    Rows that repeat an id stay rows, and all texts of one id connect. A null id has a fingerprint, links with nothing and has a null component. Other columns are
     ignored.
     """
-    words = WORDS if similarity is not None else 1
-    prints = saved(fingerprints(docs, width, words, id_col, text_col).select(F.col("id").cast("long"), F.col("bits")[0].alias("fingerprint"), "bits"))
+    by, words, more = ("same", WORDS, ["same", "prefix"]) if similarity is not None else ("fingerprint", 1, [])
+    prints = fingerprints(docs, width, words, id_col, text_col, similarity)
+    prints = saved(prints.select(F.col("id").cast("long"), F.col("bits")[0].alias("fingerprint"), "bits", *more))
     named = prints.where("id is not null")
-    nodes = saved(named.groupBy("fingerprint").agg(F.min_by("bits", "id").alias("bits"), F.min("id").alias("node")))
-    equal = named.join(nodes, "fingerprint").select("id", "node")
+    nodes = saved(named.groupBy(by).agg(*(F.min_by(c, "id").alias(c) for c in ("bits", *more[1:])), F.min("id").alias("node")))
+    equal = named.select("id", by).join(nodes.select(by, "node"), by).select("id", "node")
     repeated = equal.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
-    found = saved(links(nodes, [F.col("fingerprint")], 64, errors).union(repeated))
-    groups = components(found)
-    if similarity is not None:
-        kept = saved(nodes.join(groups.where("node <> component").select("node"), "node", "left_anti"))
-        angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-        n = CHECKS * 64
-        total = int(n * angle + SLACK * np.sqrt(n * angle * (1 - angle)))
-        views = [F.shiftrightunsigned(F.col("bits")[k * VIEW_BITS // 64], k * VIEW_BITS % 64) for k in range(VIEWS)]
-        groups = components(found.union(links(kept, views, VIEW_BITS, VIEW_ERRORS, total)))
-    names = nodes.join(groups, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    out = prints.join(names, "fingerprint", "left").select("id", "fingerprint", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    if similarity is None:
+        groups = components(saved(links(nodes, [F.col("fingerprint")], 64, errors).union(repeated)))
+    else:
+        near = components(saved(candidates(nodes)))
+        texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+        groups = components(saved(similar(texts, near, width, similarity).union(repeated)))
+    names = nodes.join(groups, "node", "left").select(by, F.coalesce("component", "node").alias("component_id"))
+    out = prints.join(names, by, "left").select("id", "fingerprint", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     return out.withColumnRenamed("id", id_col)
