@@ -232,6 +232,17 @@ def test_similar_texts_are_those_of_brute_force(spark, monkeypatch):
         assert got == {i: want[i] for i in sets} and 50 < len(set(got.values())) < len(got)
 
 
+def test_members_of_a_group_keep_their_own_links(spark):
+    texts = {}
+    for k in range(40):
+        words = [f"t{k}w{j}" for j in range(204)]
+        b = words[:-6] + [f"t{k}b{j}" for j in range(6)]
+        c = [f"t{k}c{j}" for j in range(18)] + b[18:]
+        texts |= {3 * k: " ".join(words), 3 * k + 1: " ".join(b), 3 * k + 2: " ".join(c)}  # similarities 0.94 (a, b), 0.83 (b, c) and 0.79 (a, c)
+    found = simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=5, similarity=0.8).collect()
+    assert all(x.component_id == x.doc_id // 3 * 3 for x in found)
+
+
 def test_trie_join_equals_all_pairs():
     rng = np.random.default_rng(6)
     centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
