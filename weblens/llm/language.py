@@ -50,6 +50,16 @@ def has_letter(texts: list[str | None]) -> np.ndarray:
     return np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a letter."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has_letter(batch.column(text_col).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(go, docs.schema)
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", orders: int = ORDERS, buckets: int = BUCKETS, max_languages: int = MAX_LANGUAGES, smoothing: float = SMOOTHING) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages in order of name, log priors, log probabilities (language x order x bin) from every row with a text and a language.
 
