@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -348,6 +349,16 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in language.predict(odd[1], language.train(empty)).collect()} == {"und"}
 
 
+def test_secrets_of_letters_only():
+    coder, r = secret_scan.encoding(secret_scan.VOCABULARY), random.Random(1)
+    find = lambda t: secret_scan.random_spans(t, secret_scan.RATIO, secret_scan.LEAST, coder)
+    for letters in (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase):
+        for n in (24, 32, 40):
+            assert sum(find(f"is {''.join(r.choices(letters, k=n))} here") == [(3, 3 + n)] for _ in range(100)) >= 95
+    for clean in ("internationalizationFrameworkHandler", "INTERNATIONALIZATION_HANDLER", "getHTTPSConnectionByName2", "usr/lib/x86_64-linux-gnu", "how-to-write-a-good-test-in-2024", "--------------------------"):
+        assert find(clean) == []
+
+
 def test_secrets(spark, odd, empty):
     assert rows(queries.op10_secrets(spark, SMALL), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(((i, *brute.secrets(t)) for i, t in documents(spark)), key=repr)
     coder = secret_scan.encoding(secret_scan.VOCABULARY)

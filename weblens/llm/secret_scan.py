@@ -1,8 +1,8 @@
 """Secrets in texts: three known forms, and random strings found by how badly a public vocabulary compresses them.
 
-A byte-level BPE vocabulary needs few tokens for words and many for random characters.  Runs of `[A-Za-z0-9+/_=-]` with letters of both cases or letters and
-digits, at least `least` characters long, are encoded; at most `ratio` characters a token make a span of kind `random`.  Digests of known lengths, UUIDs,
-numbers and names in snake, kebab or camel case are excluded first.
+A byte-level BPE vocabulary needs few tokens for words and many for random characters.  Runs of `[A-Za-z0-9+/_=-]` at least `least` characters long are encoded,
+letters of one case too; at most `ratio` characters a token make a span of kind `random`.  Digests of known lengths, UUIDs, numbers and names in snake, kebab or
+camel case, whose parts compress like words, are excluded first.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Hexadecimal digits of CRC-64, MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = {16, 32, 40, 56, 64, 96, 128}
-NAME = re.compile(r"[A-Za-z]+\d{0,4}|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*\d{0,4}")
+NAME = re.compile(r"([A-Za-z]+)\d{0,4}")
+#: Letters of a part that are too few to tell words from random ones.
+SHORT = re.compile(r"[A-Z]?[a-z]{1,3}|[a-z]{4}|[A-Z]{2,4}")
 _encodings: dict[str, tiktoken.Encoding] = {}
 
 
@@ -46,21 +48,30 @@ def encoding(vocabulary: str) -> tiktoken.Encoding:
     return _encodings[vocabulary]
 
 
-def excluded(run: str) -> bool:
+def wordlike(part: str, ratio: float, coder: tiktoken.Encoding) -> bool:
+    """Whether a part of a run is a short number, or letters (and up to 4 digits behind them) that compress like words."""
+    if part.isdigit():
+        return len(part) <= 8
+    name = NAME.fullmatch(part)
+    return bool(name) and (bool(SHORT.fullmatch(name[1])) or len(name[1]) > ratio * len(coder.encode_ordinary(name[1])))
+
+
+def excluded(run: str, ratio: float, coder: tiktoken.Encoding) -> bool:
     """Known digests, numbers and identifiers: no secrets, however they compress."""
     if UUID.fullmatch(run) or not re.search(r"[A-Za-z]", run):
         return True
     if len(run) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
         return True
-    return all(NAME.fullmatch(x) or x.isdigit() and len(x) <= 8 for x in re.split(r"[-_/+=]+", run) if x)
+    return all(wordlike(x, ratio, coder) for x in re.split(r"[-_/+=]+", run) if x)
 
 
 def random_spans(text: str, ratio: float, least: int, coder: tiktoken.Encoding) -> list[tuple[int, int]]:
+    def is_random(run: str) -> bool:
+        return len(run) >= least and not excluded(run, ratio, coder) and len(run) <= ratio * len(coder.encode_ordinary(run))
+
     found = []
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % least, text):
-        run = m[0]
-        mixed = sum(bool(re.search(x, run)) for x in ("[a-z]", "[A-Z]", "[0-9]"))
-        if mixed >= 2 and not excluded(run) and len(run) <= ratio * len(coder.encode_ordinary(run)):
+        if is_random(m[0]):
             found.append(m.span())
     return found
 
