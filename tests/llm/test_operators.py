@@ -359,6 +359,20 @@ def test_secrets_of_letters_only():
         assert find(clean) == []
 
 
+def test_secrets_behind_words():
+    coder, r = secret_scan.encoding(secret_scan.VOCABULARY), random.Random(2)
+    find = lambda t: secret_scan.random_spans(t, secret_scan.RATIO, secret_scan.LEAST, coder)
+    for before, behind in (("aws_production_session_credentials=", ""), ("https://hooks.example.com/services/integration/webhooks/production/", "/settings/notification/overview")):
+        for n in (24, 32, 40):
+            keys = ["".join(r.choices(string.ascii_letters + string.digits, k=n)) for _ in range(100)]
+            hit = [any(a <= len(before) and len(before) + n <= b for a, b in find(before + k + behind)) for k in keys]
+            assert sum(hit) >= 97
+    words = "configuration/production/documentation/information/development/organization/"
+    assert find(f"{words}aB3d-x9Kq-Zt7w-pL2m-Vn8r/{words}") == [(len(words), len(words) + 24)]
+    for clean in ("orders/123e4567-e89b-12d3-a456-426614174000/transaction/details", "https://example.com/documentation/commit/9E107D9D372BB6826BD81D3542A419D6/configuration/file"):
+        assert find(clean) == []
+
+
 def test_secrets(spark, odd, empty):
     assert rows(queries.op10_secrets(spark, SMALL), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(((i, *brute.secrets(t)) for i, t in documents(spark)), key=repr)
     coder = secret_scan.encoding(secret_scan.VOCABULARY)

@@ -2,7 +2,8 @@
 
 A byte-level BPE vocabulary needs few tokens for words and many for random characters.  Runs of `[A-Za-z0-9+/_=-]` at least `least` characters long are encoded,
 letters of one case too; at most `ratio` characters a token make a span of kind `random`.  Digests of known lengths, UUIDs, numbers and names in snake, kebab or
-camel case, whose parts compress like words, are excluded first.
+camel case, whose parts compress like words, are excluded first.  Each part between separators `-_/+=` and each stretch of parts that are no names is tested as well, so
+words joined to a secret do not hide it; the spans are the union.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ ASSIGN_VALUE, ACCESS_LENGTH = 6, 20
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # End of the fixed values.
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+#: A part of a run; a UUID is one.
+PART = re.compile(rf"(?<![0-9A-Za-z]){UUID.pattern}(?![0-9A-Za-z])|[0-9A-Za-z]+")
 #: Hexadecimal digits of CRC-64, MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = {16, 32, 40, 56, 64, 96, 128}
 NAME = re.compile(r"([A-Za-z]+)\d{0,4}")
@@ -65,14 +68,38 @@ def excluded(run: str, ratio: float, coder: tiktoken.Encoding) -> bool:
     return all(wordlike(x, ratio, coder) for x in re.split(r"[-_/+=]+", run) if x)
 
 
+def pieces(run: str, ratio: float, coder: tiktoken.Encoding) -> list[tuple[int, int]]:
+    """The parts of a run, and the stretches from one part that is no name to another with none but short names and numbers between."""
+    out, first, past = [], None, None
+    for m in PART.finditer(run):
+        a, b = m.span()
+        known = bool(UUID.fullmatch(m[0])) or len(m[0]) in DIGESTS and bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", m[0])) and bool(re.search(r"[A-Fa-f]", m[0]))
+        if known or wordlike(m[0], ratio, coder):
+            if first is not None and (known or b - a > 4):
+                out.append((first, past))
+                first = None
+        else:
+            out.append((a, b))
+            first, past = a if first is None else first, b
+    return out if first is None else [*out, (first, past)]
+
+
 def random_spans(text: str, ratio: float, least: int, coder: tiktoken.Encoding) -> list[tuple[int, int]]:
     def is_random(run: str) -> bool:
         return len(run) >= least and not excluded(run, ratio, coder) and len(run) <= ratio * len(coder.encode_ordinary(run))
 
-    found = []
+    found: list[tuple[int, int]] = []
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % least, text):
         if is_random(m[0]):
             found.append(m.span())
+            continue
+        at = m.start()
+        for a, b in sorted({x for x in pieces(m[0], ratio, coder) if x[1] - x[0] >= least}):
+            if is_random(m[0][a:b]):
+                if found and at + a < found[-1][1]:
+                    found[-1] = found[-1][0], max(found[-1][1], at + b)
+                else:
+                    found.append((at + a, at + b))
     return found
 
 
