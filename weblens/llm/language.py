@@ -55,7 +55,8 @@ def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(has_letter(batch.column(text_col).to_pylist()), pa.bool_()))
+            for part in T.slices(batch, text_col, BLOCK):
+                yield part.filter(pa.array(has_letter(part.column(text_col).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(go, docs.schema)
 

@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, width: int = 4, words: int = 1, id_col: str =
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in T.slices(whole, "text"):
+            for batch in T.slices(whole, "text", *([] if similarity is None else [1 << 20])):
                 data, at = T.buffer(batch.column("text"))
                 raw = data.tobytes()
                 found = [one(raw[a:b]) if similarity is not None else (fingerprint(raw[a:b], width, words),) for a, b in zip(at, at[1:], strict=False)]
@@ -105,6 +105,7 @@ def fingerprints(docs: DataFrame, width: int = 4, words: int = 1, id_col: str =
                     least = np.concatenate([np.zeros(0, np.uint64), *(f[2] for f in found)]).view(np.int64)
                     columns += [pa.array([f[1] for f in found], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(least))]
                 yield pa.record_batch(columns, names=["id", "bits", "same", "prefix"][: len(columns)])
+        pa.default_memory_pool().release_unused()
 
     id_type = dict(docs.dtypes)[id_col]
     more = ", same binary, prefix array<long>" if similarity is not None else ""
@@ -322,6 +323,7 @@ def _groups(batches: Iterator[pa.RecordBatch], one: Callable[[pa.Table], np.ndar
             a, b, rows = [], [], 0
     if a:
         yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    pa.default_memory_pool().release_unused()
 
 
 def _pairs_of_chunks(rows: DataFrame, key: str, weight: Column) -> DataFrame:
