@@ -308,10 +308,19 @@ def same_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], one: Callable[[pa.Table], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of one `group`: each row's node and its root's."""
+    """Runs of rows of one `group`: each node and the smallest one it reaches through any of many groups, so that the shingles of a group of copies give the same few links."""
+
+    def flat() -> pa.RecordBatch:
+        names, code = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+        forest, n = Forest(len(names)), len(code) // 2
+        forest.link(code[:n], code[n:])
+        met = np.flatnonzero(forest.root != np.arange(len(names)))
+        return pa.record_batch([pa.array(names[met]), pa.array(names[forest.root[met]])], names=["a", "b"])
+
     a, b, rows = [], [], 0
     for _, parts in T.grouped(batches, "group"):
         run = pa.Table.from_batches(parts).combine_chunks()
+        run = run.take(np.argsort(run.column("node").to_numpy(), kind="stable"))
         node = run.column("node").to_numpy()
         root = one(run) if len(node) > 1 else np.zeros(1, np.int64)
         met = np.flatnonzero(root != np.arange(len(root)))
@@ -319,10 +328,10 @@ def _groups(batches: Iterator[pa.RecordBatch], one: Callable[[pa.Table], np.ndar
         b.append(node[root[met]])
         rows += len(met)
         if rows > 100_000 or len(a) > 10_000:
-            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            yield flat()
             a, b, rows = [], [], 0
     if a:
-        yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        yield flat()
     pa.default_memory_pool().release_unused()
 
 
