@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -35,3 +36,18 @@ def partitions(spark: SparkSession) -> int:
 def dealt(df: DataFrame, key: str) -> DataFrame:
     """Rows of one key together and in runs, a partition holding many keys."""
     return df.repartition(partitions(df.sparkSession), key).sortWithinPartitions(key)
+
+
+def heavy(keys: DataFrame, rows: int) -> DataFrame:
+    """key, salts of the keys (first column) that a task's share of that many rows or more have: salts in proportion to their rows. At most 4 times the partitions for each key that a row has."""
+    share = max(1, rows // (4 * partitions(keys.sparkSession)))
+    return saved(keys.toDF("key").groupBy("key").count().where(F.col("count") > share).select("key", F.ceil(F.col("count") / share).cast("int").alias("salts")))
+
+
+def met(rows: DataFrame, table: DataFrame, on: str, spread: str, hot: DataFrame) -> DataFrame:
+    """rows, left joined by the column `on` with a table that has it once. Heavy keys (hot: key, salts) and nulls are dealt by the column `spread`, and the table's rows of heavy keys copied for it."""
+    n = F.when(F.col(on).isNull(), F.lit(partitions(rows.sparkSession))).otherwise(F.coalesce("salts", F.lit(1)))
+    known = hot.withColumnRenamed("key", on)
+    dealt_ = rows.join(known, on, "left").withColumn("salt", F.pmod(F.xxhash64(spread), n).cast("int")).drop("salts")
+    copies = table.join(known, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt_.join(copies, [on, "salt"], "left").drop("salt")

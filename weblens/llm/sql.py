@@ -40,4 +40,18 @@ p AS (SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf +
   FROM i JOIN f USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id, r)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, score FROM p WHERE score > 0
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) <= 10""",
+    "op12_prefix_trie": r"""
+WITH c AS (SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+z AS (SELECT conv_id, turns, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, x: xor(xor(a, x) >> 1, CAST(3988292384 AS BIGINT) * (xor(a, x) & 1))) AS crc FROM c),
+h AS (SELECT conv_id, turns, (4294967295 - crc) % 4 AS h FROM z),
+r AS (SELECT h.conv_id, list_concat(coalesce(l.turns, [])[1:h.h], h.turns[h.h + 1:]) AS t FROM h LEFT JOIN c AS l ON l.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, len(t) AS n, unnest(range(0, len(t) + 1)) AS depth, t FROM r),
+q AS (SELECT conv_id, n, depth, t[1:depth] AS path FROM p),
+v AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth) AS ends FROM q GROUP BY path, depth),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT v.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(v.path[depth].text, '[^\x20\x09-\x0D]+')) END AS own FROM v LEFT JOIN k ON v.path = k.path),
+s AS (SELECT path[1:a] AS path, sum(own) AS saved, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM (SELECT path, own, n_children, unnest(range(0, depth + 1)) AS a FROM w) GROUP BY ALL)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(w.ends, '')) AS ends_sha256
+FROM w JOIN s ON s.path = w.path LEFT JOIN v AS u ON w.depth > 0 AND u.path = w.path[1:w.depth - 1]""",
 }
