@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weblens.llm import chat, context_tree, language, lexical, packing, pieces, prefix_trie, quality, secret_scan, simhash, substrings, vectors
+from weblens.llm import chat, context_tree, language, lexical, packing, pieces, prefix_trie, quality, secret_scan, simhash, substrings, toxicity, vectors
 from weblens.llm.sql import SQL
 
 
@@ -85,6 +85,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(join(base), 256).alias("base_sha256"), join(F.col("spans")).alias("spans"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a document is toxic; every fifth is held out of training."""
+    learned = "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"
+    rated = toxicity.rate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), train=learned)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return rated.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "votes")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct beginning of the conversations, rebuilt to share the first turns of their block's."""
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -96,7 +104,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_sentencepiece, op2_substring_dedup, op3_best_fit_packing, op4_embedding_dedup, op5_context_tree, op6_simhash, op7_quality, op8_chat, op9_language, op10_secrets, op12_prefix_trie, op13_lexical_search,
+    op1_sentencepiece, op2_substring_dedup, op3_best_fit_packing, op4_embedding_dedup, op5_context_tree, op6_simhash, op7_quality, op8_chat, op9_language, op10_secrets, op11_toxicity, op12_prefix_trie, op13_lexical_search,
 )}
 QUERIES["pipeline"] = corpus_pipeline.run
 
