@@ -1,6 +1,6 @@
 """Toxicity by weak supervision: voters, a generative label model of them, and a linear classifier trained on its posterior labels.
 
-Stems are the lower-cased words of a text and their beginnings.  Those that labelled toxic texts have much oftener than others (a log-likelihood ratio over all labelled texts) are dealt into lexicons, a
+Stems are the lower-cased words of a text and their beginnings.  Those that labelled toxic texts have much oftener than others (by a log-likelihood ratio; at most MOST_TEXTS texts of either label are looked at) are dealt into lexicons, a
 voter each; further voters are a fixed lexicon of insults, patterns (insults addressed to someone, many or dense ones, masked and repeated letters, shouting) and their absence.  A vote is a
 bit; a document's votes are one number, and equal numbers are counted in Spark.
 
@@ -27,6 +27,8 @@ LENGTHS = (3, 4, 5, 6)
 STEMS, RATIO, TEXTS = 4096, 24.0, 3
 #: Share of the texts with a stem that are toxic at least.
 SHARE = 0.9
+#: Labelled texts of either label from whose words stems are taken at most: those of the lowest hashes.
+MOST_TEXTS = 20_000
 LEXICONS = 12
 ROUNDS = 25
 #: Pseudo-counts of the label model.
@@ -104,8 +106,8 @@ def stem_counts(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(go, "hash long, toxic long, n long").groupBy("hash").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
 
 
-def telling(counts: DataFrame, toxic: int, clean: int, most: int = STEMS) -> np.ndarray:
-    """Hashes of the stems that mostly toxic texts have, oftener than by chance, the most telling first."""
+def telling(counts: DataFrame, toxic: int, clean: int, odds: float, most: int = STEMS) -> np.ndarray:
+    """Hashes of the stems that mostly toxic texts have, oftener than by chance, the most telling first. toxic, clean: texts that were counted; odds: toxic to clean ones of all, to those of the counted."""
 
     def term(seen: Column, row: Column, column: Column) -> Column:
         return F.when(seen > 0, seen * F.log(seen * float(toxic + clean) / (row * column))).otherwise(0.0)
@@ -113,7 +115,7 @@ def telling(counts: DataFrame, toxic: int, clean: int, most: int = STEMS) -> np.
     a, b = F.col("toxic").cast("double"), (F.col("n") - F.col("toxic")).cast("double")
     c, d = toxic - a, clean - b
     ratio = 2 * (term(a, a + b, a + c) + term(b, a + b, b + d) + term(c, c + d, a + c) + term(d, c + d, b + d))
-    found = counts.where((F.col("toxic") >= TEXTS) & (a >= SHARE * (a + b)) & (a * clean > b * toxic)).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO)
+    found = counts.where((F.col("toxic") >= TEXTS) & (a * odds >= SHARE * (a * odds + b)) & (a * clean > b * toxic)).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO)
     rows = found.orderBy(F.desc("ratio"), "hash").limit(most).collect()
     return np.array([r.hash for r in rows], np.int64).view(np.uint64)
 
@@ -279,22 +281,28 @@ def fit(rows: DataFrame, prior: float, size: int) -> tuple[float, np.ndarray]:
     return float(model.intercept), np.asarray(model.coefficients.toArray())
 
 
-def rate(docs: DataFrame, labels: DataFrame, train: str = "true", id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def rate(docs: DataFrame, labels: DataFrame, train: str = "true", id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_texts: int = MOST_TEXTS) -> DataFrame:
     """Per row of docs: the id, score (probability of label 1), votes (bit k: VOTERS[k] fired).
 
     train: SQL condition on docs; only such rows, and labels of their ids, are learned from. labels: id and label (1 toxic, 0 not); null ids and labels say nothing, several labels of an id become
-    their rounded mean. Without labels the fixed lexicon alone orients the model. Null and empty texts get the score of a text that no voter speaks of. Repeated rows are
+    their rounded mean. Stems are taken from at most about most_texts labelled texts of either label, all else from all training rows. Without labels the fixed lexicon alone orients the model. Null and empty texts get the score of a text that no voter speaks of. Repeated rows are
     rated alike; rows without an id are rated, not learned from. Other columns are ignored.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), (F.coalesce(F.expr(train), F.lit(False)) & F.col(id_col).isNotNull()).alias("train"), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.round(F.avg("label")).cast("int").alias("label")).where("label in (0, 1)")
-    labelled = own.where("train").join(known, "id").select("text", "label")
-    counts = saved(stem_counts(labelled))
-    sizes = {r.label: r["count"] for r in own.where("train").select("id").join(known, "id").groupBy("label").count().collect()}
-    stems = telling(counts, sizes.get(1, 0), sizes.get(0, 0)) if len(sizes) > 1 else np.zeros(0, np.uint64)
+    known = saved(own.where("train").select("id").distinct().join(known, "id").withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 11) / 2.0**53))
+    sizes = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    stems = np.zeros(0, np.uint64)
+    if len(sizes) == 2:
+        # a share of all ids that leaves about as many as wanted; the texts stay where they are, the sample comes to them
+        share = {k: min(1.0, most_texts / n) for k, n in sizes.items()}
+        sample = known.where(F.col("h") <= F.when(F.col("label") == 1, share[1]).otherwise(share[0])).select("id", "label")
+        counted = {k: max(1, round(n * share[k])) for k, n in sizes.items()}
+        counts = saved(stem_counts(own.where("train").join(F.broadcast(sample), "id").select("text", "label")))
+        stems = telling(counts, counted[1], counted[0], sizes[1] * counted[0] / (sizes[0] * counted[1]))
     voted = saved(vote(own, stems))
-    rows = voted.where("train").join(known, "id", "left").select("votes", "stems", F.coalesce("label", F.lit(-1)).alias("given"))
+    rows = voted.where("train").join(known.select("id", "label"), "id", "left").select("votes", "stems", F.coalesce("label", F.lit(-1)).alias("given"))
     # at most three rows for each of the 2**20 patterns
     rows = saved(rows.groupBy("votes", "stems", "given").agg(F.count("*").alias("weight")))
     model = label_model(rows.groupBy("votes", "given").agg(F.sum("weight").alias("weight")).toArrow())
