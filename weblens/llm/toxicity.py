@@ -259,9 +259,10 @@ def label_model(patterns: pa.Table) -> LabelModel:
         model.learn(votes, given, weight * (given >= 0), q, True)
         q = model.posterior(votes, given)
     for k in range(ROUNDS if len(votes) else 0):
-        model.learn(votes, given, weight, q, k < 5)
+        # without labels the voters are independent at first: a tree would explain all their agreement, and leave the label nothing
+        model.learn(votes, given, weight, q, (0 if labelled else 5) <= k < 8)
         before, q = q, model.posterior(votes, given)
-        if k > 5 and np.abs(q - before).max() < 1e-4:
+        if k > 8 and np.abs(q - before).max() < 1e-4:
             break
     return model
 
