@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star steps (Kiveris et al., 2014).
 
 A step sends every neighbour of a node to the node's smallest neighbour.  The rounds grow with the logarithm of the graph's size; each is written to the shared
-folder.  Minima are aggregated before they are shuffled, and the joins that follow may be split by the adaptive planner, so a hub of many links is not one task.
+folder.  Minima are aggregated before they are shuffled, and in the joins that follow the links of a hub are dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -9,18 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weblens.llm.shared import saved
+from weblens.llm.shared import discard, heavy, met, saved
 
 
-def _star(links: DataFrame, larger_only: bool) -> DataFrame:
-    """One step over links (u, v) with u > v."""
+def _star(links: DataFrame, larger_only: bool, hot: DataFrame) -> DataFrame:
+    """One step over links (u, v) with u > v. hot: nodes of many links, whose links are dealt to several tasks."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
     if larger_only:
-        sides = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        moved = sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        up = links.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        moved = met(up, least, "u", "v", hot).select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v"))
     else:
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
-        moved = links.join(least, "u").select("v", "m").union(least.select("u", "m")).toDF("u", "v")
+        moved = met(links, least, "u", "v", hot).select("v", "m").union(least.select("u", "m")).toDF("u", "v")
     return moved.where("u <> v").distinct()
 
 
@@ -37,7 +36,9 @@ def components(links: DataFrame) -> DataFrame:
     now = saved(links.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     state = _state(now)
     while state[0]:
-        now = saved(_star(_star(now, True), False))
+        hot = heavy(now.select("u").union(now.select("v")), 2 * state[0])
+        last, now = now, saved(_star(_star(now, True, hot), False, hot))
+        discard(last, hot)
         before, state = state, _state(now)
         if state == before:
             break

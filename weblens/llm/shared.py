@@ -29,6 +29,17 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that saved() wrote and no later plan reads."""
+    for table in tables:
+        hadoop = table.sparkSession._jvm.org.apache.hadoop.fs
+        conf = table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for place in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            path = hadoop.Path(place)
+            if f"{folder(table.sparkSession)}/llm/" in place:
+                path.getFileSystem(conf).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

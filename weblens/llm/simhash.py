@@ -7,10 +7,14 @@ array); pairs of trie nodes go down together, add up differing bits, and are dro
 edges leave a task.
 
 With a similarity, texts link at that Jaccard similarity of their shingle sets and above, computed exactly.  Candidates come from a join of prefixes: in one order of all
-shingles (of their hashes), two sets of at least that similarity share one among the first `n - ceil(similarity n) + 1` of each.  No link is lost by it.  Candidates whose
-long fingerprints lie far apart are dropped; what candidates connect is compared shingle by shingle.
+shingles, two sets of at least that similarity share one among the first `n - ceil(similarity n) + 1` of each.  No link is lost by it.  The order puts rare shingles first: a sketch of bounded
+size counts all shingles of all texts, so what many texts share is in the prefix of those only that have little else.  Candidates whose long fingerprints lie far apart are dropped;
+what candidates connect is compared shingle by shingle.
 
-A value that over CHUNK fingerprints have (near copies share most bits) is dealt into chunks by the hash of its rows, and each pair of chunks, one with itself included, is
+Groups of any size are cut into chunks, each of which is compared with its own rows and with the group's first row; copies and near copies meet there.  Only rows that did not reach the first
+row's side are then compared with all chunks.  So a group of n near copies costs n rows, not n^2.
+
+In the join of fingerprints, a value that over CHUNK fingerprints have (near copies share most bits) is dealt into chunks by the hash of its rows, and each pair of chunks, one with itself included, is
 a group of its own: it starts at the pair of both chunks' nodes.  So no group holds more than two chunks, and every pair is still met.
 """
 
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from weblens.llm import text as T
 from weblens.llm.graph import components
-from weblens.llm.shared import dealt, partitions, saved
+from weblens.llm.shared import dealt, discard, met, partitions, saved
 
 SEED = 42
 #: Pairs of trie nodes that are expanded at once, and pairs of leaves below which a pair of nodes is compared leaf by leaf.
@@ -42,6 +46,8 @@ CROWD = 1 << 9
 WORDS, APART = 8, 160
 #: Rows of one shingle of which all pairs are listed, and bytes of text that a chunk of a group of candidates holds.
 LISTED, CHUNK_BYTES = 8, 1 << 23
+#: Counters of the sketch of shingles, and those that one row of it holds.
+COUNTERS, PER_ROW = 1 << 20, 1 << 14
 
 
 def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
@@ -77,27 +83,73 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
 
 
-def fingerprints(docs: DataFrame, width: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+def frequencies(docs: DataFrame, width: int, text_col: str = "text") -> np.ndarray:
+    """A sketch of how often every shingle occurs: the logarithm (of 2, whole) of the count of its counter."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(COUNTERS, np.int64)
+        for whole in batches:
+            for batch in T.slices(whole, "text"):
+                for _, at in _windows(batch.column("text"), width):
+                    sums += np.bincount(at, minlength=COUNTERS)
+        rows = sums.reshape(-1, PER_ROW)
+        yield pa.record_batch([pa.array(np.arange(len(rows))), pa.array([T.pack(x) for x in rows], pa.binary())], names=["row", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, parts in T.grouped(batches, "row"):
+            total = sum(T.unpack(x.as_py(), np.int64)[0] for part in parts for x in part.column("counts"))
+            yield pa.record_batch([pa.array([row], pa.int64()), pa.array([T.pack(total)], pa.binary())], names=["row", "counts"])
+
+    parts = dealt(docs.select(F.col(text_col).alias("text")).mapInArrow(count, "row long, counts binary"), "row")
+    out = np.zeros(COUNTERS, np.int64)
+    for r in parts.mapInArrow(add, "row long, counts binary").collect():  # COUNTERS numbers
+        out[r.row * PER_ROW : (r.row + 1) * PER_ROW] = T.unpack(bytes(r.counts), np.int64)[0]
+    return np.log2(out + 1).astype(np.uint8)
+
+
+def _windows(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bounds of the texts' shingles in the numbering of all, and the counter of each; once for a column. A text of fewer words than `width` has one shingle."""
+    data, at = T.buffer(column)
+    data = np.where((data > 64) & (data < 91), data + np.uint8(32), data)
+    hashes, _, _, n = T.words(data, at)
+    ends = np.cumsum(n)
+    counts = np.where(n > 0, np.maximum(1, n - width + 1), 0)
+    rolled = T.rolling(hashes, width)
+    first = np.repeat(ends - n, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    short = np.repeat(n < width, counts)
+    bins = np.zeros(len(first), np.uint64)
+    bins[~short] = rolled[first[~short]]
+    bins[short] = hashes[first[short]]  # its first word stands for it: the counter is only an order
+    yield np.append(0, np.cumsum(counts)), (bins & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def fingerprints(docs: DataFrame, width: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, often: np.ndarray | None = None) -> DataFrame:
     """id, bits (array of `words` longs, 64 bits each) of every row. Null text counts as empty: bits 0.
 
-    With `similarity` also: same (binary, equal for texts of equal words), prefix (the least hashes of distinct shingles, enough for that similarity). Its bits are of
+    With `similarity` also: same (binary, equal for texts of equal words), prefix (hashes of the first distinct shingles, by `often` (frequencies) and hash, enough for that similarity). Its bits are of
     distinct shingles but for the first word, which is the fingerprint.
     """
+    ranks = docs.sparkSession.sparkContext.broadcast(often)  # COUNTERS bytes
 
-    def one(text: bytes) -> tuple[np.ndarray, bytes, np.ndarray]:
+    def one(text: bytes, bins: np.ndarray) -> tuple[np.ndarray, bytes, np.ndarray]:
         pieces = list(shingle_hashes(text, width))
-        distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *pieces]))
+        distinct, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *pieces]), return_index=True)
         bits = _folded([distinct[k : k + (1 << 14)] for k in range(0, len(distinct), 1 << 14)], words)
         bits[0] = _folded(pieces, 1)[0]
         n = len(distinct)
-        return bits, xxhash.xxh3_128_digest(b" ".join(text.lower().split())), distinct[: n - math.ceil(similarity * n - 1e-9) + 1]
+        by_rarity = distinct[np.argsort(ranks.value[bins[place]], kind="stable")]
+        return bits, xxhash.xxh3_128_digest(b" ".join(text.lower().split())), by_rarity[: n - math.ceil(similarity * n - 1e-9) + 1]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in T.slices(whole, "text", *([] if similarity is None else [1 << 20])):
                 data, at = T.buffer(batch.column("text"))
                 raw = data.tobytes()
-                found = [one(raw[a:b]) if similarity is not None else (fingerprint(raw[a:b], width, words),) for a, b in zip(at, at[1:], strict=False)]
+                if similarity is None:
+                    found = [(fingerprint(raw[a:b], width, words),) for a, b in pairwise(at)]
+                else:
+                    ((ends, bins),) = _windows(batch.column("text"), width)
+                    found = [one(raw[a:b], bins[x:y]) for (a, b), (x, y) in zip(pairwise(at), pairwise(ends), strict=True)]
                 bits = np.array([f[0] for f in found], np.uint64).reshape(-1)
                 columns = [batch.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * words, pa.int32()), pa.array(bits.view(np.int64)))]
                 if similarity is not None:
@@ -335,12 +387,42 @@ def _groups(batches: Iterator[pa.RecordBatch], one: Callable[[pa.Table], np.ndar
     pa.default_memory_pool().release_unused()
 
 
-def _pairs_of_chunks(rows: DataFrame, key: str, weight: Column) -> DataFrame:
-    """rows with `group`: the key's, or if its rows weigh over 1, those of all pairs of chunks that a row's chunk is part of."""
-    heavy = rows.groupBy(key).agg(F.ceil(F.sum(weight)).cast("int").alias("chunks")).where("chunks > 1")
-    rows = rows.join(saved(heavy), key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(SEED)), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return dealt(rows.withColumn("group", F.xxhash64(key, F.least("chunk", "other"), F.greatest("chunk", "other"))).drop("chunks", "chunk", "other"), "group")
+def connecting(rows: DataFrame, key: str, weight: Column, one: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """a, b: links that connect whatever `one` links within a key. rows: key, node and what `one` reads of a table of rows; weight: a row's share of a chunk."""
+    spark = rows.sparkSession
+    names = [c for c in rows.columns if c != key]
+    schema = "a long, b long"
+
+    def meet(groups: DataFrame) -> DataFrame:
+        return dealt(groups, "group").mapInArrow(lambda batches: _groups(batches, one), schema)
+
+    sizes = saved(rows.groupBy(key).agg(F.ceil(F.sum(weight)).cast("int").alias("chunks"), F.min("node").alias("first")).where("chunks > 1"))
+    hot = sizes.select(F.col(key).alias("key"), F.col("chunks").alias("salts"))
+    sized = met(rows, sizes, key, "node", hot)
+    chunk = F.pmod(F.xxhash64("node", F.lit(SEED)), "chunks").cast("int")
+    # a group's first row goes to all of its chunks, every other row to its own
+    at = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk))
+    inside = saved(meet(sized.withColumn("chunk", F.explode(at)).withColumn("group", F.xxhash64(key, "chunk")).select("group", *names)))
+    if not sizes.limit(1).count():
+        discard(sizes)
+        return inside
+    reached_ = saved(components(inside))
+    reached_ = reached_.withColumnRenamed("component", "reached")
+    side = sizes.select(key, "chunks", F.col("first").alias("node")).join(reached_, "node", "left").select(key, "chunks", F.coalesce("reached", "node").alias("main"))
+    side = saved(side)
+    large = met(rows, side, key, "node", hot).where("main is not null").join(reached_, "node", "left").withColumn("apart", F.coalesce("reached", "node") != F.col("main"))
+    # rows that are not on the first one's side meet all chunks
+    apart = saved(large.where("apart").groupBy(key).agg(F.ceil(F.sum(weight)).cast("int").alias("others")))
+    if not apart.limit(1).count():
+        discard(sizes, reached_, side, apart)
+        return inside
+    rest = met(large, apart, key, "node", hot).where("others is not null")
+    all_rows = rest.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    own = F.pmod(F.xxhash64("node", F.lit(SEED + 1)), "others").cast("int")
+    some = rest.where("apart").withColumn("other", own).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    both = all_rows.select(*rows.columns, "chunk", "other").union(some.select(*rows.columns, "chunk", "other"))
+    across = meet(both.withColumn("group", F.xxhash64(key, "chunk", "other")).select("group", *names))
+    return inside.union(saved(across))
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -372,8 +454,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
     both = pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b")
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
     many = found.where("b is null").select("key", F.col("a").alias("node")).join(bits, "node")
-    groups = _pairs_of_chunks(many, "key", F.lit(1 / CHUNK)).select("group", "node", "bits")
-    return both.where(differ <= APART).select("a", "b").union(groups.mapInArrow(lambda batches: _groups(batches, meet), "a long, b long"))
+    close = saved(both.where(differ <= APART).select("a", "b").union(connecting(many.select("key", "node", "bits"), "key", F.lit(1 / CHUNK), meet)))
+    discard(found)
+    return close
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
@@ -401,8 +484,7 @@ def similar(docs: DataFrame, near: DataFrame, width: int, similarity: float) ->
     def meet(run: pa.Table) -> np.ndarray:
         return same_sets([shingle_set((t or "").encode(), width) for t in run.column("text").to_pylist()], similarity)
 
-    groups = _pairs_of_chunks(rows, "component", F.lit(1 / CHUNK) + F.coalesce(F.octet_length("text"), F.lit(0)) / CHUNK_BYTES).select("group", "node", "text")
-    return groups.mapInArrow(lambda batches: _groups(batches, meet), "a long, b long")
+    return connecting(rows.select("component", "node", "text"), "component", F.lit(1 / CHUNK) + F.coalesce(F.octet_length("text"), F.lit(0)) / CHUNK_BYTES, meet)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, errors: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -415,7 +497,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, errors: int = 4, similarity
     ignored.
     """
     by, words, more = ("same", WORDS, ["same", "prefix"]) if similarity is not None else ("fingerprint", 1, [])
-    prints = fingerprints(docs, width, words, id_col, text_col, similarity)
+    prints = fingerprints(docs, width, words, id_col, text_col, similarity, None if similarity is None else frequencies(docs, width, text_col))
     prints = saved(prints.select(F.col("id").cast("long"), F.col("bits")[0].alias("fingerprint"), "bits", *more))
     named = prints.where("id is not null")
     nodes = saved(named.groupBy(by).agg(*(F.min_by(c, "id").alias(c) for c in ("bits", *more[1:])), F.min("id").alias("node")))
@@ -424,7 +506,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, errors: int = 4, similarity
     if similarity is None:
         groups = components(saved(links(nodes, [F.col("fingerprint")], 64, errors).union(repeated)))
     else:
-        near = components(saved(candidates(nodes)))
+        near = components(candidates(nodes))
         texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
         groups = components(saved(similar(texts, near, width, similarity).union(repeated)))
     names = nodes.join(groups, "node", "left").select(by, F.coalesce("component", "node").alias("component_id"))
