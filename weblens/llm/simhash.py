@@ -388,8 +388,7 @@ def _groups(batches: Iterator[pa.RecordBatch], one: Callable[[pa.Table], np.ndar
 
 
 def connecting(rows: DataFrame, key: str, weight: Column, one: Callable[[pa.Table], np.ndarray]) -> DataFrame:
-    """a, b: links that connect whatever `one` links within a key. rows: key, node and what `one` reads of a table of rows; weight: a row's share of a chunk."""
-    spark = rows.sparkSession
+    """a, b: links that connect whatever `one` links within a key. rows: a saved table of key, node and what `one` reads of a table of rows; weight: a row's share of a chunk."""
     names = [c for c in rows.columns if c != key]
     schema = "a long, b long"
 
@@ -454,7 +453,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     both = pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b")
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
     many = found.where("b is null").select("key", F.col("a").alias("node")).join(bits, "node")
-    close = saved(both.where(differ <= APART).select("a", "b").union(connecting(many.select("key", "node", "bits"), "key", F.lit(1 / CHUNK), meet)))
+    close = saved(both.where(differ <= APART).select("a", "b").union(connecting(saved(many.select("key", "node", "bits")), "key", F.lit(1 / CHUNK), meet)))
     discard(found)
     return close
 
@@ -484,7 +483,7 @@ def similar(docs: DataFrame, near: DataFrame, width: int, similarity: float) ->
     def meet(run: pa.Table) -> np.ndarray:
         return same_sets([shingle_set((t or "").encode(), width) for t in run.column("text").to_pylist()], similarity)
 
-    return connecting(rows.select("component", "node", "text"), "component", F.lit(1 / CHUNK) + F.coalesce(F.octet_length("text"), F.lit(0)) / CHUNK_BYTES, meet)
+    return connecting(saved(rows.select("component", "node", "text")), "component", F.lit(1 / CHUNK) + F.coalesce(F.octet_length("text"), F.lit(0)) / CHUNK_BYTES, meet)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, errors: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
