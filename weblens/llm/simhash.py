@@ -89,9 +89,10 @@ def frequencies(docs: DataFrame, width: int, text_col: str = "text") -> np.ndarr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(COUNTERS, np.int64)
         for whole in batches:
-            for batch in T.slices(whole, "text"):
+            for batch in T.slices(whole, "text", 1 << 20):
                 for _, at in _windows(batch.column("text"), width):
                     sums += np.bincount(at, minlength=COUNTERS)
+        pa.default_memory_pool().release_unused()
         rows = sums.reshape(-1, PER_ROW)
         yield pa.record_batch([pa.array(np.arange(len(rows))), pa.array([T.pack(x) for x in rows], pa.binary())], names=["row", "counts"])
 
