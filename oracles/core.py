@@ -19,11 +19,11 @@ SQL = {
         FROM (SELECT DISTINCT ua FROM requests)""",
     "w01_sessionize": sql("sessions", "SELECT req_id, vid FROM rq"),
     "w02_w03_page_flags": sql("sessions", "SELECT req_id, is_dup, is_redirect_hop, is_page FROM rq"),
-    "w05_p13_visits": sql("visits", """SELECT vid, ip, ua, host_site, "start", "end", n_req, n_pages, n_pages_raw, n_dup, n_redirect, n_static, bytes, n_post, n_head,
+    "w05_p13_visits": sql("base", """SELECT vid, ip, ua, host_site, "start", "end", n_req, n_pages, n_pages_raw, n_dup, n_redirect, n_static, bytes, n_post, n_head,
         n_err4, n_err5, n_goal, n_conv, dur, entry, entry_query, entry_status, entry_ref, entry_ref_host, entry_ref_internal, channel, channel_sub, day, hour, weekday FROM vs"""),
     "w06_returning": sql("visits", """, f AS (SELECT ip, "start" > min("start") OVER (PARTITION BY ip) AS is_returning FROM vs)
         SELECT is_returning, count(*) AS visits, count(DISTINCT ip) AS ips FROM f GROUP BY 1"""),
-    "r01_r02_groups": sql("visits", 'SELECT vid, "group", subgroup, fam_verified, nettype FROM vs'),
+    "r01_r02_groups": sql("base", 'SELECT vid, "group", subgroup, fam_verified, nettype FROM vs'),
     "j02_net_operator": f"""WITH {REQUESTS},{IP_DIM} SELECT ip, CASE WHEN ip LIKE '10.2.0.%' AND CAST(split_part(ip,'.',4) AS INT) < 64 THEN 'office'
         WHEN ip LIKE '10.2.%' THEN 'regional' WHEN asn=24940 THEN 'hoster' WHEN asn=8359 THEN 'mobile' ELSE '' END AS operator FROM ip_dim""",
     "j03_verify_robots": sql("visits", """, x AS (SELECT *, CASE WHEN fam='Googlebot' THEN CASE WHEN ip LIKE '10.0.0.%' OR (ip LIKE '10.4.0.%' AND CAST(split_part(ip,'.',4) AS INT) < 128) THEN 'yes' ELSE 'no' END

@@ -145,24 +145,33 @@ vg AS (SELECT *, CASE WHEN fam<>'' AND fam_verified='no' THEN 'bots' WHEN fam<>'
    WHEN NOT ua_browser OR n_head=n_req THEN 'explicit (not a browser)' WHEN n_static=0 AND n_pages>=1 THEN 'masked: loads no resources' ELSE '' END AS sub FROM vd),
 na AS (SELECT ip, ua, count(DISTINCT base) AS n_addr FROM rq GROUP BY ip, ua),
 vm AS (SELECT vg.*, n_addr, {_mon} AS mon_name, (fam<>'' AND fam_cat='monitoring') OR {_mon} IS NOT NULL AS by_name FROM vg JOIN na USING (ip, ua)),
-vs AS (SELECT vm.* EXCLUDE (grp, sub, mon_name, by_name, n_addr, first_any, first_page),
+vs0 AS (SELECT vm.* EXCLUDE (grp, sub, mon_name, by_name, n_addr, first_any, first_page),
   CASE WHEN by_name AND n_addr<=3 THEN 'monitors' WHEN by_name THEN 'bots' WHEN fam='No User-Agent' AND grp='robots' THEN 'bots'
    WHEN fam_cat={lit(fv.SCRIPT)} AND grp='robots' THEN 'utilities' ELSE grp END AS "group",
   CASE WHEN by_name AND n_addr<=3 THEN coalesce(mon_name, ua) WHEN by_name THEN 'poses as monitoring' WHEN fam='No User-Agent' AND grp='robots' THEN 'no user agent'
    WHEN fam_cat={lit(fv.SCRIPT)} AND grp='robots' THEN fam ELSE sub END AS subgroup
   FROM vm)"""
 
+_ATTRIBUTES = 'vs."group", vs.subgroup, vs.channel, vs.fam, vs.fam_cat, vs.fam_verified, vs.ua_browser, vs.asn, vs.cc, vs.nettype'
+# visits and requests before the rules
+BASE = "vs AS (SELECT * FROM vs0)"
 FIELDS = f"""
-rg0 AS (SELECT rq.*, vs."group", vs.subgroup, vs.channel, vs.fam, vs.fam_cat, vs.fam_verified, vs.ua_browser, vs.asn, vs.cc, vs.nettype FROM rq JOIN vs USING (vid)),
+rg0 AS (SELECT rq.*, {_ATTRIBUTES} FROM rq JOIN vs USING (vid)),
 rg AS (SELECT *, {TPL} AS tpl FROM rg0)"""
+# the same after the rules: oracles.chain puts its text (which defines vs and demoted) in the mark's place
+CHAIN = "/*chain*/"
+JUDGED = FIELDS.replace("SELECT rq.*,", "SELECT rq.* REPLACE (rq.goal_success AND rq.req_id NOT IN (SELECT req_id FROM demoted) AS goal_success),")
 
+_visits = [REQUESTS, UA, FEATURES, GOALS, SESSIONS, VISITS0, IP_DIM, VISITS]
 # successive stages of the prelude
 STAGES = {
     "requests": [REQUESTS],
     "features": [REQUESTS, FEATURES],
     "sessions": [REQUESTS, UA, FEATURES, GOALS, SESSIONS],
-    "visits": [REQUESTS, UA, FEATURES, GOALS, SESSIONS, VISITS0, IP_DIM, VISITS],
-    "grouped": [REQUESTS, UA, FEATURES, GOALS, SESSIONS, VISITS0, IP_DIM, VISITS, FIELDS],
+    "base": [*_visits, BASE],
+    "rules": [*_visits, BASE, FIELDS],
+    "visits": [*_visits, CHAIN],
+    "grouped": [*_visits, CHAIN, JUDGED],
 }
 
 

@@ -6,7 +6,9 @@ MODULES = ["core", "series", "errors", "marketing", "security", "rules", "cases"
 
 
 def oracle_sql():
+    from oracles.chain import whole
+
     found = {}
     for module in MODULES:
         found.update(importlib.import_module(f"oracles.{module}").SQL)
-    return found
+    return {name: whole(text) for name, text in found.items()}

@@ -96,47 +96,63 @@ e3 AS (SELECT vid, CASE WHEN imp AND ng=n THEN 'bots|files only: asks for files
 SELECT vs.vid, CASE WHEN v IS NULL THEN "group" ELSE split_part(v,'|',1) END AS "group", CASE WHEN v IS NULL THEN subgroup ELSE split_part(v,'|',2) END AS subgroup, coalesce(ep,'') AS evidence_people, coalesce(eb,'') AS evidence_bot
 FROM vs LEFT JOIN e3 USING (vid)"""
 
+
+class Rule(str):
+    """A twin that also knows its own part, which the chain of rules repeats on the groups left by the rules before."""
+
+    body: str
+
+
+def rule(body: str) -> Rule:
+    text = Rule(sql("rules", body))
+    text.body = body
+    return text
+
+
 SQL = {
-    "r06_files_only": sql("grouped", _FILES),
-    "r03_signatures": sql("grouped", _SIG + " SELECT vid, signature, strong FROM sg WHERE signature IS NOT NULL"),
-    "r03_mark_scanners": sql("grouped", _KIND + f""" SELECT vid, CASE WHEN m THEN 'bots' ELSE "group" END AS "group", CASE WHEN m THEN concat(CASE WHEN strong>=10 THEN {lit(scanners.SCANNER)} ELSE kind END, ': ', nm) ELSE subgroup END AS subgroup
+    "r06_files_only": rule(_FILES),
+    "r03_signatures": rule(_SIG + " SELECT vid, signature, strong FROM sg WHERE signature IS NOT NULL"),
+    "r03_mark_scanners": rule(_KIND + f""" SELECT vid, CASE WHEN m THEN 'bots' ELSE "group" END AS "group", CASE WHEN m THEN concat(CASE WHEN strong>=10 THEN {lit(scanners.SCANNER)} ELSE kind END, ': ', nm) ELSE subgroup END AS subgroup
         FROM (SELECT vs.vid, vs."group", subgroup, strong, kind, {_names} AS nm, signature IS NOT NULL AND vs."group"='people' AS m FROM vs LEFT JOIN sg USING (vid) LEFT JOIN kk USING (ip, ua))"""),
-    "r04_actor_kind": sql("grouped", _KIND + " SELECT ip, ua, kind, score FROM kk"),
-    "r05_backups": sql("grouped", _STAFF + f""", n AS (SELECT ip, count(DISTINCT base) AS paths FROM rg WHERE {_SENS} GROUP BY 1), tv AS (SELECT DISTINCT vid FROM rg WHERE ({_SENS} OR {_ARCH}) AND ip IN (SELECT ip FROM n WHERE paths>=2)),
+    "r04_actor_kind": rule(_KIND + " SELECT ip, ua, kind, score FROM kk"),
+    "r05_backups": rule(_STAFF + f""", n AS (SELECT ip, count(DISTINCT base) AS paths FROM rg WHERE {_SENS} GROUP BY 1), tv AS (SELECT DISTINCT vid FROM rg WHERE ({_SENS} OR {_ARCH}) AND ip IN (SELECT ip FROM n WHERE paths>=2)),
         got AS (SELECT * FROM rg WHERE {_SENS} AND status=200 AND bytes>0), d AS (SELECT ip, ua, base, min(ts) AS t FROM got GROUP BY 1,2,3), cr AS (SELECT base, count(DISTINCT ip) AS crowd FROM got GROUP BY 1),
         lg AS (SELECT * FROM rg WHERE base LIKE '/admin/%' AND status=200 AND ip IN (SELECT ip FROM staff)), mv AS (SELECT * FROM rg WHERE {_MOVE} AND status<400),
         e AS (SELECT d.*, crowd, paths, least((SELECT min(ts) FROM lg WHERE lg.ip=d.ip),(SELECT min(ts) FROM lg WHERE lg.ua=d.ua)) AS login, greatest((SELECT max(ts) FROM mv WHERE mv.ip=d.ip),(SELECT max(ts) FROM mv WHERE mv.ua=d.ua)) AS moved FROM d JOIN cr USING (base) JOIN n USING (ip)),
         f AS (SELECT *, CASE WHEN login<=t AND moved>=login THEN 2 WHEN paths-1>=2 OR crowd>=3 THEN 1 ELSE 0 END AS rank FROM e), v AS (SELECT got.vid, max(rank) AS rank FROM got JOIN f USING (ip, ua, base) GROUP BY 1)
         SELECT vs.vid, CASE WHEN rank IS NOT NULL AND "group" NOT IN ('robots','monitors') THEN CASE rank WHEN 0 THEN 'suspects' WHEN 1 THEN 'bots' ELSE 'own' END WHEN vs.vid IN (SELECT vid FROM tv) AND "group"='people' THEN 'bots' ELSE "group" END AS "group",
         CASE WHEN rank IS NOT NULL AND "group" NOT IN ('robots','monitors') THEN 'took a backup' WHEN vs.vid IN (SELECT vid FROM tv) AND "group"='people' THEN 'scanner under a browser: backup search' ELSE subgroup END AS subgroup FROM vs LEFT JOIN v USING (vid)"""),
-    "j19_rendered_static": sql("grouped", _REN + " SELECT vid, rendered FROM rn"),
-    "r07_unrendered": sql("grouped", _REN + _lab("\"group\"='people' AND n_pages>=1 AND n_static>0 AND vid NOT IN (SELECT vid FROM rn)", "bots", "masked: loads no resources")),
-    "r08_service_checks": sql("grouped", _WK + _lab("vid IN (SELECT vid FROM wk) AND asn=15169 AND \"group\"<>'own'", "robots", "service check")),
-    "r09_agents": sql("grouped", _WK + _lab("(contains(ua,'Telegram-Android') OR (contains(ua,'iPhone') AND vid IN (SELECT vid FROM wk))) AND \"group\"<>'own'", "people", "")),
-    "r10_own_server": sql("grouped", ", o AS (SELECT DISTINCT ip FROM rg WHERE base='/wp-cron.php' AND ua IN ('','-')) " + _lab("ip IN (SELECT ip FROM o) AND \"group\"<>'own'", "own", "site server")),
-    "j05_same_user": sql("grouped", ", cnd AS (SELECT * FROM vs WHERE n_goal>0 AND entry_ref_internal) SELECT vid FROM " + _same("cnd", 86400)),
-    "j06_ip_switch": sql("grouped", ", cnd AS (SELECT * FROM vs WHERE entry_ref_internal) SELECT vid FROM " + _switch("cnd")),
-    "j07_caught_week": sql("grouped", ", cnd AS (SELECT * FROM vs WHERE n_goal>0 AND n_pages<=2 AND dur<120), cgt AS (SELECT * FROM vs WHERE n_goal>0 AND entry_status=404) SELECT vid FROM " + _week("cnd", "cgt")),
-    "r11_form_spam": sql("grouped", _SPAM + f""" SELECT vid, CASE WHEN s IS NOT NULL AND "group" IN ('people','bots') THEN 'bots' ELSE "group" END AS "group",
+    "j19_rendered_static": rule(_REN + " SELECT vid, rendered FROM rn"),
+    "r07_unrendered": rule(_REN + _lab("\"group\"='people' AND n_pages>=1 AND n_static>0 AND vid NOT IN (SELECT vid FROM rn)", "bots", "masked: loads no resources")),
+    "r08_service_checks": rule(_WK + _lab("vid IN (SELECT vid FROM wk) AND asn=15169 AND \"group\"<>'own'", "robots", "service check")),
+    "r09_agents": rule(_WK + _lab("(contains(ua,'Telegram-Android') OR (contains(ua,'iPhone') AND vid IN (SELECT vid FROM wk))) AND \"group\"<>'own'", "people", "")),
+    "r10_own_server": rule(", o AS (SELECT DISTINCT ip FROM rg WHERE base='/wp-cron.php' AND ua IN ('','-')) " + _lab("ip IN (SELECT ip FROM o) AND \"group\"<>'own'", "own", "site server")),
+    "j05_same_user": rule(", cnd AS (SELECT * FROM vs WHERE n_goal>0 AND entry_ref_internal) SELECT vid FROM " + _same("cnd", 86400)),
+    "j06_ip_switch": rule(", cnd AS (SELECT * FROM vs WHERE entry_ref_internal) SELECT vid FROM " + _switch("cnd")),
+    "j07_caught_week": rule(", cnd AS (SELECT * FROM vs WHERE n_goal>0 AND n_pages<=2 AND dur<120), cgt AS (SELECT * FROM vs WHERE n_goal>0 AND entry_status=404) SELECT vid FROM " + _week("cnd", "cgt")),
+    "r11_form_spam": rule(_SPAM + f""" SELECT vid, CASE WHEN s IS NOT NULL AND "group" IN ('people','bots') THEN 'bots' ELSE "group" END AS "group",
         CASE WHEN s IS NOT NULL AND "group" IN ('people','bots') THEN [{', '.join(_spam)}][s+1] ELSE subgroup END AS subgroup FROM f5"""),
-    "j08_confirm_forms": sql("grouped", f""", p AS (SELECT * FROM rg WHERE goal<>'' AND method='POST'), h AS (SELECT p.req_id, arg_min(CASE WHEN {_MARK.replace('query', 'n.query').replace('base', 'n.base')} THEN 'page with a success mark' ELSE 'back on the form page' END, (n.ts, n.req_id)) AS how
+    "j08_confirm_forms": rule(f""", p AS (SELECT * FROM rg WHERE goal<>'' AND method='POST'), h AS (SELECT p.req_id, arg_min(CASE WHEN {_MARK.replace('query', 'n.query').replace('base', 'n.base')} THEN 'page with a success mark' ELSE 'back on the form page' END, (n.ts, n.req_id)) AS how
           FROM p JOIN rg n ON n.ip=p.ip AND n.method<>'POST' AND NOT n.is_static AND n.ts BETWEEN p.ts AND p.ts+10 AND ({_MARK.replace('query', 'n.query').replace('base', 'n.base')} OR (p.ref_path<>'' AND n.base=p.ref_path)) GROUP BY 1)
         SELECT req_id, goal, status, goal_success AND NOT (status IN (302,303) AND how IS NULL) AS goal_success, coalesce(how,'') AS confirmed_by FROM p LEFT JOIN h USING (req_id)"""),
     "a07_leads": sql("grouped", """, p AS (SELECT * FROM rg WHERE goal<>'') SELECT p.req_id, p.ip, p.ts, goal, status, p."group", p.channel, CASE WHEN goal_success THEN 'accepted' WHEN status=499 THEN 'visitor left (499)' WHEN status>=500 THEN 'server error' WHEN status>=400 THEN 'refused by the server'
           WHEN status IN (302,303) THEN 'redirected, not confirmed' ELSE 'refused by the form' END AS outcome,
         CASE WHEN goal_success THEN '' WHEN EXISTS (SELECT 1 FROM p q WHERE q.goal_success AND q.ip=p.ip AND q.ts>p.ts AND q.ts<=p.ts+1800) THEN 'sent successfully later' ELSE 'did not send again' END AS "then",
         n_pages, n_static, p.ts-vs."start" AS seconds_from_entry, entry, vs.nettype FROM p JOIN vs USING (vid)"""),
-    "r12_gov": sql("grouped", f""", so AS (SELECT vid FROM rg GROUP BY vid HAVING bool_and(regexp_matches(base,{lit(special.SERVICE_ONLY)}))), a AS (SELECT *, {_OPER} AS gov_op FROM vs),
+    "r12_gov": rule(f""", so AS (SELECT vid FROM rg GROUP BY vid HAVING bool_and(regexp_matches(base,{lit(special.SERVICE_ONLY)}))), a AS (SELECT *, {_OPER} AS gov_op FROM vs),
         b AS (SELECT *, CASE WHEN gov_op<>'' AND fam='' AND n_goal=0 AND (vid IN (SELECT vid FROM so) OR n_pages>=100) THEN 'scanner under a browser' ELSE '' END AS k FROM a),
         c AS (SELECT vid, gov_op, k, CASE WHEN k<>'' THEN 'bots' ELSE "group" END AS "group", CASE WHEN k<>'' THEN 'government robots' ELSE subgroup END AS subgroup FROM b),
         d AS (SELECT *, gov_op<>'' AND k='' AND "group"='bots' AND regexp_matches(subgroup,'^(scanner under a browser|masked|explicit)') AS ordinary FROM c)
         SELECT vid, "group", CASE WHEN ordinary THEN 'government robots' ELSE subgroup END AS subgroup, gov_op, CASE WHEN k<>'' THEN k WHEN gov_op='' THEN '' WHEN "group"='people' THEN 'visitor' WHEN ordinary THEN 'scanner under a browser' ELSE 'other' END AS gov_kind,
         CASE WHEN ordinary THEN subgroup ELSE '' END AS gov_was FROM d"""),
-    "r13_web_archive": sql("visits", ", a AS (SELECT *, asn=8359 AND fam='' AND n_pages=1 AND n_req>=5 AND dur<=120 AND \"group\"<>'own' AS m FROM vs) SELECT vid, CASE WHEN m THEN 'robots' ELSE \"group\" END AS \"group\", CASE WHEN m THEN 'Web archive: page save' ELSE fam END AS fam, CASE WHEN m THEN 'yes' ELSE fam_verified END AS fam_verified FROM a"),
+    "r13_web_archive": sql("base", ", a AS (SELECT *, asn=8359 AND fam='' AND n_pages=1 AND n_req>=5 AND dur<=120 AND \"group\"<>'own' AS m FROM vs) SELECT vid, CASE WHEN m THEN 'robots' ELSE \"group\" END AS \"group\", CASE WHEN m THEN 'Web archive: page save' ELSE fam END AS fam, CASE WHEN m THEN 'yes' ELSE fam_verified END AS fam_verified FROM a"),
     "r18_ip_sets": sql("grouped", _REN + """ SELECT ip, bool_or("group"='people' AND n_pages>=1 AND rendered IS NOT NULL) AS has_people, bool_and(subgroup='hotlink') AS hotlink_only, bool_or("group"='own' AND subgroup='took a backup') AS own_backup, bool_and(subgroup='service check') AS service_check_only,
         bool_or("group"='suspects') AND NOT bool_or("group" IN ('bots','utilities')) AS suspect FROM vs LEFT JOIN rn USING (vid) GROUP BY ip"""),
     "p23_hosts": sql("grouped", _HOSTS + " SELECT * FROM hd"),
     "p24_split_error_log": sql("grouped", _HOSTS + f",{ERROR_LINES} SELECT host, coalesce(kind,'site') AS host_kind, count(*) AS n FROM el LEFT JOIN hd ON hd.vhost=el.host GROUP BY 1,2"),
     "j13_ip_host": sql("grouped", """, o AS (SELECT * FROM rg WHERE vhost='10.9.9.9') SELECT count(*) AS requests, count(DISTINCT ip) AS ips, count_if(status BETWEEN 200 AND 399) AS answered, count(DISTINCT ip) FILTER (WHERE "group"='people') AS people_ips,
         (SELECT count(DISTINCT a.ip) FROM o a WHERE a."group"='people' AND EXISTS (SELECT 1 FROM rg b WHERE b.host_site AND b.ip=a.ip AND b.ts BETWEEN a.ts AND a.ts+600)) AS reached_site_ips FROM o"""),
+    "r_chain_groups": sql("visits", 'SELECT "group", subgroup, count(*) AS visits FROM vs GROUP BY 1,2'),
+    "r_chain_visits": sql("visits", 'SELECT vid, "group", subgroup, n_goal, n_conv FROM vs'),
+    "r_chain_demoted": sql("visits", 'SELECT demoted.req_id, vid, "group", n_goal, n_conv FROM demoted JOIN vs USING (vid)'),
 }

@@ -14,7 +14,7 @@ from weblens.operators import addresses as registry
 from weblens.operators import goals as form_goals
 from weblens.operators import groups, network, requests, series, sessions
 from weblens.plans.store import stored
-from weblens.rules import scanners
+from weblens.rules import chain, scanners
 from weblens.sources.access_log import parse_error
 from weblens.sources.event_log import error_lines_from_events, requests_from_events
 
@@ -34,18 +34,26 @@ class WebLog:
     """Lazy tables of one log: every property is a DataFrame, nothing runs until an action."""
 
     admin = r"^/admin/"
+    #: What the rules are told about the site: networks of services that check it, agents of devices and apps, hosts of its own systems, official networks of robots.
+    rule_inputs: dict = {}
 
     def __init__(self, spark: SparkSession, log: DataFrame, ranges: DataFrame, site_hosts=SITE_HOSTS, error_lines: DataFrame | None = None):
         self.spark, self.log, self.ranges, self.site_hosts, self.error_lines = spark, log, ranges, list(site_hosts), error_lines
 
     @classmethod
-    def prepared(cls, spark: SparkSession, sf_dir: str) -> "WebLog":
-        """The event log of a data set with its prepared tables, built once per Spark application."""
+    def prepared(cls, spark: SparkSession, sf_dir: str) -> "JudgedLog":
+        """The event log of a data set after the rules, with its prepared tables, built once per Spark application."""
         key = (spark.sparkContext.applicationId, sf_dir)
         if key not in _PREPARED:
-            _PREPARED[key] = cls.from_events(spark, sf_dir).store()
+            cls.keep(spark, sf_dir, cls.from_events(spark, sf_dir).store().judge())
         return _PREPARED[key]
 
+    @staticmethod
+    def keep(spark: SparkSession, sf_dir: str, log: "JudgedLog") -> "JudgedLog":
+        """Makes a stored log the one that the queries of a data set read."""
+        _PREPARED[(spark.sparkContext.applicationId, sf_dir)] = log
+        return log
+
     def store(self) -> "WebLog":
         """Write requests, the dimensions, visits and requests-with-visit; later tables read them.
 
@@ -68,13 +76,19 @@ class WebLog:
         save("addresses", "addresses")
         return self
 
+    def judge(self) -> "JudgedLog":
+        """The log after the rules, stored: every table of the result sees the final groups and confirmed forms."""
+        return JudgedLog(self).store()
+
     @classmethod
     def from_events(cls, spark: SparkSession, sf_dir: str) -> "WebLog":
         events = spark.read.parquet(f"{sf_dir}/events.parquet")
         if len(events.inputFiles()) < spark.sparkContext.defaultParallelism:  # a few small files: use every core
             events = events.repartition(spark.sparkContext.defaultParallelism)
         ranges = spark.createDataFrame(EVENT_LOG_RANGES, "range_start long, range_end long, asn int, org string, cc string")
-        return cls(spark, requests_from_events(events), ranges, SITE_HOSTS, error_lines_from_events(events))
+        log = cls(spark, requests_from_events(events), ranges, SITE_HOSTS, error_lines_from_events(events))
+        log.rule_inputs = {"service_asns": [15169], "device_agents": "iPhone", "app_agents": "Telegram-Android", "own_hosts": ["other1.example"]}
+        return log
 
     @cached_property
     def features(self) -> DataFrame:
@@ -173,3 +187,43 @@ class WebLog:
     def rq(self) -> DataFrame:
         """Requests with the attributes of their visit."""
         return sessions.with_visit(self.marked, self.visits, *VISIT_ATTRIBUTES)
+
+
+class JudgedLog(WebLog):
+    """A stored log after the chain of rules. ``base`` is the log before it; requests meet the final groups of their visits by (client, slot)."""
+
+    def __init__(self, base: WebLog):
+        super().__init__(base.spark, base.log, base.ranges, base.site_hosts, base.error_lines)
+        self.base, self.admin, self.rule_inputs = base, base.admin, base.rule_inputs
+        for name in ("features", "marked", "goals", "visits_raw", "visits_described", "ip_dim", "ua_dim", *(["error_log"] if base.error_lines is not None else [])):
+            setattr(self, name, getattr(base, name))
+
+    def store(self) -> "JudgedLog":
+        save = lambda name, label: setattr(self, name, stored(self.spark, getattr(self, name), label))
+        save("demoted", "demoted")
+        save("visits", "visits-judged")
+        save("rq", "requests-judged")
+        save("addresses", "addresses-judged")
+        return self
+
+    @cached_property
+    def gov_operators(self) -> DataFrame:
+        return self.spark.createDataFrame([], "ip string, operator string")
+
+    @cached_property
+    def demoted(self) -> DataFrame:
+        return chain.demoted(self.base.rq)
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        b = self.base
+        return chain.apply_rules(self.spark, b.visits, b.rq, b.addresses, b.staff, self.gov_operators, self.admin, **self.rule_inputs)
+
+    @cached_property
+    def visits(self) -> DataFrame:
+        return chain.confirm(self.judged, self.base.rq, self.demoted)[0]
+
+    @cached_property
+    def rq(self) -> DataFrame:
+        rq = chain.confirm(self.judged, self.base.rq, self.demoted)[1]
+        return sessions.with_visit(rq.drop("vid", *VISIT_ATTRIBUTES), self.visits, *VISIT_ATTRIBUTES)

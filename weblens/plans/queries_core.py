@@ -13,6 +13,11 @@ def _log(fn):
     return lambda spark, sf_dir: fn(WebLog.prepared(spark, sf_dir))
 
 
+def _rules(fn):
+    """The same for the log before the rules."""
+    return _log(lambda w: fn(w.base))
+
+
 GOOGLE_CIDRS = [("Googlebot", "10.4.0.0/25"), ("Googlebot", "10.0.0.0/24"), ("YandexBot", "10.1.0.0/16")]
 OPERATOR_CIDRS = [("10.0.0.0/8", "wide"), ("10.2.0.0/16", "regional"), ("10.2.0.0/26", "office")]
 

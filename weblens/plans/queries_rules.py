@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from weblens.marts import errors as E
-from weblens.plans.queries_core import _log, _operator
-from weblens.rules import chain, files_only, forms, scanners, special
+from weblens.plans.queries_core import _log, _operator, _rules
+from weblens.rules import files_only, forms, scanners, special
 
 _label = lambda v: v.select("vid", "group", "subgroup")
 _probes = lambda w: w.probe_strength
@@ -23,8 +23,12 @@ def _gov(w):
 
 
 def _chain(w):
-    v = chain.apply_rules(w.spark, w.visits, w.rq, w.addresses, w.staff, _operator(w), w.admin, [15169], "iPhone", "Telegram-Android")
-    return v.groupBy("group", "subgroup").agg(F.count(F.lit(1)).alias("visits"))
+    return w.visits.groupBy("group", "subgroup").agg(F.count(F.lit(1)).alias("visits"))
+
+
+def _demoted(w):
+    """Forms that the code calls accepted and nothing confirms, and what the visits lose by it."""
+    return w.demoted.join(w.visits.select("vid", "group", "n_goal", "n_conv"), "vid")
 
 
 _sent = lambda w: w.visits.where("n_goal > 0 AND entry_ref_internal")
@@ -32,27 +36,29 @@ _quick = lambda w: w.visits.where("n_goal > 0 AND n_pages <= 2 AND dur < 120")
 _hosts = lambda w: special.host_dim(w.rq, w.site_hosts, ["shop.site.ru"])
 
 QUERIES = {
-    "r03_signatures": _log(lambda w: scanners.signatures(w.rq, _probes(w))),
-    "r03_mark_scanners": _log(lambda w: _label(scanners.mark_scanners(w.visits, w.rq, _probes(w)))),
-    "r04_actor_kind": _log(lambda w: scanners.actor_kind(_suspects(w), w.visits, w.rq, _probes(w))),
-    "r05_backups": _log(lambda w: _label(scanners.mark_backups(w.visits, w.rq, w.staff, w.admin))),
-    "r06_files_only": _log(lambda w: files_only.mark_files_only(w.visits, w.rq, w.addresses, ["other1.example"]).select("vid", "group", "subgroup", "evidence_people", "evidence_bot")),
-    "j19_rendered_static": _log(lambda w: special.rendered_static(w.rq)),
-    "r07_unrendered": _log(lambda w: _label(special.mark_unrendered(w.visits, w.rq))),
-    "r08_service_checks": _log(lambda w: _label(special.mark_service_checks(w.visits, w.rq, [15169]))),
-    "r09_agents": _log(lambda w: _label(special.mark_agents(w.visits, w.rq, "iPhone", "Telegram-Android"))),
-    "r10_own_server": _log(lambda w: _label(special.own_server(w.visits, w.rq))),
-    "j05_same_user": _log(lambda w: forms.same_user_flag(_sent(w), w.visits, w.rq, 86400)),
-    "j06_ip_switch": _log(lambda w: forms.ip_switch_flag(w.visits.where("entry_ref_internal"), w.visits)),
-    "j07_caught_week": _log(lambda w: forms.caught_week_flag(_quick(w), w.visits.where("n_goal > 0 AND entry_status = 404"))),
-    "r11_form_spam": _log(lambda w: _label(forms.mark_form_spam(w.visits, w.rq))),
-    "j08_confirm_forms": _log(lambda w: forms.confirm_forms(w.rq).drop("vid")),
+    "r03_signatures": _rules(lambda w: scanners.signatures(w.rq, _probes(w))),
+    "r03_mark_scanners": _rules(lambda w: _label(scanners.mark_scanners(w.visits, w.rq, _probes(w)))),
+    "r04_actor_kind": _rules(lambda w: scanners.actor_kind(_suspects(w), w.visits, w.rq, _probes(w))),
+    "r05_backups": _rules(lambda w: _label(scanners.mark_backups(w.visits, w.rq, w.staff, w.admin))),
+    "r06_files_only": _rules(lambda w: files_only.mark_files_only(w.visits, w.rq, w.addresses, ["other1.example"]).select("vid", "group", "subgroup", "evidence_people", "evidence_bot")),
+    "j19_rendered_static": _rules(lambda w: special.rendered_static(w.rq)),
+    "r07_unrendered": _rules(lambda w: _label(special.mark_unrendered(w.visits, w.rq))),
+    "r08_service_checks": _rules(lambda w: _label(special.mark_service_checks(w.visits, w.rq, [15169]))),
+    "r09_agents": _rules(lambda w: _label(special.mark_agents(w.visits, w.rq, "iPhone", "Telegram-Android"))),
+    "r10_own_server": _rules(lambda w: _label(special.own_server(w.visits, w.rq))),
+    "j05_same_user": _rules(lambda w: forms.same_user_flag(_sent(w), w.visits, w.rq, 86400)),
+    "j06_ip_switch": _rules(lambda w: forms.ip_switch_flag(w.visits.where("entry_ref_internal"), w.visits)),
+    "j07_caught_week": _rules(lambda w: forms.caught_week_flag(_quick(w), w.visits.where("n_goal > 0 AND entry_status = 404"))),
+    "r11_form_spam": _rules(lambda w: _label(forms.mark_form_spam(w.visits, w.rq))),
+    "j08_confirm_forms": _rules(lambda w: forms.confirm_forms(w.rq).drop("vid")),
     "a07_leads": _log(lambda w: forms.leads(w.rq, w.visits)),
-    "r12_gov": _log(_gov),
-    "r13_web_archive": _log(_archive),
+    "r12_gov": _rules(_gov),
+    "r13_web_archive": _rules(_archive),
     "r18_ip_sets": _log(lambda w: special.ip_sets(w.visits, special.rendered_static(w.rq))),
     "p23_hosts": _log(_hosts),
     "p24_split_error_log": _log(lambda w: E.split_error_log(w.error_log, _hosts(w)).groupBy("host", "host_kind").agg(F.count(F.lit(1)).alias("n"))),
     "j13_ip_host": _log(lambda w: special.ip_host_stats(w.rq, special.host_dim(w.rq, w.site_hosts).where("kind = 'ip'"))),
     "r_chain_groups": _log(_chain),
+    "r_chain_visits": _log(lambda w: w.visits.select("vid", "group", "subgroup", "n_goal", "n_conv")),
+    "r_chain_demoted": _log(_demoted),
 }
