@@ -119,6 +119,20 @@ def test_packing(spark, odd, empty):
     assert max(len(r.ids) for r in told.collect()) <= 64
 
 
+def test_ids_are_the_library_s_with_strings_of_special_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(9)
+    bits = ["<|startoftext|>", "<|endoftext|>", "<|EndOfText|>", "<|", "|>", "endoftext", " ", "Hello", "été", "\n", "a.b", "5", ">\u0338", "<"]
+    texts = ["", "<|endoftext|>", *("".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(3000))]
+    data, at = T.buffer(pa.array(texts))
+    ids, bounds = WordTokens("word_bpe_49k.json").encode(data, at, 1)
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == [*fresh.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_plan_holds_all_pieces_near_the_bound():
     r = random.Random(2)
     for low, high in ((1, 4096), (1500, 2500), (1000, 1400), (1, 50)):

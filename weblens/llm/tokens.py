@@ -6,6 +6,7 @@ Each distinct part between such places is encoded once, the rest is gathering in
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import public_tokenizers
@@ -30,7 +31,11 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.coder.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.coder.encode_special_tokens = True
+        # a text that holds the string of a special token is encoded as a whole, as the library does it
+        self.whole = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        special = [t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special))) if special else None
         probes = ["a", "the", "straightforward", "zqxjkvb", "s", "aaaaaaaa"]
         self.plain = all(self.coder.encode(p, add_special_tokens=False).ids == self._plain(p) for p in probes)
         if self.coder.encode("It's, A.B", add_special_tokens=False).ids != [i for p in ("it", "'s", ",", "a", ".b") for i in self.coder.encode(p, add_special_tokens=False).ids]:
@@ -69,6 +74,20 @@ class WordTokens:
 
     def encode(self, data: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each closed by `end`, and the texts' bounds in them."""
+        ids, bounds = self._encode(data, at, end)
+        raw = data.tobytes()
+        found = [m.start() for m in self.special.finditer(raw.lower())] if self.special else []
+        rows = np.unique(np.searchsorted(at, found, "right") - 1).tolist()
+        if not rows:
+            return ids, bounds
+        pieces, counts, low = [], np.diff(bounds), 0
+        for row in rows:
+            own = self.whole.encode(raw[at[row] : at[row + 1]].decode(), add_special_tokens=False).ids
+            pieces += [ids[bounds[low] : bounds[row]], np.array([*own, end], np.uint32)]
+            counts[row], low = len(own) + 1, row + 1
+        return np.concatenate([*pieces, ids[bounds[low] :]]), np.append(0, np.cumsum(counts))
+
+    def _encode(self, data: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         upper = IS_UPPER[data]
         upper[:-1] &= data[1:] < 128  # a combining mark may follow
         data = np.where(upper, data + np.uint8(32), data)
