@@ -68,9 +68,11 @@ SQL = {
         e AS (SELECT *, max(CASE WHEN NOT call THEN ts*100000000+req_id END) OVER w AS pg, max(CASE WHEN call THEN ts END) OVER w AS pc FROM d WINDOW w AS (PARTITION BY vid ORDER BY ts, req_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         f AS (SELECT *, coalesce(ts - pg // 100000000 <= 45, false) AS bg FROM e WHERE call)
         SELECT base, count(*) AS calls, count_if(bg) AS background, count_if(NOT bg) AS extra, count_if(coalesce(ts-pc<=30,false)) AS in_burst, count(DISTINCT CASE WHEN bg THEN pg END) AS pages_followed, round(count(DISTINCT CASE WHEN bg THEN pg END)/(SELECT count(*) FROM d WHERE NOT call),6) AS share_of_pages FROM f GROUP BY base"""),
-    "w17_spread_files": sql("grouped", """, d AS (SELECT base, count(*) OVER (PARTITION BY base ORDER BY ts RANGE BETWEEN CURRENT ROW AND 21600 FOLLOWING) AS n FROM rg WHERE ext='jpg') SELECT base, max(n) AS peak, count(*) AS requests, max(n)<0.5*count(*) AS is_spread FROM d GROUP BY 1"""),
-    "w18_list_crawl": sql("grouped", """, f AS (SELECT ip, ua, base, min(ts*100000000+req_id) AS o FROM rg WHERE ext='jpg' GROUP BY 1,2,3), s AS (SELECT *, CAST(regexp_extract(base,'(\\d+)\\.[A-Za-z0-9]+$',1) AS INT) - lag(CAST(regexp_extract(base,'(\\d+)\\.[A-Za-z0-9]+$',1) AS INT)) OVER (PARTITION BY ip, ua ORDER BY o) AS step FROM f)
-        SELECT ip, ua, count(*) AS files, count_if(step=1) AS consecutive, count(*) AS top_folder, count_if(step=1)/(count(*)-1)>=0.1 OR true AS is_crawl FROM s GROUP BY 1,2 HAVING count(*)>=5"""),
+    "w17_spread_files": sql("grouped", """, d AS (SELECT base, count(*) OVER (PARTITION BY base ORDER BY ts RANGE BETWEEN CURRENT ROW AND 21600 FOLLOWING) AS n FROM rg WHERE is_static) SELECT base, max(n) AS peak, count(*) AS requests, max(n)<0.5*count(*) AS is_spread FROM d GROUP BY 1"""),
+    "w18_list_crawl": sql("grouped", """, f AS (SELECT ip, ua, base, min(ts*100000000+req_id) AS o FROM rg WHERE is_static GROUP BY 1,2,3),
+        d AS (SELECT *, coalesce(TRY_CAST(regexp_extract(base,'(\\d+)\\.[A-Za-z0-9]+$',1) AS BIGINT),-10) AS num, count(*) OVER (PARTITION BY ip, ua, regexp_replace(base,'[^/]*$','')) AS in_dir FROM f),
+        s AS (SELECT *, num - lag(num) OVER (PARTITION BY ip, ua ORDER BY o) AS step FROM d)
+        SELECT ip, ua, count(*) AS files, count_if(step=1) AS consecutive, max(in_dir) AS top_folder, count_if(step=1)/(count(*)-1)>=0.1 OR max(in_dir)/count(*)>=0.1 AS is_crawl FROM s GROUP BY 1,2 HAVING count(*)>=5"""),
     "w19_first_orders": sql("grouped", """, o AS (SELECT *, regexp_extract(query,'(?:^|&)order_id=([^&]+)',1) AS order_id FROM rg WHERE base LIKE '/cart/success/%' AND host_site), r AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts, req_id) AS k FROM o WHERE order_id<>'')
         SELECT order_id, req_id, ts, status FROM r WHERE k=1"""),
     "w22_sequence": sql("grouped", _STEPS + " SELECT vid FROM sq"),

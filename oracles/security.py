@@ -55,7 +55,7 @@ SQL = {
     "p21_external_link": sql("grouped", f"SELECT DISTINCT query FROM rg WHERE {_EXT}"),
     "r14_staff_ips": sql("grouped", _STAFF + " SELECT ip FROM staff"),
     "r21_ip_profile": sql("visits", """, b AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY n_req DESC, vid DESC) AS k FROM vs), g AS (SELECT ip, count(DISTINCT "group") AS groups, CAST(sum(n_req) AS BIGINT) AS requests FROM vs GROUP BY ip)
-        SELECT ip, b."group", b.subgroup, b.fam, b.nettype, b.cc, g.groups, g.requests, b."group" IN ('people','own') AS is_live, CASE WHEN b."group"='people' THEN 'people' WHEN b."group"='robots' THEN 'robots: ' || fam
+        SELECT ip, b."group", b.subgroup, b.fam, b.nettype, b.cc, g.groups, g.requests, (b."group"='people' OR (b."group"='own' AND b.subgroup<>'site server')) AS is_live, CASE WHEN b."group"='people' THEN 'people' WHEN b."group"='robots' THEN 'robots: ' || fam
           WHEN subgroup='fake robots' THEN 'bots: fake ' || fam WHEN subgroup<>'' THEN b."group" || ': ' || subgroup ELSE b."group" END AS label FROM b JOIN g USING (ip) WHERE k=1"""),
     "a25_heat": sql("grouped", """, h AS (SELECT day, hour, count(*) AS requests, count_if("group"='people') AS people, count_if("group" IN ('robots','bots')) AS programs, count_if("group"='people' AND status=499) AS aborted FROM rg GROUP BY 1,2)
         SELECT *, people>=quantile_cont(people,0.75) OVER () AND programs>=quantile_cont(programs,0.75) OVER () AS both_busy FROM h"""),

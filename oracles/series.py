@@ -85,8 +85,8 @@ SQL = {
     "s04_sniff": "SELECT 'site.ru-access.log' AS src, 'access:combined' AS kind UNION ALL SELECT 'site.ru-error.log', 'error:nginx'",
     "s05_file_inventory": sql("requests", """, x AS (SELECT req_id % 3 AS k, ts, true AS good FROM requests UNION ALL SELECT event_id % 3, NULL, false FROM events WHERE event_type='error')
         SELECT concat('part-', CAST(k AS VARCHAR)) AS src, count(*) AS lines, min(ts) AS first_ts, max(ts) AS last_ts, '+0300' AS tz_offset, count_if(NOT good) AS unparsed FROM x GROUP BY k"""),
-    "s06_hour_gaps": sql("requests", """, h AS (SELECT DISTINCT ts // 3600 AS hour_no FROM requests WHERE vhost='shop.site.ru')
-        SELECT g AS hour_no FROM (SELECT unnest(range((SELECT min(hour_no) FROM h), (SELECT max(hour_no)+1 FROM h))) AS g) WHERE g NOT IN (SELECT hour_no FROM h)"""),
+    "s06_hour_gaps": sql("requests", """, h AS (SELECT DISTINCT vhost, ts // 3600 AS hour_no FROM requests), b AS (SELECT vhost, min(hour_no) AS a, max(hour_no) AS z FROM h GROUP BY 1),
+        g AS (SELECT vhost, unnest(range(a, z + 1)) AS hour_no FROM b) SELECT g.vhost, g.hour_no FROM g ANTI JOIN h ON h.vhost=g.vhost AND h.hour_no=g.hour_no"""),
     "s07_drop_overlaps": sql("requests", _FILES + """ SELECT src, count(*) AS lines, CAST(sum(bytes) AS BIGINT) AS bytes FROM two t
         WHERE NOT EXISTS (SELECT 1 FROM dd WHERE dd.dup AND dd.src=t.src AND dd.minute=t.ts // 60) GROUP BY src"""),
     "s07_overlap_report": sql("requests", _FILES + """ SELECT src, count_if(dup) AS minutes_duplicate, count_if(NOT dup) AS minutes_partial,
@@ -94,25 +94,25 @@ SQL = {
     "s08_site_hosts": sql("requests", _FILES + " SELECT 'site.ru' AS host, count(*) AS n, 'file name' AS \"by\" FROM two"),
     "s08_site_by_referrer": sql("features", "SELECT ref_host AS host, count(*) AS n FROM rf WHERE ref_host<>'' GROUP BY 1 ORDER BY n DESC, host LIMIT 5"),
     "p06_path_templates": sql("grouped", _TEMPLATES),
-    "w07_episodes": sql("requests", """, m AS (SELECT DISTINCT ts // 60 AS minute FROM requests WHERE vhost='shop.site.ru'),
-        f AS (SELECT minute, CASE WHEN minute - lag(minute) OVER (ORDER BY minute) <= 3 THEN 0 ELSE 1 END AS new FROM m),
-        k AS (SELECT minute, CAST(sum(new) OVER (ORDER BY minute) AS BIGINT) AS episode FROM f)
-        SELECT episode, min(minute) AS first_minute, max(minute) AS last_minute, count(*) AS minutes FROM k GROUP BY episode"""),
+    "w07_episodes": sql("requests", """, m AS (SELECT DISTINCT vhost, ts // 60 AS minute FROM requests),
+        f AS (SELECT *, CASE WHEN minute - lag(minute) OVER (PARTITION BY vhost ORDER BY minute) <= 3 THEN 0 ELSE 1 END AS new FROM m),
+        k AS (SELECT *, CAST(sum(new) OVER (PARTITION BY vhost ORDER BY minute) AS BIGINT) AS episode FROM f)
+        SELECT vhost, episode, min(minute) AS first_minute, max(minute) AS last_minute, count(*) AS minutes FROM k GROUP BY vhost, episode"""),
     "w08_minute_norm": sql("requests", _GRID + " SELECT minute, n, hod, norm FROM mn"),
     "w09_outages": sql("grouped", OUTAGES + " SELECT * FROM outages"),
     "w10_bursts": sql("grouped", _BURSTS),
-    "w12_waves": sql("grouped", """, d AS (SELECT DISTINCT ip, day FROM rg WHERE status=403),
-        r AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY ip ORDER BY day) AS INT) AS k FROM d)
-        SELECT ip, min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM r GROUP BY ip, k"""),
+    "w12_waves": sql("grouped", """, d AS (SELECT DISTINCT ip, status, day FROM rg WHERE status>=400),
+        r AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY ip, status ORDER BY day) AS INT) AS k FROM d)
+        SELECT ip, status, min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM r GROUP BY ip, status, k"""),
     "w13_status_changes": sql("grouped", """, c AS (SELECT tpl, day, CASE WHEN status>=500 THEN '5xx' WHEN status=404 THEN '404' WHEN status<400 THEN 'OK' ELSE '4xx' END AS cls, count(*) AS n
           FROM rg WHERE (is_page OR method='POST') AND "group"='people' GROUP BY ALL),
         d AS (SELECT tpl, day, arg_max(cls, (n, -CASE cls WHEN '404' THEN 0 WHEN '4xx' THEN 1 WHEN '5xx' THEN 2 ELSE 3 END)) AS now, sum(n) AS n FROM c GROUP BY 1,2),
         e AS (SELECT *, sum(n) OVER (PARTITION BY tpl) AS total, lag(now) OVER (PARTITION BY tpl ORDER BY day) AS was FROM d)
         SELECT tpl, day, was, now FROM e WHERE total>=50 AND was<>now"""),
-    "w14_rhythm": sql("requests", """, g AS (SELECT ip, ua, base, ts - lag(ts) OVER (PARTITION BY ip, ua, base ORDER BY ts, req_id) AS gap FROM requests WHERE base LIKE '/static/%')
+    "w14_rhythm": sql("requests", """, g AS (SELECT ip, ua, base, ts - lag(ts) OVER (PARTITION BY ip, ua, base ORDER BY ts, req_id) AS gap FROM requests)
         SELECT ip, ua, base, count(*) AS hits, count(gap) AS gaps, median(gap) AS median_gap, round(stddev_pop(gap)/(avg(gap)+1e-9),6) AS cv FROM g GROUP BY ip, ua, base
         HAVING count(*)>=10 AND count(gap)>5 AND median(gap)>20 AND round(stddev_pop(gap)/(avg(gap)+1e-9),6)<2.0"""),
     "w20_day_span": sql("features", """SELECT day, min(ts) AS first_ts, max(ts) AS last_ts, min(ts) % 86400 // 60 <= 5 AND max(ts) % 86400 // 60 >= 1435 AS is_full FROM rf GROUP BY day"""),
-    "w21_burst": sql("requests", """, b AS (SELECT ip, ua, count(*) OVER (PARTITION BY ip, ua ORDER BY ts RANGE BETWEEN CURRENT ROW AND 3600 FOLLOWING) AS n FROM requests WHERE base LIKE '/catalog/%')
+    "w21_burst": sql("requests", """, b AS (SELECT ip, ua, count(*) OVER (PARTITION BY ip, ua ORDER BY ts RANGE BETWEEN CURRENT ROW AND 3600 FOLLOWING) AS n FROM requests)
         SELECT ip, ua, max(n) AS burst FROM b GROUP BY ip, ua HAVING max(n)>=4"""),
 }

@@ -98,7 +98,7 @@ SQL = {
         rfx AS (SELECT base FROM c GROUP BY 1 HAVING count(DISTINCT ref_path)>=5), cv AS (SELECT DISTINCT base, vid FROM c WHERE base IN (SELECT base FROM rfx)), a AS (SELECT base, count(*) AS visits, avg(CAST(reached AS INT)) AS rate FROM cv JOIN r USING (vid) GROUP BY 1)
         SELECT base, CASE WHEN base LIKE '/cart/success/%' THEN 'success' WHEN base LIKE '/cart/checkout/%' THEN 'checkout' ELSE 'cart' END AS role, count(DISTINCT vid) AS visits, CAST(-1 AS DOUBLE) AS lift FROM h WHERE method='GET' AND status<400 AND (base LIKE '/cart/success/%' OR base LIKE '/cart/checkout/%' OR base='/cart/') GROUP BY 1,2
         UNION ALL SELECT base, 'product action', visits, round(rate/(SELECT avg(CAST(reached AS INT)) FROM r),6) FROM a WHERE round(rate/(SELECT avg(CAST(reached AS INT)) FROM r),6)>=1.0"""),
-    "k01_time_order": sql("requests", "SELECT ts, req_id, base FROM requests WHERE base='/cart/success/' ORDER BY ts, req_id"),
+    "k01_time_order": sql("requests", "SELECT ts, req_id, base FROM requests ORDER BY ts, req_id"),
     "k03_top_rows": sql("visits", "SELECT vid, n_req, bytes FROM vs ORDER BY n_req DESC, bytes DESC, vid LIMIT 50"),
     "u01_union_chunks": sql("requests", "SELECT status, count(*) AS n FROM requests GROUP BY 1"),
     "u02_first_per_key": sql("requests", ", r AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ts, req_id) AS k FROM requests) SELECT ip, req_id, base FROM r WHERE k=1"),

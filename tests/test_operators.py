@@ -180,3 +180,25 @@ def test_log_fields_are_whole_unless_limits_are_given(spark):
     rows = spark.createDataFrame([(line,)], "line string")
     whole, cut = A.parse_access(rows).first(), A.parse_access(rows, A.LIMITS).first()
     assert (len(whole.base), len(whole.query), len(whole.ua)) == (901, 1500, 700) and (len(cut.base), len(cut.query), len(cut.ua)) == (500, 1000, 400)
+
+
+def test_islands_in_two_levels_equal_one_pass(spark):
+    rng = random.Random(8)
+    for gap in (1, 3, 2000):
+        points = {k: sorted(rng.sample(range(0, 9000), 60) + [20000]) for k in "ab"}
+        flagged = {k: {p for p in v if rng.random() < 0.5} for k, v in points.items()}
+        rows = spark.createDataFrame([(k, p, p in flagged[k]) for k, v in points.items() for p in v], "k string, minute long, f boolean")
+        got = series.spread_island(series.islands(rows, F.col("f"), "minute", gap, "run", ["k"]), "run", "minute", ["k"]).collect()
+        for k in "ab":
+            number, last, want = 0, None, {}
+            for p in points[k]:
+                if p in flagged[k]:
+                    number += last is None or p - last > gap
+                    last, want[p] = p, number
+            for p in points[k]:
+                was, then = [[want[q] for q in points[k] if q in want and (q <= p if s else q >= p)] for s in (1, 0)]
+                want.setdefault(p, was[-1] if was and then and was[-1] == then[0] else None) if p not in flagged[k] else None
+            assert {r.minute: r.run for r in got if r.k == k} == {p: want.get(p) for p in points[k]}
+    sparse = spark.createDataFrame([(5, 1), (4000, 2)], "minute long, n long")
+    grid = {r.minute: r.n for r in series.full_grid(sparse, "minute").collect()}
+    assert grid == {m: {5: 1, 4000: 2}.get(m, 0) for m in range(5, 4001)}

@@ -1,4 +1,7 @@
 """Streams over files in several batches equal the batch results."""
+import json
+import random
+
 from pyspark.sql import functions as F
 
 from weblens.streaming import live
@@ -32,8 +35,8 @@ def test_sessions_rates_and_404_memory(spark, make_log, tmp_path):
     assert got[("1.1.1.1", T0)] == 2 and got[("1.1.1.1", T0 + 3601)] == 1 and got[("2.2.2.2", T0 + 10)] == 6
     finish(live.minute_alerts(as_stream(spark, log, tmp_path, "m"), 5), "m1")
     assert [(r.ip, r.pages) for r in spark.table("m1").collect()] == [("2.2.2.2", 6)]
-    finish(live.sliding_burst(as_stream(spark, log, tmp_path, "b"), 60, 60, 5), "b1")
-    assert {r.ip for r in spark.table("b1").collect()} == {"2.2.2.2"}
+    finish(live.sliding_burst(as_stream(spark, log, tmp_path, "b"), 60, 5), "b1")
+    assert {(r.ip, r.start, r.requests) for r in spark.table("b1").collect()} == {("2.2.2.2", T0 + 10, 6), ("2.2.2.2", T0 + 11, 5)}
     finish(live.window_counters(as_stream(spark, log, tmp_path, "c")), "c1")
     assert [(r.requests, r.addresses) for r in spark.table("c1").where("ip = '2.2.2.2'").collect()] == [(6, 6)]
     finish(live.recent_404(as_stream(spark, log, tmp_path, "r1"), as_stream(spark, log, tmp_path, "r2")), "j1")
@@ -43,3 +46,27 @@ def test_sessions_rates_and_404_memory(spark, make_log, tmp_path):
 def test_late_rows_are_counted():
     progress = [{"stateOperators": [{"numRowsDroppedByWatermark": 2}]}, {"stateOperators": []}]
     assert live.late_rows(progress) == 2
+
+
+def test_exact_bursts_with_late_rows(spark, make_log, tmp_path):
+    rng = random.Random(2)
+    times = {ip: sorted(T0 + rng.randint(0, 700) for _ in range(120)) for ip in ("1.1.1.1", "2.2.2.2")}
+    rows = [(t, ip, "/") for ip, v in times.items() for t in v]
+    batches = [[r for r in rows if r[0] < T0 + 300], [r for r in rows if r[0] >= T0 + 300]]
+    batches[1].append(batches[0].pop())  # comes late, but within the minute
+    batches.insert(1, [(T0 + 301, "3.3.3.3", "/")])  # rows are dropped by the watermark of the batch before
+    late = max(r[0] for r in batches[0])
+    batches[2] += [(late - 30, "1.1.1.1", "/"), (late - 400, "1.1.1.1", "/lost"), (late - 100, "2.2.2.2", "/lost")]
+    batches.append([(T0 + 9000, "9.9.9.9", "/end")])
+    path = str(tmp_path / "late")
+    for batch in batches:
+        make_log(batch).coalesce(1).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    q = finish(live.sliding_burst(live.as_stream_rows(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)), 60, 9), "b2")
+    kept = [r for batch in batches for r in batch if r[2] != "/lost"]
+    want = {(ip, t, n) for ip in times for t in {r[0] for r in kept if r[1] == ip} if (n := sum(r[1] == ip and t <= r[0] <= t + 60 for r in kept)) >= 9}
+    assert {tuple(r) for r in spark.table("b2").collect()} == want and len(want) > 20
+    report = live.late_report(spark, [json.loads(p.json) for p in q.recentProgress]).collect()
+    assert sum(r.late for r in report) == 2
+    state = [op["numRowsTotal"] for p in q.recentProgress for op in json.loads(p.json)["stateOperators"]]
+    assert state[-1] <= 1  # clients whose seconds are all judged hold no state

@@ -1,8 +1,8 @@
 """Time series of a log: minutes, hours and days.
 
 Requests are reduced to one row per minute, hour or day first (a partial
-aggregation, so no key is hot); the ordered windows then see at most one row per
-minute of the log.
+aggregation, so no key is hot); ordered windows run inside a day, and what goes on
+from day to day is carried in one row a day.
 """
 
 from __future__ import annotations
@@ -17,18 +17,22 @@ def count_if(cond):
     return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
 
 
-def full_grid(counts: DataFrame, key: str) -> DataFrame:
-    """Add the missing integers of ``key`` between its minimum and maximum; other columns become 0."""
+def full_grid(counts: DataFrame, key: str, block: int = 1440) -> DataFrame:
+    """Add the missing integers of ``key`` between its minimum and maximum; other columns become 0.
+
+    The grid is made block by block (a day of minutes), so a stray timestamp only adds blocks, not a longer list in one row.
+    """
     bounds = counts.agg(F.min(key).alias("_a"), F.max(key).alias("_b"))
-    grid = bounds.select(F.explode(F.sequence("_a", "_b")).alias(key))
-    return grid.join(counts, key, "left").fillna(0)
+    blocks = bounds.select("_a", "_b", F.explode(F.sequence(F.floor(F.col("_a") / block), F.floor(F.col("_b") / block))).alias("_blk")).repartition("_blk")
+    first, last = F.greatest(F.col("_blk") * block, F.col("_a")), F.least((F.col("_blk") + 1) * block - 1, F.col("_b"))
+    return blocks.select(F.explode(F.sequence(first, last)).alias(key)).join(counts, key, "left").fillna(0)
 
 
-def hour_gaps(rq: DataFrame) -> DataFrame:
-    """Hours inside the period without a single line."""
-    hours = rq.select(F.floor(F.col("ts") / 3600).alias("hour_no")).distinct()
-    bounds = hours.agg(F.min("hour_no").alias("_a"), F.max("hour_no").alias("_b"))
-    return bounds.select(F.explode(F.sequence("_a", "_b")).alias("hour_no")).join(hours, "hour_no", "left_anti")
+def hour_gaps(rq: DataFrame, *keys: str) -> DataFrame:
+    """Hours inside the period (of every key) without a single line."""
+    hours = rq.select(*keys, F.floor(F.col("ts") / 3600).alias("hour_no")).distinct()
+    bounds = hours.groupBy(*keys).agg(F.min("hour_no").alias("_a"), F.max("hour_no").alias("_b"))
+    return bounds.select(*keys, F.explode(F.sequence("_a", "_b")).alias("hour_no")).join(hours, [*keys, "hour_no"], "left_anti")
 
 
 def day_span(rq: DataFrame) -> DataFrame:
@@ -38,29 +42,46 @@ def day_span(rq: DataFrame) -> DataFrame:
     return days.withColumn("is_full", (minute("first_ts") <= 5) & (minute("last_ts") >= 23 * 60 + 55))
 
 
-def islands(rows: DataFrame, flag: Column, order: str, gap: int, name: str) -> DataFrame:
-    """Number runs of flagged rows whose distance is at most ``gap``; unflagged rows get NULL."""
-    w = Window.orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    marked = rows.withColumn("_at", F.when(flag, F.col(order)))
-    last = F.last("_at", ignorenulls=True).over(before)
-    start = F.when(flag & (last.isNull() | (F.col(order) - last > gap)), 1).otherwise(0)
-    numbered = marked.withColumn("_new", start).withColumn("_no", F.sum("_new").over(w))
-    return numbered.withColumn(name, F.when(flag, F.col("_no"))).drop("_at", "_new", "_no")
+def _days(keys) -> Window:
+    """Days of a key in order. Without keys it is one group of one row a day."""
+    return Window.partitionBy(*(keys or [F.floor(F.col("_blk") * 0)])).orderBy("_blk")
 
 
-def spread_island(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """Extend an island number to the unflagged rows between its first and last row."""
-    before = F.last(name, ignorenulls=True).over(Window.orderBy(order))
-    after = F.last(name, ignorenulls=True).over(Window.orderBy(F.desc(order)))
+def islands(rows: DataFrame, flag: Column, order: str, gap: int, name: str, keys=(), block: int = 1440) -> DataFrame:
+    """Number runs of flagged rows whose distance is at most ``gap`` (per key); unflagged rows get NULL.
+
+    Two levels: rows are compared and numbered inside blocks (days of minutes); last positions and numbers are carried from block to block in one row each.
+    """
+    marked = rows.withColumn("_blk", F.floor(F.col(order) / block)).withColumn("_at", F.when(flag, F.col(order)))
+    w = Window.partitionBy(*keys, "_blk").orderBy(order)
+    earlier = _days(keys).rowsBetween(Window.unboundedPreceding, -1)
+    marked = marked.withColumn("_in", F.last("_at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    carried = marked.groupBy(*keys, "_blk").agg(F.max("_at").alias("_last")).select(*keys, "_blk", F.max("_last").over(earlier).alias("_carried"))
+    marked = marked.join(carried, [*keys, "_blk"])
+    last = F.coalesce("_in", "_carried")
+    marked = marked.withColumn("_new", F.when(F.col("_at").isNotNull() & (last.isNull() | (F.col("_at") - last > gap)), 1).otherwise(0))
+    offsets = marked.groupBy(*keys, "_blk").agg(F.sum("_new").alias("_n")).select(*keys, "_blk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    numbered = marked.join(offsets, [*keys, "_blk"]).withColumn(name, F.when(F.col("_at").isNotNull(), F.col("_offset") + F.sum("_new").over(w)))
+    return numbered.drop("_blk", "_at", "_in", "_carried", "_new", "_offset")
+
+
+def spread_island(rows: DataFrame, name: str, order: str, keys=(), block: int = 1440) -> DataFrame:
+    """Extend an island number to the unflagged rows between its first and last row; numbers rise with the order. In two levels, as ``islands``."""
+    rows = rows.withColumn("_blk", F.floor(F.col(order) / block))
+    w, days = Window.partitionBy(*keys, "_blk").orderBy(order), _days(keys)
+    ends = rows.groupBy(*keys, "_blk").agg(F.min(name).alias("_lo"), F.max(name).alias("_hi")).select(
+        *keys, "_blk", F.max("_hi").over(days.rowsBetween(Window.unboundedPreceding, -1)).alias("_was"), F.min("_lo").over(days.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
+    rows = rows.join(ends, [*keys, "_blk"])
+    before = F.coalesce(F.last(name, ignorenulls=True).over(w), "_was")
+    after = F.coalesce(F.first(name, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)), "_next")
     both = rows.withColumn("_b", before).withColumn("_a", after)
-    return both.withColumn(name, F.when(F.col("_b") == F.col("_a"), F.col("_b"))).drop("_b", "_a")
+    return both.withColumn(name, F.when(F.col("_b") == F.col("_a"), F.col("_b"))).drop("_b", "_a", "_blk", "_was", "_next")
 
 
-def episodes(minutes: DataFrame, gap: int = 3) -> DataFrame:
-    """Runs of consecutive minutes (column ``minute``) with their length."""
-    runs = islands(minutes.select("minute").distinct(), F.lit(True), "minute", gap, "episode")
-    return runs.groupBy("episode").agg(
+def episodes(minutes: DataFrame, gap: int = 3, keys=()) -> DataFrame:
+    """Runs of consecutive minutes (column ``minute``, per key) with their length."""
+    runs = islands(minutes.select(*keys, "minute").distinct(), F.lit(True), "minute", gap, "episode", keys)
+    return runs.groupBy(*keys, "episode").agg(
         F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute"), F.count(F.lit(1)).alias("minutes"))
 
 

@@ -152,8 +152,8 @@ QUERIES = {
     "w11_status_history": _log(lambda w: W.status_history(w.rq, _outage_minutes(w))),
     "w15_probe_tempo": _log(lambda w: W.probe_tempo(w.rq, w.probes)),
     "w16_call_profile": _log(lambda w: W.call_profile(w.rq, r"^/(contacts/send|cart/add|callback)/", 45, 30)),
-    "w17_spread_files": _log(lambda w: W.spread_files(w.rq.where("ext = 'jpg'"))),
-    "w18_list_crawl": _log(lambda w: W.list_crawl(w.rq.where("ext = 'jpg'"), 5, 0.1)),
+    "w17_spread_files": _log(lambda w: W.spread_files(w.rq.where("is_static"))),
+    "w18_list_crawl": _log(lambda w: W.list_crawl(w.rq.where("is_static"), 5, 0.1)),
     "w19_first_orders": _log(lambda w: W.first_orders(w.rq, SUCCESS, "order_id").drop("vid")),
     "w22_sequence": _log(lambda w: signatures.sequence_sessions(w.rq, ["vid"], SIGNATURES[4]["sequence"])),
     "r16_order_steps": _log(lambda w: W.order_steps(w.addresses, [CHECKOUT], ["^/admin/", "^/cart/add/"])),

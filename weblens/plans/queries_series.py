@@ -8,9 +8,6 @@ from weblens.plans.prepare import WebLog
 from weblens.plans.queries_core import _log
 from weblens.sources import access_log
 
-_shop = lambda w: w.log.where("vhost = 'shop.site.ru'")
-
-
 def _two_files(w):
     """The log as two files with an overlap: the second one starts 10 days in and loses some lines after day 20."""
     first = w.log.where("ts < 1705536000").withColumn("src", F.lit("site.ru-access.log"))
@@ -31,7 +28,7 @@ def _templates(w):
 
 
 def _burst(w):
-    return series.burst(w.log.where("base LIKE '/catalog/%'"), ["ip", "ua"], 3600).where("burst >= 4")
+    return series.burst(w.log, ["ip", "ua"], 3600).where("burst >= 4")
 
 
 def _outages(w):
@@ -44,21 +41,21 @@ QUERIES = {
     "s04_sniff": _log(lambda w: access_log.sniff(_lines(w), 1000)),
     "s05_file_inventory": _log(lambda w: access_log.file_inventory(
         _lines(w).withColumn("src", F.concat(F.lit("part-"), (F.col("line_no") % 3).cast("string"))))),
-    "s06_hour_gaps": _log(lambda w: series.hour_gaps(_shop(w))),
+    "s06_hour_gaps": _log(lambda w: series.hour_gaps(w.log, "vhost")),
     "s07_drop_overlaps": _log(lambda w: access_log.drop_overlaps(_two_files(w)).groupBy("src").agg(
         F.count(F.lit(1)).alias("lines"), F.sum("bytes").alias("bytes"))),
     "s07_overlap_report": _log(lambda w: access_log.overlap_report(_two_files(w))),
     "s08_site_hosts": _log(lambda w: access_log.site_hosts(_two_files(w))),
     "s08_site_by_referrer": _log(lambda w: access_log.site_hosts_from_referrers(w.log, 5)),
     "p06_path_templates": _log(_templates),
-    "w07_episodes": _log(lambda w: series.episodes(_shop(w).select(F.floor(F.col("ts") / 60).alias("minute")))),
+    "w07_episodes": _log(lambda w: series.episodes(w.log.select("vhost", F.floor(F.col("ts") / 60).alias("minute")), keys=["vhost"])),
     "w08_minute_norm": _log(lambda w: series.minute_norm(w.log)),
     "w09_outages": _log(_outages),
-    "w10_bursts": _log(lambda w: series.bursts(w.rq, _outages(w), factor=3, extra=5, excess_min=20)),
-    "w12_waves": _log(lambda w: series.waves(w.rq.where("status = 403"), "ip")),
+    "w10_bursts": _log(lambda w: series.bursts(w.rq, w.outages, factor=3, extra=5, excess_min=20)),
+    "w12_waves": _log(lambda w: series.waves(w.rq.where("status >= 400"), "ip", "status")),
     "w13_status_changes": _log(lambda w: series.status_changes(
         w.rq_tpl.where("(is_page OR method = 'POST') AND `group` = 'people'"), "tpl")),
-    "w14_rhythm": _log(lambda w: series.rhythm(w.log.where("base LIKE '/static/%'"), min_hits=10, min_gaps=5, max_cv=2.0)),
+    "w14_rhythm": _log(lambda w: series.rhythm(w.log, min_hits=10, min_gaps=5, max_cv=2.0)),
     "w20_day_span": _log(lambda w: series.day_span(w.rq)),
     "w21_burst": _log(_burst),
 }

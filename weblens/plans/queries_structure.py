@@ -64,7 +64,7 @@ QUERIES = {
     "a74_web_archive": _log(_archive),
     "a76_summary": _log(lambda w: T.summary(w.rq, w.visits)),
     "r17_shop": _log(lambda w: T.detect_shop(w.rq, 5, 1.0, r"^/cart/$", r"^/cart/checkout/", r"^/cart/success/").fillna(-1.0, ["lift"])),
-    "k01_time_order": _log(lambda w: w.rq.where("base = '/cart/success/'").select("ts", "req_id", "base").orderBy("ts", "req_id")),
+    "k01_time_order": _log(lambda w: w.rq.select("ts", "req_id", "base").orderBy("ts", "req_id")),
     "k03_top_rows": _log(lambda w: ranking.top_rows(w.visits.select("vid", "n_req", "bytes"), 50, F.desc("n_req"), F.desc("bytes"), "vid")),
     "u01_union_chunks": _log(lambda w: w.log.where("req_id % 2 = 0").unionByName(w.log.where("req_id % 2 = 1")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))),
     "u02_first_per_key": _log(lambda w: w.rq.groupBy("ip").agg(F.min_by(F.struct("req_id", "base"), F.struct("ts", "req_id")).alias("f")).select("ip", "f.req_id", "f.base")),

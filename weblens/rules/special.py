@@ -61,7 +61,7 @@ def own_server(visits: DataFrame, rq: DataFrame, self_check: str = fv.SELF_CHECK
 
 def mark_gov(visits: DataFrame, rq: DataFrame, operators: DataFrame, signed_family: str = "CyberOK (SKIPA)") -> DataFrame:
     """Visits from government networks: signed scanners, robots by behaviour; adds gov_op and gov_kind."""
-    rows = visits.join(operators.where("operator <> ''").select("ip", F.col("operator").alias("gov_op")), "ip", "left")
+    rows = visits.drop("gov_op", "gov_kind", "gov_was").join(operators.where("operator <> ''").select("ip", F.col("operator").alias("gov_op")), "ip", "left")
     rows = rows.withColumn("gov_op", F.coalesce("gov_op", F.lit(""))).join(only_paths(rq, SERVICE_ONLY), "vid", "left")
     inside = (F.col("gov_op") != "") & (F.col("group") != fv.OWN)
     signed = inside & (F.col("fam") == signed_family)

@@ -6,8 +6,13 @@ is dropped when it can no longer change.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weblens.functions import columns as C
 
@@ -42,11 +47,41 @@ def window_counters(stream: DataFrame, width: str = "1 hour", late: str = "10 mi
             .select("ip", F.col("w.start").alias("window_start"), "requests", "addresses"))
 
 
-def sliding_burst(stream: DataFrame, seconds: int = 60, step: int = 10, minimum: int = 5, late: str = "1 minute") -> DataFrame:
-    """Clients with many requests in a sliding window."""
-    return (stream.withWatermark("time", late).groupBy("ip", F.window("time", f"{seconds} seconds", f"{step} seconds").alias("w"))
-            .agg(F.count(F.lit(1)).alias("requests")).where(F.col("requests") >= minimum)
-            .select("ip", F.col("w.start").alias("window_start"), "requests"))
+def sliding_burst(stream: DataFrame, seconds: int = 60, minimum: int = 5, late: str = "1 minute") -> DataFrame:
+    """Every second of a client from which on, ``seconds`` long and to the second, it sends at least ``minimum`` requests: ip, start, requests.
+
+    Keyed state: the requests of each second that a window still to be judged can hold, so at most the seconds between the watermark and the latest request, and ``seconds`` more. A second is
+    judged when the watermark has passed the end of its window; a timer wakes the client for that. Requests behind the watermark are dropped by the engine and counted (``late_rows``).
+    """
+
+    def go(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        counts: dict[int, int] = {}
+        judged = -1
+        if state.exists:
+            times, numbers, judged = state.get
+            counts = dict(zip(times, numbers, strict=True))
+        for batch in batches:
+            for second, n in batch.groupby("ts").size().items():
+                counts[int(second)] = counts.get(int(second), 0) + int(n)
+        closed = state.getCurrentWatermarkMs() // 1000 - seconds  # a second before this can get no more requests into its window
+        at = np.array(sorted(counts), np.int64)
+        sums = np.append(0, np.cumsum([counts[t] for t in at.tolist()]))
+        inside = sums[np.searchsorted(at, at + seconds, "right")] - sums[: len(at)]
+        ready = (at < closed) & (at > judged)
+        if ready.any():
+            judged = int(at[ready][-1])
+        out = ready & (inside >= minimum)
+        left = at[at > judged]
+        if len(left):
+            state.update((left.tolist(), [counts[t] for t in left.tolist()], judged))
+            state.setTimeoutTimestamp((int(left[0]) + seconds + 1) * 1000)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"ip": key[0], "start": at[out], "requests": inside[out]})
+
+    rows = stream.withWatermark("time", late).select("ip", "ts", "time")
+    return rows.groupBy("ip").applyInPandasWithState(
+        go, "ip string, start long, requests long", "times array<long>, numbers array<long>, judged long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def minute_alerts(stream: DataFrame, per_minute: int = 30, late: str = "1 minute") -> DataFrame:
@@ -59,3 +94,9 @@ def minute_alerts(stream: DataFrame, per_minute: int = 30, late: str = "1 minute
 def late_rows(progress: list[dict]) -> int:
     """Rows dropped behind the watermark, summed over the state operators of a query's progress reports."""
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in progress for op in p.get("stateOperators", []))
+
+
+def late_report(spark: SparkSession, progress: list[dict]) -> DataFrame:
+    """A row for every batch: batch, rows that it read, rows of them behind the watermark. One row a batch, from the engine's own reports."""
+    rows = [(p["batchId"], p["numInputRows"], late_rows([p])) for p in progress]
+    return spark.createDataFrame(rows, "batch long, rows long, late long")
