@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,25 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/llm/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    for tables in _passing:
+        tables.append(table)
+    return table
+
+
+_passing: list[list[DataFrame]] = []
+
+
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Tables that saved() writes inside are deleted at the end, but for those that are taken off the list. What is still lazy by then must not read them."""
+    tables: list[DataFrame] = []
+    _passing.append(tables)
+    try:
+        yield tables
+    finally:
+        _passing.remove(tables)
+    discard(*tables)
 
 
 def discard(*tables: DataFrame) -> None:
