@@ -34,8 +34,7 @@ class WordTokens:
         self.coder.encode_special_tokens = True
         # a text that holds the string of a special token is encoded as a whole, as the library does it
         self.whole = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        special = [t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values()]
-        self.special = re.compile(b"|".join(map(re.escape, special))) if special else None
+        self.special = [t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values()]
         probes = ["a", "the", "straightforward", "zqxjkvb", "s", "aaaaaaaa"]
         self.plain = all(self.coder.encode(p, add_special_tokens=False).ids == self._plain(p) for p in probes)
         if self.coder.encode("It's, A.B", add_special_tokens=False).ids != [i for p in ("it", "'s", ",", "a", ".b") for i in self.coder.encode(p, add_special_tokens=False).ids]:
@@ -76,7 +75,8 @@ class WordTokens:
         """Ids of all texts one after another, each closed by `end`, and the texts' bounds in them."""
         ids, bounds = self._encode(data, at, end)
         raw = data.tobytes()
-        found = [m.start() for m in self.special.finditer(raw.lower())] if self.special else []
+        low = raw.lower()
+        found = [m.start() for x in self.special if x in low for m in re.finditer(re.escape(x), low)]
         rows = np.unique(np.searchsorted(at, found, "right") - 1).tolist()
         if not rows:
             return ids, bounds
