@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["core", "series", "errors", "marketing", "security", "rules", "cases", "structure", "streaming"]
+MODULES = ["core", "series", "errors", "marketing", "security", "rules", "cases", "signatures", "structure", "streaming"]
 
 
 def oracle_sql():
