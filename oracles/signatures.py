@@ -1,14 +1,14 @@
 """Check queries of the book of rules: one plain statement a rule, sequences as self-joins."""
 
 from oracles.prelude import in_list, lit, sql
-from weblens.plans.queries_signatures import ADMIN, CARD, ENTRY, LISTS
+from weblens.plans.queries_signatures import ADMIN, CARD, ENTRY, FORMS, LISTS
 from weblens.rules import rule_book
 
 _SEEN = """, miss AS (SELECT base AS path, ts, req_id, ip FROM rg WHERE method='GET' AND status=404 AND fam='' AND NOT is_static),
 lastm AS (SELECT r.req_id, r.ip, r.ts, arg_max(struct_pack(t := miss.ts, who := miss.ip), (miss.ts, miss.req_id)) AS m FROM rg r JOIN miss ON miss.path=r.ref_path AND (miss.ts, miss.req_id) < (r.ts, r.req_id)
   WHERE r.ref_internal AND r.ref_path<>'' GROUP BY 1,2,3),
 seen AS (SELECT req_id, ts-m.t AS seen FROM lastm WHERE m.who<>ip)"""
-_ROWS = _SEEN + f""", rr AS (SELECT rg.*, seen, goal<>'' AND method='POST' AS fp, goal<>'' AND method='GET' AS fg, nullif(regexp_extract(query,'yclid=([0-9]+)',1),'') AS yclid, regexp_matches(base,{lit(CARD)}) AS card,
+_ROWS = _SEEN + f""", rr AS (SELECT rg.*, seen, regexp_matches(base,{lit(FORMS)}) AND method='POST' AS fp, regexp_matches(base,{lit(FORMS)}) AND method='GET' AS fg, nullif(regexp_extract(query,'yclid=([0-9]+)',1),'') AS yclid, regexp_matches(base,{lit(CARD)}) AS card,
   regexp_matches(ua,'Windows NT|Macintosh|X11') AND NOT contains(ua,'Mobile') AS desk, CASE WHEN query='' THEN base ELSE concat(base,'?',query) END AS path FROM rg LEFT JOIN seen USING (req_id)),
 pn AS (SELECT *, coalesce(sum(CAST(is_page AS INT)) OVER (PARTITION BY vid ORDER BY ts, req_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS pno FROM rr),
 fb AS (SELECT *, count(*) OVER (PARTITION BY vid ORDER BY ts RANGE BETWEEN CURRENT ROW AND 60 FOLLOWING) AS k FROM rr WHERE fp), pb AS (SELECT *, count(*) OVER (PARTITION BY vid ORDER BY ts RANGE BETWEEN CURRENT ROW AND 15 FOLLOWING) AS k FROM rr WHERE is_page),

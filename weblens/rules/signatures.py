@@ -236,9 +236,9 @@ def seen_404(rq: DataFrame) -> DataFrame:
     return rows.where(~F.col("miss") & (F.col("_c.who") != F.col("ip"))).select("req_id", (F.col("ts") - F.col("_c.t")).alias("ref_seen_404_other_ip"))
 
 
-def with_rule_fields(rq: DataFrame, card: str) -> DataFrame:
-    """Fields that rules ask for besides those of the log; ``card`` is the pattern of an item's page."""
-    form, ua = F.col("goal") != "", F.col("ua")
+def with_rule_fields(rq: DataFrame, forms: str, card: str) -> DataFrame:
+    """Fields that rules ask for besides those of the log; ``forms`` and ``card`` are the patterns of form handlers, whoever calls them, and of an item's page."""
+    form, ua = F.col("base").rlike(forms), F.col("ua")
     click = F.regexp_extract("query", r"yclid=(\d+)", 1)
     return rq.join(seen_404(rq), "req_id", "left").withColumns({
         "path": F.when(F.col("query") == "", F.col("base")).otherwise(F.concat_ws("?", "base", "query")),
