@@ -141,6 +141,7 @@ def test_book_of_rules_fires(spark, weblog, make_log):
     rows += [(t + i, "10.1.0.11", p, dead) for i, p in enumerate(["/.env", "/.git/config", "/wp-login.php"])]
     rows += [(t + 100 * i, "10.1.0.12", "/search/", {"query": f"yclid={i}"}) for i in range(8)]
     rows += [(t, "10.3.0.1", "/"), (t + 1, "10.3.0.1", "/static/app.css"), (t + 30, "10.3.0.1", "/catalog/item-2/")]
+    rows += [(t + i, "10.9.0.1", "/", {"ua": f"Mozilla/5.0 (compatible; {n}; +http://robot.example)"}) for i, n in enumerate(["Googlebot/2.1", "AhrefsBot/7.0", "GPTBot/1.1", "YandexBot/3.0"])]
     # the page that 10.1.0.13 says to come from was missing for 10.1.0.1
     rows += [(t + 300, "10.1.0.13", "/", {"ref": "https://site.ru/catalog/item-1"}), (t + 330, "10.1.0.13", "/contacts/send/", post)]
     log_rows = make_log(sorted(rows, key=lambda r: r[0]))
@@ -152,4 +153,5 @@ def test_book_of_rules_fires(spark, weblog, make_log):
     assert {"10.1.0.2", "10.1.0.4"} <= got["form_without_pages"] and got["fast_pages_and_forms"] == {"10.1.0.3"} and got["form_agents"] == {"10.1.0.4"}
     assert got["removed_handlers"] == {"10.1.0.5"} and got["known_spam_ip"] == {"10.1.0.7"} and got["scouting"] == {"10.1.0.8", "10.1.0.11"}  # /.env is on the list too
     assert got["tel_as_page"] == {"10.1.0.9"} and got["headless"] == {"10.1.0.10"} and got["probing"] == {"10.1.0.11"} and got["ad_clicks"] == {"10.1.0.12"}
+    assert got["robot_rotation"] == {"10.9.0.1"}
     assert "10.1.0.8" in got["no_browser"] and not any("10.3.0.1" in ips for ips in got.values())
