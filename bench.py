@@ -17,6 +17,7 @@ HEADLINE = [
     "a09_errors_by_day", "a10_errors_5xx", "a12_broken_links", "a20_address_codes", "a23_error_journal", "a27_load_sources", "a28_mass_requests",
     "a36_attacks", "a43_security_journal", "a44_robot_families", "a52_visit_metrics", "a53_cuts", "a60_marketing_journal", "a62_crawl",
     "w09_outages", "w11_status_history", "j09_redirect_outcome", "r03_signatures", "r11_form_spam", "r20_ip_features", "r25_signature_hits",
+    "r25_rule_book",
 ]
 
 
