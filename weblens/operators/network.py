@@ -7,26 +7,49 @@ from pyspark.sql import functions as F
 
 from weblens.functions import columns as C
 
-BUCKET = 65536  # addresses per /16: the equi-join key of the range lookup
+BITS = 32
 
 
-def _bucketed(ranges: DataFrame) -> DataFrame:
-    """Repeat every [range_start, range_end] for each /16 it touches (at most 65 536 copies)."""
-    first, last = F.floor(F.col("range_start") / BUCKET), F.floor(F.col("range_end") / BUCKET)
-    return ranges.withColumn("_bucket", F.explode(F.sequence(first, last)))
+def _blocks(ranges: DataFrame) -> DataFrame:
+    """Rows with ``range_start`` and ``range_end`` cut into CIDR blocks: ``_shift`` (bits left free) and ``_block`` (the bits before them).
+
+    A CIDR stays one row.  Of the aligned blocks of one size inside a range only the first and the last can belong to
+    the shortest cover, and they do if the block of twice the size sticks out; so a range makes at most 62 rows.
+    Ranges that end before they start make none.
+    """
+    s, e = F.col("range_start"), F.col("range_end") + 1
+
+    def of_size(k):
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
+        first, last = F.ceil(s / size), F.floor(e / size) - 1
+
+        def part(i):
+            outside = ((i - F.pmod(i, F.lit(2))) * size < s) | ((i - F.pmod(i, F.lit(2)) + 2) * size > e) | (k == BITS)
+            return F.when((first <= last) & outside, F.struct(k.cast("int").alias("_shift"), i.cast("long").alias("_block")))
+
+        return F.array(part(first), part(last))
+
+    cover = F.array_distinct(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BITS)), of_size))))
+    return ranges.withColumn("_c", F.explode(cover)).select(*ranges.columns, "_c._shift", "_c._block")
+
+
+def _probes(addresses: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every address (``num``) once for each block size that occurs, at most 33 times, with its block of that size."""
+    sizes = blocks.agg(F.sort_array(F.collect_set("_shift")).alias("_sizes")).scalar()
+    probes = addresses.where("num IS NOT NULL").withColumn("_sizes", sizes).withColumn("_shift", F.explode("_sizes")).drop("_sizes")
+    return probes.withColumn("_block", F.call_function("shiftright", F.col("num"), F.col("_shift")))
 
 
 def range_lookup(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Distinct addresses (``ip``, ``num``) to the disjoint range that holds them; unmatched rows keep NULLs.
+    """Distinct addresses (``ip``, ``num``, ...) to the range that holds them, of several the one with the smallest block; unmatched rows keep NULLs.
 
-    A /16 prefix gives the join an equality key, so it is a shuffle join on at
-    most 65 536 addresses per key instead of a nested loop.
+    A flat trie: blocks and addresses meet by equality of (block size, block), so there are no copies of wide ranges and no
+    key with more addresses than its block can hold.
     """
-    left = addresses.withColumn("_bucket", F.floor(F.col("num") / BUCKET))
-    right = _bucketed(ranges)
-    inside = (F.col("num") >= F.col("range_start")) & (F.col("num") <= F.col("range_end"))
-    on = (left["_bucket"] == right["_bucket"]) & inside
-    return left.join(right, on, "left").drop("_bucket")
+    blocks = _blocks(ranges)
+    taken = F.struct("_shift", *ranges.columns)
+    best = _probes(addresses.select("num").distinct(), blocks).join(blocks, ["_shift", "_block"]).groupBy("num").agg(F.min(taken).alias("_hit"))
+    return addresses.join(best, "num", "left").select(*addresses.columns, *[F.col(f"_hit.{c}").alias(c) for c in ranges.columns])
 
 
 def ip_dim(clients: DataFrame, asn_ranges: DataFrame, country_ranges: DataFrame) -> DataFrame:
@@ -55,11 +78,8 @@ def cidr_ranges(cidrs: DataFrame) -> DataFrame:
 
 def net_operator(ips: DataFrame, cidrs: DataFrame, asns: DataFrame) -> DataFrame:
     """Operator of each IP: the longest matching CIDR (``cidr, operator``), else its ASN (``asn, operator``)."""
-    ranges = _bucketed(cidr_ranges(cidrs).select("range_start", "range_end", "prefix", F.col("operator").alias("by_cidr")))
-    left = ips.select("ip", "asn").withColumn("num", C.ip_to_long(F.col("ip"))).withColumn("_bucket", F.floor(F.col("num") / BUCKET))
-    inside = (F.col("num") >= F.col("range_start")) & (F.col("num") <= F.col("range_end"))
-    hits = left.join(ranges, (left["_bucket"] == ranges["_bucket"]) & inside, "left")
-    best = hits.groupBy("ip", "asn").agg(F.max_by("by_cidr", "prefix").alias("by_cidr"))
+    ranges = cidr_ranges(cidrs).select("range_start", "range_end", F.col("operator").alias("by_cidr"))
+    best = range_lookup(ips.select("ip", "asn").withColumn("num", C.ip_to_long(F.col("ip"))), ranges)
     named = best.join(asns.select("asn", F.col("operator").alias("by_asn")), "asn", "left")
     return named.select("ip", F.coalesce("by_cidr", "by_asn", F.lit("")).alias("operator"))
 
@@ -67,11 +87,9 @@ def net_operator(ips: DataFrame, cidrs: DataFrame, asns: DataFrame) -> DataFrame
 def verify_robots(visits: DataFrame, official: DataFrame) -> DataFrame:
     """Authenticity of declared robots: published CIDR lists (``fam, cidr``) override the ASN table."""
     listed = official.select("fam").distinct().withColumn("_listed", F.lit(True))
-    ranges = _bucketed(cidr_ranges(official).select("fam", "range_start", "range_end"))
-    pairs = visits.where(F.col("fam") != "").select("fam", "ip").distinct().withColumn(
-        "num", C.ip_to_long(F.col("ip"))).withColumn("_bucket", F.floor(F.col("num") / BUCKET))
-    inside = (pairs["num"] >= ranges["range_start"]) & (pairs["num"] <= ranges["range_end"])
-    ok = pairs.join(ranges, (pairs["fam"] == ranges["fam"]) & (pairs["_bucket"] == ranges["_bucket"]) & inside, "left_semi")
+    blocks = _blocks(cidr_ranges(official).select("fam", "range_start", "range_end")).select("fam", "_shift", "_block")
+    pairs = visits.where(F.col("fam") != "").select("fam", "ip").distinct().withColumn("num", C.ip_to_long(F.col("ip")))
+    ok = _probes(pairs.join(listed, "fam", "left_semi"), blocks).join(blocks, ["fam", "_shift", "_block"], "left_semi").distinct()
     ok = ok.select("fam", "ip").withColumn("_ok", F.lit(True))
     checked = visits.join(listed, "fam", "left").join(ok, ["fam", "ip"], "left")
     verdict = F.when(F.col("_listed"), F.when(F.col("_ok"), "yes").otherwise("no")).otherwise(F.col("fam_verified"))
