@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblens.functions import columns as C
@@ -23,33 +23,64 @@ def buckets(first: Column, last: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(first / width), F.floor(last / width)))
 
 
+def two_ips(rows: DataFrame, keys: list[str], ip: str, latest: str | None = None, earliest: str | None = None) -> DataFrame:
+    """Of every key the two IPs that reach ``latest`` last and the two that have ``earliest`` first: (keys, ip, latest, earliest), the other value NULL.
+
+    Whether some *other* IP reaches a moment is seen from these alone: if the best one is the asker itself, the second decides.  Rows are
+    reduced to one per key and IP in the tasks, and only two of a key leave a task for the ranking, so a hot key is four rows for whoever asks.
+    """
+    sides = []
+    for col, best, order in ((latest, F.max, F.desc_nulls_last), (earliest, F.min, F.asc_nulls_last)):
+        if col:
+            per_ip = rows.where(F.col(col).isNotNull()).groupBy(*keys, ip).agg(best(col).alias(col))
+            rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order(col), ip))
+            sides.append(per_ip.withColumn("_rank", rank).where("_rank <= 2").drop("_rank"))
+    return sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1], allowMissingColumns=True)
+
+
 def same_user_flag(candidates: DataFrame, visits: DataFrame, rq: DataFrame, window: int = 1800) -> DataFrame:
-    """vid of visits whose referrer page was opened within 30 minutes before by another IP with the same browser."""
+    """vid of visits whose referrer page was opened within 30 minutes before by another IP with the same browser.
+
+    A page counts from the start of its visit to ``window`` after its end, at least a whole time block, so in a block it counts either from the block's
+    beginning (the latest ends decide) or up to the block's end (the earliest starts do): two IPs of each kind hold all there is to know.
+    """
     left = candidates.select("vid", "ip", "ua", F.col("start").alias("t"), entry_path().alias("path")).where("path NOT IN ('', '/')")
     left = left.withColumn("blk", F.floor(F.col("t") / window))
     people = visits.where("`group` = 'people' AND n_pages > 0").select("vid", F.col("ip").alias("o_ip"), "ua", "start", "end")
     opened = rq.select("vid", F.col("base").alias("path")).join(left.select("path").distinct(), "path", "left_semi").distinct()
-    right = opened.join(people, "vid").drop("vid").withColumn("blk", buckets(F.col("start"), F.col("end") + window, window))
-    cond = (left["ua"] == right["ua"]) & (left["path"] == right["path"]) & (left["blk"] == right["blk"]) & (left["ip"] != right["o_ip"])
-    return left.join(right, cond & (right["start"] <= left["t"]) & (right["end"] >= left["t"] - window), "left_semi").select("vid")
+    right = opened.join(people, "vid").withColumn("blk", buckets(F.col("start"), F.col("end") + window, window))
+    whole = F.col("start") <= F.col("blk") * window
+    right = right.select("path", "ua", "blk", "o_ip", F.when(whole, F.col("end") + window).alias("until"), F.when(~whole, F.col("start")).alias("since"))
+    seen = two_ips(right, ["path", "ua", "blk"], "o_ip", "until", "since")
+    on = [left[k] == seen[k] for k in ("path", "ua", "blk")] + [left["ip"] != seen["o_ip"], (seen["until"] >= left["t"]) | (seen["since"] <= left["t"])]
+    return left.join(seen, on, "left_semi").select("vid")
 
 
 def ip_switch_flag(candidates: DataFrame, visits: DataFrame, window: int = 7200) -> DataFrame:
-    """vid of visits that came from a page another IP had entered with 404 up to two hours before."""
+    """vid of visits that came from a page another IP had entered with 404 up to two hours before.
+
+    In the visit's own block the earliest entries of a page decide, in the one before the latest, two IPs of each.
+    """
     left = candidates.select("vid", "ip", F.col("start").alias("t"), entry_path().alias("path")).withColumn(
         "blk", buckets(F.col("t") - window, F.col("t"), window)).withColumnRenamed("ip", "c_ip")
-    right = visits.where("entry_status = 404").select(F.col("entry").alias("e_path"), F.col("ip").alias("e_ip"), F.col("start").alias("e_t"),
-                                                     F.floor(F.col("start") / window).alias("e_blk")).distinct()
+    right = visits.where("entry_status = 404").select(F.col("entry").alias("e_path"), F.col("ip").alias("e_ip"), F.floor(F.col("start") / window).alias("e_blk"),
+                                                     F.col("start").alias("last"), F.col("start").alias("first"))
+    seen = two_ips(right, ["e_path", "e_blk"], "e_ip", "last", "first").withColumn("e_t", F.coalesce("last", "first"))
     cond = (F.col("path") == F.col("e_path")) & (F.col("blk") == F.col("e_blk")) & (F.col("c_ip") != F.col("e_ip"))
-    return left.join(right, cond & (F.col("e_t") <= F.col("t")) & (F.col("e_t") >= F.col("t") - window), "left_semi").select("vid").distinct()
+    return left.join(seen, cond & (F.col("e_t") <= F.col("t")) & (F.col("e_t") >= F.col("t") - window), "left_semi").select("vid").distinct()
+
+
+def _ends(rows: DataFrame, ip: str, t: str, window: int) -> DataFrame:
+    """First and last moment of an IP in every time block: (ip, blk, lo, hi)."""
+    return rows.groupBy(F.col("ip").alias(ip), F.floor(F.col(t) / window).alias("e_blk")).agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
 
 
 def caught_week_flag(quick: DataFrame, caught: DataFrame, window: int = 7 * 86400) -> DataFrame:
-    """vid of quick forms from an IP caught within seven days."""
+    """vid of quick forms from an IP caught within seven days: of the block before, the last moment counts, of the next the first, of its own any."""
     left = quick.select("vid", "ip", F.col("start").alias("t")).withColumn("blk", buckets(F.col("t") - window, F.col("t") + window, window))
-    right = caught.select(F.col("ip").alias("k_ip"), F.col("start").alias("k_t"), F.floor(F.col("start") / window).alias("k_blk")).distinct()
-    cond = (F.col("ip") == F.col("k_ip")) & (F.col("blk") == F.col("k_blk")) & (F.abs(F.col("k_t") - F.col("t")) <= window)
-    return left.join(right, cond, "left_semi").select("vid").distinct()
+    right = _ends(caught, "k_ip", "start", window)
+    near = (F.col("hi") >= F.col("t") - window) & (F.col("lo") <= F.col("t") + window)
+    return left.join(right, (F.col("ip") == F.col("k_ip")) & (F.col("blk") == F.col("e_blk")) & near, "left_semi").select("vid").distinct()
 
 
 def mark_form_spam(visits: DataFrame, rq: DataFrame) -> DataFrame:
@@ -99,9 +130,9 @@ def confirm_forms(rq: DataFrame, seconds: int = 10) -> DataFrame:
 def leads(rq: DataFrame, visits: DataFrame, window: int = 1800) -> DataFrame:
     """Every sent form with its context, outcome and what the visitor did within half an hour."""
     posts = rq.where("goal <> ''").select("req_id", "ip", "ts", "goal", "status", "goal_success", "vid", "group", "channel")
-    good = posts.where("goal_success").select(F.col("ip").alias("g_ip"), F.col("ts").alias("g_ts"), F.floor(F.col("ts") / window).alias("g_blk")).distinct()
+    good = _ends(posts.where("goal_success"), "g_ip", "ts", window)
     bad = posts.where("NOT goal_success").withColumn("blk", buckets(F.col("ts"), F.col("ts") + window, window))
-    later = bad.join(good, (F.col("ip") == F.col("g_ip")) & (F.col("blk") == F.col("g_blk")) & (F.col("g_ts") > F.col("ts")) & (F.col("g_ts") <= F.col("ts") + window), "left_semi")
+    later = bad.join(good, (F.col("ip") == F.col("g_ip")) & (F.col("blk") == F.col("e_blk")) & (F.col("hi") > F.col("ts")) & (F.col("lo") <= F.col("ts") + window), "left_semi")
     rows = posts.join(later.select("req_id").distinct().withColumn("_later", F.lit(True)), "req_id", "left").join(
         visits.select("vid", "start", "n_pages", "n_static", "entry", "nettype"), "vid")
     st = F.col("status")
