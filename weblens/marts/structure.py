@@ -11,8 +11,10 @@ from weblens.functions import personal
 from weblens.functions.ads import decode_plus
 from weblens.functions.columns import decode_path
 from weblens.operators.ranking import top_values
+from weblens.operators.requests import salted_lookup
 from weblens.operators.series import count_if
 from weblens.operators.sessions import SLOT
+from weblens.plans.store import stored
 
 # fixed values: facet words, facet keys, service keys; attack values in parameters; key shapes; address kinds
 FACET_WORDS = {
@@ -199,16 +201,33 @@ def params_inventory(rq: DataFrame, dictionary: DataFrame, people_min: int = 3,
     return t.select("param", "keys", group.alias("param_group"), F.col("n").alias("requests"), F.col("people_n").alias("people_requests"), "values", F.col("error_n").alias("errors"))
 
 
-def param_companions(rq: DataFrame, share: float = 0.9) -> DataFrame:
-    """Keys that come with another key in at least 90% of its requests.
+def param_companions(rq: DataFrame, share: float = 0.9, slices: int = 64) -> DataFrame:
+    """Keys that come with another key in at least 90% of its requests (``share`` above 0).
 
-    Pairs are formed inside one query string only, whose length is bounded by the parser (1 000 characters).
+    Pairs are not listed for all of a key's queries. A companion lacks at most 1 - share of the requests, so in any part of the queries that weighs more
+    than twice that it holds at least half; such a part is made of the key's queries with the fewest keys (equal ones by slices of a hash), and the
+    few keys that are often enough there are the only ones counted in the other queries. A query of very many keys, or a key in very many queries,
+    thus costs as many pairs as the key has candidates.
     """
     pairs = query_pairs(rq)
-    keys = pairs.groupBy("query").agg(F.max("n").alias("n"), F.collect_set("key").alias("keys"))
-    total = keys.select("n", F.explode("keys").alias("key")).groupBy("key").agg(F.sum("n").alias("total"))
-    both = keys.select("n", "keys", F.explode("keys").alias("key")).select("n", "key", F.explode("keys").alias("companion")).where("key <> companion")
-    return both.groupBy("key", "companion").agg(F.sum("n").alias("n")).join(total, "key").where(F.col("n") >= share * F.col("total")).select("key", "companion", "n", "total")
+    queries = pairs.groupBy("query").agg(F.max("n").alias("n"), F.collect_set("key").alias("keys"))
+    queries = queries.withColumn("spread", F.xxhash64("query")).withColumn("place", F.struct(F.size("keys").alias("size"), F.pmod("spread", F.lit(slices)).alias("slice"))).drop("query")
+    queries = stored(rq.sparkSession, queries, "key_sets")
+    rows = queries.withColumn("key", F.explode("keys"))
+    # one row for each key and place: as many as a key has different query sizes, times the slices
+    places = rows.groupBy("key", "place").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("key")
+    places = places.withColumn("total", F.sum("n").over(w)).withColumn("before", F.sum("n").over(w.orderBy("place")) - F.col("n"))
+    spared = F.col("total") - share * F.col("total")
+    parts = places.where(F.col("before") <= 2 * spared).groupBy("key", "total").agg(F.max("place").alias("until"), F.sum("n").alias("part"))
+    parts = stored(rq.sparkSession, parts, "key_parts")
+    short = salted_lookup(rows, parts.select("key", "until"), "key", F.col("spread")).where(F.col("place") <= F.col("until"))
+    met = short.select("n", "key", F.explode("keys").alias("companion")).where("key <> companion").groupBy("key", "companion").agg(F.sum("n").alias("met"))
+    enough = F.col("met") >= F.col("part") - spared * (1 + 1e-9)
+    candidates = met.join(parts, "key").where(enough).groupBy("key", "total").agg(F.collect_set("companion").alias("among"))
+    counted = salted_lookup(rows, candidates, "key", F.col("spread")).select("n", "key", "total", F.explode(F.array_intersect("among", "keys")).alias("companion"))
+    both = counted.groupBy("key", "companion", "total").agg(F.sum("n").alias("n"))
+    return both.where(F.col("n") >= share * F.col("total")).select("key", "companion", "n", "total")
 
 
 def embedded_blocks(rq: DataFrame) -> DataFrame:
