@@ -25,9 +25,19 @@ ERROR_LIMITS = {"msg": 600, "client": 600, "server": 600, "request": 400, "upstr
 
 
 def read_lines(spark: SparkSession, paths) -> DataFrame:
-    """Lines of plain and gzip files below ``paths`` with their file name. Hidden files are skipped by Spark itself."""
+    """Lines of plain and gzip files below ``paths``: file name, number from 0 and text. Hidden files are skipped by Spark itself.
+
+    A split of a file numbers its own lines while it is read; where it begins is the sum of the counts of the splits before it, one row a split.
+    So no file is read by one task for its numbers, and nothing is sorted but the splits of a file. Both scans cut the files alike, as they read
+    the same list of files under the same settings.
+    """
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*").text(paths)
-    return text.select(F.col("_metadata.file_name").alias("src"), F.col("value").alias("line")).where(~F.col("src").endswith(".zip"))
+    rows = text.select(F.col("_metadata.file_name").alias("src"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_split"),
+                       F.col("value").alias("line"), F.monotonically_increasing_id().alias("_at")).where(~F.col("src").endswith(".zip"))
+    splits = rows.groupBy("_path", "_split").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_path").orderBy("_split")) - F.col("_n")
+    splits = splits.select("_path", "_split", (before - F.col("_first")).alias("_shift"))
+    return rows.join(splits, ["_path", "_split"]).select("src", (F.col("_at") + F.col("_shift")).alias("line_no"), "line")
 
 
 def read_zip_lines(spark: SparkSession, paths) -> DataFrame:
