@@ -53,6 +53,27 @@ def test_files_and_archives(spark, tmp_path):
     assert sorted((r.src, r.line_no) for r in zipped) == [("old.zip:logs/a.log", 0), ("old.zip:logs/b.log.gz", 0)]
 
 
+def test_lines_are_numbered_across_the_splits_of_a_file(spark, tmp_path):
+    texts = {"a.log": [f"{i} " + "x" * (i * 7 % 90) for i in range(400)], "b.log": ["", "only", ""], "c.log.gz": [f"z{i}" for i in range(50)], "empty.log": []}
+    for name, lines in texts.items():
+        with (gzip.open if name.endswith(".gz") else open)(tmp_path / name, "wt") as f:
+            f.writelines(x + "\n" for x in lines)
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    old = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "1000")
+        spark.conf.set(names[1], "10")
+        rows = access_log.read_lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 1
+        got = sorted((r.src, r.line_no, r.line) for r in rows.collect())
+    finally:
+        for n, v in zip(names, old):
+            spark.conf.set(n, v)
+    assert got == sorted((name, i, x) for name, lines in texts.items() for i, x in enumerate(lines))
+    kinds = access_log.sniff(rows, 3)
+    assert {r.src: r.kind for r in kinds.collect()} == {"a.log": "unknown", "b.log": "unknown", "c.log.gz": "unknown"}
+
+
 def test_overlaps_keep_the_earliest_file(make_log):
     t = 1704067200
     rows = [(t + i, "1.1.1.1", "/a/") for i in range(10)] + [(t + i, "1.1.1.1", "/a/", {"src": "b.log"}) for i in range(5, 10)]
