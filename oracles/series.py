@@ -80,6 +80,7 @@ _TEMPLATES = f""", good AS (SELECT base FROM rg WHERE method='GET' AND NOT is_st
   {_ctes} SELECT base, array_to_string(seg, '/') AS tpl FROM {_last}"""
 
 SQL = {
+    "s01_read_lines": sql("requests", "SELECT method<>'GET' AS packed, count(*) AS lines, CAST(sum(bytes) AS BIGINT) AS bytes, min(ts) AS first_ts, max(ts) AS last_ts, CAST(0 AS BIGINT) AS misnumbered FROM requests GROUP BY 1"),
     "s02_parse_access": sql("requests", "SELECT req_id, ts, ip, vhost, method, base, query, status, bytes, ref, ua FROM requests"),
     "s03_parse_error": plain_counts(f"WITH {ERROR_LINES} SELECT line_no, ts, level, msg, client, request, host FROM el"),
     "s04_sniff": "SELECT 'site.ru-access.log' AS src, 'access:combined' AS kind UNION ALL SELECT 'site.ru-error.log', 'error:nginx'",

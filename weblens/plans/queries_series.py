@@ -6,6 +6,7 @@ from weblens.functions import paths
 from weblens.operators import series
 from weblens.plans.prepare import WebLog
 from weblens.plans.queries_core import _log
+from weblens.plans.store import fresh_path
 from weblens.sources import access_log
 
 def _two_files(w):
@@ -21,6 +22,18 @@ def _lines(w):
     return access.unionByName(w.error_lines.select(F.lit("site.ru-error.log").alias("src"), "line_no", "line"))
 
 
+def _files(w):
+    """The log written as plain and gzip files and read again: requests by kind of file, and how many line numbers are missing or given twice."""
+    path = fresh_path(w.spark, "files")
+    access_log.access_lines(w.log.where("method = 'GET'")).select("line").write.text(f"{path}/plain")
+    access_log.access_lines(w.log.where("method <> 'GET'")).select("line").write.option("compression", "gzip").text(f"{path}/packed")
+    lines = access_log.parse_access(access_log.read_lines(w.spark, path))
+    files = lines.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.sum("line_no").alias("numbers"), F.min("ts").alias("a"), F.max("ts").alias("z"))
+    off = F.abs(F.col("numbers") - F.expr("n * (n - 1) div 2"))
+    return files.groupBy(F.col("src").endswith(".gz").alias("packed")).agg(
+        F.sum("n").alias("lines"), F.sum("bytes").alias("bytes"), F.min("a").alias("first_ts"), F.max("z").alias("last_ts"), F.sum(off).alias("misnumbered"))
+
+
 def _templates(w):
     ok = w.rq.where("method = 'GET' AND NOT is_static AND ua_browser AND status = 200")
     popular = ok.groupBy("base").agg(F.count_distinct("ip").alias("n")).where("n >= 2")
@@ -36,6 +49,7 @@ def _outages(w):
 
 
 QUERIES = {
+    "s01_read_lines": _log(_files),
     "s02_parse_access": _log(lambda w: access_log.parse_access(access_log.access_lines(w.log)).drop("tail", "user", "proto", "tz_offset")),
     "s03_parse_error": _log(lambda w: access_log.parse_error(w.error_lines).select("line_no", "ts", "level", "msg", "client", "request", "host")),
     "s04_sniff": _log(lambda w: access_log.sniff(_lines(w), 1000)),
