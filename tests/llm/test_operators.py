@@ -195,6 +195,34 @@ def test_context_tree_scores(spark, odd, empty):
     assert context_tree.score(odd[1], "false").where("score > 0 or isnan(score)").count() == 0
 
 
+def test_context_tree_holds_a_part_of_a_run(monkeypatch):
+    texts = [(k, " ".join(f"w{(k * j) % 97}é" for j in range(k % 50))) for k in range(300)] + [(300, None), (None, "B b"), (5, "a" * 3000)]
+    data, at = T.buffer(pa.array([t for _, t in texts]))
+    seen, found = [], []
+    whole = context_tree.strings
+    monkeypatch.setattr(context_tree, "strings", lambda data, at, depth: seen.append(len(data)) or whole(data, at, depth))
+    for part in (1 << 30, 400):
+        monkeypatch.setattr(context_tree, "PART", part)
+        batch = pa.record_batch([pa.array([str(i) for i, _ in texts]), pa.array([t for _, t in texts]), pa.array([k % 3 > 0 for k in range(len(texts))])], names=["id", "text", "train"])
+        (run,) = context_tree._runs(3, 4)(iter([batch]))
+        found.append(run.to_pylist())
+        assert max(seen) == (len(data) if part > len(data) else 3000) and sum(seen) == len(data)
+        seen.clear()
+    assert found[0] == found[1]
+    bodies = context_tree._score(3, 4, (0.0, 0.0, 0.0))
+    zero = [r | {"kind": {context_tree.STRINGS: context_tree.PRICES, context_tree.WORDS: context_tree.COUNTS}.get(r["kind"], r["kind"])} for r in found[0]]
+    for r in zero:
+        if r["kind"] != context_tree.TEXTS:  # a number of its own for each string or word
+            u = np.cumsum(T.unpack(r["payload"], np.uint64)[0], dtype=np.uint64)
+            r["payload"] = T.pack((u % np.uint64(1009)).astype(np.float64) / 7)
+        r["key"] = r["run"]
+    scored = []
+    for part in (1 << 30, 400):
+        monkeypatch.setattr(context_tree, "PART", part)
+        scored.append([b.to_pylist() for b in bodies(iter([context_tree._rows([tuple(r.values()) for r in zero])]))])
+    assert repr(scored[0]) == repr(scored[1]) and len(scored[0][0]) == len(texts)
+
+
 def test_simhash(spark, odd, empty):
     assert rows(queries.op6_simhash(spark, SMALL), "doc_id", "fingerprint", "component_id") == sorted(brute.simhash(documents(spark)), key=repr)
     found = simhash.near_duplicates(odd[1]).collect()

@@ -25,6 +25,8 @@ from weblens.llm import text as T
 from weblens.llm.shared import dealt, partitions, saved
 
 DEPTH, RUN_BYTES, SMOOTHING = 4, 6 << 20, 0.1
+#: Bytes of text whose strings are held at once: they take some ten times eight bytes for each.
+PART = 1 << 19
 #: Never a byte of UTF-8: ends a text and is the context before one.
 END = 0xFF
 TEXTS, STRINGS, WORDS, PRICES, COUNTS = range(5)
@@ -76,6 +78,34 @@ def _distinct(values: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.
     return u, np.diff(np.append(np.searchsorted(t, u), len(t))) if len(u) else np.zeros(0, np.int64)
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of several parts in order, and the sums of their counts."""
+    u = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)])
+    order = np.argsort(u)
+    u = u[order]
+    new = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
+    return u[new], np.add.reduceat(np.concatenate([p[1] for p in parts])[order], new) if len(u) else np.zeros(0, np.int64)
+
+
+def _parts(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Texts in parts of PART bytes, or one text: their rows, bytes and bounds."""
+    for low, high in T.spans(at, PART):
+        yield slice(low, high), data[at[low] : at[high]], at[low : high + 1] - at[low]
+
+
+def _strings(data: np.ndarray, at: np.ndarray, depth: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """By part: its texts, the strings of all its bytes, and the number of the text, in the part, of each."""
+    for texts, own, bounds in _parts(data, at):
+        yield texts, *strings(own, bounds, depth)
+
+
+def _words(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """The same of the words' hashes."""
+    for texts, own, bounds in _parts(data, at):
+        h, _, _, n = T.words(own, bounds)
+        yield texts, h, np.repeat(np.arange(len(n)), n)
+
+
 def string_bucket(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
     return (T.mix(keys >> np.uint64(8 * (depth - 1))) % np.uint64(buckets)).astype(np.int64)
 
@@ -93,12 +123,11 @@ def _runs(depth: int, buckets: int):
         run = int(np.uint64(xxhash.xxh64_intdigest(raw + repr(ids).encode(), 5)).view(np.int64))
         packed = len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
         rows = [(run, TEXTS, run, -1, packed, T.pack(np.diff(at), train), ids)]
-        keys, owner = strings(data, at, depth)
-        h, _, _, n = T.words(LOWER[data], at)
-        for kind, (u, count), bucket in (
-            (STRINGS, _distinct(keys, train[owner]), lambda u: string_bucket(u, depth, buckets)),
-            (WORDS, _distinct(h, np.repeat(train, n)), lambda u: word_bucket(u, buckets)),
+        for kind, found, bucket in (
+            (STRINGS, _strings(data, at, depth), lambda u: string_bucket(u, depth, buckets)),
+            (WORDS, _words(LOWER[data], at), lambda u: word_bucket(u, buckets)),
         ):
+            u, count = _summed([_distinct(values, train[texts][owner]) for texts, values, owner in found])
             where = bucket(u)
             order = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[order], np.arange(buckets + 1))
@@ -122,7 +151,7 @@ def _runs(depth: int, buckets: int):
         if held:
             yield flush(held)
 
-    return go
+    return T.releasing(go)
 
 
 class Subtrees:
@@ -190,7 +219,7 @@ def _top(depth: int):
         columns = [np.append(near, -1), np.append(node, 0), *(np.append(s[near, node], x) for s, x in zip(sums, (*words, 0.0), strict=True))]
         yield pa.record_batch([pa.array(c) for c in columns], names=["near", "node", "zeros", "ones", "below"])
 
-    return go
+    return T.releasing(go)
 
 
 def _prices(depth: int, table):
@@ -212,7 +241,7 @@ def _prices(depth: int, table):
             for low in range(0, len(parts), 64):
                 yield _rows([(run, kind, run, b, T.pack(value[np.searchsorted(u, own)]), None, None) for run, b, own in parts[low : low + 64]])
 
-    return go
+    return T.releasing(go)
 
 
 def _score(depth: int, buckets: int, base: tuple[float, float, float]):
@@ -220,7 +249,18 @@ def _score(depth: int, buckets: int, base: tuple[float, float, float]):
     tokens, distinct, ends = base
     unit = np.log10(tokens + SMOOTHING * (distinct + 1))
 
-    def one(rows: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    def looked_up(pieces, known: dict[int, np.ndarray], bucket) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """By part: its texts, and each value's text and what is known of it, in the order of the values. pieces: makes the parts, twice."""
+        u = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(values) for _, values, _ in pieces())]))
+        where, value = bucket(u), np.zeros(len(u))
+        by = np.argsort(where, kind="stable")
+        if len(u):
+            value[by] = np.concatenate([known[b] for b in np.unique(where)])
+        for texts, values, owner in pieces():
+            order = np.argsort(values)
+            yield texts, owner[order], value[np.searchsorted(u, values[order])]
+
+    def one(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, prices, counts = [], {}, {}
         for batch in rows:
             for kind, bucket, payload, more, ids in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "payload", "more", "ids")), strict=True):
@@ -228,36 +268,28 @@ def _score(depth: int, buckets: int, base: tuple[float, float, float]):
                     texts.append((payload, more, ids))
                 else:
                     (prices if kind == PRICES else counts)[bucket] = T.unpack(payload, np.float64)[0]
-        out = []
         for payload, more, ids in texts:
             size = int.from_bytes(payload[:8], "little")
             data = np.frombuffer(pa.Codec("zstd").decompress(payload[8:], size), np.uint8) if size else np.zeros(0, np.uint8)
             length, train = T.unpack(more, np.int64, np.bool_)
             at, n = np.append(0, np.cumsum(length)), len(length)
-            keys, owner = strings(data, at, depth)
-            h, _, _, words = T.words(data, at)
-            sums = []
-            for values, docs, known, bucket in ((keys, owner, prices, lambda u: string_bucket(u, depth, buckets)), (h, np.repeat(np.arange(n), words), counts, lambda u: word_bucket(u, buckets))):
-                order = np.argsort(values)
-                new = np.append(True, np.diff(values[order]) != 0) if len(values) else np.zeros(0, bool)
-                u = values[order[new]]
-                where, value = bucket(u), np.zeros(len(u))
-                by = np.argsort(where, kind="stable")
-                value[by] = np.concatenate([known[b] for b in np.unique(where)]) if len(u) else value
-                sums.append((docs[order], value[np.cumsum(new) - 1] if len(u) else value))
-            (docs, price), (word_docs, count) = sums
-            score = np.bincount(docs, price, n)
-            known = np.bincount(word_docs, count > 0, n).astype(np.int64) + (ends > 0)
-            total = np.bincount(word_docs, np.log10(count + SMOOTHING), n) + np.log10(ends + SMOOTHING)
+            score, known, total, words = np.zeros(n), np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
+            for own, docs, price in looked_up(lambda: _strings(data, at, depth), prices, lambda u: string_bucket(u, depth, buckets)):  # noqa: B023
+                score[own] = np.bincount(docs, price, own.stop - own.start)
+            for own, docs, count in looked_up(lambda: _words(data, at), counts, lambda u: word_bucket(u, buckets)):  # noqa: B023
+                size = own.stop - own.start
+                words[own] = np.bincount(docs, minlength=size)
+                known[own] = np.bincount(docs, count > 0, size).astype(np.int64)
+                total[own] = np.bincount(docs, np.log10(count + SMOOTHING), size)
+            known, total = known + (ends > 0), total + np.log10(ends + SMOOTHING)
             columns = [pa.array(ids, pa.string()), pa.array(~train), pa.array(words + 1), pa.array(known), pa.array(np.full(n, int(tokens))), pa.array(total - (words + 1) * unit), pa.array(score), pa.array(length + 1)]
-            out.append(pa.record_batch(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]))
-        return out
+            yield pa.record_batch(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in T.grouped(batches, "run"):
             yield from one(rows)
 
-    return go
+    return T.releasing(go)
 
 
 def score(docs: DataFrame, train: str, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

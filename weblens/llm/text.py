@@ -5,14 +5,15 @@ Words are `[^\\x20\\x09-\\x0D]+` over UTF-8 bytes.  Long texts are walked in sli
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Words of more bytes are hashed by XXH64: a polynomial modulo 2**64 has known collisions between very long strings.
 LONG_WORD = 512
@@ -60,13 +61,37 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows whose texts have together at most that many bytes, or one row."""
     _, at = buffer(batch.column(column))
+    for row, end in spans(at, most):
+        yield batch.slice(row, end - row)
+
+
+def spans(at: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """First and past row of runs of texts with these bounds that have together at most that many bytes, or of one text."""
     row = 0
-    while row < batch.num_rows:
+    while row < len(at) - 1:
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
-        yield batch.slice(row, end - row)
+        yield row, end
         row = end
 
 
+def release() -> None:
+    """Gives freed memory of Arrow and of the C library back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def releasing(go: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """go, and then release(): a worker keeps none of a task's memory while it waits or runs another one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from go(batches)
+        release()
+
+    return run
+
+
 def _cut(data: np.ndarray, at: np.ndarray, low: int) -> int:
     """Where a slice that begins at low ends: between two words or texts."""
     high = low + SLICE
