@@ -195,6 +195,15 @@ def test_context_tree_scores(spark, odd, empty):
     assert context_tree.score(odd[1], "false").where("score > 0 or isnan(score)").count() == 0
 
 
+def test_a_run_of_windows_has_hardly_more_words_than_it_should(monkeypatch):
+    monkeypatch.setattr(substrings, "RUN_WORDS", 1000)
+    monkeypatch.setattr(substrings, "SLICE_BYTES", 2000, raising=False)
+    texts = [" ".join(f"w{(k * j) % 89}" for j in range(100)) for k in range(60)]
+    batch = pa.record_batch([pa.array(range(60)), pa.array(range(60)), pa.array(texts)], names=["__a", "__b", "__text"])
+    sizes = [T.unpack(r["payload"], np.int64, np.int64, np.int64)[2] for b in substrings._count_runs(35, 4)(iter([batch])) for r in b.to_pylist() if r["kind"] == substrings.DIRECTORY]
+    assert sum(len(n) for n in sizes) == 60 and all(n.sum() < 2000 for n in sizes)
+
+
 def test_context_tree_holds_a_part_of_a_run(monkeypatch):
     texts = [(k, " ".join(f"w{(k * j) % 97}é" for j in range(k % 50))) for k in range(300)] + [(300, None), (None, "B b"), (5, "a" * 3000)]
     data, at = T.buffer(pa.array([t for _, t in texts]))

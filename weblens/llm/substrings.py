@@ -19,6 +19,8 @@ from weblens.llm import text as T
 from weblens.llm.shared import dealt, partitions, saved
 
 RUN_WORDS = 1 << 20
+#: Bytes of text that are taken into a run, or cut, at once: a run has hardly more than RUN_WORDS words.
+SLICE_BYTES = 1 << 20
 DIRECTORY, WINDOWS, MARKS = 0, 1, 2
 SPANS = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
 EXCHANGE = "key long, kind int, run long, payload binary, more binary"
@@ -58,7 +60,7 @@ def _count_runs(width: int, bits: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, hashes, held = [], [], [], 0
         for whole in batches:
-            for batch in T.slices(whole, "__text"):
+            for batch in T.slices(whole, "__text", SLICE_BYTES):
                 h, _, _, n = T.words(*T.buffer(batch.column("__text")))
                 keys.append([batch.column(k).to_numpy() for k in ("__a", "__b")])
                 counts.append(n)
@@ -70,7 +72,7 @@ def _count_runs(width: int, bits: int):
         if keys:
             yield flush(keys, counts, hashes)
 
-    return go
+    return T.releasing(go)
 
 
 def _meet(bits: int):
@@ -109,7 +111,7 @@ def _meet(bits: int):
             if out:
                 yield _rows(out)
 
-    return go
+    return T.releasing(go)
 
 
 def _merge(width: int):
@@ -141,7 +143,7 @@ def _merge(width: int):
             lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (begin, end)]
             yield pa.record_batch([pa.array(a[docs]), pa.array(b[docs]), *lists], names=["__a", "__b", "__first", "__past"])
 
-    return go
+    return T.releasing(go)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -166,7 +168,7 @@ def repeated_spans(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
 def _cut_words(keep: tuple[str, ...], with_text: bool):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in T.slices(whole, "__text"):
+            for batch in T.slices(whole, "__text", SLICE_BYTES):
                 texts, first, past = (batch.column(c).to_pylist() for c in ("__text", "__first", "__past"))
                 kept, total, removed, spans = [], [], [], []
                 for t, lows, highs in zip(texts, first, past, strict=True):
@@ -181,7 +183,7 @@ def _cut_words(keep: tuple[str, ...], with_text: bool):
                 columns += [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, SPANS)]
                 yield pa.record_batch(columns, names=["__id", *["__text"] * with_text, *keep, "n_words", "n_removed", "kept_text", "spans"])
 
-    return go
+    return T.releasing(go)
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
