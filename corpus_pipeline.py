@@ -33,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) keeps the document with the smallest id, once: of rows that repeat an id the one of least text (null first), then of least other columns. Rows without an id stay."""
+    """Of each group of near copies (five-word shingles, similarity 0.8; candidates from SimHash fingerprints and, for pairs that these leave apart, rare shingles) keeps the document with the smallest id, once: of rows that repeat an id the one of least text (null first), then of least other columns. Rows without an id stay."""
     with passing() as tables:
         groups = simhash.near_duplicates(docs, width=5, similarity=0.8)
         gone = groups.where("doc_id <> component_id").select("doc_id").distinct()

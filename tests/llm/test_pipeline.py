@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
+from weblens.llm import simhash
 from weblens.llm.shared import saved
 
 SMALL = "/root/testdata/sf0.001"
@@ -77,6 +78,22 @@ def test_stages_bear_columns_named_as_their_own(spark):
         wide, step = saved(now), saved(now.select(plain.columns))
 
 
+def test_near_copies_are_found_by_their_fingerprints(spark, monkeypatch):
+    texts = {k: " ".join(f"t{k // 2}w{j}" for j in range(400)) + (" more" if k % 2 else "") for k in range(20)}
+    spam = " ".join(["buy now get one for free today"] * 200)
+    texts |= {20: spam + " " + " ".join(f"a{j}" for j in range(40)), 21: spam + " " + " ".join(f"b{j}" for j in range(40))}  # near fingerprints, other texts
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "candidates", lambda nodes, known: none)  # no help from shingles
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SMALL).collect()}
+    prints = {r.id: r.bits[0] for r in simhash.fingerprints(docs, 5).collect()}
+    near = {k for k in range(1, 20, 2) if ((prints[k] ^ prints[k - 1]) & (1 << 64) - 1).bit_count() <= 4}
+    assert len(near) > 5 and kept == set(texts) - near
+    assert ((prints[20] ^ prints[21]) & (1 << 64) - 1).bit_count() <= 4
+    monkeypatch.undo()
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SMALL).collect()} == {*range(0, 20, 2), 20, 21}
+
+
 def test_of_rows_with_one_id_the_least_text_stays(spark):
     texts = ["b " * 30, "a one two three four five six", "c seven eight nine ten eleven"]
     for order in (texts, texts[::-1]):

@@ -6,7 +6,8 @@ their value.  r is 2 where 1 would leave too many fingerprints of no kinship tog
 array); pairs of trie nodes go down together, add up differing bits, and are dropped when these exceed the budget.  Pairs that meet enter a forest at once; only its
 edges leave a task.
 
-With a similarity, texts link at that Jaccard similarity of their shingle sets and above, computed exactly.  Candidates come from a join of prefixes: in one order of all
+With a similarity, texts link at that Jaccard similarity of their shingle sets and above, computed exactly.  Candidates come from the join of tries, of the same fingerprints and at
+the same `errors`, and where their long fingerprints do not lie far apart.  Pairs that this leaves apart and that may still be similar come from a join of prefixes: in one order of all
 shingles, two sets of at least that similarity share one among the first `n - ceil(similarity n) + 1` of each.  No link is lost by it.  The order puts rare shingles first: a sketch of bounded
 size counts all shingles of all texts, so what many texts share is in the prefix of those only that have little else.  Candidates whose long fingerprints lie far apart are dropped;
 what candidates connect is compared shingle by shingle.
@@ -92,7 +93,6 @@ def frequencies(docs: DataFrame, width: int, text_col: str = "text") -> np.ndarr
             for batch in T.slices(whole, "text", 1 << 20):
                 for _, at in _windows(batch.column("text"), width):
                     sums += np.bincount(at, minlength=COUNTERS)
-        pa.default_memory_pool().release_unused()
         rows = sums.reshape(-1, PER_ROW)
         yield pa.record_batch([pa.array(np.arange(len(rows))), pa.array([T.pack(x) for x in rows], pa.binary())], names=["row", "counts"])
 
@@ -101,7 +101,7 @@ def frequencies(docs: DataFrame, width: int, text_col: str = "text") -> np.ndarr
             total = sum(T.unpack(x.as_py(), np.int64)[0] for part in parts for x in part.column("counts"))
             yield pa.record_batch([pa.array([row], pa.int64()), pa.array([T.pack(total)], pa.binary())], names=["row", "counts"])
 
-    parts = dealt(docs.select(F.col(text_col).alias("text")).mapInArrow(count, "row long, counts binary"), "row")
+    parts = dealt(docs.select(F.col(text_col).alias("text")).mapInArrow(T.releasing(count), "row long, counts binary"), "row")
     out = np.zeros(COUNTERS, np.int64)
     for r in parts.mapInArrow(add, "row long, counts binary").collect():  # COUNTERS numbers
         out[r.row * PER_ROW : (r.row + 1) * PER_ROW] = T.unpack(bytes(r.counts), np.int64)[0]
@@ -158,11 +158,10 @@ def fingerprints(docs: DataFrame, width: int = 4, words: int = 1, id_col: str =
                     least = np.concatenate([np.zeros(0, np.uint64), *(f[2] for f in found)]).view(np.int64)
                     columns += [pa.array([f[1] for f in found], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(least))]
                 yield pa.record_batch(columns, names=["id", "bits", "same", "prefix"][: len(columns)])
-        pa.default_memory_pool().release_unused()
 
     id_type = dict(docs.dtypes)[id_col]
     more = ", same binary, prefix array<long>" if similarity is not None else ""
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(go, f"id {id_type}, bits array<long>{more}")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(T.releasing(go), f"id {id_type}, bits array<long>{more}")
 
 
 class Forest:
@@ -321,7 +320,7 @@ def links(prints: DataFrame, views: list[Column], bits: int = 64, errors: int =
         if held[0]:
             yield join(held)
 
-    return rows.mapInArrow(go, "a long, b long")
+    return rows.mapInArrow(T.releasing(go), "a long, b long")
 
 
 def reached(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -385,7 +384,6 @@ def _groups(batches: Iterator[pa.RecordBatch], one: Callable[[pa.Table], np.ndar
             a, b, rows = [], [], 0
     if a:
         yield flat()
-    pa.default_memory_pool().release_unused()
 
 
 def connecting(rows: DataFrame, key: str, weight: Column, one: Callable[[pa.Table], np.ndarray]) -> DataFrame:
@@ -394,7 +392,7 @@ def connecting(rows: DataFrame, key: str, weight: Column, one: Callable[[pa.Tabl
     schema = "a long, b long"
 
     def meet(groups: DataFrame) -> DataFrame:
-        return dealt(groups, "group").mapInArrow(lambda batches: _groups(batches, one), schema)
+        return dealt(groups, "group").mapInArrow(T.releasing(lambda batches: _groups(batches, one)), schema)
 
     sizes = saved(rows.groupBy(key).agg(F.ceil(F.sum(weight)).cast("int").alias("chunks"), F.min("node").alias("first")).where("chunks > 1"))
     hot = sizes.select(F.col(key).alias("key"), F.col("chunks").alias("salts"))
@@ -425,8 +423,11 @@ def connecting(rows: DataFrame, key: str, weight: Column, one: Callable[[pa.Tabl
     return inside.union(saved(across))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """a, b: links that connect all pairs which share a shingle of their prefixes and differ in at most APART bits. nodes: node, bits, prefix."""
+def candidates(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """a, b: links that connect, together with what connects already, all pairs which share a shingle of their prefixes and differ in at most APART bits.
+
+    nodes: node, bits, prefix. known: node, component of the nodes that other links (those of fingerprints) connect.
+    """
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All pairs of a shingle of few rows; the rows, with a null b, of one of more."""
@@ -448,14 +449,15 @@ def candidates(nodes: DataFrame) -> DataFrame:
         return reached(len(bits), lambda x, left: np.bitwise_count(bits[left] ^ bits[x]).sum(1) <= APART)
 
     rows = dealt(nodes.select(F.explode("prefix").alias("key"), "node"), "key")
-    found = saved(rows.mapInArrow(shared, "key long, a long, b long"))
+    found = saved(rows.mapInArrow(T.releasing(shared), "key long, a long, b long"))
     bits = nodes.select("node", "bits")
+    rooted = saved(bits.join(known, "node", "left").select("node", "bits", F.coalesce("component", "node").alias("root")))
     pairs = found.where("b is not null").select("a", "b").distinct()
-    both = pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b")
+    both = pairs.join(rooted.toDF("a", "x", "p"), "a").join(rooted.toDF("b", "y", "q"), "b").where("p <> q")
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
     many = found.where("b is null").select("key", F.col("a").alias("node")).join(bits, "node")
     close = saved(both.where(differ <= APART).select("a", "b").union(connecting(saved(many.select("key", "node", "bits")), "key", F.lit(1 / CHUNK), meet)))
-    discard(found)
+    discard(found, rooted)
     return close
 
 
@@ -491,8 +493,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, errors: int = 4, similarity
     """Per row of docs: the id (integer), fingerprint (long, 64 bits), component_id (smallest id reachable through links, itself included).
 
     Texts are lower-cased (A-Z), words are `[^\\x20\\x09-\\x0D]+`; fewer than `width` words are one shingle, none give fingerprint 0, which links like any other.
-    Fingerprints link at `errors` or fewer differing bits. With `similarity` texts link instead if the Jaccard similarity of their sets of shingles is at least that; two
-    texts without words are alike. Every distinct text is compared, not one of a group.
+    Fingerprints link at `errors` or fewer differing bits. With `similarity` these links, and those of shared rare shingles, are candidates, and texts link if the Jaccard similarity
+    of their sets of shingles is at least that; two texts without words are alike. Every distinct text is compared, not one of a group.
     Rows that repeat an id stay rows, and all texts of one id connect. A null id has a fingerprint, links with nothing and has a null component. Other columns are
     ignored.
     """
@@ -506,7 +508,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, errors: int = 4, similarity
     if similarity is None:
         groups = components(saved(links(nodes, [F.col("fingerprint")], 64, errors).union(repeated)))
     else:
-        near = components(candidates(nodes))
+        met_ = links(nodes, [F.col("bits")[0]], 64, errors, APART)
+        known = saved(components(saved(met_)))
+        near = components(known.toDF("a", "b").union(candidates(nodes, known)))
         texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
         groups = components(saved(similar(texts, near, width, similarity).union(repeated)))
     names = nodes.join(groups, "node", "left").select(by, F.coalesce("component", "node").alias("component_id"))
