@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblens.llm import language, packing, secret_scan, simhash, substrings
-from weblens.llm.shared import passing, saved
+from weblens.llm.shared import passing, saved, sifted
 
 
 def _set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
@@ -42,8 +42,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         excluded = saved(gone.union(repeated))
         del tables[-2:]  # these two are read by the result
     own, aside, back = _set_aside(docs, "doc_id", "text")
-    least = own.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *aside)).alias("least")).select("doc_id", "least.*")
-    return back(own.join(excluded, "doc_id", "left_anti").unionByName(least))
+    some, rest = sifted(own, "doc_id", excluded)
+    least = some.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *aside)).alias("least")).select("doc_id", "least.*")
+    return back(rest.unionByName(some.join(excluded, "doc_id", "left_anti")).unionByName(least))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

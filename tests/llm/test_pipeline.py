@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
-from weblens.llm import simhash
+from weblens.llm import shared, simhash
 from weblens.llm.shared import saved
 
 SMALL = "/root/testdata/sf0.001"
@@ -100,3 +100,55 @@ def test_of_rows_with_one_id_the_least_text_stays(spark):
         rows = [(1, t, None, "s", 3) for t in order] + [(None, "same words in a row here", None, "s", 3)] * 2
         kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SMALL).collect()
         assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, rows[-1][1])] * 2 + [(1, texts[1])]
+
+
+def exchanged(rows):
+    """Rows that the exchanges of a frame write when it is collected, but for those of sums and of what is broadcast."""
+    rows.collect()
+    total, plans = 0, [rows._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec" and "Aggregate" not in plan.child().getClass().getSimpleName():
+            total += plan.metrics().apply("shuffleRecordsWritten").value()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif kind in ("ShuffleQueryStageExec", "ResultQueryStageExec"):
+            plans.append(plan.plan())
+        elif not kind.startswith("Broadcast") or "Join" in kind:
+            children = plan.children()
+            plans += [children.apply(k) for k in range(children.size())]
+    return total
+
+
+def test_texts_that_no_copy_needs_are_not_moved(spark, monkeypatch):
+    words = [" ".join(f"t{k}w{j}" for j in range(60)) for k in range(2000)]
+    rows = [(k, words[k % 1900], None, "s", 3) for k in range(2000)] + [(None, words[0], None, "s", 3)]
+    docs = saved(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    near = saved(spark.range(1900, 2000).selectExpr("id AS node", "id - 1900 AS component").union(spark.range(100).selectExpr("id", "id")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_dedup(spark, docs, SMALL)
+        moved = exchanged(out)
+        assert 0 < moved < 700  # the hundred ids that go, their rows and few others
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [*((False, k) for k in range(1900)), (True, 0)]
+        monkeypatch.setattr(simhash, "saved", lambda df: df)
+        monkeypatch.setattr(simhash, "connecting", lambda rows, *_: rows)
+        texts = simhash.similar(docs.selectExpr("doc_id AS node", "text"), near, 5, 0.8)
+        moved = exchanged(texts)
+        assert 0 < moved < 1000
+        assert {r.node for r in texts.collect()} == {*range(100), *range(1900, 2000)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sifted_loses_no_sought_row(spark, monkeypatch):
+    for bits in (1 << 26, 1 << 15):  # with few bits others pass too
+        monkeypatch.setattr(shared, "MOST_BITS", bits)
+        rows = spark.range(-20_000, 20_000).selectExpr("CAST(id AS int) AS k", "id % 7 AS v").union(spark.createDataFrame([(None, 1)], "k int, v long"))
+        for ids in (spark.range(-20_000, 20_000, 40), spark.range(0), spark.createDataFrame([(5,), (5,), (None,)], "k long")):
+            some, rest = shared.sifted(rows, "k", ids)
+            got, left, sought = some.collect(), rest.collect(), {r[0] for r in ids.collect()} - {None}
+            assert sorted(got + left, key=repr) == sorted(rows.collect(), key=repr)
+            assert sought <= {r.k for r in got} and None in {r.k for r in left}
+            assert len(got) <= len(sought) + (2500 if bits > 1 << 15 else 5000)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from weblens.llm import text as T
 from weblens.llm.graph import components
-from weblens.llm.shared import dealt, discard, met, partitions, saved
+from weblens.llm.shared import dealt, discard, met, partitions, saved, sifted
 
 SEED = 42
 #: Pairs of trie nodes that are expanded at once, and pairs of leaves below which a pair of nodes is compared leaf by leaf.
@@ -481,7 +481,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.nda
 
 def similar(docs: DataFrame, near: DataFrame, width: int, similarity: float) -> DataFrame:
     """a, b: links that connect all pairs of at least that similarity among what candidates (near: node, component) connect. docs: node, text."""
-    rows = docs.join(near, "node").dropDuplicates(["component", "node", "text"])
+    some, _ = sifted(docs, "node", near.select("node"))  # texts that no candidate needs stay where they are
+    rows = some.join(near, "node").dropDuplicates(["component", "node", "text"])
 
     def meet(run: pa.Table) -> np.ndarray:
         return same_sets([shingle_set((t or "").encode(), width) for t in run.column("text").to_pylist()], similarity)
@@ -510,7 +511,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, errors: int = 4, similarity
     else:
         met_ = links(nodes, [F.col("bits")[0]], 64, errors, APART)
         known = saved(components(saved(met_)))
-        near = components(known.toDF("a", "b").union(candidates(nodes, known)))
+        near = saved(components(known.toDF("a", "b").union(candidates(nodes, known))))
         texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
         groups = components(saved(similar(texts, near, width, similarity).union(repeated)))
     names = nodes.join(groups, "node", "left").select(by, F.coalesce("component", "node").alias("component_id"))
