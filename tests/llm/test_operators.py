@@ -3,6 +3,7 @@
 import hashlib
 import random
 import string
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -204,6 +205,36 @@ def test_a_run_of_windows_has_hardly_more_words_than_it_should(monkeypatch):
     assert sum(len(n) for n in sizes) == 60 and all(n.sum() < 2000 for n in sizes)
 
 
+def test_a_run_of_windows_is_sorted_in_parts():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 1500)) for _ in range(600)]
+    texts += texts[:3]  # repeated inside the run
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["__a", "__b", "__text"])
+    most, rows = 0, []
+    tracemalloc.start()
+    for b in substrings._count_runs(35, 8)(iter([batch])):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        rows += b.to_pylist()
+        tracemalloc.reset_peak()
+    most = max(most, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    found = {}
+    for r in rows:
+        if r["kind"] == substrings.WINDOWS:
+            steps, at = T.unpack(r["payload"], np.uint64, np.uint32)
+            steps[0] += np.uint64(r["key"] << 56)
+            found |= zip(np.cumsum(steps, dtype=np.uint64).tolist(), zip(at.tolist(), T.unpack(r["more"], np.bool_)[0].tolist(), strict=True), strict=True)
+    (directory,) = (r for r in rows if r["kind"] == substrings.DIRECTORY)
+    h, _, _, n = T.words(*T.buffer(batch.column("__text")))
+    at = T.inside(n, 35)
+    whole = T.rolling(h, 35)[at]
+    twice = {w for w, k in zip(*np.unique(whole, return_counts=True), strict=True) if k > 1}
+    places = dict(zip(at.tolist(), whole.tolist(), strict=True))
+    assert set(found) == set(whole.tolist()) and all(places[a] == w and many == (w in twice) for w, (a, many) in found.items())
+    assert T.unpack(directory["more"], np.uint32)[0].tolist() == [a for a, w in places.items() if w in twice]
+    assert most < 40 << 20  # 12 bytes a window, tables of powers, a slice's words and the packed rows above
+
+
 def test_context_tree_holds_a_part_of_a_run(monkeypatch):
     texts = [(k, " ".join(f"w{(k * j) % 97}é" for j in range(k % 50))) for k in range(300)] + [(300, None), (None, "B b"), (5, "a" * 3000)]
     data, at = T.buffer(pa.array([t for _, t in texts]))

@@ -58,7 +58,7 @@ def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for part in T.slices(batch, text_col, BLOCK):
                 yield part.filter(pa.array(has_letter(part.column(text_col).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(go, docs.schema)
+    return docs.mapInArrow(T.releasing(go), docs.schema)
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", orders: int = ORDERS, buckets: int = BUCKETS, max_languages: int = MAX_LANGUAGES, smoothing: float = SMOOTHING) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -95,7 +95,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order
 
     schema = "lang string, rows long, counts binary"
     known = docs.select(F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("lang")).where("__text is not null and lang is not null")
-    partial = known.mapInArrow(count, schema)
+    partial = known.mapInArrow(T.releasing(count), schema)
     found = partial.repartition("lang").sortWithinPartitions("lang").mapInArrow(add, schema).limit(max_languages + 1).collect()
     if len(found) > max_languages:
         raise ValueError(f"over {max_languages} languages")
@@ -140,4 +140,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"__id {kinds[id_col]}", *(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"])
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *keep).mapInArrow(go, schema).withColumnRenamed("__id", id_col)
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *keep).mapInArrow(T.releasing(go), schema).withColumnRenamed("__id", id_col)

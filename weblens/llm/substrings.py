@@ -8,6 +8,7 @@ occur elsewhere too.  A very common window is one entry per run, never one per o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from weblens.llm.shared import dealt, partitions, saved
 RUN_WORDS = 1 << 20
 #: Bytes of text that are taken into a run, or cut, at once: a run has hardly more than RUN_WORDS words.
 SLICE_BYTES = 1 << 20
+#: A run's windows are sorted in parts, by that many leading bits: beside 12 bytes a window, a task holds what an eighth of them takes.
+PART_BITS = 3
 DIRECTORY, WINDOWS, MARKS = 0, 1, 2
 SPANS = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
 EXCHANGE = "key long, kind int, run long, payload binary, more binary"
@@ -35,42 +38,48 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def _count_runs(width: int, bits: int):
     """From documents to one directory row and the packed window hashes of every run."""
 
-    def flush(keys: list, counts: list, hashes: list) -> pa.RecordBatch:
+    def flush(keys: list, counts: list, windows: list, places: list) -> Iterator[pa.RecordBatch]:
         a, b = (np.concatenate([k[i] for k in keys]) for i in (0, 1))
-        n, h = np.concatenate(counts), np.concatenate(hashes)
+        n = np.concatenate(counts)
         run = int(np.int64(np.uint64(xxhash.xxh64_intdigest(a.tobytes() + b.tobytes() + n.tobytes(), 3)).view(np.int64)))
-        at = T.inside(n, width)
-        window = T.rolling(h, width)[at] if len(at) else np.zeros(0, np.uint64)
-        order = np.argsort(window)
-        window, at = window[order], at[order]
-        new = np.ones(len(window), bool)
-        new[1:] = window[1:] != window[:-1]
-        size = np.diff(np.append(np.flatnonzero(new), len(window)))
-        many = np.repeat(size > 1, size)
-        rows = [(run, DIRECTORY, run, T.pack(a, b, n), T.pack(np.sort(at[many]).astype(np.uint32)))]
-        window, at, many = window[new], at[new], size > 1
-        edges = np.searchsorted(window >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        for bucket in range(1 << bits):
-            low, high = edges[bucket], edges[bucket + 1]
-            if high > low:
-                steps = np.diff(window[low:high], prepend=np.uint64(bucket << (64 - bits)))
-                rows.append((bucket, WINDOWS, run, T.pack(steps, at[low:high].astype(np.uint32)), T.pack(many[low:high])))
-        return _rows(rows)
+        repeated = []
+        for part in range(1 << PART_BITS):
+            own = [np.flatnonzero(w >> np.uint64(64 - PART_BITS) == np.uint64(part)) for w in windows]
+            window, at = (np.concatenate([x[i] for x, i in zip(pieces, own, strict=True)]) for pieces in (windows, places))
+            order = np.argsort(window)
+            window, at = window[order], at[order]
+            new = np.ones(len(window), bool)
+            new[1:] = window[1:] != window[:-1]
+            size = np.diff(np.append(np.flatnonzero(new), len(window)))
+            repeated.append(at[np.repeat(size > 1, size)])
+            window, at, many = window[new], at[new], size > 1
+            first = part << (bits - PART_BITS)
+            past = first + (1 << (bits - PART_BITS))
+            edges = np.searchsorted(window >> np.uint64(64 - bits), np.arange(first, past + 1, dtype=np.uint64))
+            rows = []
+            for bucket, (low, high) in enumerate(pairwise(edges), first):
+                if high > low:
+                    steps = np.diff(window[low:high], prepend=np.uint64(bucket << (64 - bits)))
+                    rows.append((bucket, WINDOWS, run, T.pack(steps, at[low:high]), T.pack(many[low:high])))
+            yield _rows(rows)
+        yield _rows([(run, DIRECTORY, run, T.pack(a, b, n), T.pack(np.sort(np.concatenate(repeated))))])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, hashes, held = [], [], [], 0
+        keys, counts, windows, places, held = [], [], [], [], 0
         for whole in batches:
             for batch in T.slices(whole, "__text", SLICE_BYTES):
                 h, _, _, n = T.words(*T.buffer(batch.column("__text")))
-                keys.append([batch.column(k).to_numpy() for k in ("__a", "__b")])
+                at = T.inside(n, width)
+                keys.append([batch.column(k).to_numpy().copy() for k in ("__a", "__b")])  # a view would hold the whole batch
                 counts.append(n)
-                hashes.append(h)
+                windows.append(T.rolling(h, width)[at])
+                places.append((at + held).astype(np.uint32))
                 held += len(h)
                 if held >= RUN_WORDS:
-                    yield flush(keys, counts, hashes)
-                    keys, counts, hashes, held = [], [], [], 0
+                    yield from flush(keys, counts, windows, places)
+                    keys, counts, windows, places, held = [], [], [], [], 0
         if keys:
-            yield flush(keys, counts, hashes)
+            yield from flush(keys, counts, windows, places)
 
     return T.releasing(go)
 

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 import xxhash
 
 SLICE = 1 << 18
+#: Bytes that a task takes in before it gives freed memory back.
+RELEASED = 16 << 20
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Words of more bytes are hashed by XXH64: a polynomial modulo 2**64 has known collisions between very long strings.
 LONG_WORD = 512
@@ -83,10 +85,19 @@ def release() -> None:
 
 
 def releasing(go: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """go, and then release(): a worker keeps none of a task's memory while it waits or runs another one."""
+    """go, with release() at its end and whenever RELEASED bytes came in: a worker holds what the task uses now, and keeps none of it while it waits or runs another one."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            seen += batch.nbytes
+            yield batch
+            if seen >= RELEASED:
+                seen = 0
+                release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from go(batches)
+        yield from go(counted(batches))
         release()
 
     return run
