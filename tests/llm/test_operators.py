@@ -235,6 +235,36 @@ def test_a_run_of_windows_is_sorted_in_parts():
     assert most < 40 << 20  # 12 bytes a window, tables of powers, a slice's words and the packed rows above
 
 
+def test_memory_goes_back_during_a_task(monkeypatch):
+    calls = []
+    monkeypatch.setattr(T, "release", lambda: calls.append(1))
+    monkeypatch.setattr(T, "RELEASED", 100, raising=False)
+    batches = [pa.record_batch([pa.array(["x" * 60])], names=["text"])] * 4
+    assert list(T.releasing(lambda rows: rows)(iter(batches))) == batches and len(calls) == 3
+
+
+def test_scan_and_tokens_take_a_megabyte_of_text_at_a_time(spark):
+    class Held:
+        dtypes = [("doc_id", "bigint"), ("text", "string")]
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, go, schema):
+            self.go = go
+            return self
+
+        def withColumnRenamed(self, old, new):
+            return self
+
+    texts = pa.array([f"some words {k} " * 8000 for k in range(30)])
+    for operator, names in ((packing.tokenize, ["id", "text"]), (secret_scan.scan, ["__id", "__text"])):
+        held = Held()
+        operator(held)
+        sizes = [b.num_rows for b in held.go(iter([pa.record_batch([pa.array(range(30)), texts], names=names)]))]
+        assert len(sizes) > 3 and (sum(sizes) == 30 or operator is packing.tokenize)
+
+
 def test_context_tree_holds_a_part_of_a_run(monkeypatch):
     texts = [(k, " ".join(f"w{(k * j) % 97}é" for j in range(k % 50))) for k in range(300)] + [(300, None), (None, "B b"), (5, "a" * 3000)]
     data, at = T.buffer(pa.array([t for _, t in texts]))

@@ -27,6 +27,8 @@ from weblens.llm.shared import saved
 from weblens.llm.tokens import word_tokens
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 4096, 1
+#: Bytes of text whose tokens are made at once.
+SLICE_BYTES = 1 << 20
 #: Number of groups of large pieces, and the share of a sequence from which a piece is large.
 GROUPS, LARGE = 512, 1 / 16
 
@@ -37,7 +39,7 @@ def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPA
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_tokens(vocabulary)
         for whole in batches:
-            for batch in T.slices(whole, "text", 4 << 20):
+            for batch in T.slices(whole, "text", SLICE_BYTES):
                 ids, at = coder.encode(*T.buffer(batch.column("text")), end_id)
                 n = np.diff(at)
                 pieces = -(-n // capacity)
@@ -55,7 +57,7 @@ def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPA
 
     id_type = dict(docs.dtypes)[id_col]
     schema = f"id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(go, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(T.releasing(go), schema).withColumnRenamed("id", id_col)
 
 
 Bins = list[tuple[int, list[tuple[int, int]]]]  # how many sequences, and the lengths in each with their numbers

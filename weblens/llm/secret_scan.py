@@ -25,6 +25,8 @@ from weblens.llm import text as T
 VOCABULARY = "byte_bpe_50k.tiktoken"
 KINDS = ("assign", "access", "hex", "random")
 RATIO, LEAST = 2.0, 20
+#: Bytes of text that are scanned at once.
+SLICE_BYTES = 1 << 20
 # The forms that the contract of this query names, and what its kinds need at least.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -143,7 +145,7 @@ def scan(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = RATIO, le
         coder = encoding(vocabulary)
         shortest = min(least, ACCESS_LENGTH, 24)
         for batch in batches:
-            for part in T.slices(batch, "__text"):
+            for part in T.slices(batch, "__text", SLICE_BYTES):
                 runs = long_runs(*T.buffer(part.column("__text")), shortest)
                 texts = part.column("__text").to_pylist()
                 found = [spans(t, ratio, least, coder, r) if t else [] for t, r in zip(texts, runs, strict=True)]
@@ -156,7 +158,7 @@ def scan(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = RATIO, le
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"__id {kinds[id_col]}", *(f"`{c}` {kinds[c]}" for c in keep), "spans array<struct<kind:string,start:int,past:int>>", *["redacted_text string"] * with_text])
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *keep).mapInArrow(go, schema).withColumnRenamed("__id", id_col)
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *keep).mapInArrow(T.releasing(go), schema).withColumnRenamed("__id", id_col)
 
 
 def redact(text: str, found: list[tuple[int, int, int]]) -> str:
