@@ -10,12 +10,42 @@ from weblens.plans.store import fresh_path
 from weblens.streaming import live
 
 
+#: Columns that the streaming operators read, and rows of the log that are one batch.
+COLUMNS = ["req_id", "ts", "ip", "ua", "method", "base", "status", "bytes", "ref", "ref_internal", "is_static"]
+BATCH, FILE = 16_000_000, 1_000_000
+
+
+def in_turn(spark, rows: DataFrame, turns: list, name: str, n: int) -> tuple[str, int]:
+    """Write ``n`` rows so that a stream reads those of every condition as a batch, one after the other: the folder, and how many files are a batch.
+
+    Files are read in the order in which they were written, an equal number a batch, so what a batch lacks is made up by empty files.
+    """
+    path, files = fresh_path(spark, name), spark.sparkContext.defaultParallelism if n > FILE else 1
+    for k, turn in enumerate(turns, 1):
+        rows.where(turn).coalesce(files).write.mode("append").parquet(path)
+        for _ in range(k * files - len(spark.read.parquet(path).inputFiles())):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return path, files
+
+
+def read_in_turn(spark, rows: DataFrame, path: str, files: int) -> DataFrame:
+    return live.as_stream_rows(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path))
+
+
+def log_streams(w, number: int = 1) -> list[DataFrame]:
+    """The stored requests as streams of batches in time order, so a state holds what a batch and the watermark leave open. They are written once."""
+    rows = w.rq.select(*COLUMNS)
+    n = rows.count()
+    parts = -(-n // BATCH) or 1
+    cuts = sorted(set(rows.agg(F.percentile_approx("ts", [k / parts for k in range(1, parts)])).first()[0] or [])) if parts > 1 else []
+    ts, edges = F.col("ts"), [None, *cuts, None]
+    turns = [(F.lit(True) if a is None else ts >= a) & (F.lit(True) if z is None else F.coalesce(ts < z, F.lit(a is None))) for a, z in zip(edges, edges[1:])]
+    path, files = in_turn(w.spark, rows, turns, "stream-source", n)
+    return [read_in_turn(w.spark, rows, path, files) for _ in range(number)]
+
+
 def log_stream(w) -> DataFrame:
-    """The stored requests as a stream, one file at a time, in time order."""
-    path = fresh_path(w.spark, "stream-source")
-    w.rq.repartitionByRange(6, "ts").sortWithinPartitions("ts", "req_id").write.parquet(path)
-    rows = w.spark.readStream.schema(w.spark.read.parquet(path).schema).parquet(path)
-    return live.as_stream_rows(rows)
+    return log_streams(w)[0]
 
 
 def run_to_end(w, stream: DataFrame, name: str) -> DataFrame:
@@ -42,7 +72,7 @@ def _late(w):
 
 
 def _recent_404(w):
-    return live.recent_404(log_stream(w), log_stream(w), 7200)
+    return live.recent_404(*log_streams(w, 2), 7200)
 
 
 QUERIES = {

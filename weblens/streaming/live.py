@@ -30,12 +30,20 @@ def sessions(stream: DataFrame, gap: int = 1800, late: str = "10 minutes") -> Da
 
 
 def recent_404(stream_entries: DataFrame, stream_404: DataFrame, seconds: int = 7200, late: str = "10 minutes") -> DataFrame:
-    """Requests that come from a page another IP got 404 on within the last two hours (stream-stream interval join)."""
+    """Requests that come from a page another IP got 404 on within the last two hours (stream-stream interval join).
+
+    The state of a key is compared row by row, so a time block as long as the interval is part of the key: a 404 counts in its own block and in the
+    next one, a request meets the copy of its block, and a popular page is as many keys as the log has blocks.
+    """
+    block = F.floor(F.unix_timestamp("time") / seconds)
     missing = stream_404.where("method = 'GET' AND status = 404").select(
-        F.col("base").alias("path"), F.col("ip").alias("ip_404"), F.col("time").alias("time_404")).withWatermark("time_404", late)
-    entries = stream_entries.where("ref_internal").withColumn("ref_page", C.ref_path(F.col("ref"))).withWatermark("time", late)
+        F.col("base").alias("path"), F.col("ip").alias("ip_404"), F.col("time").alias("time_404"),
+        F.explode(F.array(block, block + 1)).alias("blk_404")).withWatermark("time_404", late)
+    entries = stream_entries.where("ref_internal").select(
+        "req_id", "ip", "time", C.ref_path(F.col("ref")).alias("ref_page"), block.alias("blk")).withWatermark("time", late)
     within = F.expr(f"time >= time_404 AND time <= time_404 + INTERVAL {seconds} SECONDS")
-    return entries.join(missing, (F.col("ref_page") == F.col("path")) & (F.col("ip") != F.col("ip_404")) & within).select(
+    same = (F.col("ref_page") == F.col("path")) & (F.col("blk") == F.col("blk_404"))
+    return entries.join(missing, same & (F.col("ip") != F.col("ip_404")) & within).select(
         "req_id", "ip", "path", "ip_404", "time", "time_404")
 
 
