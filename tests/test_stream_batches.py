@@ -5,6 +5,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from weblens.plans import queries_streaming as Q
+from weblens.streaming import live
 
 T0 = 1704067200
 
@@ -26,3 +27,15 @@ def test_404_memory_equals_all_pairs_and_its_keys_are_bounded(spark, make_log):
     assert sorted(tuple(r) for r in seconds.collect()) == want and len(want) > 1000
     plan = stream._jdf.queryExecution().analyzed().toString()
     assert "blk" in plan.split("Join Inner", 1)[1].split("\n")[0]  # a page is a key for every block of time
+
+
+def test_batches_in_time_order_give_what_one_batch_gives(spark, make_log, monkeypatch):
+    w = SimpleNamespace(spark=spark, rq=requests(spark, make_log).repartition(5).cache())
+    runs = {"sessions": live.sessions, "counters": live.window_counters, "bursts": lambda s: live.sliding_burst(s, minimum=2), "alerts": lambda s: live.minute_alerts(s, 1)}
+    result = lambda name: sorted(map(str, Q.run_to_end(w, Q._recent_404(w) if name == "404" else runs[name](Q.log_stream(w)), name).collect()))
+    names = ["404", *runs]
+    want = {name: result(name) for name in names}
+    monkeypatch.setattr(Q, "BATCH", 250)
+    monkeypatch.setattr(Q, "FILE", 100)  # several files a batch
+    for name in names:
+        assert result(name) == want[name] and want[name], name
