@@ -59,13 +59,12 @@ def run_to_end(w, stream: DataFrame, name: str) -> DataFrame:
 
 def _late(w):
     """Batches of a log whose first quarter comes last, as of a server that sends its lines late: what the watermark drops is counted. (The engine drops by the watermark of the batch before.)"""
-    path = fresh_path(w.spark, "late-source")
-    days = w.rq.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    rows = w.rq.select("ip", "ts")
+    days = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("n")).first()
     border, middle = (days.a + k * (days.b - days.a) // 4 for k in (1, 2))
-    for part in (F.col("ts").between(border, middle - 1), F.col("ts") >= middle, F.col("ts") < border):  # files are read in the order in which they were written
-        w.rq.where(part).coalesce(1).write.mode("append").parquet(path)
-    rows = w.spark.readStream.schema(w.rq.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    query = (live.sliding_burst(live.as_stream_rows(rows), minimum=4).writeStream.outputMode("append").format("parquet").option("path", fresh_path(w.spark, "t06"))
+    turns = [F.col("ts").between(border, middle - 1), F.col("ts") >= middle, F.col("ts") < border]
+    stream = read_in_turn(w.spark, rows, *in_turn(w.spark, rows, turns, "late-source", days.n))
+    query = (live.sliding_burst(stream, minimum=4).writeStream.outputMode("append").format("parquet").option("path", fresh_path(w.spark, "t06"))
              .option("checkpointLocation", fresh_path(w.spark, "t06-state")).trigger(availableNow=True).start())
     query.awaitTermination()
     return live.late_report(w.spark, [json.loads(p.json) for p in query.recentProgress]).where("rows > 0")
