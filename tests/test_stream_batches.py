@@ -9,12 +9,14 @@ from weblens.streaming import live
 
 T0 = 1704067200
 
+
 def requests(spark, make_log, seed=3, n=900):
     rng, site = random.Random(seed), "https://site.ru"
     rows = [(T0 + rng.randint(0, 30000), f"1.1.1.{rng.randint(1, 9)}", f"/p{rng.randint(0, 2)}/", {"status": rng.choice([200, 404]), "ref": site + f"/p{rng.randint(0, 2)}/"}) for _ in range(n)]
     rows += [(T0 + 90000, "9.9.9.9", "/end/")]
     return make_log(rows).withColumn("is_static", F.lit(False)).withColumn("ref_internal", F.col("ref").startswith(site))
 
+
 def test_404_memory_equals_all_pairs_and_its_keys_are_bounded(spark, make_log):
     rq = requests(spark, make_log)
     rows = rq.collect()
@@ -26,6 +28,7 @@ def test_404_memory_equals_all_pairs_and_its_keys_are_bounded(spark, make_log):
     plan = stream._jdf.queryExecution().analyzed().toString()
     assert "blk" in plan.split("Join Inner", 1)[1].split("\n")[0]  # a page is a key for every block of time
 
+
 def test_batches_in_time_order_give_what_one_batch_gives(spark, make_log, monkeypatch):
     w = SimpleNamespace(spark=spark, rq=requests(spark, make_log).repartition(5).cache())
     runs = {"sessions": live.sessions, "counters": live.window_counters, "bursts": lambda s: live.sliding_burst(s, minimum=2), "alerts": lambda s: live.minute_alerts(s, 1)}
@@ -37,6 +40,7 @@ def test_batches_in_time_order_give_what_one_batch_gives(spark, make_log, monkey
     for name in names:
         assert result(name) == want[name] and want[name], name
 
+
 def test_late_rows_of_batches_of_several_files(spark, make_log, monkeypatch):
     rq = requests(spark, make_log).repartition(5).cache()
     want = sorted(tuple(r) for r in Q._late(SimpleNamespace(spark=spark, rq=rq)).collect())
